@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.functions.ring import near_sector
+from trackguard.functions.text import fixed
 from trackguard.functions.timeline import CHUNK_TICKS, chunk_of, in_chunk, own_rows, running, with_history
 from trackguard.operators.fold import cooldown, fold_in_time
 from trackguard.operators.gates import race_gates
@@ -201,22 +202,22 @@ def car_detections(cands: DataFrame, p: DetectorParams | None = None, keys: list
         lasts={"_hit": F.when(F.col("_side") == 2, F.col("tick"))}).filter("_side = 1").drop("_side")
     stops = stops.join(last_hit, [*keys, "tick"], "left")
     recent = _true(F.col("tick") - F.col("_hit") < 10 * TICKS_PER_S).cast("double")
-    where = F.when(lat < p.on_line_m, F.lit("on the racing line")).otherwise(F.format_string("%.0f m off line", lat))
+    where = F.when(lat < p.on_line_m, F.lit("on the racing line")).otherwise(F.format_string("%s m off line", fixed(lat)))
     stops = stops.select(*keys, "tick", F.lit("STOPPED").alias("kind"), F.lit(RANK["STOPPED"]).alias("rank"), "msector",
                          (0.45 + 0.25 * on_line + 0.15 * (F.col("speed") < 5).cast("double") + 0.15 * recent).alias("severity"),
-                         F.format_string("speed %.0f km/h vs ref %.0f km/h, %s", "speed", "ref_speed", where).alias("evidence"))
+                         F.format_string("speed %s km/h vs ref %s km/h, %s", fixed("speed"), fixed("ref_speed"), where).alias("evidence"))
     why = F.when(F.col("hard"), "harder than braking").when(F.col("braked"), "with brakes on").otherwise("without braking")
     impacts = impacts.select(*keys, "tick", "kind", "rank", "msector", "severity", F.format_string(
-        "lost %.0f km/h in 1 s (%.0f to %.0f km/h), %s", -F.col("ds"), F.col("before"), F.col("speed"), why).alias("evidence"))
+        "lost %s km/h in 1 s (%s to %s km/h), %s", fixed(-F.col("ds")), fixed("before"), fixed("speed"), why).alias("evidence"))
 
     spin = F.col("c_spin")
     fade = F.col("c_fade") & F.col("_stop_at").isNull()
     sev_spin = (0.4 + 0.2 * on_line + 0.2 * _true(F.col("rel_ratio") < p.stop_ratio).cast("double")
                 + 0.1 * F.col("turned").cast("double"))
     text = F.when(spin & F.col("turned"), F.format_string(
-        "travelling %.0f deg off the track direction, lost %.0f km/h in 1 s", "heading_err", -F.col("dspeed_1s"))).when(
-        spin, F.format_string("%.0f m off the racing line", lat)).otherwise(F.format_string(
-            "sudden slowdown: %.0f km/h, %.0f%% of its speed here last lap", "speed", 100 * F.col("lap_ratio")))
+        "travelling %s deg off the track direction, lost %s km/h in 1 s", fixed("heading_err"), fixed(-F.col("dspeed_1s")))).when(
+        spin, F.format_string("%s m off the racing line", fixed(lat))).otherwise(F.format_string(
+            "sudden slowdown: %s km/h, %s%% of its speed here last lap", fixed("speed"), fixed(100 * F.col("lap_ratio"))))
     spins = few.filter(spin | fade).select(
         *keys, "tick", F.lit("SPIN").alias("kind"), F.lit(RANK["SPIN"]).alias("rank"), "msector",
         F.when(spin, sev_spin).otherwise(0.4 + 0.3 * (1 - F.col("lap_ratio"))).alias("severity"), text.alias("evidence"))
@@ -226,14 +227,14 @@ def car_detections(cands: DataFrame, p: DetectorParams | None = None, keys: list
     drops = few.filter(F.col("c_lost") & (F.col("_gone_at") == F.col("tick"))).select(
         *keys, "tick", F.lit("DROPOUT").alias("kind"), F.lit(RANK["DROPOUT"]).alias("rank"),
         F.col("seen.msector").cast("int").alias("msector"), F.lit(0.5).alias("severity"),
-        F.format_string("no data for %.1f s, last seen at %.0f km/h", away, F.col("seen.speed")).alias("evidence"))
+        F.format_string("no data for %s s, last seen at %s km/h", fixed(away, 1), fixed("seen.speed")).alias("evidence"))
     out = stops.unionByName(impacts).unionByName(spins).unionByName(drops)
     if anomaly_threshold is not None:
         over = F.col("anomaly_score") - anomaly_threshold
         odds = few.filter("c_odd").select(
             *keys, "tick", F.lit("ANOMALY").alias("kind"), F.lit(RANK["ANOMALY"]).alias("rank"), "msector",
             (0.3 + F.least(F.lit(0.5), over * 5)).alias("severity"),
-            F.format_string("anomaly score %.2f (threshold %.2f)", "anomaly_score", F.lit(float(anomaly_threshold))).alias("evidence"))
+            F.format_string("anomaly score %s (threshold %s)", fixed("anomaly_score", 2), fixed(F.lit(float(anomaly_threshold)), 2)).alias("evidence"))
         out = out.unionByName(cooldown(odds, keys, gap, size=chunk))
     severity = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("severity"))), 2)
     return out.withColumn("severity", severity)
@@ -281,8 +282,8 @@ def multi_car(dets: DataFrame, p: DetectorParams | None = None, n_sectors: int =
     return found.select(
         *keys, "tick", F.lit("MULTI").alias("kind"), F.lit(9).alias("rank"), "drv", "msector", "drivers",
         F.round(F.least(F.lit(1.0), F.col("worst") + 0.15), 2).alias("severity"),
-        F.format_string("cars %s in sectors %d-%d within %.0f s", F.concat_ws(", ", "drivers"), "lo", "hi",
-                        F.lit(float(p.multi_window_s))).alias("evidence"))
+        F.format_string("cars %s in sectors %d-%d within %s s", F.concat_ws(", ", "drivers"), "lo", "hi",
+                        fixed(F.lit(float(p.multi_window_s)))).alias("evidence"))
 
 
 def detect(df: DataFrame, p: DetectorParams | None = None, n_sectors: int = 1000,
@@ -291,13 +292,21 @@ def detect(df: DataFrame, p: DetectorParams | None = None, n_sectors: int = 1000
     Rows carrying a `cand` column are detected once per candidate setting."""
     lead = ["cand"] if "cand" in df.columns else []
     keys = [*lead, *CAR]
-    cands = car_candidates(df, p, swept, keys, anomaly_threshold, chunk)
+    cands = slim(car_candidates(df, p, swept, keys, anomaly_threshold, chunk), keys)
     cars = stored(car_detections(cands, p, keys, anomaly_threshold, chunk))
     multi = multi_car(cars, p, n_sectors, [*lead, "race"], chunk)
     both = cars.withColumn("drivers", F.array("drv")).unionByName(multi.select(*cars.columns, "drivers"))
     return numbered_ids(both, [*lead, "race"], "det", chunk)
 
 
+def slim(cands: DataFrame, keys: list[str]) -> DataFrame:
+    """The candidate table with the columns the folds and latches read, written once for both."""
+    wanted = [*keys, "tick", "_active", "_pit", "suspended", "speed", "ref_speed", "rel_ratio", "lap_ratio", "lat_off", "msector",
+              "dspeed_1s", "heading_err", "anomaly_score", "seen", "braked", "turned", "c_stop", "c_recover", "c_spin", "c_fade",
+              "c_hard", "c_drop", "c_lost", "c_odd"]
+    return stored(cands.select(*[c for c in wanted if c in cands.columns]))
+
+
 def numbered_ids(dets: DataFrame, keys: list[str], prefix: str, chunk: int = CHUNK_TICKS) -> DataFrame:
     """Detections in order of (tick, multi last, car, rule) with running ids per race."""
     ordered = dets.withColumn("_multi", (F.col("kind") == "MULTI").cast("int"))
@@ -308,7 +317,8 @@ def numbered_ids(dets: DataFrame, keys: list[str], prefix: str, chunk: int = CHU
                           F.col("msector").cast("int").alias("msector"), F.col("kind").alias("type"), "severity", "evidence")
 
 
-def naive(df: DataFrame, kmh: float = 50.0, sustain_s: float = 1.0, hold_s: float = 15.0, chunk: int = CHUNK_TICKS) -> DataFrame:
+def naive(df: DataFrame, kmh: float = 50.0, sustain_s: float = 1.0, hold_s: float = 15.0, crawl_share: float = 0.5,
+          chunk: int = CHUNK_TICKS) -> DataFrame:
     """The baseline: a car below a fixed speed outside the pit lane for `sustain_s`, once until it
     does 30 km/h more; nothing while suspended or within `hold_s` of a crawling field."""
     lead = ["cand"] if "cand" in df.columns else []
@@ -316,7 +326,7 @@ def naive(df: DataFrame, kmh: float = 50.0, sustain_s: float = 1.0, hold_s: floa
     limit = F.col("p_kmh") if "p_kmh" in df.columns else F.lit(float(kmh))
     ticks = df.filter(~F.col("suspended")).groupBy("race", "tick").agg(F.first("field_slow").alias("_fs"))
     ticks = with_history(ticks, hold, chunk)
-    crawl = F.max(F.when(F.col("_fs") >= 0.5, F.col("tick"))).over(in_chunk(["race"]).rangeBetween(-hold, 0))
+    crawl = F.max(F.when(F.col("_fs") >= crawl_share, F.col("tick"))).over(in_chunk(["race"]).rangeBetween(-hold, 0))
     ticks = own_rows(ticks.withColumn("_hold", _true(F.col("tick") < crawl + hold)), chunk).select("race", "tick", "_hold")
     cars = df.filter(~F.col("suspended")).join(F.broadcast(ticks) if is_small(ticks) else ticks, ["race", "tick"])
     speed = F.col("speed")
@@ -325,10 +335,10 @@ def naive(df: DataFrame, kmh: float = 50.0, sustain_s: float = 1.0, hold_s: floa
     cars = cars.withColumns({
         "_cand": F.col("_slow") & _true(F.col("tick") - F.col("_since") >= sustain_s * TICKS_PER_S),
         "_free": ~F.col("_slow") & _true(speed > limit + 30)})
-    few = cars.filter("_cand or _free").select(*keys, "tick", "speed", "msector", "_cand", "_free", limit.alias("_kmh"))
+    few = stored(cars.filter("_cand or _free").select(*keys, "tick", "speed", "msector", "_cand", "_free", limit.alias("_kmh")))
     hits = _latched(few, keys, F.col("_cand"), F.col("_free"), chunk).filter("_first")
     hits = hits.select(*keys, "tick", F.lit("STOPPED").alias("kind"), F.lit(1).alias("rank"),
                        F.col("msector").cast("int").alias("msector"), F.lit(0.5).alias("severity"),
-                       F.format_string("speed %.0f km/h < %.0f km/h", "speed", "_kmh").alias("evidence"),
+                       F.format_string("speed %s km/h < %s km/h", fixed("speed"), fixed("_kmh")).alias("evidence"),
                        F.array("drv").alias("drivers"))
     return numbered_ids(hits, [*lead, "race"], "base", chunk)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from trackguard.functions.ring import circ, sector_matches
 from trackguard.functions.timeline import (CHUNK_TICKS, asof_join, chunk_of, in_chunk, interval_join, own_rows, running,
                                            with_history)
+from trackguard.session import is_small
 
 WIN_1S, WIN_2S, WIN_5S = 4, 8, 20
 NEUTRAL_STATUS = ["4", "5", "6", "7"]      # SC, red, VSC, VSC ending
@@ -104,6 +105,14 @@ def _heading(w) -> Column:
     return F.when((moved >= 4.0) & (ref >= 4.0), angle)
 
 
+def reference_point(df: DataFrame, ref: DataFrame, by: list[str], step: float = 5.0) -> DataFrame:
+    """Adds ref_x, ref_y: the last reference point before the car's distance (points every `step` metres)."""
+    side = ref.select(*by, F.col("i").alias("_i"), F.col("x").alias("ref_x"), F.col("y").alias("ref_y"))
+    at = df.withColumn("_i", F.greatest(F.ceil(F.col("dist") / step) - 1, F.lit(0)).cast("int"))
+    at = at.withColumn("_i", F.when(F.col("dist").isNotNull(), F.col("_i")))
+    return at.join(F.broadcast(side) if is_small(side) else side, [*by, "_i"], "left").drop("_i")
+
+
 def race_distance(df: DataFrame, length, chunk: int = CHUNK_TICKS) -> DataFrame:
     """Adds race_dist: metres of forward progress since the car's first sample."""
     df = with_history(df, 1, chunk)

@@ -12,15 +12,17 @@ those chunks only.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trackguard.functions.timeline import chunk_of
 from trackguard.session import stored
 
 Step = Callable[[dict, list[dict]], tuple[dict, list[dict]]]
+BATCH_ROWS = 8192
 
 
 def fold_in_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out: str,
@@ -28,44 +30,58 @@ def fold_in_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ste
     """Runs `step(state, rows) -> (state, outputs)` over each key's rows in order.
 
     rows   the events that matter for the rule, already reduced by joins and windows
-    step   small pure function; state is a JSON-able dict, `{}` at the start
+    step   small pure function; state is a JSON-able dict, `{}` at the start. It sees one chunk.
     out    DDL of the output columns (the keys are added in front)
+
+    Rows are spread by (key, chunk) and sorted; a task walks through its chunks in Arrow batches and
+    holds one chunk's rows at a time.
     """
     group = [*keys, "_chunk"]
     rows = stored(rows.withColumn("_chunk", chunk_of(on, size)))
-    fields = [rows.schema[k] for k in group] + [
+    made_fields = T.StructType.fromDDL(out).fields
+    schema = T.StructType([rows.schema[k] for k in group] + [
         T.StructField("_row", T.IntegerType()), T.StructField("_entry", T.StringType()),
-        T.StructField("_exit", T.StringType())] + list(T.StructType.fromDDL(out).fields)
-    schema = T.StructType(fields)
-    names = [f.name for f in fields]
-    order = list(order)
-
-    def one_chunk(key: tuple, pdf: pd.DataFrame, entry: str) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state, made = step(json.loads(entry) if entry else {}, pdf.to_dict("records"))
-        end = json.dumps(state, sort_keys=True) if state else ""
-        head = dict(zip(group, key))
-        data = [{**head, "_row": -1, "_entry": entry, "_exit": end}]
-        data += [{**head, "_row": i, **r} for i, r in enumerate(made)]
-        return pd.DataFrame({n: pd.Series([r.get(n) for r in data], dtype=object) for n in names})
-
-    def from_empty(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return one_chunk(key, pdf, "")
+        T.StructField("_exit", T.StringType()), *made_fields])
+    arrow = to_arrow_schema(schema)
 
-    def from_entry(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        return one_chunk(key, pdf, entry["_want"].iloc[0])
-
-    result = stored(rows.groupBy(*group).applyInPandas(from_empty, schema))
+    def one_chunk(key: tuple, given: list[dict]) -> list[dict]:
+        entry = given[0].get("_want") or ""
+        state, made = step(json.loads(entry) if entry else {}, given)
+        head = dict(zip(group, key))
+        end = {**head, "_row": -1, "_entry": entry, "_exit": json.dumps(state, sort_keys=True) if state else ""}
+        return [end, *({**head, "_row": i, **r} for i, r in enumerate(made))]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, ready = None, [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                here = tuple(r[g] for g in group)
+                if here != key and held:
+                    ready += one_chunk(key, held)
+                    held = []
+                key = here
+                held.append(r)
+            if len(ready) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(ready, schema=arrow)
+                ready = []
+        if held:
+            ready += one_chunk(key, held)
+        if ready:
+            yield pa.RecordBatch.from_pylist(ready, schema=arrow)
+
+    def run(df: DataFrame) -> DataFrame:
+        return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(walk, schema)
+
+    result = stored(run(rows))
     previous = F.coalesce(F.lag("_exit").over(W.partitionBy(*keys).orderBy("_chunk")), F.lit(""))
     while True:
         ends = result.filter("_row = -1").select(*group, "_entry", previous.alias("_want"))
         wrong = stored(ends.filter("_want <> _entry").select(*group, "_want"))
         if wrong.isEmpty():
             break
-        again = (rows.join(wrong, group, "left_semi").groupBy(*group)
-                 .cogroup(wrong.groupBy(*group)).applyInPandas(from_entry, schema))
+        again = run(rows.join(wrong, group))
         result = stored(result.join(wrong, group, "left_anti").unionByName(again))
-    return result.filter("_row >= 0").select(*keys, *[F.col(f.name) for f in T.StructType.fromDDL(out).fields])
+    return result.filter("_row >= 0").select(*keys, *[f.name for f in made_fields])
 
 
 def cooldown(events: DataFrame, keys: Sequence[str], gap: float, on: str = "tick",

@@ -1,4 +1,4 @@
 """Every registered query; importing a section registers its queries."""
 
-from trackguard.plans import q_features  # noqa: F401
+from trackguard.plans import q_features, q_detect  # noqa: F401
 from trackguard.plans.registry import ORACLES, QUERIES  # noqa: F401

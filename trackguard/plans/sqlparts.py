@@ -73,4 +73,92 @@ PARTS = {
                           w20 AS (PARTITION BY race, drv ORDER BY tick ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
 }
 
+PARTS |= {
+    # one row per tick of a race, with the scaled grid gate of the tests
+    "ticks": """
+        SELECT race, tick, min(t) AS t, min(track_status) AS track_status, bool_or(suspended) AS suspended,
+               min(field_slow) AS field_slow, min(field_ratio) AS field_ratio, min(field_in_pit) AS field_in_pit,
+               min(live_share) AS live_share
+        FROM fieldrows GROUP BY race, tick""",
+    "gates": """
+        SELECT *, NOT suspended AND (coalesce(tick < crawl + 2, false)
+                   OR coalesce(resumed > coalesce(crawl, -1) AND tick < resumed + 4, false)) AS grid
+        FROM (SELECT *, max(CASE WHEN NOT suspended AND (field_slow >= 0.7 OR field_ratio < 0.1) THEN tick END) OVER w AS crawl,
+                     max(CASE WHEN NOT suspended AND was AND tick - susp_from >= 1 THEN tick END) OVER w AS resumed
+              FROM (SELECT *, lag(suspended) OVER w AS was, coalesce(max(CASE WHEN NOT suspended THEN tick END) OVER (
+                           PARTITION BY race ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1,
+                           min(tick) OVER (PARTITION BY race)) AS susp_from
+                    FROM ticks WINDOW w AS (PARTITION BY race ORDER BY tick)) q
+              WINDOW w AS (PARTITION BY race ORDER BY tick)) q""",
+    # the baseline detector: below 30 km/h for 0.5 s, once until above 60 km/h; held for 0.5 s after a crawl
+    "naiverows": """
+        SELECT f.*, coalesce(f.speed < 30, false) AND NOT f.in_pit AND NOT coalesce(f.tick < h.crawl + 2, false) AS slow
+        FROM fieldrows f JOIN (SELECT race, tick, max(CASE WHEN field_slow >= 0.7 THEN tick END)
+                                        OVER (PARTITION BY race ORDER BY tick) AS crawl
+                               FROM ticks WHERE NOT suspended) h USING (race, tick)
+        WHERE NOT f.suspended""",
+    "naivecands": """
+        SELECT *, slow AND tick - min(CASE WHEN slow THEN tick END) OVER (PARTITION BY race, drv, b ORDER BY tick) >= 2 AS cand,
+               NOT slow AND coalesce(speed > 60, false) AS freed
+        FROM (SELECT *, sum(CASE WHEN slow THEN 0 ELSE 1 END) OVER (PARTITION BY race, drv ORDER BY tick) AS b FROM naiverows) q""",
+    "naive": """
+        SELECT race, 'base-' || lpad(CAST(row_number() OVER (PARTITION BY race ORDER BY tick, drv) AS VARCHAR), 6, '0') AS id,
+               tick / 4.0::DOUBLE AS t, tick, drv, msector, speed
+        FROM (SELECT *, row_number() OVER (PARTITION BY race, drv, g, cand ORDER BY tick) AS nth
+              FROM (SELECT *, sum(CASE WHEN freed THEN 1 ELSE 0 END) OVER (PARTITION BY race, drv ORDER BY tick) AS g
+                    FROM naivecands WHERE cand OR freed) q) q
+        WHERE cand AND nth = 1""",
+    "nalerts": """
+        SELECT * FROM (SELECT *, lag(t) OVER (PARTITION BY race, drv ORDER BY t, id) AS p FROM naive) q
+        WHERE p IS NULL OR t - p >= 5""",
+    # how each row counts for the rules, with the scaled settings of the tests
+    "rulerows": """
+        SELECT f.*, g.grid, g.live_share AS ls, f.speed IS NOT NULL AND NOT f.in_pit AND NOT f.suspended AND NOT g.grid AS act,
+               f.speed IS NOT NULL AND NOT f.in_pit AND NOT f.suspended AND g.grid AS frozen,
+               f.speed IS NOT NULL AND f.in_pit AND NOT f.suspended AS pit,
+               coalesce(f.rel_ratio < 0.3 AND (f.lap_ratio IS NULL OR f.lap_ratio < 0.5), false) AS slow,
+               coalesce(abs(f.lat_off) > 6, false) AS wide,
+               coalesce(f.lap_ratio < 0.6 AND f.rel_ratio < 0.6, false) AS low,
+               coalesce(-f.dspeed_min_2s >= 40, false) AS lost
+        FROM features f JOIN gates g USING (race, tick)""",
+    "rulestates": """
+        SELECT *, CASE WHEN frozen THEN NULL ELSE act AND slow END AS s1, CASE WHEN frozen THEN NULL ELSE act AND wide END AS s2,
+               CASE WHEN act AND low THEN CASE WHEN lost THEN true END WHEN act OR pit THEN false END AS s3,
+               CASE WHEN act THEN coalesce(rel_ratio > 0.6, false) END AS s4
+        FROM rulerows""",
+    "rulebreaks": """
+        SELECT *, sum((s1 IS NOT NULL AND NOT s1)::INT) OVER w AS b1, sum((s2 IS NOT NULL AND NOT s2)::INT) OVER w AS b2,
+               sum((s3 IS NOT NULL AND NOT s3)::INT) OVER w AS b3, sum((s4 IS NOT NULL AND NOT s4)::INT) OVER w AS b4,
+               last_value(CASE WHEN speed IS NOT NULL AND NOT suspended THEN tick END IGNORE NULLS) OVER w AS seen_tick,
+               last_value(CASE WHEN speed IS NOT NULL AND NOT suspended THEN speed END IGNORE NULLS) OVER w AS seen_speed,
+               last_value(CASE WHEN speed IS NOT NULL AND NOT suspended THEN in_pit END IGNORE NULLS) OVER w AS seen_pit,
+               last_value(CASE WHEN speed IS NOT NULL AND NOT suspended THEN msector END IGNORE NULLS) OVER w AS seen_sector
+        FROM rulestates WINDOW w AS (PARTITION BY race, drv ORDER BY tick)""",
+    "cands": """
+        SELECT *, act AND coalesce(tick - min(CASE WHEN s1 THEN tick END) OVER (PARTITION BY race, drv, b1 ORDER BY tick) >= 2, false)
+                    AND speed < 60 AS c_stop,
+               act AND coalesce(tick - min(CASE WHEN s4 THEN tick END) OVER (PARTITION BY race, drv, b4 ORDER BY tick) >= 2, false) AS c_recover,
+               act AND wide AND coalesce(tick - min(CASE WHEN s2 THEN tick END) OVER (PARTITION BY race, drv, b2 ORDER BY tick) >= 2, false) AS c_spin,
+               act AND low AND coalesce(tick - min(CASE WHEN s3 THEN tick END) OVER (PARTITION BY race, drv, b3 ORDER BY tick) >= 2, false) AS c_fade,
+               speed IS NULL AND NOT suspended AND NOT grid AND coalesce(NOT seen_pit AND tick - seen_tick >= 1 AND seen_speed >= 30
+                    AND ls >= 0.6, false) AS c_lost
+        FROM rulebreaks""",
+    "latches": """
+        SELECT *, c_stop AND row_number() OVER (PARTITION BY race, drv, g1, c_stop ORDER BY tick) = 1 AS f_stop,
+               max(CASE WHEN c_stop THEN 1 ELSE 0 END) OVER (PARTITION BY race, drv, g1 ORDER BY tick) = 1 AS stopped,
+               c_lost AND row_number() OVER (PARTITION BY race, drv, g2, c_lost ORDER BY tick) = 1 AS f_lost
+        FROM (SELECT *, sum((NOT c_stop AND (pit OR c_recover))::INT) OVER w AS g1,
+                     sum((speed IS NOT NULL AND NOT suspended)::INT) OVER w AS g2
+              FROM cands WINDOW w AS (PARTITION BY race, drv ORDER BY tick)) q""",
+    "spincands": "SELECT * FROM latches WHERE c_spin OR (c_fade AND NOT stopped)",
+    "spinpicks": """
+        SELECT race, drv, min(tick) AS tick FROM spincands GROUP BY race, drv
+        UNION ALL
+        SELECT p.race, p.drv, (SELECT min(c.tick) FROM spincands c WHERE c.race = p.race AND c.drv = p.drv AND c.tick >= p.tick + 20)
+        FROM spinpicks p WHERE p.tick IS NOT NULL""",
+}
+
 FEATURES = ["grid", "gaps", "rowfeat", "field", "fieldrows", "dist1", "samples", "laprows", "diffs", "features"]
+TICKS = ["grid", "gaps", "rowfeat", "field", "fieldrows", "ticks"]
+NAIVE = TICKS + ["naiverows", "naivecands", "naive"]
+RULES = FEATURES + ["ticks", "gates", "rulerows", "rulestates", "rulebreaks", "cands", "latches"]

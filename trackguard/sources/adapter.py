@@ -76,3 +76,37 @@ def official(g: DataFrame) -> DataFrame:
             .when(m == 4, "RED").otherwise("CLEAR"))
     return g.filter(F.col("event_id") % 41 == 0).select(
         "race", "t", "tick", "event_id", flag.alias("flag"), F.when(m.isin(0, 1, 5), F.col("msector")).alias("msector"))
+
+
+def ring_xy(dist, lat=0.0):
+    """Position on the adapter's track, a square of 250 m sides, `lat` metres to its left."""
+    d, lat = (F.col(dist) if isinstance(dist, str) else dist), (F.col(lat) if isinstance(lat, str) else F.lit(lat))
+    x = F.when(d < 250, d).when(d < 500, 250 - lat).when(d < 750, 750 - d).otherwise(lat)
+    y = F.when(d < 250, lat).when(d < 500, d - 250).when(d < 750, 250 - lat).otherwise(1000 - d)
+    return x.cast("double"), y.cast("double")
+
+
+RING_SQL = """
+CASE WHEN dist < 250 THEN dist WHEN dist < 500 THEN 250 - lat_off WHEN dist < 750 THEN 750 - dist ELSE lat_off END AS x,
+CASE WHEN dist < 250 THEN lat_off WHEN dist < 500 THEN dist - 250 WHEN dist < 750 THEN 250 - lat_off ELSE 1000 - dist END AS y
+"""
+
+
+def with_xy(g: DataFrame) -> DataFrame:
+    x, y = ring_xy("dist", "lat_off")
+    return g.withColumns({"x": x, "y": y})
+
+
+def ring_reference(g: DataFrame, step: float = 5.0) -> DataFrame:
+    """Reference points (race, i, dist, x, y) of every race in `g`."""
+    at = g.select("race").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(int(LENGTH / step) - 1))))
+    at = at.withColumn("dist", (F.col("i") * step).cast("double"))
+    x, y = ring_xy("dist")
+    return at.withColumns({"x": x, "y": y})
+
+
+def sector_table(g: DataFrame) -> DataFrame:
+    """The ten marshal sectors of every race, shifted so that the last one wraps at the line."""
+    at = g.select("race").distinct().withColumn("id", F.explode(F.sequence(F.lit(1), F.lit(SECTORS))))
+    start = (F.col("id") - 1) * 100 + 30
+    return at.select("race", "id", (start % 1000).cast("double").alias("start_dist"), ((start + 100) % 1000).cast("double").alias("end_dist"))
