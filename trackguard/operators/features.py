@@ -149,33 +149,43 @@ def previous_lap(df: DataFrame, length: float, bucket_m: float = 50_000.0) -> Da
     return line.withColumn("lap_ratio", F.when(both_known, ratio))
 
 
-def lap_info(df: DataFrame, laps: DataFrame) -> DataFrame:
-    """Own lap, compound, tyre life, stint and laps since the pit stop, as of the lap's start."""
-    first = laps.groupBy(*CAR, "stint").agg(F.min("lap").alias("_first"))
-    known = (laps.filter("t_start is not null").join(first, [*CAR, "stint"], "left")
-             .select(*CAR, "t_start", F.col("lap").alias("drv_lap"), "compound", "tyre_life", "stint",
-                     (F.col("lap") - F.col("_first")).alias("laps_since_pit")))
-    cols = ["drv_lap", "compound", "tyre_life", "stint", "laps_since_pit"]
-    out = asof_join(df.drop(*cols), known, CAR, "t", "t_start", cols, BUCKET_S, tie=["drv_lap"])
-    return out.withColumn("compound", F.coalesce("compound", F.lit("UNKNOWN")))
-
+def lap_features(df: DataFrame, laps: DataFrame) -> DataFrame:
+    """What is known of the car's laps at t, in one pass over its time line:
 
-def lap_pace(df: DataFrame, laps: DataFrame) -> DataFrame:
-    """last_lap_delta: the last finished lap against the median of the three before it, known when it ends."""
-    done = laps.filter("lap_s is not null and t_end is not null")
+    as of a lap's start  drv_lap, compound, tyre_life, stint, laps_since_pit
+    as of a lap's end    last_lap_delta, that lap's time against the median of the three before it
+    """
+    first = laps.groupBy(*CAR, "stint").agg(F.min("lap").alias("_first"))
+    begun = laps.filter("t_start is not null").join(first, [*CAR, "stint"], "left")
+    info = F.struct(F.col("lap").alias("drv_lap"), "compound", "tyre_life", "stint", (F.col("lap") - F.col("_first")).alias("laps_since_pit"))
     # three earlier laps at most: the history is counted in laps of one car
+    done = laps.filter("lap_s is not null and t_end is not null")
     w = W.partitionBy(*CAR, "_chunk").orderBy("lap").rowsBetween(-3, -1)
     done = with_history(done, 8, 64, "lap").withColumn("_med", F.percentile("lap_s", 0.5).over(w))
-    done = own_rows(done, 64, "lap").withColumn("last_lap_delta", F.col("lap_s") / F.col("_med") - 1)
-    return asof_join(df, done, CAR, "t", "t_end", ["last_lap_delta"], BUCKET_S)
+    done = own_rows(done, 64, "lap")
+    delta = F.struct((F.col("lap_s") / F.col("_med") - 1).alias("last_lap_delta"))
+    df = df.drop("drv_lap", "compound", "tyre_life", "stint", "laps_since_pit", "last_lap_delta")
+    keep = [c for c in df.columns if c not in CAR]
+    rows = df.select(*CAR, F.col("t").alias("_t"), F.lit(1).alias("_side"), F.lit(0).alias("_lap"), F.struct(*keep).alias("_row"))
+    rows = rows.unionByName(begun.select(*CAR, F.col("t_start").alias("_t"), F.lit(0).alias("_side"), F.col("lap").alias("_lap"),
+                                         info.alias("_info")), allowMissingColumns=True)
+    rows = rows.unionByName(done.select(*CAR, F.col("t_end").alias("_t"), F.lit(0).alias("_side"), F.col("lap").alias("_lap"),
+                                        delta.alias("_done")), allowMissingColumns=True)
+    rows = running(rows, CAR, chunk_of("_t", BUCKET_S), ["_t", "_side", "_lap"], lasts={"_i": F.col("_info"), "_d": F.col("_done")})
+    out = rows.filter("_side = 1").select(*CAR, "_row.*", "_i.*", "_d.*")
+    return out.withColumn("compound", F.coalesce("compound", F.lit("UNKNOWN")))
 
 
 def weather(df: DataFrame, samples: DataFrame) -> DataFrame:
-    return asof_join(df, samples, ["race"], "t", "t", ["air_temp", "track_temp", "rainfall"], BUCKET_S)
+    """Latest weather of the race, looked up once per tick."""
+    cols = ["air_temp", "track_temp", "rainfall"]
+    ticks = df.groupBy("race", "tick").agg(F.first("t").alias("t"))
+    now = asof_join(ticks, samples, ["race"], "t", "t", cols, BUCKET_S).select("race", "tick", *cols)
+    return df.join(F.broadcast(now) if is_small(now) else now, ["race", "tick"], "left")
 
 
 def race_context(df: DataFrame, chunk: int = CHUNK_TICKS) -> DataFrame:
-    """t_since_restart (since the last neutralisation ended) and is_lap1."""
+    """Adds t_since_restart: seconds since the last neutralisation ended."""
     ticks = df.groupBy("race", "tick").agg(F.first("t").alias("t"), F.min("track_status").alias("_st"))
     neutral = F.col("_st").isin(NEUTRAL_STATUS)
     ticks = with_history(ticks, 1, chunk)
@@ -183,8 +193,11 @@ def race_context(df: DataFrame, chunk: int = CHUNK_TICKS) -> DataFrame:
     ticks = own_rows(ticks.withColumn("_end", F.when(ended, F.col("t"))), chunk, keep_chunk=True)
     ticks = running(ticks, ["race"], F.col("_chunk"), ["tick"], lasts={"_end": F.col("_end")})
     ticks = ticks.select("race", "tick", (F.col("t") - F.col("_end")).alias("t_since_restart"))
-    return (df.join(ticks, ["race", "tick"], "left")
-            .withColumn("is_lap1", F.when(F.col("drv_lap") == 1, 1).otherwise(0)))
+    return df.join(F.broadcast(ticks) if is_small(ticks) else ticks, ["race", "tick"], "left")
+
+
+def is_lap1() -> Column:
+    return F.when(F.col("drv_lap") == 1, 1).otherwise(0)
 
 
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -25,6 +25,10 @@ PIT_NEAR_M, PIT_MIN_LAT_M, PIT_ROAD_S, PIT_LANE_S = 4.0, 7.0, 8.0, 60.0
 PATH_K, PATH_EXTRA_M, PATH_SPREAD_M, PATH_RESET_TICKS = 8, 20.0, 50.0, 8
 
 
+def _far(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
 # ---- reference laps and line
 
 def clean_laps(laps: DataFrame, by: list[str], strict: bool = True) -> DataFrame:
@@ -58,7 +62,7 @@ def resample_line(points: DataFrame, by: list[str], order: str, step: float = RE
     w = W.partitionBy(*by).orderBy(order)
 
     def length_to(fn) -> Column:
-        return F.hypot(F.col("x") - fn("x").over(w), F.col("y") - fn("y").over(w))
+        return _far(F.col("x") - fn("x").over(w), F.col("y") - fn("y").over(w))
 
     p = points.withColumn("_seg", length_to(F.lag)).filter("_seg is null or _seg > 1e-6")
     p = p.withColumn("_seg", F.coalesce(length_to(F.lag), F.lit(0.0)))
@@ -75,7 +79,7 @@ def resample_line(points: DataFrame, by: list[str], order: str, step: float = RE
 def closed_length(ref: DataFrame, by: list[str]) -> DataFrame:
     """Lap length: the last reference distance plus the way back to the first point."""
     a, z = F.min_by(F.struct("x", "y"), "i").alias("a"), F.max_by(F.struct("dist", "x", "y"), "i").alias("z")
-    gap = F.hypot(F.col("a.x") - F.col("z.x"), F.col("a.y") - F.col("z.y"))
+    gap = _far(F.col("a.x") - F.col("z.x"), F.col("a.y") - F.col("z.y"))
     return ref.groupBy(*by).agg(a, z).select(*by, (F.col("z.dist") + gap).alias("length"))
 
 
@@ -110,7 +114,7 @@ def nearest(points: DataFrame, ref: DataFrame, by: list[str], cell: float = 64.0
         at = todo.withColumns({"_cx": chunk_of("x", cell), "_cy": chunk_of("y", cell)})
         at = at.join(side, [*by, "_cx", "_cy"], "left")
         ranked = F.array_sort(F.transform("_cands", lambda c: F.struct(
-            F.hypot(c["x"] - F.col("x"), c["y"] - F.col("y")).alias("d"), c["i"].alias("i"), *[c[n].alias(n) for n in cols])))
+            _far(c["x"] - F.col("x"), c["y"] - F.col("y")).alias("d"), c["i"].alias("i"), *[c[n].alias(n) for n in cols])))
         at = at.withColumn("_near", F.slice(ranked, 1, k)).drop("_cands", "_cx", "_cy")
         exact = F.coalesce(F.get("_near", F.lit(0))["d"] + slack <= cell, F.lit(False))
         at = stored(at.withColumn("_exact", exact))
@@ -126,7 +130,7 @@ def nearest(points: DataFrame, ref: DataFrame, by: list[str], cell: float = 64.0
 def _onto(near: Column, length: Column) -> tuple[Column, Column]:
     """Distance along the lap and signed lateral offset of (x, y) from one reference point."""
     tx, ty = near["nx"] - near["x"], near["ny"] - near["y"]
-    norm = F.hypot(tx, ty) + 1e-9
+    norm = _far(tx, ty) + 1e-9
     rx, ry = F.col("x") - near["x"], F.col("y") - near["y"]
     along, lat = (rx * tx + ry * ty) / norm, (tx * ry - ty * rx) / norm
     return F.pmod(near["dist"] + along, length), lat
@@ -262,7 +266,7 @@ def near_pit(df: DataFrame, pit: DataFrame, by: list[str]) -> DataFrame:
     side = F.broadcast(cells) if is_small(pit) else cells
     at = df.withColumns({"_cx": chunk_of("x", PIT_NEAR_M), "_cy": chunk_of("y", PIT_NEAR_M)})
     at = at.join(side, [*by, "_cx", "_cy"], "left")
-    close = F.exists("_cands", lambda c: F.hypot(c["x"] - F.col("x"), c["y"] - F.col("y")) < PIT_NEAR_M)
+    close = F.exists("_cands", lambda c: _far(c["x"] - F.col("x"), c["y"] - F.col("y")) < PIT_NEAR_M)
     hit = F.coalesce(close & (F.abs("lat_off") > PIT_MIN_LAT_M), F.lit(False))
     return at.withColumn("near_pit", hit).drop("_cands", "_cx", "_cy")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.functions.timeline import chunk_of, in_chunk, interval_join, own_rows, running, with_history
-from trackguard.operators.incidents import MATCH_BEFORE_S, in_sectors, match_incidents
+from trackguard.operators.incidents import MATCH_AFTER_S, MATCH_BEFORE_S, in_sectors, match_incidents
 
 ALERT_GAP_S, FA_AFTER_S, MOVING_KMH, MAX_HOLD_S = 60.0, 60.0, 60.0, 900.0
 SPAN_S = 1024.0
@@ -30,12 +30,13 @@ def alerts(dets: DataFrame, by: list[str] = ["race"], gap: float = ALERT_GAP_S)
     return own_rows(hist.filter(quiet), SPAN_S, "t").drop("_who", "_prev")
 
 
-def false_alarms(found: DataFrame, incidents: DataFrame, n: int, by: list[str] = ["race"]) -> DataFrame:
+def false_alarms(found: DataFrame, incidents: DataFrame, n: int, by: list[str] = ["race"], before: float = MATCH_BEFORE_S,
+                 after: float = FA_AFTER_S) -> DataFrame:
     """Adds false_alarm: the alert fits no incident from 60 s before it to 60 s after its last message."""
     key = [*by, "id"]
     hits = found.select(*key, F.col("t").alias("t_hit"), F.col("msector").alias("hit_sector"))
     inc = incidents.select("race", "incident", "t", "t_last", "sectors")
-    fits = match_incidents(inc, hits, n, MATCH_BEFORE_S, FA_AFTER_S, "t_last").select(*key).distinct()
+    fits = match_incidents(inc, hits, n, before, after, "t_last").select(*key).distinct()
     return found.join(fits.withColumn("_fits", F.lit(True)), key, "left").withColumn(
         "false_alarm", F.col("_fits").isNull()).drop("_fits")
 
@@ -54,12 +55,12 @@ def held_stops(df: DataFrame, dets: DataFrame, by: list[str] = ["race"], max_hol
 
 
 def incident_scores(df: DataFrame, incidents: DataFrame, dets: DataFrame, n: int, by: list[str] = ["race"],
-                    max_hold: float = MAX_HOLD_S) -> DataFrame:
+                    max_hold: float = MAX_HOLD_S, before: float = MATCH_BEFORE_S, after: float = MATCH_AFTER_S) -> DataFrame:
     """One row per (by, incident): matched, held, lead_s and the first detection that hit it. With more
     keys than the race (a system, a candidate) every combination present in `dets` is scored."""
     hits = dets.select(*by, "id", "type", F.col("t").alias("t_hit"), F.col("msector").alias("hit_sector"))
     inc = incidents.select("race", "incident", "t", "t_last", "top_flag", "sectors", "track_wide")
-    fits = match_incidents(inc, hits, n).groupBy(*by, "incident").agg(
+    fits = match_incidents(inc, hits, n, before, after).groupBy(*by, "incident").agg(
         F.min(F.struct("t_hit", "id", "type")).alias("hit"))
     held = held_stops(df, dets, by, max_hold).select(*by, F.col("msector").alias("stop_sector"), "t0", "t1")
     at = inc.select("race", "incident", "t", "sectors")

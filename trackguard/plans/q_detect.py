@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trackguard.operators import detectors as DE, scoring as SC
 from trackguard.operators.fold import cooldown
 from trackguard.operators.gates import race_gates
-from trackguard.operators.params import DetectorParams
-from trackguard.plans.q_features import features, field_rows
+from trackguard.operators.params import SWEPT, DetectorParams, candidate_grid, with_candidates
+from trackguard.plans import tables as T
+from trackguard.plans.q_features import field_rows
 from trackguard.plans.registry import query, with_tables
 from trackguard.plans.sqlparts import NAIVE, PARTS, RULES, TICKS
-from trackguard.session import stored
 from trackguard.sources import adapter as AD
 
 SCALED = DetectorParams(stop_sustain_s=0.5, recover_s=0.5, spin_lat_m=6.0, spin_sustain_s=0.5, slowdown_sustain_s=0.5, dropout_s=0.25,
@@ -26,12 +26,15 @@ def naive(spark: SparkSession, sf: str) -> DataFrame:
     return DE.naive(field_rows(spark, sf), **NAIVE_SET)
 
 
-def detections(spark: SparkSession, sf: str) -> DataFrame:
-    return DE.detect(features(spark, sf), SCALED, AD.SECTORS)
+@T.kept("rule_candidates")
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate rows of the car rules; without the heading, which the SQL leaves out."""
+    return DE.slim(DE.car_candidates(T.features(spark, sf).drop("heading_err"), SCALED), DE.CAR)
 
 
+@T.kept("rule_detections")
 def car_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return DE.car_detections(DE.car_candidates(features(spark, sf), SCALED), SCALED)
+    return DE.car_detections(candidates(spark, sf), SCALED)
 
 
 @query("e1_race_gates", with_tables(PARTS, TICKS + ["gates"], "SELECT race, tick, suspended, grid FROM gates"))
@@ -96,11 +99,20 @@ def _(spark, sf):
 
 @query("e8_multi_car")
 def _(spark, sf):
-    cars = stored(car_rows(spark, sf))
-    return DE.multi_car(cars, SCALED, AD.SECTORS).select(
+    return DE.multi_car(car_rows(spark, sf), SCALED, AD.SECTORS).select(
         "race", "tick", F.array_join("drivers", ",").alias("drivers"), "msector", "severity", "evidence")
 
 
 @query("e11_detector_suite")
 def _(spark, sf):
-    return detections(spark, sf).select("race", "id", "t", F.array_join("drivers", ",").alias("drivers"), "msector", "type", "severity", "evidence")
+    dets = DE.detect(T.features(spark, sf), T.SCALED, AD.SECTORS)
+    return dets.select("race", "id", "t", F.array_join("drivers", ",").alias("drivers"), "msector", "type", "severity", "evidence")
+
+
+@query("e13_candidate_settings")
+def _(spark, sf):
+    """Saved overrides of the settings, and the suite once per setting of the short list."""
+    saved = SCALED.with_saved({"cooldown_s": 2.0, "not_a_setting": 1})
+    grid = candidate_grid()[::6]
+    dets = DE.detect(with_candidates(T.features(spark, sf).drop("heading_err"), grid), saved, AD.SECTORS, swept=SWEPT)
+    return dets.groupBy("cand", "race", "type").agg(F.count(F.lit(1)).alias("detections"))

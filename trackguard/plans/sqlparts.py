@@ -1,10 +1,13 @@
 """SQL sub-tables the oracles are composed of."""
 
-from trackguard.sources.adapter import GRID_SQL, OFFICIAL_SQL
+from trackguard.sources.adapter import GRID_SQL, LAPS_SQL, MESSAGES_SQL, OFFICIAL_SQL, RING_SQL
 
 PARTS = {
     "grid": GRID_SQL,
     "official": OFFICIAL_SQL,
+    "laps": LAPS_SQL,
+    "messages": MESSAGES_SQL,
+    "gridxy": f"SELECT *, {RING_SQL} FROM grid",
     # a row's own features, gaps to the neighbours on track, state of the field
     "gaps": """
         SELECT g.*, CASE WHEN ok AND n >= 2 THEN (((coalesce(nxt, fst) - dist) % 1000) + 1000) % 1000 END AS gap_ahead_m,
@@ -111,6 +114,104 @@ PARTS |= {
     "nalerts": """
         SELECT * FROM (SELECT *, lag(t) OVER (PARTITION BY race, drv ORDER BY t, id) AS p FROM naive) q
         WHERE p IS NULL OR t - p >= 5""",
+    # official flags in groups without a pause of more than half a second
+    "gapmsgs": """
+        SELECT race, t, event_id, flag, msector, min(event_id) OVER (PARTITION BY race, isl) AS incident
+        FROM (SELECT *, sum(brk) OVER (PARTITION BY race ORDER BY t, event_id) AS isl
+              FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY race ORDER BY t, event_id) <= 0.5 THEN 0 ELSE 1 END AS brk
+                    FROM official WHERE flag <> 'CLEAR') q) q""",
+    "gapinc": """
+        SELECT race, incident, min(t) AS t, max(t) AS t_last, count(msector) = 0 AS wide, count(*) AS messages,
+               arg_max(flag, list_position(['YELLOW', 'DOUBLE_YELLOW', 'VSC', 'SC', 'RED'], flag)) AS top_flag
+        FROM gapmsgs GROUP BY race, incident""",
+    # sectors an incident accepts: the flagged one, up to 2 downstream, 1 upstream; any when it is track-wide
+    "gapsec": """
+        SELECT DISTINCT race, incident, (((msector - 1 + d) % 10) + 10) % 10 + 1 AS msector
+        FROM gapmsgs, (SELECT unnest([-1, 0, 1, 2]) AS d) k WHERE msector IS NOT NULL
+        UNION SELECT race, incident, s FROM gapinc, (SELECT unnest(range(1, 11)) AS s) k WHERE wide""",
+    "held": """
+        SELECT n.race, n.id, n.msector, n.t AS t0, coalesce(min(CASE WHEN f.speed > 60 OR f.in_pit OR f.speed IS NULL THEN f.t END),
+               least(max(f.t), n.t + 3), n.t) AS t1
+        FROM naive n LEFT JOIN grid f ON f.race = n.race AND f.drv = n.drv AND f.t > n.t AND f.t <= n.t + 3
+        GROUP BY n.race, n.id, n.msector, n.t""",
+    "scores": """
+        SELECT i.race, i.incident, i.t AS t_official, i.top_flag AS flag, h.hit IS NOT NULL OR coalesce(w.held, false) AS matched,
+               h.hit IS NULL AND coalesce(w.held, false) AS held, round(i.t - h.hit.t, 2) AS lead_s, h.hit.id AS our_id
+        FROM gapinc i
+        LEFT JOIN (SELECT i.race, i.incident, min({t: n.t, id: n.id}) AS hit FROM gapinc i JOIN gapsec s USING (race, incident)
+                   JOIN naive n ON n.race = i.race AND n.msector = s.msector AND n.t BETWEEN i.t - 1 AND i.t + 0.25
+                   GROUP BY ALL) h USING (race, incident)
+        LEFT JOIN (SELECT DISTINCT i.race, i.incident, true AS held FROM gapinc i JOIN gapsec s USING (race, incident)
+                   JOIN held d ON d.race = i.race AND d.msector = s.msector AND i.t BETWEEN d.t0 AND d.t1) w USING (race, incident)""",
+    "marked": """
+        SELECT a.*, NOT EXISTS (SELECT 1 FROM gapinc i JOIN gapsec s USING (race, incident)
+                                WHERE i.race = a.race AND s.msector = a.msector AND a.t BETWEEN i.t - 1 AND i.t_last + 0.5) AS false_alarm
+        FROM nalerts a""",
+    "hours": """
+        SELECT race, sum(CASE WHEN suspended THEN 0 ELSE coalesce(nxt, t) - t END) / 3600 AS hours
+        FROM (SELECT *, lead(t) OVER (PARTITION BY race ORDER BY tick) AS nxt FROM ticks) q GROUP BY race""",
+    # calls standing in for recommendations where SQL has to know them
+    "calls": """
+        SELECT race, t, event_id, 'c' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS id, msector,
+               ['YELLOW', 'DOUBLE_YELLOW', 'VSC', 'SC', 'RED', 'CLEAR'][CAST(event_id // 37 % 6 AS INT) + 1] AS flag,
+               CASE WHEN event_id // 37 % 6 = 5 AND event_id // 37 % 12 < 6 THEN 'TRACK CLEAR' ELSE 'call' END AS message
+        FROM grid WHERE event_id % 37 = 0""",
+    "levels": """
+        SELECT *, CASE flag WHEN 'VSC' THEN 0 WHEN 'SC' THEN 1 WHEN 'RED' THEN 2 ELSE -1 END AS lvl FROM calls
+        WHERE flag IN ('VSC', 'SC', 'RED') OR message = 'TRACK CLEAR'""",
+    "escs": """
+        SELECT * FROM (SELECT *, lag(lvl) OVER (PARTITION BY race ORDER BY t, id) AS was FROM levels) q WHERE lvl >= 0 AND lvl >= coalesce(was, -1)""",
+    # laps fit for a reference, their profiles and every car's own normal speed, with the scaled lap rules of the tests
+    "lapok": """
+        SELECT race, drv, drv_lap FROM fieldrows GROUP BY race, drv, drv_lap
+        HAVING bool_and(track_status = '1' AND NOT in_pit AND NOT suspended) AND count(speed) >= 4 AND drv_lap >= 2""",
+    "lapsamples": """
+        SELECT f.race, f.drv, f.drv_lap, f.tick, f.dist, f.speed, lead(f.dist) OVER w AS nd, lead(f.speed) OVER w AS nv, lag(f.dist) OVER w AS pd
+        FROM fieldrows f SEMI JOIN lapok USING (race, drv, drv_lap) WHERE f.speed IS NOT NULL
+        WINDOW w AS (PARTITION BY f.race, f.drv, f.drv_lap ORDER BY f.dist, f.tick)""",
+    "cleanlaps": """
+        SELECT race, drv, drv_lap, row_number() OVER (PARTITION BY race, drv ORDER BY drv_lap) AS r FROM (
+            SELECT race, drv, drv_lap FROM lapsamples GROUP BY ALL HAVING sum(CASE WHEN nd - dist <= 300 THEN nd - dist END) / 1000 >= 0.5) q""",
+    "profiles": """
+        SELECT race, drv, drv_lap, b::INT AS bin, CASE WHEN nd IS NULL OR b * 10 + 5 <= dist THEN speed
+               ELSE speed + (b * 10 + 5 - dist) / (nd - dist) * (nv - speed) END AS v
+        FROM lapsamples SEMI JOIN cleanlaps USING (race, drv, drv_lap), (SELECT unnest(range(100)) AS b) k
+        WHERE (b * 10 + 5 >= dist OR pd IS NULL) AND (b * 10 + 5 < nd OR nd IS NULL)""",
+    "lapbefore": """
+        SELECT l.race, l.drv, l.drv_lap, count(c.r) AS before FROM (SELECT DISTINCT race, drv, drv_lap FROM fieldrows) l
+        LEFT JOIN cleanlaps c ON c.race = l.race AND c.drv = l.drv AND c.drv_lap < l.drv_lap GROUP BY ALL""",
+    "ownref": """
+        SELECT l.race, l.drv, l.drv_lap, p.bin, median(p.v) AS own_ref FROM lapbefore l
+        JOIN cleanlaps c ON c.race = l.race AND c.drv = l.drv AND c.r > l.before - 3 AND c.r <= l.before
+        JOIN profiles p ON p.race = c.race AND p.drv = c.drv AND p.drv_lap = c.drv_lap GROUP BY ALL""",
+    "own": """
+        SELECT f.*, o.own_ref, f.speed / o.own_ref AS own_ratio FROM fieldrows f
+        LEFT JOIN ownref o ON o.race = f.race AND o.drv = f.drv AND o.drv_lap = f.drv_lap AND o.bin = least(floor(f.dist / 10), 99)""",
+    "onsets": """
+        SELECT race, drv, s.tick AS tick, s.t AS t, s.dist AS dist, s.msector AS msector
+        FROM (SELECT *, bool_and(hit) OVER (PARTITION BY race, drv ORDER BY tick ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AND
+                     lag(mv, 2) OVER w AS run, lag({tick: tick, t: t, dist: dist, msector: msector}, 1) OVER w AS s
+              FROM (SELECT o.*, coalesce(speed IS NOT NULL AND NOT in_pit AND NOT suspended AND track_status IN ('1', '2')
+                                         AND own_ratio < 0.6 AND fm >= 0.5, false) AS hit, coalesce(own_ratio >= 0.6, false) AS mv
+                    FROM own o LEFT JOIN (SELECT race, tick, median(own_ratio) AS fm FROM own WHERE speed IS NOT NULL AND NOT in_pit
+                                          AND NOT suspended AND track_status IN ('1', '2') GROUP BY ALL) m USING (race, tick)) q
+              WINDOW w AS (PARTITION BY race, drv ORDER BY tick)) q
+        WHERE coalesce(run, false)""",
+    "onsetcands": """
+        SELECT i.race, i.incident, i.t, o.drv, o.t AS t_hit, o.dist, o.msector FROM gapinc i JOIN gapsec s USING (race, incident)
+        JOIN onsets o ON o.race = i.race AND o.msector = s.msector AND o.t BETWEEN i.t - 5 AND i.t + 2""",
+    "chains": """
+        SELECT *, sum(brk) OVER (PARTITION BY race, incident ORDER BY t_hit, drv) AS chain
+        FROM (SELECT *, CASE WHEN t_hit - lag(t_hit) OVER (PARTITION BY race, incident ORDER BY t_hit, drv) < 1 THEN 0 ELSE 1 END AS brk
+              FROM onsetcands) q""",
+    "picked": """
+        SELECT c.race, c.incident, c.t, c.t_hit AS t_onset, c.drv AS onset_drv, c.dist AS onset_dist, c.msector AS onset_sector
+        FROM chains c JOIN (SELECT race, incident, coalesce(max(CASE WHEN t_hit <= t THEN chain END), 1) AS want FROM chains GROUP BY ALL) w
+          USING (race, incident)
+        WHERE c.chain = w.want AND c.brk = 1""",
+    "onsetcars": """
+        SELECT p.race, p.incident, string_agg(DISTINCT c.drv, ',' ORDER BY c.drv) AS cars FROM picked p
+        JOIN onsetcands c ON c.race = p.race AND c.incident = p.incident AND c.t_hit >= p.t_onset - 10 GROUP BY ALL""",
     # how each row counts for the rules, with the scaled settings of the tests
     "rulerows": """
         SELECT f.*, g.grid, g.live_share AS ls, f.speed IS NOT NULL AND NOT f.in_pit AND NOT f.suspended AND NOT g.grid AS act,
@@ -162,3 +263,7 @@ FEATURES = ["grid", "gaps", "rowfeat", "field", "fieldrows", "dist1", "samples",
 TICKS = ["grid", "gaps", "rowfeat", "field", "fieldrows", "ticks"]
 NAIVE = TICKS + ["naiverows", "naivecands", "naive"]
 RULES = FEATURES + ["ticks", "gates", "rulerows", "rulestates", "rulebreaks", "cands", "latches"]
+INC = ["official", "gapmsgs", "gapinc", "gapsec"]
+SCORES = NAIVE + ["nalerts"] + INC + ["held", "scores", "marked", "hours"]
+OWN = TICKS + ["lapok", "lapsamples", "cleanlaps", "profiles", "lapbefore", "ownref", "own"]
+ONSETS = OWN + INC + ["onsets", "onsetcands", "chains", "picked", "onsetcars"]

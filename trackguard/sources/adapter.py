@@ -7,7 +7,7 @@ ring with 10 marshal sectors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trackguard.functions.timeline import running
 
@@ -110,3 +110,70 @@ def sector_table(g: DataFrame) -> DataFrame:
     at = g.select("race").distinct().withColumn("id", F.explode(F.sequence(F.lit(1), F.lit(SECTORS))))
     start = (F.col("id") - 1) * 100 + 30
     return at.select("race", "id", (start % 1000).cast("double").alias("start_dist"), ((start + 100) % 1000).cast("double").alias("end_dist"))
+
+
+LAPS_SQL = """
+SELECT race, drv, drv_lap AS lap, min(t) AS t_start, max(t) + 0.25 AS t_end, max(t) + 0.25 - min(t) AS lap_s,
+       CASE WHEN (drv_lap * 7 + CAST(drv AS INT)) % 5 = 0 THEN min(t) + 1.0 END AS pit_in,
+       CASE WHEN (drv_lap * 3 + CAST(drv AS INT)) % 4 = 0 THEN min(t) + 0.5 END AS pit_out,
+       min(track_status) AS track_status, max(event_id) % 3 > 0 AS accurate,
+       CASE max(event_id) % 4 WHEN 0 THEN 'SOFT' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HARD' END AS compound,
+       CAST(max(event_id) % 30 AS DOUBLE) AS tyre_life, CAST(1 + floor(drv_lap / 2) AS INT) AS stint
+FROM grid GROUP BY race, drv, drv_lap
+"""
+
+
+def laps(g: DataFrame) -> DataFrame:
+    """Lap times of the grid's cars, with made-up stops and tyres."""
+    lap, car, last = F.col("drv_lap"), F.col("drv").cast("int"), F.max("event_id")
+    return g.groupBy("race", "drv", "drv_lap").agg(
+        F.min("t").alias("t_start"), (F.max("t") + 0.25).alias("t_end"), (F.max("t") + 0.25 - F.min("t")).alias("lap_s"),
+        F.min("track_status").alias("track_status"), last.alias("_e")).select(
+        "race", "drv", lap.alias("lap"), "t_start", "t_end", "lap_s",
+        F.when((lap * 7 + car) % 5 == 0, F.col("t_start") + 1.0).alias("pit_in"),
+        F.when((lap * 3 + car) % 4 == 0, F.col("t_start") + 0.5).alias("pit_out"),
+        "track_status", (F.col("_e") % 3 > 0).alias("accurate"),
+        F.when(F.col("_e") % 4 == 0, "SOFT").when(F.col("_e") % 4 == 1, "MEDIUM").when(F.col("_e") % 4 == 2, "HARD").alias("compound"),
+        (F.col("_e") % 30).cast("double").alias("tyre_life"), (1 + F.floor(lap / 2)).cast("int").alias("stint"))
+
+
+MESSAGES_SQL = """
+SELECT race, t, event_id, CASE WHEN event_id % 7 < 3 THEN 'SafetyCar' WHEN event_id % 7 = 3 THEN 'Drs' ELSE 'Flag' END AS category,
+       CASE event_id % 11 WHEN 0 THEN 'SAFETY CAR DEPLOYED' WHEN 1 THEN 'VIRTUAL SAFETY CAR DEPLOYED' WHEN 2 THEN 'VSC DEPLOYED'
+            WHEN 3 THEN 'VIRTUAL SAFETY CAR ENDING' WHEN 4 THEN 'CHEQUERED FLAG'
+            WHEN 5 THEN concat('TURN 4 INCIDENT INVOLVING CARS ', drv, ' (AAA) AND ', CAST(tick AS VARCHAR), ' (BBB) NOTED')
+            ELSE concat('CAR ', drv, ' (AAA) TIME ', CAST(t AS VARCHAR), ' DELETED') END AS message,
+       CASE event_id % 9 WHEN 0 THEN 'YELLOW' WHEN 1 THEN 'DOUBLE YELLOW' WHEN 2 THEN 'RED' WHEN 3 THEN 'CLEAR' WHEN 4 THEN 'BLUE' END AS flag,
+       CASE WHEN event_id % 2 = 0 THEN 'Sector' END AS scope, CASE WHEN event_id % 2 = 0 THEN msector END AS sector,
+       CASE WHEN event_id % 13 = 0 THEN drv END AS car
+FROM grid
+"""
+
+
+def messages(g: DataFrame) -> DataFrame:
+    """Race control messages in the feed's own shape, one per grid row."""
+    e = F.col("event_id")
+
+    def case(m: int, values: dict[int, Column | str]) -> Column:
+        out = F
+        for k, v in values.items():
+            out = out.when(e % m == k, v)
+        return out
+    text = case(11, {0: "SAFETY CAR DEPLOYED", 1: "VIRTUAL SAFETY CAR DEPLOYED", 2: "VSC DEPLOYED", 3: "VIRTUAL SAFETY CAR ENDING",
+                     4: "CHEQUERED FLAG"})
+    pair = F.concat(F.lit("TURN 4 INCIDENT INVOLVING CARS "), "drv", F.lit(" (AAA) AND "), F.col("tick").cast("string"), F.lit(" (BBB) NOTED"))
+    lone = F.concat(F.lit("CAR "), "drv", F.lit(" (AAA) TIME "), F.col("t").cast("string"), F.lit(" DELETED"))
+    return g.select(
+        "race", "t", "event_id", F.when(e % 7 < 3, "SafetyCar").when(e % 7 == 3, "Drs").otherwise("Flag").alias("category"),
+        text.when(e % 11 == 5, pair).otherwise(lone).alias("message"),
+        case(9, {0: "YELLOW", 1: "DOUBLE YELLOW", 2: "RED", 3: "CLEAR", 4: "BLUE"}).alias("flag"),
+        F.when(e % 2 == 0, "Sector").alias("scope"), F.when(e % 2 == 0, F.col("msector")).alias("sector"),
+        F.when(e % 13 == 0, F.col("drv")).alias("car"))
+
+
+def weather(g: DataFrame) -> DataFrame:
+    """Weather samples: about one grid row in 97."""
+    e = F.max("event_id")
+    w = g.filter(F.col("event_id") % 97 == 0).groupBy("race", "t").agg(e.alias("_e"))
+    return w.select("race", "t", (20 + F.col("_e") % 10).cast("double").alias("air_temp"),
+                    (30 + F.col("_e") % 20).cast("double").alias("track_temp"), (F.col("_e") % 2).cast("double").alias("rainfall"))

@@ -16,20 +16,25 @@ def _share(c: str) -> Column:
     return F.col(c).isNull() | ~F.col(c).between(0.0, 1.0)
 
 
-RULES: dict[str, dict[str, Column]] = {
-    "tick": {"t missing": F.col("t").isNull(), "unknown status": ~F.col("track_status").isin(STATUSES),
-             "negative speed": F.coalesce(F.col("speed") < 0, F.lit(False))},
-    "detection": {"id missing": F.col("id").isNull(), "unknown type": ~F.col("type").isin(TYPES), "no drivers": F.size("drivers") < 1,
-                  "severity outside 0..1": _share("severity")},
-    "risk": {"risk_10s outside 0..1": _share("risk_10s"), "risk_30s outside 0..1": _share("risk_30s")},
-    "rec": {"unknown flag": ~F.col("flag").isin(FLAGS), "confidence outside 0..1": _share("confidence"), "no message": F.col("message").isNull()},
-    "official": {"unknown flag": ~F.col("flag").isin(FLAGS), "t missing": F.col("t").isNull()},
-}
+def rules(kind: str) -> dict[str, Column]:
+    """What a row of each contract must not be."""
+    if kind == "tick":
+        return {"t missing": F.col("t").isNull(), "unknown status": ~F.col("track_status").isin(STATUSES),
+                "negative speed": F.coalesce(F.col("speed") < 0, F.lit(False))}
+    if kind == "detection":
+        return {"id missing": F.col("id").isNull(), "unknown type": ~F.col("type").isin(TYPES),
+                "no drivers": F.size("drivers") < 1, "severity outside 0..1": _share("severity")}
+    if kind == "risk":
+        return {"risk_10s outside 0..1": _share("risk_10s"), "risk_30s outside 0..1": _share("risk_30s")}
+    if kind == "rec":
+        return {"unknown flag": ~F.col("flag").isin(FLAGS), "confidence outside 0..1": _share("confidence"),
+                "no message": F.col("message").isNull()}
+    return {"unknown flag": ~F.col("flag").isin(FLAGS), "t missing": F.col("t").isNull()}
 
 
 def violations(df: DataFrame, kind: str, key: str = "id") -> DataFrame:
     """(kind, race, key, rule) for every row that breaks a rule of its contract."""
-    broken = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in RULES[kind].items()]), lambda r: r.isNotNull())
+    broken = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules(kind).items()]), lambda r: r.isNotNull())
     return df.select(F.lit(kind).alias("kind"), "race", F.col(key).cast("string").alias("key"), F.explode(broken).alias("rule"))
 
 
