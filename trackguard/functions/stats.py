@@ -12,39 +12,53 @@ SLOTS = 4096
 SMALL = 100_000
 
 
-def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float) -> float:
-    """The k-th smallest value (from 0): the slot holding it is found by counting, and searched again."""
+def exact_quantiles_of(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float]]:
+    """Quantiles of every column, with linear interpolation between order statistics. Each round counts
+    the values per slot of the range an order statistic lies in, for all of them in one pass, and goes
+    on inside the slot that holds it; ranges of at most SMALL values are settled by sorting."""
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    first = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    rank = {(c, q): (first[f"n_{c}"] - 1) * q for c in cols for q in qs}
+    want = {}                                   # (column, k) -> [k inside the range, low, high]
+    for (c, _), r in rank.items():
+        for k in {int(r), min(int(r) + 1, first[f"n_{c}"] - 1)}:
+            want[c, k] = [k, first[f"lo_{c}"], first[f"hi_{c}"], first[f"n_{c}"]]
     while True:
-        if lo == hi:
-            return lo
-        width = (hi - lo) / SLOTS
-        inside = df.filter(F.col(col).between(lo, hi))
-        slot = F.least(F.floor((F.col(col) - lo) / width), F.lit(SLOTS - 1)) if width > 0 else F.lit(0)
-        slots = inside.groupBy(slot.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("a"), F.max(col).alias("z"))
-        for s in sorted(slots.collect(), key=lambda r: r["s"]):      # at most SLOTS rows
-            if k < s["n"]:
-                break
-            k -= s["n"]
-        if s["a"] == s["z"]:
-            return float(s["a"])
-        if s["n"] <= SMALL:
-            values = inside.filter(F.col(col).between(s["a"], s["z"])).agg(F.sort_array(F.collect_list(col)).alias("v"))
-            return float(values.select(F.get("v", F.lit(k)).alias("v")).first()["v"])
-        lo, hi = s["a"], s["z"]
+        wide = {t: w for t, w in want.items() if w[1] < w[2] and w[3] > SMALL}
+        if not wide:
+            break
+        parts = []
+        for i, ((c, _), (_, lo, hi, _)) in enumerate(wide.items()):
+            slot = F.least(F.floor((F.col(c) - lo) / ((hi - lo) / SLOTS)), F.lit(SLOTS - 1))
+            parts.append(F.when(F.col(c).between(lo, hi), F.struct(F.lit(i).alias("i"), slot.alias("s"), F.col(c).alias("v"))))
+        hits = df.select(F.explode(F.array(*parts)).alias("h")).filter("h is not null").select("h.*")
+        found = hits.groupBy("i", "s").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("i", "s")
+        slots = found.collect()                  # at most SLOTS rows per order statistic
+        for i, t in enumerate(wide):
+            k = want[t][0]
+            for row in (r for r in slots if r["i"] == i):
+                if k < row["n"]:
+                    want[t] = [k, row["a"], row["z"], row["n"]]
+                    break
+                k -= row["n"]
+    last = {t: w for t, w in want.items() if w[1] < w[2]}
+    values = {t: w[1] for t, w in want.items()}
+    if last:
+        inside = [F.sort_array(F.collect_list(F.when(F.col(c).between(lo, hi), F.col(c)))) for (c, _), (_, lo, hi, _) in last.items()]
+        row = df.agg(*[F.get(a, F.lit(w[0])).alias(f"v{i}") for i, (a, w) in enumerate(zip(inside, last.values()))]).first()
+        values |= {t: row[f"v{i}"] for i, t in enumerate(last)}
+    out = {}
+    for c in cols:
+        out[c] = []
+        for q in qs:
+            r = rank[c, q]
+            a, z = values[c, int(r)], values[c, min(int(r) + 1, first[f"n_{c}"] - 1)]
+            out[c].append(a + (z - a) * (r - int(r)))
+    return out
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float]:
-    """Quantiles with linear interpolation between order statistics, by counting passes over the data."""
-    df = df.select(F.col(col).cast("double").alias("v")).filter("v is not null")
-    n, lo, hi = df.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    out = []
-    for q in qs:
-        rank = (n - 1) * q
-        k = int(rank)
-        a = _kth(df, "v", k, lo, hi)
-        z = a if rank == k else _kth(df, "v", k + 1, lo, hi)
-        out.append(a + (z - a) * (rank - k))
-    return out
+    return exact_quantiles_of(df, [col], qs)[col]
 
 
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from trackguard.functions.stats import exact_quantiles
+from trackguard.functions.stats import exact_quantiles, exact_quantiles_of
 from trackguard.session import stored
 
 # fixed values: the score's input columns
@@ -31,19 +31,19 @@ def with_inputs(df: DataFrame) -> DataFrame:
     return df.withColumn("heading_err", F.coalesce(heading, F.lit(0.0)))
 
 
-def is_normal(df: DataFrame) -> Column:
-    """Green racing rows with every input known."""
-    ok = ((F.col("track_status") == "1") & ~F.col("in_pit") & ~F.col("suspended") & (F.col("field_slow") < 0.1)
+def is_normal(df: DataFrame, crawl: float = 0.1) -> Column:
+    """Green racing rows with every input known, while less than `crawl` of the field crawls."""
+    ok = ((F.col("track_status") == "1") & ~F.col("in_pit") & ~F.col("suspended") & (F.col("field_slow") < crawl)
           & (F.col("speed") > 60))
     for c in FEATURES[:-1]:
         ok = ok & F.col(c).isNotNull()
     return ok & F.col("x").isNotNull() if "x" in df.columns else ok
 
 
-def normal_sample(df: DataFrame, per_race: int = SAMPLE_PER_RACE) -> DataFrame:
+def normal_sample(df: DataFrame, per_race: int = SAMPLE_PER_RACE, crawl: float = 0.1) -> DataFrame:
     """At most `per_race` normal rows of each race, by the order of a hash. A share a little above the
     need is cut by the hash value first, so the ranking sees a bounded number of rows per race."""
-    rows = with_inputs(df).filter(is_normal(df)).withColumn("_h", F.pmod(F.xxhash64("race", "drv", "tick"), F.lit(1 << 40)))
+    rows = with_inputs(df).filter(is_normal(df, crawl)).withColumn("_h", F.pmod(F.xxhash64("race", "drv", "tick"), F.lit(1 << 40)))
     n = rows.groupBy("race").agg(F.count(F.lit(1)).alias("_n"))
     share = (per_race + 10 * math.sqrt(per_race)) / F.col("_n")
     rows = rows.join(n, "race").filter(F.col("_h") < share * float(1 << 40))
@@ -52,7 +52,7 @@ def normal_sample(df: DataFrame, per_race: int = SAMPLE_PER_RACE) -> DataFrame:
 
 
 def medians(df: DataFrame) -> dict[str, float]:
-    return {c: exact_quantiles(df, c, [0.5])[0] for c in FEATURES}
+    return {c: v[0] for c, v in exact_quantiles_of(df, FEATURES, [0.5]).items()}
 
 
 def path_norm(n: float) -> float:
@@ -157,9 +157,9 @@ def attach_scores(df: DataFrame, forest: Forest) -> DataFrame:
     return df.withColumn("anomaly_score", strange(F.struct(*filled)))
 
 
-def leave_one_race_out(df: DataFrame, races: list[str], **settings) -> DataFrame:
+def leave_one_race_out(df: DataFrame, races: list[str], crawl: float = 0.1, **settings) -> DataFrame:
     """Every race scored by a forest grown on the other races; adds the threshold of that forest."""
-    sample = stored(normal_sample(df))
+    sample = stored(normal_sample(df, crawl=crawl))
     parts = []
     for race in races:
         forest = train(sample.filter(F.col("race") != race), **settings)

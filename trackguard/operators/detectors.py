@@ -1,9 +1,10 @@
-"""Incident detectors as windows over each car's time line.
+"""Incident detectors: dense rows through windows, the few rows left through one small fold.
 
-Every rule is a run ("slow for 1.5 s"), a latch ("once until recovered") or a cooldown. Runs and
-latches are running windows (`running(starts=...)`) cut into time chunks. What is left after them,
-a few candidate rows per car, goes through the small ordered folds: cooldowns, the impact's
-wait-and-confirm, and the multi-car rule.
+Every rule is a run ("slow for 1.5 s"), a latch ("once until recovered") or a cooldown. Runs need the
+whole time line of a car and are running windows cut into chunks (`running(starts=...)`); whatever looks
+back a second or two is an ordinary window over chunks with that much history. Both only mark rows:
+where a run is long enough, where a latch opens, where an impact may begin or be confirmed. Those rows
+are few. One fold per car (`car_fold`) applies latches, the impact's wait and the cooldowns to them.
 
 How a row counts for a car's rules (rows after the chequered flag are left out):
   frozen   live, on track, but the field is on the grid: rules skip the row, timers keep running
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trackguard.functions.ring import near_sector
 from trackguard.functions.text import fixed
 from trackguard.functions.timeline import CHUNK_TICKS, chunk_of, in_chunk, own_rows, running, with_history
-from trackguard.operators.fold import cooldown, fold_in_time
+from trackguard.operators.fold import fold_in_time
 from trackguard.operators.gates import race_gates
 from trackguard.operators.params import DetectorParams, Swept
 from trackguard.session import is_small, stored
@@ -27,217 +28,173 @@ TICKS_PER_S = 4
 CRASH_TYPES = ("STOPPED", "IMPACT", "SPIN")
 CAR = ["race", "drv"]
 RANK = {"DROPOUT": 0, "STOPPED": 1, "IMPACT": 2, "SPIN": 3, "ANOMALY": 5}
+NEAR_TRIGGER = 8                 # ticks; a confirming row further away follows an inactive stretch
+INPUT = ["speed", "rel_ratio", "lap_ratio", "dspeed_1s", "dspeed_min_2s", "brake", "lat_off", "msector", "in_pit", "heading_err",
+         "ref_speed", "track_status", "suspended", "anomaly_score", "x"]
 
 
 def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def with_gates(df: DataFrame, p: DetectorParams, chunk: int = CHUNK_TICKS) -> DataFrame:
-    """Car rows with the gates of their tick."""
-    gates = race_gates(df, p, chunk).select("race", "tick", "grid", "live_share")
-    df = df.drop("grid", "live_share")
-    return df.join(F.broadcast(gates) if is_small(gates) else gates, ["race", "tick"])
-
-
-def car_candidates(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str, ...] = (),
-                   keys: list[str] = CAR, anomaly_threshold: float | None = None,
-                   chunk: int = CHUNK_TICKS) -> DataFrame:
-    """Dense car rows reduced to the few rows on which a rule may fire or a latch may open."""
+def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str, ...] = (), keys: list[str] = CAR,
+               anomaly_threshold: float | None = None, chunk: int = CHUNK_TICKS) -> DataFrame:
+    """Dense car rows reduced to the rows on which a rule may fire, a latch may open or an impact may be settled."""
     p = p or DetectorParams()
     s = Swept(p, swept)
-    df = with_gates(df, p, chunk)
+    have = [c for c in INPUT if c in df.columns]
+    gate_rows = race_gates(df, p, chunk).select("race", "tick", "grid", "live_share")
+    rows = df.select(*keys, "tick", *have, *[f"p_{n}" for n in swept])
+    rows = rows.join(F.broadcast(gate_rows) if is_small(gate_rows) else gate_rows, ["race", "tick"])
     ratio, lap, speed = F.col("rel_ratio"), F.col("lap_ratio"), F.col("speed")
-    heading = F.col("heading_err") if "heading_err" in df.columns else F.lit(None).cast("double")
-    live = speed.isNotNull() & (F.col("x").isNotNull() if "x" in df.columns else F.lit(True))
+    heading = F.col("heading_err") if "heading_err" in have else F.lit(None).cast("double")
+    live = speed.isNotNull() & (F.col("x").isNotNull() if "x" in have else F.lit(True))
     on_track = live & ~F.col("in_pit") & ~F.col("suspended")
-    active, frozen = on_track & ~F.col("grid"), on_track & F.col("grid")
-    pit = live & F.col("in_pit") & ~F.col("suspended")
     drop = -F.col("dspeed_1s")
+
+    # what looks back a bounded time, in one pass
+    second = int(p.impact_brake_window_s * TICKS_PER_S)
+    rows = rows.withColumns({"active": on_track & ~F.col("grid"), "pit": live & F.col("in_pit") & ~F.col("suspended"),
+                             "frozen": on_track & F.col("grid")})
+    rows = with_history(rows, second + NEAR_TRIGGER, chunk)
+    w = in_chunk(keys)
+    rows = rows.withColumn("braked", F.max(F.when(F.col("active") & F.col("brake"), 1)).over(w.rangeBetween(-second, 0)).isNotNull())
+    hard = _true(drop >= p.impact_hard_kmh)
+    soft = _true((drop >= s.value("impact_drop_kmh")) & (~F.col("braked") | (ratio < p.impact_end_ratio)))
+    rows = rows.withColumns({"trigger": F.col("active") & (hard | soft), "hard": hard})
+    away = F.col("grid") | F.col("suspended") | (F.col("live_share") < p.field_live_min)
+    rows = rows.withColumns({
+        "_near": F.max(F.when(F.col("trigger"), 1)).over(w.rangeBetween(-NEAR_TRIGGER, -1)).isNotNull(),
+        "_resumed": F.col("active") & ~_true(F.lag("active").over(w)),
+        "_voided": (F.col("pit") | F.col("suspended")) & ~_true(F.lag(F.col("pit") | F.col("suspended")).over(w)),
+        "_fast_before": _true(F.lag(speed).over(w) >= p.stop_max_kmh),
+        "_away_before": F.coalesce(F.lag(away).over(w), F.lit(True)),
+        "_back": speed.isNotNull() & ~F.col("suspended") & F.coalesce(F.lag(speed.isNull() | F.col("suspended")).over(w), F.lit(True))})
+    rows = own_rows(rows, chunk, keep_chunk=True)
+
+    # runs over the whole time line
     slow = _true((ratio < s.value("stop_ratio")) & (lap.isNull() | (lap < p.stop_lap_ratio)))
     turned = _true((heading > p.spin_heading_deg) & (speed > p.spin_min_kmh) & (drop >= p.spin_loss_kmh))
     off = _true(F.abs("lat_off") > p.spin_lat_m)
     low = _true((lap < s.value("slowdown_lap_ratio")) & (ratio < s.value("slowdown_rel_ratio")))
     lost = _true(-F.col("dspeed_min_2s") >= p.slowdown_loss_kmh)
     never = F.lit(None).cast("boolean")
+    active, pit = F.col("active"), F.col("pit")
     starts = {
-        "slow_since": F.when(frozen, never).otherwise(active & slow),
-        "spin_since": F.when(frozen, never).otherwise(active & (turned | off)),
+        "slow_since": F.when(F.col("frozen"), never).otherwise(active & slow),
+        "spin_since": F.when(F.col("frozen"), never).otherwise(active & (turned | off)),
         "fade_since": F.when(active & low, F.when(lost, F.lit(True))).when(active | pit, F.lit(False)),
         "fast_since": F.when(active, _true(ratio > p.recover_ratio))}
-    here = F.struct(F.col("tick"), speed.alias("speed"), F.col("in_pit"), F.col("msector"))
-    lasts = {"seen": F.when(speed.isNotNull() & ~F.col("suspended"), here)}
+    racing = active & F.col("track_status").isin("1", "2")
     if anomaly_threshold is not None:
-        racing = active & F.col("track_status").isin("1", "2")
         slower = F.lit(True) if p.anomaly_slow_ratio is None else _true(
             F.least(ratio, F.coalesce(lap, F.lit(9.0))) < p.anomaly_slow_ratio)
         strange = slower & _true(F.col("anomaly_score") >= anomaly_threshold)
         starts["odd_since"] = F.when(racing, strange).when(pit, F.lit(False))
-    # brakes within the last second and the confirming row of an impact lie a bounded time away
-    w = in_chunk(keys)
-    df = df.withColumns({"_active": active, "_pit": pit})
-    df = with_history(df, int(p.impact_brake_window_s * TICKS_PER_S), chunk)
-    braked = F.max(F.when(F.col("_active") & F.col("brake"), 1)).over(
-        w.rangeBetween(-int(p.impact_brake_window_s * TICKS_PER_S), 0)).isNotNull()
-    df = own_rows(df.withColumn("braked", braked), chunk, keep_chunk=True)
-    df = running(df, keys, F.col("_chunk"), ["tick"], starts=starts, lasts=lasts).drop("_chunk")
+    here = F.struct(F.col("tick"), speed.alias("speed"), F.col("in_pit"), F.col("msector"))
+    rows = running(rows, keys, F.col("_chunk"), ["tick"], starts=starts,
+                   lasts={"seen": F.when(speed.isNotNull() & ~F.col("suspended"), here)}).drop("_chunk")
     age = {n: (F.col("tick") - F.col(n)) / TICKS_PER_S for n in starts}
-    hit = F.col("_active")
+    gap = (F.col("tick") - F.col("seen.tick")) / TICKS_PER_S
+
+    # a run that is long enough matters on its first such row: one tick old enough, or just resumed
+    def first_of(a: Column, least) -> Column:
+        return _true(a >= least) & (_true(a < least + 1.0 / TICKS_PER_S) | F.col("_resumed"))
+    long_slow = _true((age["slow_since"] >= p.stop_sustain_s) & (speed < p.stop_max_kmh))
     fire = {
-        "c_stop": hit & _true((age["slow_since"] >= p.stop_sustain_s) & (speed < p.stop_max_kmh)),
-        "c_recover": hit & _true(age["fast_since"] >= p.recover_s),
-        "c_spin": hit & (turned | off) & _true(age["spin_since"] >= p.spin_sustain_s),
-        "c_fade": hit & low & _true(age["fade_since"] >= s.value("slowdown_sustain_s")),
-        "c_hard": hit & _true(drop >= p.impact_hard_kmh),
-        "c_drop": hit & _true((drop >= s.value("impact_drop_kmh")) & (~F.col("braked") | (ratio < p.impact_end_ratio))),
-        "c_lost": speed.isNull() & ~F.col("suspended") & ~F.col("grid") & _true(
-            ~F.col("seen.in_pit") & (F.col("tick") - F.col("seen.tick") >= p.dropout_s * TICKS_PER_S)
-            & (F.col("seen.speed") >= p.dropout_min_kmh) & (F.col("live_share") >= p.field_live_min)),
+        "c_stop": active & long_slow & (_true(age["slow_since"] < p.stop_sustain_s + 1.0 / TICKS_PER_S) | F.col("_resumed") | F.col("_fast_before")),
+        "c_recover": active & first_of(age["fast_since"], F.lit(p.recover_s)),
+        "c_spin": active & (turned | off) & _true(age["spin_since"] >= p.spin_sustain_s),
+        "c_fade": active & low & _true(age["fade_since"] >= s.value("slowdown_sustain_s")),
+        "c_lost": speed.isNull() & ~away & _true(
+            ~F.col("seen.in_pit") & (gap >= p.dropout_s) & (F.col("seen.speed") >= p.dropout_min_kmh)
+            & ((gap < p.dropout_s + 1.0 / TICKS_PER_S) | F.col("_away_before"))),
+        "c_odd": racing & _true(F.col("tick") - F.col("odd_since") + 1 >= p.anomaly_sustain) if anomaly_threshold is not None else F.lit(False),
         "turned": turned}
-    if anomaly_threshold is not None:
-        fire["c_odd"] = hit & F.col("track_status").isin("1", "2") & _true(
-            F.col("tick") - F.col("odd_since") + 1 >= p.anomaly_sustain)
-    return df.withColumns(fire)
+    rows = rows.withColumns(fire)
+    keep = F.col("trigger") | (active & (F.col("_near") | F.col("_resumed"))) | F.col("_voided") | F.col("_back")
+    for n in ("c_stop", "c_recover", "c_spin", "c_fade", "c_lost", "c_odd"):
+        keep = keep | F.col(n)
+    absent = F.lit(None).cast("double")
+    return rows.filter(keep).select(
+        *keys, "tick", "active", "pit", "suspended", "trigger", "hard", "braked", "turned", "c_stop", "c_recover", "c_spin", "c_fade", "c_lost",
+        "c_odd", "speed", "ref_speed", "rel_ratio", "lap_ratio", "lat_off", F.col("msector").cast("int").alias("msector"), "dspeed_1s",
+        heading.alias("heading_err"), (F.col("anomaly_score") if "anomaly_score" in have else absent).alias("anomaly_score"),
+        F.col("seen.tick").alias("seen_tick"), F.col("seen.speed").alias("seen_speed"), F.col("seen.msector").cast("int").alias("seen_msector"))
+
+
+def car_fold(events: DataFrame, p: DetectorParams | None = None, keys: list[str] = CAR, anomaly_threshold: float | None = None,
+             chunk: int = CHUNK_TICKS) -> DataFrame:
+    """(keys, tick, kind, rank, msector, severity, evidence): latches, the impact's wait and cooldowns over the marked rows."""
+    p = p or DetectorParams()
+    wait, gap, hit_span = p.impact_confirm_s * TICKS_PER_S, p.cooldown_s * TICKS_PER_S, 10 * TICKS_PER_S
 
+    def below(v, limit) -> bool:
+        return v is not None and v < limit
 
-def _impacts(df: DataFrame, p: DetectorParams, keys: list[str], chunk: int) -> DataFrame:
-    """Triggers with the row that confirms them. A trigger waits `impact_confirm_s` for the first
-    active row after that; a pit visit or a suspension in between voids it."""
-    wait = int(p.impact_confirm_s * TICKS_PER_S)
-    facts = df.select(*keys, "tick", (F.col("c_hard") | F.col("c_drop")).alias("trigger"), F.col("c_hard").alias("hard"),
-                      "_active", (F.col("_pit") | F.col("suspended")).alias("_void"), "rel_ratio", "lap_ratio", "speed",
-                      F.col("dspeed_1s").alias("ds"), "braked", "msector")
-    # seen from the end of the race: the next active row and the next voiding row after each trigger
-    facts = facts.withColumn("_back", -F.col("tick"))
-    row = F.struct("tick", "rel_ratio", "lap_ratio", "speed", "msector")
-    ahead = running(facts, keys, chunk_of("_back", chunk), ["_back"], lasts_before={
-        "_n1": F.when(F.col("_active"), row), "_void_at": F.when(F.col("_void"), F.col("tick"))})
-    w = in_chunk(keys, "_back")
-    ahead = with_history(ahead.filter("_active"), wait + 1, chunk, "_back")
-    ahead = own_rows(ahead.withColumn("_n2", F.lag("_n1").over(w)), chunk, "_back")
-    near = F.col("_n1.tick") - F.col("tick") < wait          # at most one active row lies inside the wait
-    out = ahead.filter("trigger").withColumn("_c", F.when(near, F.col("_n2")).otherwise(F.col("_n1")))
-    still = F.col("_c.rel_ratio") < F.when(F.col("hard"), p.impact_hard_confirm_ratio).otherwise(0.6)
-    still = _true(still) & (F.col("_c.lap_ratio").isNull() | (F.col("_c.lap_ratio") < p.impact_lap_ratio))
-    return out.select(*keys, "tick", F.lit("IMPACT").alias("kind"), F.lit(RANK["IMPACT"]).alias("rank"), F.col("_void_at").alias("void_at"),
-                      F.col("_c.tick").alias("at"), still.alias("confirmed"), "hard", "braked", F.col("ds").alias("ds"),
-                      (F.col("speed") - F.col("ds")).alias("before"), F.col("_c.speed").alias("speed"),
-                      F.col("_c.rel_ratio").alias("ratio"), F.col("_c.msector").alias("msector"))
+    def step(state: dict, rows: list[dict]) -> tuple[dict, list[dict]]:
+        stopped, lost, cand, emit = state.get("stopped", False), state.get("lost", False), state.get("cand"), state.get("emit", {})
+        made, t = [], 0
 
+        def say(kind: str, sector: int, severity: float, evidence: str) -> None:
+            emit[kind] = t
+            made.append({"tick": t, "kind": kind, "rank": RANK[kind], "msector": sector, "severity": round(min(1.0, max(0.0, severity)), 2),
+                         "evidence": evidence})
 
-def _pick_impacts(triggers: DataFrame, p: DetectorParams, keys: list[str], chunk: int) -> DataFrame:
-    """One trigger at a time: the next one counts only after the last was settled; then the cooldown."""
-    gap = int(p.cooldown_s * TICKS_PER_S)
-    ddl = ("tick int, kind string, rank int, hard boolean, braked boolean, ds double, before double, speed double, "
-           "ratio double, msector int")
-    names = ["kind", "rank", "hard", "braked", "ds", "before", "speed", "ratio", "msector"]
+        def ready(kind: str) -> bool:
+            return t - emit.get(kind, -1e18) >= gap
 
-    def step(state: dict, rows: list[dict]) -> tuple[dict, list[dict]]:
-        free, last, made, end = state.get("free"), state.get("last"), [], 0
         for r in rows:
-            end = r["tick"]
-            if free is not None and r["tick"] <= free:
+            t, speed, ratio, lap = r["tick"], r["speed"], r["rel_ratio"], r["lap_ratio"]
+            if r["suspended"]:
+                cand = None
                 continue
-            at, void = r["at"], r["void_at"]
-            settled = at if at == at and at is not None else float("inf")
-            voided = void if void == void and void is not None else float("inf")
-            if voided < settled:
-                free = voided - 1            # the row after the interruption may trigger again
+            if speed is not None:
+                lost = False
+            elif r["c_lost"] and not lost:
+                lost = True
+                say("DROPOUT", r["seen_msector"], 0.5, f"no data for {(t - r['seen_tick']) / TICKS_PER_S + 1:.1f} s, "
+                                                       f"last seen at {r['seen_speed']:.0f} km/h")
+            if r["pit"]:
+                stopped, cand = False, None
+            if not r["active"]:
                 continue
-            free = settled
-            if r["confirmed"] and settled != float("inf") and (last is None or settled - last >= gap):
-                last = settled
-                made.append({"tick": int(settled), **{n: r[n] for n in names}})
-        edge = (end // chunk + 1) * chunk
-        out = {}
-        if free is not None and free >= edge:
-            out["free"] = float(free) if free != float("inf") else 1e18
-        if last is not None and edge - last < gap + 1 or last is not None and last >= edge:
-            out["last"] = float(last)
-        return out, made
-
-    return fold_in_time(triggers, keys, ["tick"], step, ddl, size=chunk)
-
-
-def _latched(df: DataFrame, keys: list[str], cand: Column, reset: Column, chunk: int, name: str = "_first") -> DataFrame:
-    """Rows where `cand` holds for the first time since the last `reset`."""
-    state = F.when(cand, F.lit(True)).when(reset, F.lit(False))
-    df = running(df, keys, chunk_of("tick", chunk), ["tick"], starts={name: state})
-    return df.withColumn(name, cand & (F.col(name) == F.col("tick")))
-
-
-def car_detections(cands: DataFrame, p: DetectorParams | None = None, keys: list[str] = CAR,
-                   anomaly_threshold: float | None = None, chunk: int = CHUNK_TICKS) -> DataFrame:
-    """(keys, tick, kind, rank, msector, severity, evidence) from the candidate rows."""
-    p = p or DetectorParams()
-    gap = p.cooldown_s * TICKS_PER_S
-    seen_now = F.col("speed").isNotNull() & ~F.col("suspended")
-    seen_again = seen_now & F.col("_was_lost")
-    odd = F.col("c_odd") if anomaly_threshold is not None else F.lit(False)
-    w = in_chunk(keys)
-    marked = with_history(cands, 1, chunk)
-    marked = own_rows(marked.withColumn("_was_lost", _true(F.lag(~seen_now).over(w))), chunk)
-    keep = (F.col("c_stop") | F.col("c_recover") | F.col("_pit") | F.col("c_spin") | F.col("c_fade") | F.col("c_lost")
-            | seen_again | odd)
-    few = stored(marked.filter(keep).select(
-        *keys, "tick", "_pit", seen_now.alias("_seen_now"), "c_stop", "c_recover", "c_spin", "c_fade", "c_lost", odd.alias("c_odd"), "turned", "speed",
-        "ref_speed", "rel_ratio", "lap_ratio", "lat_off", F.col("msector").cast("int").alias("msector"), "seen",
-        *(["heading_err"] if "heading_err" in cands.columns else [F.lit(None).cast("double").alias("heading_err")]),
-        "dspeed_1s", *(["anomaly_score"] if anomaly_threshold is not None else [F.lit(None).cast("double").alias("anomaly_score")])))
-
-    state = F.when(F.col("c_stop"), F.lit(True)).when(F.col("_pit") | F.col("c_recover"), F.lit(False))
-    gone = F.when(F.col("c_lost"), F.lit(True)).when(F.col("_seen_now"), F.lit(False))
-    few = running(few, keys, chunk_of("tick", chunk), ["tick"], starts={"_stop_at": state, "_gone_at": gone})
-
-    lat = F.abs("lat_off")
-    on_line = _true(lat < p.on_line_m).cast("double")
-    stops = few.filter(F.col("c_stop") & (F.col("_stop_at") == F.col("tick")))
-    impacts = _pick_impacts(_impacts(cands, p, keys, chunk), p, keys, chunk)
-    impacts = stored(impacts.withColumn("severity", F.lit(0.5) + F.least(-F.col("ds"), F.lit(250.0)) / 500
-                                        + F.when(F.col("ratio") < p.stop_ratio, 0.2).otherwise(0.0)))
-    last_hit = running(
-        stops.select(*keys, "tick", F.lit(1).alias("_side")).unionByName(
-            impacts.select(*keys, "tick", F.lit(2).alias("_side"))),
-        keys, chunk_of("tick", chunk), ["tick", "_side"],
-        lasts={"_hit": F.when(F.col("_side") == 2, F.col("tick"))}).filter("_side = 1").drop("_side")
-    stops = stops.join(last_hit, [*keys, "tick"], "left")
-    recent = _true(F.col("tick") - F.col("_hit") < 10 * TICKS_PER_S).cast("double")
-    where = F.when(lat < p.on_line_m, F.lit("on the racing line")).otherwise(F.format_string("%s m off line", fixed(lat)))
-    stops = stops.select(*keys, "tick", F.lit("STOPPED").alias("kind"), F.lit(RANK["STOPPED"]).alias("rank"), "msector",
-                         (0.45 + 0.25 * on_line + 0.15 * (F.col("speed") < 5).cast("double") + 0.15 * recent).alias("severity"),
-                         F.format_string("speed %s km/h vs ref %s km/h, %s", fixed("speed"), fixed("ref_speed"), where).alias("evidence"))
-    why = F.when(F.col("hard"), "harder than braking").when(F.col("braked"), "with brakes on").otherwise("without braking")
-    impacts = impacts.select(*keys, "tick", "kind", "rank", "msector", "severity", F.format_string(
-        "lost %s km/h in 1 s (%s to %s km/h), %s", fixed(-F.col("ds")), fixed("before"), fixed("speed"), why).alias("evidence"))
-
-    spin = F.col("c_spin")
-    fade = F.col("c_fade") & F.col("_stop_at").isNull()
-    sev_spin = (0.4 + 0.2 * on_line + 0.2 * _true(F.col("rel_ratio") < p.stop_ratio).cast("double")
-                + 0.1 * F.col("turned").cast("double"))
-    text = F.when(spin & F.col("turned"), F.format_string(
-        "travelling %s deg off the track direction, lost %s km/h in 1 s", fixed("heading_err"), fixed(-F.col("dspeed_1s")))).when(
-        spin, F.format_string("%s m off the racing line", fixed(lat))).otherwise(F.format_string(
-            "sudden slowdown: %s km/h, %s%% of its speed here last lap", fixed("speed"), fixed(100 * F.col("lap_ratio"))))
-    spins = few.filter(spin | fade).select(
-        *keys, "tick", F.lit("SPIN").alias("kind"), F.lit(RANK["SPIN"]).alias("rank"), "msector",
-        F.when(spin, sev_spin).otherwise(0.4 + 0.3 * (1 - F.col("lap_ratio"))).alias("severity"), text.alias("evidence"))
-    spins = cooldown(spins, keys, gap, size=chunk)
-
-    away = (F.col("tick") - F.col("seen.tick")) / TICKS_PER_S + 1
-    drops = few.filter(F.col("c_lost") & (F.col("_gone_at") == F.col("tick"))).select(
-        *keys, "tick", F.lit("DROPOUT").alias("kind"), F.lit(RANK["DROPOUT"]).alias("rank"),
-        F.col("seen.msector").cast("int").alias("msector"), F.lit(0.5).alias("severity"),
-        F.format_string("no data for %s s, last seen at %s km/h", fixed(away, 1), fixed("seen.speed")).alias("evidence"))
-    out = stops.unionByName(impacts).unionByName(spins).unionByName(drops)
-    if anomaly_threshold is not None:
-        over = F.col("anomaly_score") - anomaly_threshold
-        odds = few.filter("c_odd").select(
-            *keys, "tick", F.lit("ANOMALY").alias("kind"), F.lit(RANK["ANOMALY"]).alias("rank"), "msector",
-            (0.3 + F.least(F.lit(0.5), over * 5)).alias("severity"),
-            F.format_string("anomaly score %s (threshold %s)", fixed("anomaly_score", 2), fixed(F.lit(float(anomaly_threshold)), 2)).alias("evidence"))
-        out = out.unionByName(cooldown(odds, keys, gap, size=chunk))
-    severity = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("severity"))), 2)
-    return out.withColumn("severity", severity)
+            lat = abs(r["lat_off"]) if r["lat_off"] is not None else None
+            on_line, crawling = lat is not None and lat < p.on_line_m, below(ratio, p.stop_ratio)
+            if stopped:
+                stopped = not r["c_recover"]
+            elif r["c_stop"]:
+                stopped = True
+                recent = t - emit.get("IMPACT", -1e18) < hit_span
+                where = "on the racing line" if on_line else f"{lat if lat is not None else float('nan'):.0f} m off line"
+                say("STOPPED", r["msector"], 0.45 + 0.25 * on_line + 0.15 * (speed < 5) + 0.15 * recent,
+                    f"speed {speed:.0f} km/h vs ref {r['ref_speed']:.0f} km/h, {where}")
+            if cand is not None:
+                t0, fell, before, hard, braked = cand
+                if t - t0 >= wait:
+                    cand = None
+                    still = below(ratio, p.impact_hard_confirm_ratio if hard else 0.6) and (lap is None or lap < p.impact_lap_ratio)
+                    if still and ready("IMPACT"):
+                        why = "harder than braking" if hard else "with brakes on" if braked else "without braking"
+                        say("IMPACT", r["msector"], 0.5 + min(fell, 250) / 500 + 0.2 * crawling,
+                            f"lost {fell:.0f} km/h in 1 s ({before:.0f} to {speed:.0f} km/h), {why}")
+            elif r["trigger"]:
+                cand = [t, -r["dspeed_1s"], speed - r["dspeed_1s"], r["hard"], r["braked"]]
+            if r["c_spin"] and ready("SPIN"):
+                why = (f"travelling {r['heading_err']:.0f} deg off the track direction, lost {-r['dspeed_1s']:.0f} km/h in 1 s"
+                       if r["turned"] else f"{lat:.0f} m off the racing line")
+                say("SPIN", r["msector"], 0.4 + 0.2 * on_line + 0.2 * crawling + 0.1 * r["turned"], why)
+            if r["c_fade"] and not stopped and ready("SPIN"):
+                say("SPIN", r["msector"], 0.4 + 0.3 * (1 - lap), f"sudden slowdown: {speed:.0f} km/h, {lap:.0%} of its speed here last lap")
+            if r["c_odd"] and ready("ANOMALY"):
+                over = r["anomaly_score"] - anomaly_threshold
+                say("ANOMALY", r["msector"], 0.3 + min(0.5, over * 5), f"anomaly score {r['anomaly_score']:.2f} (threshold {anomaly_threshold:.2f})")
+        edge = (t // chunk + 1) * chunk
+        emit = {k: v for k, v in emit.items() if k != "STOPPED" and edge - v < max(gap, hit_span if k == "IMPACT" else 0) and k != "DROPOUT"}
+        out = {"stopped": stopped, "lost": lost, "cand": cand, "emit": emit}
+        return {k: v for k, v in out.items() if v}, made
+
+    return fold_in_time(events, keys, ["tick"], step, "tick int, kind string, rank int, msector int, severity double, evidence string", size=chunk)
 
 
 def multi_car(dets: DataFrame, p: DetectorParams | None = None, n_sectors: int = 1000, keys: list[str] = ["race"],
@@ -292,21 +249,12 @@ def detect(df: DataFrame, p: DetectorParams | None = None, n_sectors: int = 1000
     Rows carrying a `cand` column are detected once per candidate setting."""
     lead = ["cand"] if "cand" in df.columns else []
     keys = [*lead, *CAR]
-    cands = slim(car_candidates(df, p, swept, keys, anomaly_threshold, chunk), keys)
-    cars = stored(car_detections(cands, p, keys, anomaly_threshold, chunk))
+    cars = stored(car_fold(car_events(df, p, swept, keys, anomaly_threshold, chunk), p, keys, anomaly_threshold, chunk))
     multi = multi_car(cars, p, n_sectors, [*lead, "race"], chunk)
     both = cars.withColumn("drivers", F.array("drv")).unionByName(multi.select(*cars.columns, "drivers"))
     return numbered_ids(both, [*lead, "race"], "det", chunk)
 
 
-def slim(cands: DataFrame, keys: list[str]) -> DataFrame:
-    """The candidate table with the columns the folds and latches read, written once for both."""
-    wanted = [*keys, "tick", "_active", "_pit", "suspended", "speed", "ref_speed", "rel_ratio", "lap_ratio", "lat_off", "msector",
-              "dspeed_1s", "heading_err", "anomaly_score", "seen", "braked", "turned", "c_stop", "c_recover", "c_spin", "c_fade",
-              "c_hard", "c_drop", "c_lost", "c_odd"]
-    return stored(cands.select(*[c for c in wanted if c in cands.columns]))
-
-
 def numbered_ids(dets: DataFrame, keys: list[str], prefix: str, chunk: int = CHUNK_TICKS) -> DataFrame:
     """Detections in order of (tick, multi last, car, rule) with running ids per race."""
     ordered = dets.withColumn("_multi", (F.col("kind") == "MULTI").cast("int"))
@@ -335,8 +283,13 @@ def naive(df: DataFrame, kmh: float = 50.0, sustain_s: float = 1.0, hold_s: floa
     cars = cars.withColumns({
         "_cand": F.col("_slow") & _true(F.col("tick") - F.col("_since") >= sustain_s * TICKS_PER_S),
         "_free": ~F.col("_slow") & _true(speed > limit + 30)})
-    few = stored(cars.filter("_cand or _free").select(*keys, "tick", "speed", "msector", "_cand", "_free", limit.alias("_kmh")))
-    hits = _latched(few, keys, F.col("_cand"), F.col("_free"), chunk).filter("_first")
+    # a latch changes on the first row of a stretch only; an unknown row before counts as another state
+    w = in_chunk(keys)
+    cars = with_history(cars.select(*keys, "tick", "speed", "msector", "_cand", "_free", limit.alias("_kmh")), 1, chunk)
+    new = {c: F.col(c) & ~_true(F.lag(c).over(w)) for c in ("_cand", "_free")}
+    few = stored(own_rows(cars.withColumns(new), chunk).filter("_cand or _free"))
+    state = F.when(F.col("_cand"), F.lit(True)).when(F.col("_free"), F.lit(False))
+    hits = running(few, keys, chunk_of("tick", chunk), ["tick"], starts={"_at": state}).filter("_cand and _at = tick")
     hits = hits.select(*keys, "tick", F.lit("STOPPED").alias("kind"), F.lit(1).alias("rank"),
                        F.col("msector").cast("int").alias("msector"), F.lit(0.5).alias("severity"),
                        F.format_string("speed %s km/h < %s km/h", fixed("speed"), fixed("_kmh")).alias("evidence"),

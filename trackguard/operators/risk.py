@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.functions.stats import average_precision, exact_quantiles
 from trackguard.functions.timeline import chunk_of, interval_join, running
-from trackguard.operators.incidents import in_sectors, match_incidents
+from trackguard.operators.incidents import MATCH_AFTER_S, MATCH_BEFORE_S, in_sectors, match_incidents
 
 CAR = ["race", "drv"]
 HORIZONS = (10, 20, 30)
@@ -55,11 +55,12 @@ def feature_matrix(df: DataFrame) -> DataFrame:
 
 # ---- labels
 
-def incident_times(incidents: DataFrame, dets: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+def incident_times(incidents: DataFrame, dets: DataFrame, n: int, before: float = MATCH_BEFORE_S,
+                   after: float = MATCH_AFTER_S) -> tuple[DataFrame, DataFrame]:
     """((race, drv, t_inc): each car's first crash detection that matches an incident, incidents without one)."""
     crash = dets.filter(F.col("type").isin("IMPACT", "STOPPED", "SPIN")).select(
         "race", F.get("drivers", F.lit(0)).alias("drv"), F.col("t").alias("t_hit"), F.col("msector").alias("hit_sector"))
-    hits = match_incidents(incidents.select("race", "incident", "t", "sectors"), crash, n)
+    hits = match_incidents(incidents.select("race", "incident", "t", "sectors"), crash, n, before, after)
     first = hits.groupBy(*CAR).agg(F.min("t_hit").alias("t_inc"))
     alone = incidents.join(hits.select("race", "incident").distinct(), ["race", "incident"], "left_anti")
     return first, alone

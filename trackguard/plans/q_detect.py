@@ -26,15 +26,10 @@ def naive(spark: SparkSession, sf: str) -> DataFrame:
     return DE.naive(field_rows(spark, sf), **NAIVE_SET)
 
 
-@T.kept("rule_candidates")
-def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate rows of the car rules; without the heading, which the SQL leaves out."""
-    return DE.slim(DE.car_candidates(T.features(spark, sf).drop("heading_err"), SCALED), DE.CAR)
-
-
 @T.kept("rule_detections")
 def car_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return DE.car_detections(candidates(spark, sf), SCALED)
+    """Detections of the car rules; without the heading, which the SQL leaves out."""
+    return DE.car_fold(DE.car_events(T.features(spark, sf).drop("heading_err"), SCALED), SCALED)
 
 
 @query("e1_race_gates", with_tables(PARTS, TICKS + ["gates"], "SELECT race, tick, suspended, grid FROM gates"))
@@ -92,9 +87,30 @@ def _(spark, sf):
     return car_rows(spark, sf).filter("kind = 'SPIN'").select("race", "drv", "tick", "msector", "severity")
 
 
-@query("e3_impact")
+_E3 = """act AS (SELECT race, drv, tick, rel_ratio, lap_ratio, msector FROM latches WHERE act),
+voids AS (SELECT race, drv, tick FROM latches WHERE pit OR suspended),
+drops AS (SELECT l.race, l.drv, l.tick, -l.dspeed_1s AS fell, -l.dspeed_1s >= 180 AS hard FROM latches l
+    WHERE l.act AND (-l.dspeed_1s >= 180 OR (-l.dspeed_1s >= 80 AND (l.rel_ratio < 0.4 OR NOT EXISTS (
+        SELECT 1 FROM latches b WHERE b.race = l.race AND b.drv = l.drv AND b.act AND b.brake AND b.tick BETWEEN l.tick - 4 AND l.tick))))),
+settled AS (SELECT d.*, a.tick AS att, a.rel_ratio AS ratio, a.msector, coalesce(a.rel_ratio < CASE WHEN d.hard THEN 0.85 ELSE 0.6 END, false)
+        AND (a.lap_ratio IS NULL OR a.lap_ratio < 0.6) AS still, v.tick AS vd
+    FROM drops d ASOF LEFT JOIN act a ON a.race = d.race AND a.drv = d.drv AND a.tick >= d.tick + 2
+    ASOF LEFT JOIN voids v ON v.race = d.race AND v.drv = d.drv AND v.tick > d.tick),
+trig AS (SELECT *, CASE WHEN coalesce(vd < coalesce(att, 1000000), false) THEN vd - 1 ELSE coalesce(att, 1000000) END AS free,
+         still AND att IS NOT NULL AND NOT coalesce(vd < att, false) AS sure FROM settled),
+chain AS (
+    SELECT race, drv, tick, free, sure AS emit, CASE WHEN sure THEN att END AS last, att, fell, ratio, msector
+    FROM (SELECT *, row_number() OVER (PARTITION BY race, drv ORDER BY tick) AS n FROM trig) q WHERE n = 1
+    UNION ALL
+    SELECT c.race, c.drv, m.tick, m.free, m.sure AND (c.last IS NULL OR m.att - c.last >= 20),
+           CASE WHEN m.sure AND (c.last IS NULL OR m.att - c.last >= 20) THEN m.att ELSE c.last END, m.att, m.fell, m.ratio, m.msector
+    FROM chain c, LATERAL (SELECT * FROM trig x WHERE x.race = c.race AND x.drv = c.drv AND x.tick > c.free ORDER BY x.tick LIMIT 1) m)
+SELECT race, drv, att AS tick, msector, round(0.5 + least(fell, 250) / 500 + CASE WHEN ratio < 0.3 THEN 0.2 ELSE 0 END, 2) AS severity FROM chain WHERE emit"""
+
+
+@query("e3_impact", with_tables(PARTS, RULES, "", recursive=True) + ", " + _E3)
 def _(spark, sf):
-    return car_rows(spark, sf).filter("kind = 'IMPACT'").select("race", "drv", "tick", "msector", "severity", "evidence")
+    return car_rows(spark, sf).filter("kind = 'IMPACT'").select("race", "drv", "tick", "msector", "severity")
 
 
 @query("e8_multi_car")

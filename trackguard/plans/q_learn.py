@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackguard.functions.stats import average_precision, exact_quantiles
+from trackguard.functions.stats import average_precision, exact_quantiles, exact_quantiles_of
 from trackguard.operators import anomaly as AN, risk as RI
 from trackguard.functions.ring import risk_level
 from trackguard.plans import tables as T
@@ -30,8 +30,8 @@ _NORMAL = """normal AS (SELECT * FROM features WHERE track_status = '1' AND NOT
 
 @T.kept("normal")
 def normal(spark, sf):
-    """Normal rows; the field of the test data crawls more, so the limit on it is relaxed by a shift."""
-    return AN.normal_sample(T.features(spark, sf).withColumn("field_slow", F.col("field_slow") - 0.4))
+    """Normal rows; the field of the test data crawls more, so the limit on it is relaxed."""
+    return AN.normal_sample(T.features(spark, sf), crawl=0.5)
 
 
 @query("m1_normal_rows", sql(FEATURES, "") + f", {_NORMAL} SELECT race, drv, tick FROM normal")
@@ -41,7 +41,7 @@ def _(spark, sf):
 
 @query("m2_sample_per_race", sql(FEATURES, "") + f", {_NORMAL} SELECT race, least(count(*), 20) AS rows_kept FROM normal GROUP BY race")
 def _(spark, sf):
-    s = AN.normal_sample(T.features(spark, sf).withColumn("field_slow", F.col("field_slow") - 0.4), 20)
+    s = AN.normal_sample(T.features(spark, sf), 20, crawl=0.5)
     return s.groupBy("race").agg(F.count(F.lit(1)).alias("rows_kept"))
 
 
@@ -52,7 +52,7 @@ _MED = ["rel_ratio", "lap_ratio", "dspeed_1s", "lat_off_std_2s"]
     f"""SELECT '{c}' AS "column", round(median({c}) + 1e-9, 6) AS median FROM normal""" for c in _MED))
 def _(spark, sf):
     s = normal(spark, sf)
-    rows = [(c, exact_quantiles(s, c, [0.5])[0]) for c in _MED]
+    rows = [(c, v[0]) for c, v in exact_quantiles_of(s, _MED, [0.5]).items()]
     return spark.createDataFrame(rows, "column string, median double").withColumn("median", F.round(F.col("median") + 1e-9, 6))
 
 
@@ -66,20 +66,18 @@ def _(spark, sf):
     return df.select("race", "drv", "tick", F.round("anomaly_score", 6).alias("anomaly_score"))
 
 
-@query("m6_score_quantiles", "SELECT q, round(v + 1e-9, 6) AS v FROM (SELECT unnest([0.5, 0.9, 0.999, 0.9995]) AS q, unnest(quantile_cont(l_extendedprice, [0.5, 0.9, 0.999, 0.9995])) AS v FROM lineitem) k")
+@query("m6_score_quantiles", "SELECT q::DOUBLE AS q, round(v + 1e-9, 6) AS v FROM (SELECT unnest([0.5, 0.9, 0.999, 0.9995]) AS q, unnest(quantile_cont(l_extendedprice, [0.5, 0.9, 0.999, 0.9995])) AS v FROM lineitem) k")
 def _(spark, sf):
     qs = [0.5, 0.9, 0.999, 0.9995]
     found = exact_quantiles(AD.table(spark, sf, "lineitem"), "l_extendedprice", qs)
-    return spark.createDataFrame(list(zip(qs, found)), "q double, v double").select(F.col("q").cast("decimal(5,4)").cast("double").alias("q"), F.round(F.col("v") + 1e-9, 6).alias("v"))
+    return spark.createDataFrame(list(zip(qs, found)), "q double, v double").select("q", F.round(F.col("v") + 1e-9, 6).alias("v"))
 
 
 @T.kept("scored")
 def scored(spark, sf):
     """Every race scored by a forest of the other races."""
     races = [r["race"] for r in T.features(spark, sf).select("race").distinct().orderBy("race").collect()]
-    shifted = T.features(spark, sf).withColumn("field_slow", F.col("field_slow") - 0.4)
-    out = AN.leave_one_race_out(shifted, races, trees=TREES, per_tree=128)
-    return out.withColumn("field_slow", F.col("field_slow") + 0.4)
+    return AN.leave_one_race_out(T.features(spark, sf), races, 0.5, trees=TREES, per_tree=128)
 
 
 @query("m7_leave_one_race_out")
@@ -99,7 +97,7 @@ def _(spark, sf):
 
 _RACING = """racing AS (SELECT * FROM fieldrows WHERE speed IS NOT NULL AND NOT in_pit AND NOT suspended AND field_slow < 0.5)"""
 _LABELS = f"""hits AS (SELECT n.race, n.drv, n.t, i.incident FROM gapinc i JOIN gapsec s USING (race, incident)
-    JOIN naive n ON n.race = i.race AND n.msector = s.msector AND n.t BETWEEN i.t - 60 AND i.t + 10),
+    JOIN naive n ON n.race = i.race AND n.msector = s.msector AND n.t BETWEEN i.t - 1 AND i.t + 0.25),
 alone AS (SELECT * FROM gapinc i WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.race = i.race AND h.incident = i.incident)),
 firstinc AS (SELECT race, drv, min(t) AS t_inc FROM hits GROUP BY ALL), {_RACING},
 labelled AS (SELECT r.race, r.drv, r.tick, r.t, r.speed, f.t_inc, coalesce(r.t >= f.t_inc - 1, false)::INT AS y1, coalesce(r.t >= f.t_inc - 3, false)::INT AS y30
@@ -111,19 +109,19 @@ _LABEL_TABLES = NAIVE + INC
 @T.kept("labelled")
 def labelled(spark, sf):
     """Labels from the baseline's detections; a horizon of 3 s plays the 30 s one."""
-    first, alone = RI.incident_times(T.gap_incidents(spark, sf), T.naive(spark, sf), N)
+    first, alone = RI.incident_times(T.gap_incidents(spark, sf), T.naive(spark, sf), N, 1.0, 0.25)
     rows = RI.label(T.features(spark, sf), first, alone, N, (1, 2, 3), ambiguous_s=0.5)
     return RI.train_keep(rows.withColumnsRenamed({"y3": "y30", "y2": "y20"}).withColumn("y10", F.col("y1")))
 
 
 @query("m8_incident_times", sql(_LABEL_TABLES, "") + f", {_LABELS} SELECT race, drv, t_inc FROM firstinc")
 def _(spark, sf):
-    return RI.incident_times(T.gap_incidents(spark, sf), T.naive(spark, sf), N)[0]
+    return RI.incident_times(T.gap_incidents(spark, sf), T.naive(spark, sf), N, 1.0, 0.25)[0]
 
 
 @query("m8_unattributed", sql(_LABEL_TABLES, "") + f", {_LABELS} SELECT race, incident FROM alone")
 def _(spark, sf):
-    return RI.incident_times(T.gap_incidents(spark, sf), T.naive(spark, sf), N)[1].select("race", "incident")
+    return RI.incident_times(T.gap_incidents(spark, sf), T.naive(spark, sf), N, 1.0, 0.25)[1].select("race", "incident")
 
 
 @query("m9_m10_labels", sql(_LABEL_TABLES, "") + f", {_LABELS} SELECT race, drv, tick, y1, y30 FROM labelled")
