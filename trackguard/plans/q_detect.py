@@ -105,7 +105,7 @@ chain AS (
     SELECT c.race, c.drv, m.tick, m.free, m.sure AND (c.last IS NULL OR m.att - c.last >= 20),
            CASE WHEN m.sure AND (c.last IS NULL OR m.att - c.last >= 20) THEN m.att ELSE c.last END, m.att, m.fell, m.ratio, m.msector
     FROM chain c, LATERAL (SELECT * FROM trig x WHERE x.race = c.race AND x.drv = c.drv AND x.tick > c.free ORDER BY x.tick LIMIT 1) m)
-SELECT race, drv, att AS tick, msector, round(0.5 + least(fell, 250) / 500 + CASE WHEN ratio < 0.3 THEN 0.2 ELSE 0 END, 2) AS severity FROM chain WHERE emit"""
+SELECT race, drv, att AS tick, msector, round(least(1.0, 0.5 + least(fell, 250) / 500 + CASE WHEN ratio < 0.3 THEN 0.2 ELSE 0 END), 2) AS severity FROM chain WHERE emit"""
 
 
 @query("e3_impact", with_tables(PARTS, RULES, "", recursive=True) + ", " + _E3)

@@ -118,7 +118,7 @@ def escalations(spark, sf):
 @kept("crashes")
 def crashes(spark, sf):
     cand = ON.candidates(incidents(spark, sf), onsets(spark, sf), N, before=5.0)
-    return EX.group_crashes(incidents(spark, sf), cand, lookback=5.0)
+    return EX.group_crashes(cand, lookback=5.0)
 
 
 @kept("marks")

@@ -86,7 +86,7 @@ class FlagProcessor(StatefulProcessor):
         now, status, made = kept.get("t"), kept.get("status", "1"), []
         board.t, board.status = now or 0.0, status
         for r in records(rows, ["tick", "kind", "seq", "drv"]):
-            if r["kind"] <= 1 and now is not None and r["t"] - now > self.params.jump_s:
+            if r["kind"] <= 1 and now is not None and abs(r["t"] - now) > self.params.jump_s:
                 board = self.wake({})                       # a jump in time wipes the flags
             if r["kind"] == 0:
                 r = {**r, "seen": r["t"], **self.anchor(board.cars.get(r["drv"]), r)}
