@@ -27,27 +27,25 @@ def _rolling(fn, col: str, n: int, at_least: int) -> Column:
 
 
 def per_row(df: DataFrame) -> DataFrame:
-    """Features of a single row: pace against the reference, line, pedals, gaps in seconds."""
-    v = F.greatest(F.col("speed") / 3.6, F.lit(1.0))
-    add = {"speed_dev": F.col("speed") - F.col("ref_speed"),
-           "speed_ratio": F.when(F.col("ref_speed").isNotNull(), F.col("speed") / F.greatest("ref_speed", F.lit(30.0))),
-           "lat_off_abs": F.abs("lat_off"),
-           "brake_throttle": F.coalesce(F.col("brake") & (F.col("throttle") > 10), F.lit(False)).cast("double")}
-    if "gap_ahead_m" in df.columns:
-        ahead, behind = F.col("gap_ahead_m") / v, F.col("gap_behind_m") / v
-        near = F.when(ahead < 1, 1).otherwise(0) + F.when(behind < 1, 1).otherwise(0)
-        add |= {"gap_ahead_s": ahead, "gap_behind_s": behind, "cars_within_1s": near}
-    # a NULL speed must not be turned into 1 m/s by greatest()
-    known = F.col("speed").isNotNull()
-    add = {k: (F.when(known, c) if k in ("gap_ahead_s", "gap_behind_s") else c) for k, c in add.items()}
-    if "cars_within_1s" in add:
-        add["cars_within_1s"] = F.when(known, add["cars_within_1s"]).otherwise(0)
-    return df.withColumns(add)
+    """Features of a single row: pace against the reference, line and pedals."""
+    ratio = F.col("speed") / F.greatest("ref_speed", F.lit(30.0))
+    return df.withColumns({
+        "speed_dev": F.col("speed") - F.col("ref_speed"), "speed_ratio": F.when(F.col("ref_speed").isNotNull(), ratio),
+        "lat_off_abs": F.abs("lat_off"),
+        "brake_throttle": F.coalesce(F.col("brake") & (F.col("throttle") > 10), F.lit(False)).cast("double")})
+
+
+def gap_seconds(df: DataFrame) -> DataFrame:
+    """Gaps to the neighbours in seconds (at 1 m/s or more) and how many are within one second."""
+    known, v = F.col("speed").isNotNull(), F.greatest(F.col("speed") / 3.6, F.lit(1.0))
+    gap = {c: F.when(known, F.col(f"gap_{c}_m") / v) for c in ("ahead", "behind")}
+    near = F.when(gap["ahead"] < 1, 1).otherwise(0) + F.when(gap["behind"] < 1, 1).otherwise(0)
+    return df.withColumns({"gap_ahead_s": gap["ahead"], "gap_behind_s": gap["behind"], "cars_within_1s": near})
 
 
 def field_state(df: DataFrame) -> DataFrame:
-    """State of the whole field at each tick, and each car's pace relative to it. One tick of one
-    race is one window partition, so this shares its shuffle with the gaps."""
+    """State of the whole field at each tick, and each car's pace relative to it. One tick of one race
+    is one window partition; the gaps, taken after this, reuse its shuffle."""
     w = W.partitionBy("race", "tick")
     live, out_of_pit = F.col("speed").isNotNull(), ~F.col("in_pit")
     placed = F.col("x").isNotNull() if "x" in df.columns else F.lit(True)

@@ -100,7 +100,7 @@ def _cells(ref: DataFrame, by: list[str], cell: float) -> DataFrame:
     return near.groupBy(*by, "_cx", "_cy").agg(F.collect_list(F.struct(*cols)).alias("_cands"))
 
 
-def nearest(points: DataFrame, ref: DataFrame, by: list[str], cell: float = 64.0, k: int = 1, slack: float = 0.0,
+def nearest(points: DataFrame, ref: DataFrame, by: list[str], cell: float = 16.0, k: int = 1, slack: float = 0.0,
             growth: float = 8.0) -> DataFrame:
     """Adds `_near`: the k nearest reference points as structs (d, i, ...), nearest first. Exact: a
     position keeps its answer only when the nearest point (plus `slack`) lies inside the searched
@@ -113,9 +113,10 @@ def nearest(points: DataFrame, ref: DataFrame, by: list[str], cell: float = 64.0
         side = F.broadcast(cells) if is_small(ref) else cells
         at = todo.withColumns({"_cx": chunk_of("x", cell), "_cy": chunk_of("y", cell)})
         at = at.join(side, [*by, "_cx", "_cy"], "left")
-        ranked = F.array_sort(F.transform("_cands", lambda c: F.struct(
-            _far(c["x"] - F.col("x"), c["y"] - F.col("y")).alias("d"), c["i"].alias("i"), *[c[n].alias(n) for n in cols])))
-        at = at.withColumn("_near", F.slice(ranked, 1, k)).drop("_cands", "_cx", "_cy")
+        found = F.transform("_cands", lambda c: F.struct(
+            _far(c["x"] - F.col("x"), c["y"] - F.col("y")).alias("d"), c["i"].alias("i"), *[c[n].alias(n) for n in cols]))
+        best = F.when(F.col("_cands").isNotNull(), F.array(F.array_min(found))) if k == 1 else F.slice(F.array_sort(found), 1, k)
+        at = at.withColumn("_near", best).drop("_cands", "_cx", "_cy")
         exact = F.coalesce(F.get("_near", F.lit(0))["d"] + slack <= cell, F.lit(False))
         at = stored(at.withColumn("_exact", exact))
         good = at.filter("_exact").drop("_exact")
@@ -136,14 +137,14 @@ def _onto(near: Column, length: Column) -> tuple[Column, Column]:
     return F.pmod(near["dist"] + along, length), lat
 
 
-def project(points: DataFrame, ref: DataFrame, by: list[str], length: Column, cell: float = 64.0) -> DataFrame:
+def project(points: DataFrame, ref: DataFrame, by: list[str], length: Column, cell: float = 16.0) -> DataFrame:
     """Adds dist and lat_off: the position on the nearest piece of the reference line."""
     out = nearest(points, with_next(ref, by), by, cell)
     dist, lat = _onto(F.get("_near", F.lit(0)), length)
     return out.withColumns({"dist": dist, "lat_off": lat}).drop("_near")
 
 
-def project_path(points: DataFrame, ref: DataFrame, length: float, cell: float = 64.0, chunk: int = 4096) -> DataFrame:
+def project_path(points: DataFrame, ref: DataFrame, length: float, cell: float = 40.0, chunk: int = 4096) -> DataFrame:
     """Projection along each car's path. Where two parts of the track run close together, a position
     takes the candidate nearest along the lap to the car's previous choice (within 2 s). Only such
     ambiguous positions depend on the previous one; the others are settled row by row."""

@@ -40,10 +40,15 @@ def build_features(aligned: DataFrame, laps: DataFrame, weather: DataFrame | Non
     if ref is not None:
         df = FE.reference_point(df, ref, ["race"])
     df = stored(df.withColumn("is_lap1", FE.is_lap1()))
-    df = FE.previous_lap(FE.field_state(FE.per_row(AL.add_gaps(df, length))), length)
+    df = FE.previous_lap(field_rows(df, length), length)
     return FE.windows(df)
 
 
+def field_rows(aligned: DataFrame, length: float) -> DataFrame:
+    """Gaps, a row's own features and the state of the field: what the baseline detector needs."""
+    return FE.gap_seconds(AL.add_gaps(FE.field_state(FE.per_row(aligned)), length))
+
+
 @dataclass
 class Outcome:
     detections: DataFrame

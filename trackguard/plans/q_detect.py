@@ -10,7 +10,6 @@ from trackguard.operators.fold import cooldown
 from trackguard.operators.gates import race_gates
 from trackguard.operators.params import SWEPT, DetectorParams, candidate_grid, with_candidates
 from trackguard.plans import tables as T
-from trackguard.plans.q_features import field_rows
 from trackguard.plans.registry import query, with_tables
 from trackguard.plans.sqlparts import NAIVE, PARTS, RULES, TICKS
 from trackguard.sources import adapter as AD
@@ -23,7 +22,7 @@ ALERT_GAP = 5.0
 
 
 def naive(spark: SparkSession, sf: str) -> DataFrame:
-    return DE.naive(field_rows(spark, sf), **NAIVE_SET)
+    return DE.naive(T.fields(spark, sf), **NAIVE_SET)
 
 
 @T.kept("rule_detections")
@@ -34,7 +33,7 @@ def car_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e1_race_gates", with_tables(PARTS, TICKS + ["gates"], "SELECT race, tick, suspended, grid FROM gates"))
 def _(spark, sf):
-    return race_gates(field_rows(spark, sf), SCALED).select("race", "tick", "suspended", "grid")
+    return race_gates(T.fields(spark, sf), SCALED).select("race", "tick", "suspended", "grid")
 
 
 @query("e12_naive_detections", with_tables(PARTS, NAIVE, "SELECT race, id, t, drv, msector, printf('speed %.0f km/h < 30 km/h', speed) AS evidence FROM naive"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trackguard.operators import alignment as AL, features as FE
-from trackguard.plans.pipeline import build_features
+from trackguard.plans import pipeline
 from trackguard.plans.registry import query, with_tables
 from trackguard.plans.sqlparts import FEATURES, PARTS
 from trackguard.sources import adapter as AD
@@ -15,7 +15,7 @@ KEY = ["race", "drv", "tick"]
 
 def field_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Grid rows with gaps, own features and field state."""
-    return FE.field_state(FE.per_row(AL.add_gaps(AD.grid(spark, sf), AD.LENGTH)))
+    return pipeline.field_rows(AD.grid(spark, sf), AD.LENGTH)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +92,7 @@ def _(spark, sf):
            CAST(coalesce(gap_ahead_s < 1, false) AS INT) + CAST(coalesce(gap_behind_s < 1, false) AS INT) AS cars_within_1s
     FROM rowfeat"""))
 def _(spark, sf):
-    df = FE.per_row(AL.add_gaps(AD.grid(spark, sf), AD.LENGTH))
+    df = FE.gap_seconds(AL.add_gaps(AD.grid(spark, sf), AD.LENGTH))
     return df.select(*KEY, F.round("gap_ahead_s", 6).alias("gap_ahead_s"), F.round("gap_behind_s", 6).alias("gap_behind_s"),
                      "cars_within_1s")
 
@@ -183,6 +183,6 @@ def _(spark, sf):
 @query("d22_feature_pipeline")
 def _(spark, sf):
     g = AD.grid(spark, sf)
-    df = build_features(AD.with_xy(g), AD.laps(g), AD.weather(g), AD.ring_reference(g), AD.LENGTH)
+    df = pipeline.build_features(AD.with_xy(g), AD.laps(g), AD.weather(g), AD.ring_reference(g), AD.LENGTH)
     nums = [c for c, t in df.dtypes if t == "double" and c not in ("t",)]
     return df.select(*KEY, "compound", *[F.round(c, 4).alias(c) for c in nums])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from trackguard.functions.timeline import chunk_of, gap_islands
 from trackguard.operators import detectors as DE, escalation as ES, exposure as EX, flags as FL, incidents as IN, onset as ON
 from trackguard.operators.params import DetectorParams
-from trackguard.plans.pipeline import build_features
+from trackguard.plans.pipeline import build_features, field_rows
 from trackguard.session import stored
 from trackguard.sources import adapter as AD
 
@@ -54,6 +54,12 @@ def features(spark, sf):
     return df.withColumn("lap", F.col("drv_lap"))
 
 
+@kept("fields")
+def fields(spark, sf):
+    """Grid rows with gaps, own features and the state of the field."""
+    return field_rows(grid(spark, sf).drop("x", "y"), AD.LENGTH)
+
+
 @kept("official")
 def official(spark, sf):
     return AD.official(grid(spark, sf))
