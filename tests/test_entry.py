@@ -70,3 +70,16 @@ def test_raw_tables_are_read_with_their_schema(spark, tmp_path):
     df = RE.without_nan(RE.read_raw(spark, path, "weather", "json"))
     assert df.first()["air_temp"] == 20.0 and df.first()["track_temp"] is None
     assert SI.markdown(df.select("race", "t")) == "| race | t |\n|---|---|\n| R | 1.0 |\n"
+
+
+def test_raw_samples_to_recommendations(spark, sf):
+    """The two pipelines end to end: alignment keeps every car on every tick, and flags follow detections."""
+    from trackguard.plans import catalog, pipeline, tables as T
+    rows = catalog.QUERIES["a20_align_race"](spark, sf)
+    per = rows.groupBy("race").agg({"tick": "count"}).collect()
+    assert len(per) == 4 and rows.count() == rows.select("race", "drv", "tick").distinct().count()
+    assert rows.filter("dist is not null and (msector < 1 or msector > 10)").isEmpty()
+    out = pipeline.watch(T.features(spark, sf), 10, T.SCALED, T.FLAG_SET)
+    named = {d["id"] for d in out.detections.collect()}
+    sources = {s for r in out.recommendations.collect() for s in r["source_detections"]}
+    assert named and sources and sources <= named

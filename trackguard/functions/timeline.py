@@ -170,3 +170,8 @@ def gap_islands(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequen
     wide = (F.col(t) - F.col("_prev_t") > gap) if closed else (F.col(t) - F.col("_prev_t") >= gap)
     new = F.when(F.col("_prev_t").isNull() | wide, 1).otherwise(0)
     return running(df, keys, chunk, order, sums={name: new.cast("bigint")}).drop("_prev_t")
+
+
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row table (a total) to every row, by a join on a constant key."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.functions.text import fixed
-from trackguard.functions.timeline import asof_join, chunk_of, interval_join, running
+from trackguard.functions.timeline import asof_join, beside, chunk_of, interval_join, running
 from trackguard.operators import onset as ON
 from trackguard.operators.incidents import ESCALATIONS, MATCH_BEFORE_S, in_sectors, match_incidents, suspended_at
 from trackguard.operators.scoring import ratio
@@ -210,8 +210,7 @@ def our_summary(ours: DataFrame, hours: DataFrame, by: list[str] = []) -> DataFr
             F.count_if(red & ~timed & ~late).alias("reds_multi_car"), F.count_if(red & called).alias("reds_called"),
             F.count_if(red & ~called).alias("reds_uncalled")]
     out = ours.groupBy(*by).agg(*aggs) if by else ours.agg(*aggs)
-    # `total` is one row
-    return out.join(F.broadcast(total), F.lit(True)).withColumn("extra_per_hour", ratio("extra", "hours"))
+    return beside(out, total).withColumn("extra_per_hour", ratio("extra", "hours"))
 
 
 def stopped_offset(df: DataFrame) -> DataFrame:
@@ -240,5 +239,5 @@ def red_study(df: DataFrame, recs: DataFrame, official: DataFrame, by: list[str]
     false = eps.join(near.select(*keys, "id").distinct(), [*keys, "id"], "left_anti").join(
         shown.select(*keys, "id").distinct(), [*keys, "id"], "left_anti").groupBy(*by).agg(F.count(F.lit(1)).alias("false_reds"))
     total = official.filter("flag = 'RED'").agg(F.count(F.lit(1)).alias("official_reds"))
-    out = recs.select(*by).distinct().join(hits, by, "left").join(false, by, "left").join(F.broadcast(total), F.lit(True))
+    out = beside(recs.select(*by).distinct().join(hits, by, "left").join(false, by, "left"), total)
     return out.fillna(0, ["hits", "false_reds"]).withColumn("misses", F.col("official_reds") - F.col("hits"))

@@ -161,7 +161,7 @@ def lap_features(df: DataFrame, laps: DataFrame) -> DataFrame:
     w = W.partitionBy(*CAR, "_chunk").orderBy("lap").rowsBetween(-3, -1)
     done = with_history(done, 8, 64, "lap").withColumn("_med", F.percentile("lap_s", 0.5).over(w))
     done = own_rows(done, 64, "lap")
-    delta = F.struct((F.col("lap_s") / F.col("_med") - 1).alias("last_lap_delta"))
+    delta = F.struct((F.try_divide("lap_s", "_med") - 1).alias("last_lap_delta"))
     df = df.drop("drv_lap", "compound", "tyre_life", "stint", "laps_since_pit", "last_lap_delta")
     keep = [c for c in df.columns if c not in CAR]
     rows = df.select(*CAR, F.col("t").alias("_t"), F.lit(1).alias("_side"), F.lit(0).alias("_lap"), F.struct(*keep).alias("_row"))

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.functions.stats import average_precision, exact_quantiles
-from trackguard.functions.timeline import chunk_of, interval_join, running
+from trackguard.functions.timeline import beside, chunk_of, interval_join, running
 from trackguard.operators.incidents import MATCH_AFTER_S, MATCH_BEFORE_S, in_sectors, match_incidents
 
 CAR = ["race", "drv"]
@@ -241,7 +241,7 @@ def early_warning(pred: DataFrame, limits: list[float], col: str = "p30") -> Dat
         F.percentile(F.col("t_end") - F.col("_t"), 0.5).alias("median_s_before"))
     eps = episodes(pred.filter(over & (F.col("y30") == 0)), ["threshold", *CAR]).groupBy("threshold").agg(F.sum("new").alias("false_episodes"))
     hours = racing_hours(pred.drop("threshold").select(*CAR, "tick").distinct())
-    out = seen.join(eps, "threshold", "left").fillna(0, ["false_episodes"]).join(F.broadcast(hours), F.lit(True))
+    out = beside(seen.join(eps, "threshold", "left").fillna(0, ["false_episodes"]), hours)
     return out.withColumn("false_episodes_per_hour", F.try_divide("false_episodes", "hours"))
 
 

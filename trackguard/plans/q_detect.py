@@ -112,6 +112,17 @@ def _(spark, sf):
     return car_rows(spark, sf).filter("kind = 'IMPACT'").select("race", "drv", "tick", "msector", "severity")
 
 
+_E11 = _E3[:_E3.rindex("SELECT race, drv, att AS tick")] + """SELECT race, drv, tick, 'STOPPED' AS kind, msector FROM latches WHERE f_stop
+UNION ALL SELECT race, drv, tick, 'DROPOUT', seen_sector FROM latches WHERE f_lost
+UNION ALL SELECT race, drv, tick, 'SPIN', msector FROM latches JOIN spinpicks USING (race, drv, tick)
+UNION ALL SELECT race, drv, att, 'IMPACT', msector FROM chain WHERE emit"""
+
+
+@query("e11_car_detections", with_tables(PARTS, RULES + ["spincands", "spinpicks"], "", recursive=True) + ", " + _E11)
+def _(spark, sf):
+    return car_rows(spark, sf).select("race", "drv", "tick", "kind", "msector")
+
+
 @query("e8_multi_car")
 def _(spark, sf):
     return DE.multi_car(car_rows(spark, sf), SCALED, AD.SECTORS).select(

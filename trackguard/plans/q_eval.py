@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackguard.functions.timeline import interval_join
 from trackguard.operators import detectors as DE, escalation as ES, exposure as EX, flags as FL, incidents as IN, onset as ON, scoring as SC
 from trackguard.operators.params import BASELINE_KMH, with_candidates
 from trackguard.plans import tables as T
@@ -486,21 +487,39 @@ def _(spark, sf):
     return T.crashes(spark, sf).withColumn("cars", F.array_join("cars", ","))
 
 
-@query("h42_rec_cars")
+@query("h42_rec_cars", sql(NAIVE, """
+    SELECT n.race, n.id, array_to_string(list_sort(list_distinct([n.drv, f.drv])), ',') AS rec_cars FROM naive n
+    JOIN (SELECT race, arg_min(drv, id) AS drv FROM naive GROUP BY race) f USING (race)"""))
 def _(spark, sf):
-    return EX.rec_cars(T.recs(spark, sf), T.detections(spark, sf)).withColumn("rec_cars", F.array_join("rec_cars", ","))
+    dets = T.naive(spark, sf)
+    first = dets.groupBy("race").agg(F.min("id").alias("_first"))
+    recs = dets.join(first, "race").select("race", "id", F.format_string("car %s stopped for 3.0 s", F.get("drivers", F.lit(0))).alias("reason"),
+                                           F.array("_first").alias("source_detections"))
+    return EX.rec_cars(recs, dets).withColumn("rec_cars", F.array_join("rec_cars", ","))
 
 
-@query("h47_speed_trace")
+def message_cars(spark, sf):
+    """Every official message with the car on whose row it lies, as a crash of that car."""
+    cars = T.grid(spark, sf).select("event_id", F.col("drv").alias("car"))
+    return T.official(spark, sf).join(cars, "event_id").select("race", F.col("event_id").alias("crash"), "car", F.col("t").alias("onset"))
+
+
+_CARS = "m AS (SELECT o.race, o.event_id AS crash, o.t AS onset, g.drv AS car FROM official o JOIN grid g USING (event_id))"
+
+
+@query("h47_speed_trace", sql(OWN + ["official"], "") + f""", {_CARS} SELECT m.race, m.crash, round(o.t - m.onset, 2) AS t_after_onset, round(o.speed + 1e-9, 1) AS speed_kmh,
+    round(o.own_ref + 1e-9, 1) AS own_normal_kmh FROM m JOIN own o ON o.race = m.race AND o.drv = m.car AND o.t BETWEEN m.onset - 15 AND m.onset + 45""")
 def _(spark, sf):
-    return EX.speed_trace(T.own(spark, sf), T.marks(spark, sf))
+    return EX.speed_trace(T.own(spark, sf), message_cars(spark, sf))
 
 
-@query("h48_listed_detections")
+@query("h48_listed_detections", sql(NAIVE + ["official"], "") + f""", {_CARS} SELECT * FROM (
+    SELECT m.race, m.crash, round(n.t - m.onset, 2) AS t_after, n.id, CAST(row_number() OVER (PARTITION BY m.race, m.crash ORDER BY round(n.t - m.onset, 2), n.id) AS INT) AS place_in_list
+    FROM m JOIN naive n ON n.race = m.race AND n.t BETWEEN m.onset - 10 AND m.onset + 180) q WHERE place_in_list <= 8""")
 def _(spark, sf):
-    m = T.marks(spark, sf).select("race", "crash", "onset", F.col("cars").alias("_c"))
-    d = T.detections(spark, sf).join(m, "race").filter("arrays_overlap(drivers, _c)")
-    rows = d.select("race", "crash", F.round(F.col("t") - F.col("onset"), 2).alias("t_after"), "id", "type", "severity", "evidence")
+    spans = message_cars(spark, sf).select("race", "crash", "onset", (F.col("onset") - 10).alias("lo"), (F.col("onset") + 180).alias("hi"))
+    rows = interval_join(T.naive(spark, sf).select("race", "id", "t"), spans, ["race"], "t", "lo", "hi", 256.0)
+    rows = rows.select("race", "crash", F.round(F.col("t") - F.col("onset"), 2).alias("t_after"), "id")
     return EX.listed(rows, ["t_after", "id"])
 
 

@@ -89,6 +89,36 @@ def _(spark, sf):
     return spark.read.parquet(path).select("race", "event_id", "flag")
 
 
+def raw_tables(spark, sf):
+    """The adapter's rows as raw car and position samples: positions in 1/10 m, a few of them lost."""
+    g = AD.with_xy(AD.grid(spark, sf))
+    car = g.filter("speed is not null").select("race", "drv", "t", "speed", "throttle", F.col("brake").cast("double").alias("brake"), F.lit(5).alias("gear"),
+                                               (F.col("speed") * 40).alias("rpm"))
+    lost = F.col("event_id") % 71 == 0
+    pos = g.select("race", "drv", "t", *[F.when(lost, 0.0).otherwise(F.col(c) * 10).alias(c) for c in ("x", "y")], F.when(lost, 0.0).otherwise(5.0).alias("z"))
+    return g, car, pos
+
+
+@query("s1_raw_scan", sql(["grid"], """SELECT race, drv, t, speed, throttle, brake::INT::DOUBLE AS brake, 5 AS gear, speed * 40 AS rpm FROM grid WHERE speed IS NOT NULL"""))
+def _(spark, sf):
+    path = scratch(spark)
+    raw_tables(spark, sf)[1].write.option("header", True).csv(path)
+    return RE.without_nan(RE.read_raw(spark, path, "raw_car", "csv"))
+
+
+@query("a20_align_race")
+def _(spark, sf):
+    """Raw samples of all races on the grid with everything known at each tick."""
+    from trackguard.plans.pipeline import align_race
+    g, car, pos = raw_tables(spark, sf)
+    ref = AD.ring_reference(g)
+    status = AD.official(g).groupBy("race", "t").agg((F.max("event_id") % 7).cast("string").alias("track_status"))
+    pit = g.filter("event_id % 50 = 0").select("race", "x", "y")
+    out = align_race(car, pos, AD.laps(g), AD.messages(g), status, ref, AD.sector_table(g), GE.speed_profile(g, ["race"], AD.LENGTH), pit, AD.LENGTH)
+    return out.select("race", "drv", "tick", "lap", "track_status", "speed", "in_pit", "msector", "after_chequered", F.round("dist", 3).alias("dist"),
+                      F.round("ref_speed", 3).alias("ref_speed"))
+
+
 @query("s11_track_json")
 def _(spark, sf):
     g = AD.grid(spark, sf)

@@ -20,7 +20,18 @@ def sql(names: list[str], body: str) -> str:
 
 # ---- flags
 
-@query("g1_car_anchors")
+_ANCHORS = """live AS (SELECT race, drv, tick, t, x, y, in_pit, row_number() OVER (PARTITION BY race, drv ORDER BY tick) AS n FROM gridxy WHERE speed IS NOT NULL),
+anchor AS (
+    SELECT race, drv, tick, t, in_pit, n, x AS ax, y AS ay, t AS moved FROM live WHERE n = 1
+    UNION ALL
+    SELECT l.race, l.drv, l.tick, l.t, l.in_pit, l.n, CASE WHEN sqrt(pow(l.x - a.ax, 2) + pow(l.y - a.ay, 2)) > 3 THEN l.x ELSE a.ax END,
+           CASE WHEN sqrt(pow(l.x - a.ax, 2) + pow(l.y - a.ay, 2)) > 3 THEN l.y ELSE a.ay END,
+           CASE WHEN sqrt(pow(l.x - a.ax, 2) + pow(l.y - a.ay, 2)) > 3 THEN l.t ELSE a.moved END
+    FROM anchor a JOIN live l ON l.race = a.race AND l.drv = a.drv AND l.n = a.n + 1)"""
+
+
+@query("g1_car_anchors", with_tables(PARTS, ["grid", "gridxy"], "", recursive=True) + f""", {_ANCHORS}
+    SELECT race, drv, tick, round(ax, 3) AS ax, round(ay, 3) AS ay, moved FROM anchor""")
 def _(spark, sf):
     a = anchors(spark, sf)
     return a.select("race", "drv", "tick", F.round("ax", 3).alias("ax"), F.round("ay", 3).alias("ay"), "moved")
@@ -59,12 +70,17 @@ def _(spark, sf):
 
 @query("s15_cross_references")
 def _(spark, sf):
+    """Rows checked and rows at fault of each message table."""
     dets, recs = T.detections(spark, sf), T.recs(spark, sf)
-    checked = [CO.violations(dets, "detection"), CO.violations(recs, "rec"), CO.dangling_sources(recs, dets),
-               CO.unknown_drivers(dets, T.features(spark, sf)), CO.out_of_order(dets, "detection"), CO.out_of_order(recs, "rec")]
-    out = checked[0]
-    for c in checked[1:]:
-        out = out.unionByName(c)
+    faults = {"detection": [CO.violations(dets, "detection"), CO.unknown_drivers(dets, T.features(spark, sf)), CO.out_of_order(dets, "detection")],
+              "rec": [CO.violations(recs, "rec"), CO.dangling_sources(recs, dets), CO.out_of_order(recs, "rec")]}
+    out = None
+    for kind, table in (("detection", dets), ("rec", recs)):
+        found = faults[kind][0].unionByName(faults[kind][1]).unionByName(faults[kind][2])
+        rows = table.select(F.lit(kind).alias("kind"), F.lit(1).alias("checked"), F.lit(0).alias("at_fault")).unionByName(
+            found.select("kind", F.lit(0).alias("checked"), F.lit(1).alias("at_fault")))
+        rows = rows.groupBy("kind").agg(F.sum("checked").alias("checked"), F.sum("at_fault").alias("at_fault"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -101,7 +117,11 @@ def _(spark, sf):
     return LI.stoppages(T.features(spark, sf), min_s=0.5)
 
 
-@query("v3_car_states")
+@query("v3_car_states", with_tables(PARTS, ["grid", "gridxy"], "", recursive=True) + f""", {_ANCHORS},
+    st AS (SELECT *, t - moved AS still_for, count(*) FILTER (NOT in_pit AND t - moved >= 0.5) OVER p AS still, count(*) FILTER (NOT in_pit) OVER p AS on_track
+           FROM anchor WINDOW p AS (PARTITION BY race, tick))
+    SELECT race, drv, tick, still_for, CASE WHEN in_pit THEN 'PIT' WHEN still >= 5 AND still >= on_track / 2 THEN NULL WHEN still_for >= 2 THEN 'OUT'
+           WHEN still_for >= 0.5 THEN 'STOPPED' END AS status FROM st""")
 def _(spark, sf):
     return LI.car_states(T.features(spark, sf), anchors(spark, sf), stopped_after=0.5, out_after=2.0)
 
@@ -184,9 +204,24 @@ def _(spark, sf):
     return LI.call_log(T.recs(spark, sf), T.official(spark, sf), T.detections(spark, sf), N)
 
 
-@query("v12_crash_card_events")
+def card_marks(spark, sf):
+    """Every official message as a crash with made-up markers, some of them missing."""
+    e, t = F.col("event_id"), F.col("t")
+    return T.official(spark, sf).select(
+        "race", e.alias("crash"), t.alias("onset"), F.when(e % 3 > 0, t + 1.5).alias("alert"), F.lit("SPIN").alias("alert_type"),
+        F.when(e % 4 > 0, t + 2.5).alias("our_esc"), F.lit("SC").alias("our_flag"), F.when(e % 5 > 0, t - 0.5).alias("yellow"),
+        F.when(e % 2 > 0, t + 4.0).alias("off_esc"), F.col("flag").alias("off_flag"))
+
+
+@query("v12_crash_card_events", with_tables(PARTS, ["grid", "official"], """
+    SELECT race, event_id AS crash, d AS t_after, event, what, CAST(row_number() OVER (PARTITION BY race, event_id ORDER BY d, event) AS INT) AS place_in_list FROM (
+        SELECT race, event_id, 0.0::DOUBLE AS d, 'onset' AS event, '' AS what FROM official
+        UNION ALL SELECT race, event_id, 1.5, 'our first alert', 'SPIN' FROM official WHERE event_id % 3 > 0
+        UNION ALL SELECT race, event_id, 2.5, 'our recommendation', 'SC' FROM official WHERE event_id % 4 > 0
+        UNION ALL SELECT race, event_id, -0.5, 'official yellow', '' FROM official WHERE event_id % 5 > 0
+        UNION ALL SELECT race, event_id, 4.0, 'official escalation', flag FROM official WHERE event_id % 2 > 0) q"""))
 def _(spark, sf):
-    return EX.crash_events(T.marks(spark, sf))
+    return EX.crash_events(card_marks(spark, sf))
 
 
 @query("v12_exposure_lines")
