@@ -76,9 +76,10 @@ def fold_in_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ste
     previous = F.coalesce(F.lag("_exit").over(W.partitionBy(*keys).orderBy("_chunk")), F.lit(""))
     while True:
         ends = result.filter("_row = -1").select(*group, "_entry", previous.alias("_want"))
-        wrong = stored(ends.filter("_want <> _entry").select(*group, "_want"))
+        wrong = ends.filter("_want <> _entry").select(*group, "_want")
         if wrong.isEmpty():
             break
+        wrong = stored(wrong)
         again = run(rows.join(wrong, group))
         result = stored(result.join(wrong, group, "left_anti").unionByName(again))
     return result.filter("_row >= 0").select(*keys, *[f.name for f in made_fields])
