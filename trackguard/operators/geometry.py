@@ -8,8 +8,6 @@ inside the row. Positions further away than a cell retry with larger cells.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trackguard.functions.ring import circ

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from trackguard.functions import ring
 from trackguard.operators import alignment as AL, geometry as GE
-from trackguard.plans.q_features import KEY, features
+from trackguard.plans.q_features import KEY
+from trackguard.plans.pipeline import align_race, field_rows
 from trackguard.plans.registry import query, with_tables
 from trackguard.plans.sqlparts import PARTS, TICKS
 from trackguard.session import shared_dir
@@ -109,7 +110,6 @@ def _(spark, sf):
 @query("a20_align_race")
 def _(spark, sf):
     """Raw samples of all races on the grid with everything known at each tick."""
-    from trackguard.plans.pipeline import align_race
     g, car, pos = raw_tables(spark, sf)
     ref = AD.ring_reference(g)
     status = AD.official(g).groupBy("race", "t").agg((F.max("event_id") % 7).cast("string").alias("track_status"))
@@ -156,8 +156,7 @@ def _(spark, sf):
     UNION ALL SELECT 'field', 'mean_slow', round(avg(field_slow) + 1e-9, 6) FROM ticks
     UNION ALL SELECT 'field', 'ticks', count(*)::DOUBLE FROM ticks"""))
 def _(spark, sf):
-    from trackguard.plans.q_features import field_rows
-    f = field_rows(spark, sf)
+    f = field_rows(AD.grid(spark, sf), AD.LENGTH)
     ticks = f.groupBy("race", "tick").agg(F.first("field_slow").alias("s"))
     return SI.metrics({"grid": f.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("drv").alias("cars")),
                        "field": ticks.agg(F.round(F.avg("s") + 1e-9, 6).alias("mean_slow"), F.count(F.lit(1)).alias("ticks"))})
@@ -443,11 +442,6 @@ def _(spark, sf):
     return out.select(*KEY, F.round(F.col("ref_speed") + 1e-9, 6).alias("ref_speed"))
 
 
-_PITPOINTS = """spans AS (SELECT race, drv, pit_in - 0.5 AS lo, pit_in + 0.5 AS hi FROM laps WHERE pit_in IS NOT NULL),
-pitpts AS (SELECT DISTINCT p.race, round_even(p.x, 0) AS x, round_even(p.y, 0) AS y FROM (SELECT race, drv, tick, x, y, ((r.nx - r.x) * (y - r.y) - (r.ny - r.y) * (x - r.x)) / n AS lat FROM proj) p
-    JOIN grid g USING (race, drv, tick) SEMI JOIN spans s ON s.race = p.race AND s.drv = p.drv AND g.t BETWEEN s.lo AND s.hi WHERE abs(lat) > 7)"""
-
-
 def pit_points(spark, sf):
     g = AD.with_xy(AD.grid(spark, sf))
     laps = AD.laps(g)
