@@ -94,19 +94,21 @@ class Forest:
     def threshold(self, q: float = THRESHOLD_Q) -> float:
         return self.quantiles[q]
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for t in range(len(self.feature)):
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                f = self.feature[t, at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                down = 2 * at + 1 + (x[np.arange(len(x)), np.maximum(f, 0)] > self.cut[t, at])
-                at = np.where(inner, down, at)
-            total += self.path[t, at]
-        return 2.0 ** (-total / len(self.feature) / path_norm(self.rows))
+
+def forest_score(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, path: np.ndarray, rows: int) -> np.ndarray:
+    """Score of each row: all rows walk down one tree after the other."""
+    total, who = np.zeros(len(x)), np.arange(len(x))
+    for t in range(len(feature)):
+        at = np.zeros(len(x), dtype=np.int64)
+        while True:
+            f = feature[t, at]
+            inner = f >= 0
+            if not inner.any():
+                break
+            down = 2 * at + 1 + (x[who, np.maximum(f, 0)] > cut[t, at])
+            at = np.where(inner, down, at)
+        total += path[t, at]
+    return 2.0 ** (-total / len(feature) / path_norm(rows))
 
 
 def train(sample: DataFrame, trees: int = TREES, per_tree: int = ROWS_PER_TREE, seed: int = 0,
@@ -144,13 +146,14 @@ def train(sample: DataFrame, trees: int = TREES, per_tree: int = ROWS_PER_TREE,
 
 def attach_scores(df: DataFrame, forest: Forest) -> DataFrame:
     """Adds anomaly_score (higher is stranger). A row's inputs only look back, so the score is causal."""
-    model = df.sparkSession.sparkContext.broadcast(forest)
+    # plain arrays: what is broadcast must load on executors that do not have this package
+    model = df.sparkSession.sparkContext.broadcast((forest.feature, forest.cut, forest.path, forest.rows))
 
     @F.pandas_udf("double")
     def strange(cols: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         f = model.value
         for pdf in cols:
-            yield pd.Series(f.score(pdf.to_numpy(float)))
+            yield pd.Series(forest_score(pdf.to_numpy(float), *f))
 
     df = with_inputs(df)
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(forest.fill[c]))).alias(c) for c in FEATURES]
