@@ -1,4 +1,4 @@
 """Importing this module registers every query of the subpackage."""
 
-from trackguard.llm import q_decontaminate, q_mixing, q_token_files  # noqa: F401
+from trackguard.llm import q_decontaminate, q_mixing, q_token_count, q_token_files, q_warc  # noqa: F401
 from trackguard.llm.catalog import ORACLES, QUERIES  # noqa: F401
