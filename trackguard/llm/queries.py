@@ -1,5 +1,5 @@
 """Importing this module registers every query of the subpackage."""
 
-from trackguard.llm import (q_decontaminate, q_language, q_mixing, q_near_duplicates, q_token_count, q_token_files, q_topk, q_toxicity,  # noqa: F401
+from trackguard.llm import (q_decontaminate, q_language, q_mixing, q_near_duplicates, q_substrings, q_token_count, q_token_files, q_topk, q_toxicity,  # noqa: F401
                             q_warc)  # noqa: F401
 from trackguard.llm.catalog import ORACLES, QUERIES  # noqa: F401

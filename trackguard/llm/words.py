@@ -137,36 +137,38 @@ def words_of(texts: Texts, kind: np.ndarray = DARK, lower: bool = False) -> Word
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     letter = _LETTER[LOWER] if lower else _LETTER
+    return mixed(run_hashes(data, start, end, BASE, letter))
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, letter: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hashes of the runs data[start:end] (in order of start; they may overlap), of the 64-bit values in data or of what
+    letter has for them."""
     out, at = np.empty(len(start), np.uint64), 0
     while at < len(start):
         a = int(start[at])
         to = max(at + 1, int(np.searchsorted(end, a + STEP, "right")))
         b = int(end[to - 1])
-        up, down = _table(BASE, b - a + 1)
+        up, down = _table(base, b - a + 1)
         total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(letter[data[a:b]] * up[:b - a], out=total[1:])
+        np.cumsum((data[a:b] if letter is None else letter[data[a:b]]) * up[:b - a], out=total[1:])
         s, e = start[at:to] - a, end[at:to] - a
         out[at:to] = (total[e] - total[s]) * down[s]
         at = to
-    return mixed(out)
+    return out
+
+
+def rolling(words: Words, n: int) -> np.ndarray:
+    """Hashes of all runs of n words, also of those that cross from one text into the next."""
+    count = max(0, len(words) - n + 1)
+    at = np.arange(count)
+    return mixed(run_hashes(words.hash, at, at + n, GRAM), n)
 
 
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n words within one text, and the index of each run's first word."""
-    count = len(words) - n + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.empty(count, np.uint64)
-    for at in range(0, count, STEP):
-        to = min(count, at + STEP)
-        size = to - at + n - 1
-        up, down = _table(GRAM, size + 1)
-        total = np.zeros(size + 1, np.uint64)
-        np.cumsum(words.hash[at:to + n - 1] * up[:size], out=total[1:])
-        k = np.arange(to - at)
-        out[at:to] = (total[k + n] - total[k]) * down[k]
-    at = np.flatnonzero(words.row[:count] == words.row[n - 1:])
-    return mixed(out[at], n), at
+    count = max(0, len(words) - n + 1)
+    at = np.flatnonzero(words.row[:count] == words.row[len(words) - count:])
+    return mixed(run_hashes(words.hash, at, at + n, GRAM), n), at
 
 
 def covered(start: np.ndarray, length: np.ndarray | int, size: int) -> np.ndarray:
