@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackguard.llm import decontaminate, mixing
+from trackguard.llm import decontaminate, mixing, near_duplicates, token_files, toxicity
 from trackguard.session import stored
 
 
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learnt from the labelled ones, does not reject."""
+    return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return near_duplicates.first_of_each(docs)
+
+
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -18,7 +29,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("decontaminate", decontaminated), ("mix", mixed)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in files, and per document what they hold, read back."""
+    return token_files.digests(token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("toxicity", clean), ("near duplicates", unique), ("decontamination", untested), ("mixing", mixed), ("token files", encoded)]
 
 #: The toxicity stage is a trained model, which SQL cannot state; tests hold run() against brute force instead.
 ORACLE_SQL = None
