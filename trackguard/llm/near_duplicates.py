@@ -37,16 +37,16 @@ def _key(values: np.ndarray) -> bytes:
 
 
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, node (the set's key, null if empty) and registers of every document."""
+    """doc_id, the text's hash, n_shingles, node (the set's key, null if empty) and registers of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, "text"):
             value, bounds = H.shingles(W.texts_of(batch.column("text")), shingle)
             regs = H.registers(value, bounds)
             n = np.diff(bounds)
             node = [_key(value[a:b]) if b > a else None for a, b in zip(bounds, bounds[1:])]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(node, pa.binary()), pa.array([r.tobytes() if k else None for r, k in zip(regs, node)], pa.binary())],
-                                  names=["doc_id", "n_shingles", "node", "regs"])
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node binary, regs binary")
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array(node, pa.binary()), pa.array([r.tobytes() if k else None for r, k in zip(regs, node)], pa.binary())],
+                                  names=["doc_id", "text_hash", "n_shingles", "node", "regs"])
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, regs binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, margi
 
 
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, **more) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest id reachable) and kept."""
+    """Per document: doc_id, text_hash, n_shingles, component_id (the smallest id reachable) and kept."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = stored(sketched(rows, shingle))
     classes = stored(seen.filter("doc_id is not null and node is not null").groupBy("node")
@@ -243,17 +243,17 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     ids = classes.select("node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
     named = stored(ids.join(least, "component").select("node", "component_id"))
-    out = seen.select("doc_id", "n_shingles", "node").join(F.broadcast(named) if is_small(named) else named, "node", "left")
+    out = seen.select("doc_id", "text_hash", "n_shingles", "node").join(F.broadcast(named) if is_small(named) else named, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """docs with one row of each group. Rows without id stay."""
     found = stored(duplicates(docs, doc_id, text, **more))
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = stored(gone)
-    out = docs.join(F.broadcast(gone) if is_small(gone) else gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct())
+    same = (F.col(doc_id).cast("long") == F.col("_gone")) & (F.xxhash64(F.col(text)) == F.col("_gone_text"))
+    out = docs.join(F.broadcast(gone) if is_small(gone) else gone, same, "left_anti")
     # only where an id is kept twice can whole rows repeat
-    twice = found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    twice = not found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     return out.dropDuplicates([doc_id, text]) if twice else out

@@ -6,4 +6,4 @@ from trackguard.llm.catalog import query, table
 
 @query("op9_near_duplicates")
 def op9_near_duplicates(spark, sf_dir):
-    return N.duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return N.duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("text_hash")
