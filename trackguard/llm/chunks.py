@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+
 import numpy as np
 import pyarrow as pa
 
@@ -9,20 +13,26 @@ from trackguard.llm.words import DARK, Texts, byte_class
 
 _PLAIN = byte_class((0x21, 0x7E))
 _HIGH = byte_class((0x80, 0xFF))
+_LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
+#: Marks that are part of no contraction and of no special token.
+_MARK = byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x3B), (0x3D, 0x3D), (0x3F, 0x40))
 #: First bytes of the characters beyond ASCII among which white space occurs.
 _MAYBE_SPACE = (0xE1, 0xE2, 0xE3)
 
 
-def before_space(texts: Texts) -> np.ndarray:
-    """Positions of a blank or line feed that follows a character surely not white space. Byte-level pre-tokenizers take white
-    space only at the front of a token, so a token always ends there."""
+def token_edges(texts: Texts) -> np.ndarray:
+    """Positions where a byte-level pre-tokenizer surely ends a token, whatever lies around: a blank or line feed behind a character
+    that is not white space; a mark behind an ASCII letter; and what follows a single line feed."""
     data = texts.data
     if len(data) < 2:
         return np.zeros(0, np.int64)
-    at = np.flatnonzero((data[1:] == 0x20) | (data[1:] == 0x0A)) + 1
-    last, second, third = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
-    space = (second == 0xC2) | np.isin(third, _MAYBE_SPACE)
-    return at[_PLAIN[last] | (_HIGH[last] & ~space)]
+    space = np.flatnonzero((data[1:] == 0x20) | (data[1:] == 0x0A)) + 1
+    last, second, third = data[space - 1], data[np.maximum(space - 2, 0)], data[np.maximum(space - 3, 0)]
+    unsure = (second == 0xC2) | np.isin(third, _MAYBE_SPACE)
+    space = space[_PLAIN[last] | (_HIGH[last] & ~unsure)]
+    mark = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+    line = np.flatnonzero((data[1:-1] == 0x0A) & _PLAIN[data[:-2]] & _PLAIN[data[2:]]) + 2
+    return np.concatenate([space, mark, line])
 
 
 def word_starts(texts: Texts) -> np.ndarray:
@@ -34,9 +44,12 @@ def word_starts(texts: Texts) -> np.ndarray:
 def distinct(texts: Texts, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct chunks between cuts and text bounds; for every chunk in order, its number among them; and how many chunks
     each text has."""
-    bounds = np.union1d(cuts, texts.bounds)
-    if len(bounds) < 2:
+    if not len(texts.data):
         return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    edge = np.zeros(len(texts.data) + 1, bool)
+    edge[cuts] = True
+    edge[texts.bounds] = True
+    bounds = np.flatnonzero(edge)
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(texts.data))])
     coded = column.dictionary_encode()
     per_text = np.diff(np.searchsorted(bounds, texts.bounds))
@@ -62,3 +75,12 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values)])
     end = np.cumsum(lengths)
     return total[end] - total[end - lengths]
+
+
+def kept_in_process(key: tuple, make: Callable):
+    """What make() gives, made once per worker process: tasks that a process runs one after the other share it. The functions of a task
+    arrive with modules of their own, so the store is a module of the interpreter."""
+    store = sys.modules.setdefault("_kept_by_trackguard_tasks", ModuleType("_kept_by_trackguard_tasks")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

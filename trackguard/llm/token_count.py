@@ -147,7 +147,7 @@ class Counter:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: UTF-8 bytes, tokens, and whether they exceed the limit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = chunks.kept_in_process(("token counts", tokenizer), lambda: Counter(tokenizer))
         for batch in W.pieces(batches, "text"):
             texts = W.texts_of(batch.column("text"))
             n = counter.count(texts)

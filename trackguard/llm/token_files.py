@@ -8,7 +8,8 @@ File: MAGIC; blocks of BLOCK ids (the last of a file has fewer; a document may s
 and little-endian words of `simple8b`; then the document table (ids and token counts, int64; a presence byte each) and the table of
 block offsets (int64); then, in the last 32 bytes, the place of the tables, the numbers of documents and blocks, and MAGIC.
 
-Every distinct chunk of a batch (a blank with the word behind it) is encoded once, and kept for the next batches up to a bound.
+Every distinct chunk of a batch (a blank with the word behind it) is encoded once, and kept for the next batches and tasks of the worker
+process up to a bound.
 
 Defined results: null text is an empty text, whose only id is end_id; documents without id come first; rows that repeat an id
 follow each other by the hash of their text; an empty table gives an empty index and no files. Other columns are ignored."""
@@ -26,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trackguard.llm import binfiles, chunks, simple8b, words as W
+from trackguard.llm.token_count import byte_letters
 from trackguard.session import stored
 
 MAGIC = b"TGS8BID1"
@@ -43,18 +45,19 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        self.letters = dict(enumerate(byte_letters()))
         self.known: dict[bytes, int] = {}
         self.ids, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        found, code, per_text = chunks.distinct(texts, chunks.before_space(texts))
+        found, code, per_text = chunks.distinct(texts, chunks.token_edges(texts))
         if len(self.known) + len(found) > self.kept:
             self.known.clear()
             self.ids, self.length = self.ids[:0], self.length[:0]
         new = [c for c in found if c not in self.known]
         if new:
-            made = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
+            made = self._encoded(new)
             self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
             self.length = np.concatenate([self.length, np.fromiter(map(len, made), np.int64, len(made))])
             self.ids = np.concatenate([self.ids, np.fromiter((i for ids in made for i in ids), np.uint32)])
@@ -63,6 +66,20 @@ class Encoder:
         return self.ids[chunks.spread(start[entry], self.length[entry])], chunks.sums(self.length[entry], per_text)
 
 
+    def _encoded(self, new: list[bytes]) -> list[list[int]]:
+        """Ids of each chunk. A blank and a word of Latin letters is one pre-token, which goes to the library's model directly; the rest
+        takes the library's whole way."""
+        out: list[list[int] | None] = []
+        for c in new:
+            text = c.decode()
+            word = text.removeprefix(" ")
+            out.append([t.id for t in self.tokenizer.model.tokenize(c.decode("latin-1").translate(self.letters))] if word.isalpha() and max(word) < "\u0250" else None)
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i].decode() for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+
 class File:
     """One open file of blocks."""
 
@@ -110,7 +127,7 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file = Encoder(tokenizer), None
+        encoder, file = chunks.kept_in_process(("token ids", tokenizer), lambda: Encoder(tokenizer)), None
         for batch in W.pieces(batches, "text"):
             file = file or File(binfiles.new_file(folder, ".s8b"))
             ids, count = encoder.encode(W.texts_of(batch.column("text")))
