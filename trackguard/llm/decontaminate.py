@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -138,8 +139,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", mode: str
 
 
 def _cut_udf() -> Callable:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(text: pd.Series, hit: pd.Series) -> pd.Series:
         out = []
