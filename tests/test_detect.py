@@ -9,31 +9,32 @@ from trackguard.operators import detectors as DE, features as FE
 from trackguard.operators.params import DetectorParams
 from trackguard.plans import tables as T
 from trackguard.plans.q_detect import SCALED
-from trackguard.streaming.car_rules import car_tick, new_car
+from trackguard.streaming.marks import CARRIED, mark
 
-CARS, REF = ["1", "16", "44", "63"], 250.0
+FIELD, PACE = ["5", "21", "30", "87", "99"], 240.0
 SCHEMA = ("race string, drv string, tick int, t double, speed double, x double, y double, msector int, in_pit boolean, brake boolean, "
           "lat_off double, heading_err double, ref_speed double, track_status string, suspended boolean, field_slow double")
 
 
-def scene(seconds=40.0, change=None):
-    """Four cars at 250 km/h in sector 5; `change(row)` edits rows in place."""
-    rows = []
-    for i, d in enumerate(CARS):
-        for k in range(int(seconds * 4)):
-            r = {"race": "R", "drv": d, "tick": k, "t": k / 4, "speed": REF, "x": k * 17.5 + 100 * i, "y": 0.0, "msector": 5, "in_pit": False,
-                 "brake": False, "lat_off": 0.2, "heading_err": 1.0, "ref_speed": REF, "track_status": "1", "suspended": False, "field_slow": 0.0}
-            if change:
-                change(r)
-            rows.append(tuple(r.values()))
-    return rows
+def lap_of(n_ticks=140, edit=None):
+    """Five cars at an even pace in sector 7, one row per car and tick; `edit(row, seconds)` changes rows in place."""
+    out = []
+    for tick in range(n_ticks):
+        for place, drv in enumerate(FIELD):
+            row = dict(race="T1", drv=drv, tick=tick, t=tick / 4, speed=PACE, x=16.7 * tick + 80.0 * place, y=3.0, msector=7, in_pit=False, brake=False,
+                       lat_off=-0.5, heading_err=2.0, ref_speed=PACE, track_status="1", suspended=False, field_slow=0.0)
+            if edit:
+                edit(row, tick / 4)
+            out.append(tuple(row.values()))
+    return out
 
 
-def crash(drv, at, sector=5):
-    def change(r):
-        if r["drv"] == drv and r["t"] >= at:
-            r["speed"], r["msector"] = (60.0 if r["t"] < at + 0.75 else 0.0), sector
-    return change
+def into_the_wall(drv, when, sector=7):
+    """From pace to a crawl in one tick, at rest a second later."""
+    def edit(row, s):
+        if row["drv"] == drv and s >= when:
+            row["speed"], row["msector"] = (45.0 if s < when + 1 else 0.0), sector
+    return edit
 
 
 def frame(spark, rows):
@@ -42,108 +43,104 @@ def frame(spark, rows):
     keep = df.select("race", "drv", "tick", F.col("suspended").alias("s"), F.col("field_slow").alias("fs"))
     df = FE.field_state(df.withColumns({"throttle": F.lit(100.0), "lat_off_abs": F.abs("lat_off"), "brake_throttle": F.lit(0.0)}).drop("suspended", "field_slow"))
     df = df.drop("suspended", "field_slow").join(keep, ["race", "drv", "tick"]).withColumnsRenamed({"s": "suspended", "fs": "field_slow"})
-    df = df.withColumn("lap_ratio", F.least(F.col("speed") / REF, F.lit(1.1)))
+    df = df.withColumn("lap_ratio", F.least(F.col("speed") / PACE, F.lit(1.1)))
     kept = df.select("race", "drv", "tick", F.col("heading_err").alias("h"))
     return FE.windows(df.drop("heading_err")).join(kept, ["race", "drv", "tick"]).withColumnRenamed("h", "heading_err")
 
 
-def found(spark, rows, **kw):
-    return DE.detect(frame(spark, rows), n_sectors=10, **kw).orderBy("id").collect()
+def kinds(spark, rows, **kw):
+    """(kind, car, second) of every detection."""
+    return [(d["type"], d["drivers"], d["t"]) for d in DE.detect(frame(spark, rows), n_sectors=12, **kw).orderBy("id").collect()]
 
 
-def test_quiet_race(spark):
-    assert found(spark, scene()) == []
+def test_an_even_field_is_silent(spark):
+    assert kinds(spark, lap_of(60)) == []
 
 
-def test_crash_gives_one_impact_and_one_stop(spark):
-    dets = found(spark, scene(change=crash("44", 20.0)))
-    kinds = [d["type"] for d in dets]
-    assert kinds.count("IMPACT") == 1 and kinds.count("STOPPED") == 1 and set(kinds) <= {"IMPACT", "STOPPED", "SPIN"}
-    assert all(d["drivers"] == ["44"] and 20 <= d["t"] <= 23 for d in dets)
+def test_a_wall_is_one_impact_and_one_stop(spark):
+    got = kinds(spark, lap_of(edit=into_the_wall("87", 12.5)))
+    assert sorted(k for k, _, _ in got if k != "SPIN") == ["IMPACT", "STOPPED"]
+    assert all(cars == ["87"] and 12.5 <= s <= 16 for _, cars, s in got)
 
 
-def test_grid_and_suspension_stay_quiet(spark):
-    def grid(r):
-        if r["t"] < 30:
-            r["speed"], r["field_slow"] = 0.0, 1.0
-    assert found(spark, scene(change=grid)) == []
+def test_standing_fields_and_suspensions_are_no_incident(spark):
+    def formation(row, s):
+        if s < 22:
+            row["speed"], row["field_slow"] = 0.0, 1.0
+    assert kinds(spark, lap_of(130, formation)) == []
 
-    def red(r):
-        crash("44", 20.0)(r)
-        r["suspended"] = True
-    assert found(spark, scene(change=red)) == []
+    def stopped_race(row, s):
+        into_the_wall("21", 9.0)(row, s)
+        row["suspended"] = True
+    assert kinds(spark, lap_of(edit=stopped_race)) == []
 
 
-def test_dropout_when_data_stops_at_speed(spark):
-    def lose(r):
-        if r["drv"] == "63" and r["t"] >= 30:
-            r["speed"] = r["x"] = r["y"] = None
-    dets = found(spark, scene(change=lose))
-    assert [(d["type"], d["drivers"], d["t"]) for d in dets] == [("DROPOUT", ["63"], 31.75)]
+def test_a_car_that_falls_silent_at_speed(spark):
+    def silence(row, s):
+        if row["drv"] == "99" and s >= 18:
+            row["speed"] = row["x"] = row["y"] = None
+    assert kinds(spark, lap_of(100, silence)) == [("DROPOUT", ["99"], 19.75)]
 
 
-def test_two_cars_in_one_place_give_one_multi(spark):
-    def both(r):
-        crash("44", 20.0, 5)(r)
-        crash("16", 21.0, 6)(r)
-    multi = [d for d in found(spark, scene(change=both)) if d["type"] == "MULTI"]
-    assert len(multi) == 1 and multi[0]["drivers"] == ["16", "44"]
+def test_neighbouring_crashes_are_one_incident(spark):
+    def pile(row, s):
+        into_the_wall("30", 14.0, 3)(row, s)
+        into_the_wall("5", 15.25, 4)(row, s)
+    assert [cars for k, cars, _ in kinds(spark, lap_of(edit=pile)) if k == "MULTI"] == [["30", "5"]]
 
 
-def test_pit_limiter_on_a_straight_is_no_stop(spark):
-    def limiter(r):
-        r["ref_speed"] = r["speed"] = 325.0
-        if r["drv"] == "44" and r["t"] >= 20:
-            r["speed"] = 78.0
-    assert not [d for d in found(spark, scene(change=limiter)) if d["type"] == "STOPPED"]
+def test_a_slow_pit_car_beside_fast_ones_has_not_stopped(spark):
+    def limited(row, s):
+        row["ref_speed"] = row["speed"] = 310.0
+        if row["drv"] == "21" and s >= 11:
+            row["speed"] = 79.0
+    assert "STOPPED" not in {k for k, _, _ in kinds(spark, lap_of(edit=limited))}
 
 
-def test_braking_within_the_second_is_no_impact(spark):
-    def brakes(r):
-        if r["drv"] == "44" and r["t"] >= 20:
-            step = min(3, int((r["t"] - 20) * 4))
-            r["speed"] = REF - 40.0 * step
-            r["brake"] = r["t"] < 20.75
-    assert not [d for d in found(spark, scene(change=brakes)) if d["type"] == "IMPACT"]
+def test_hard_braking_is_no_impact(spark):
+    def corner(row, s):
+        if row["drv"] == "30" and s >= 16:
+            row["speed"], row["brake"] = PACE - 38.0 * min(3, int((s - 16) * 4)), s < 16.75
+    assert "IMPACT" not in {k for k, _, _ in kinds(spark, lap_of(edit=corner))}
 
 
-def test_lap_to_the_grid_after_a_red_flag_is_not_racing(spark):
-    def red(r):
-        r["suspended"] = r["t"] < 80
-        crash("44", 100.0)(r)
-    assert found(spark, scene(130.0, red)) == []
+def test_the_way_back_to_the_grid_is_no_racing(spark):
+    def restart(row, s):
+        row["suspended"] = s < 72
+        into_the_wall("5", 88.0)(row, s)
+    assert kinds(spark, lap_of(460, restart)) == []
 
 
-def test_nothing_after_the_chequered_flag(spark):
-    df = frame(spark, scene(change=crash("44", 20.0))).withColumn("after_chequered", F.col("t") > 10)
-    assert DE.detect(df, n_sectors=10).collect() == []
+def test_the_flag_ends_it(spark):
+    df = frame(spark, lap_of(edit=into_the_wall("87", 12.5))).withColumn("after_chequered", F.col("t") > 7)
+    assert DE.detect(df, n_sectors=12).collect() == []
 
 
-def test_baseline_fires_on_a_slow_car(spark):
-    dets = DE.naive(frame(spark, scene(change=crash("44", 20.0)))).collect()
-    assert [(d["drivers"], d["t"]) for d in dets] == [(["44"], 21.75)]
-
-
-def rules_one_by_one(rows, p):
-    cars, out = {}, []
-    for r in sorted(rows, key=lambda r: (r["tick"], r["drv"])):
-        for kind, sector, sev in car_tick(cars.setdefault((r["race"], r["drv"]), new_car()), r, p):
-            out.append((r["race"], r["drv"], r["tick"], kind, sector, round(min(1.0, max(0.0, sev)), 2)))
-    return sorted(out)
+def test_the_baseline_sees_a_slow_car(spark):
+    got = DE.naive(frame(spark, lap_of(edit=into_the_wall("99", 20.0)))).collect()
+    assert [(d["drivers"], d["t"]) for d in got] == [(["99"], 21.0)]
 
 
 @pytest.mark.parametrize("chunk", [32, 4096])
-def test_windows_and_fold_equal_the_rules_row_by_row(spark, chunk):
-    """Every car of the tables, in one chunk and in chunks of 8 s that runs, latches and cooldowns cross."""
+def test_windows_and_fold_equal_the_rows_marked_one_by_one(spark, chunk):
+    """Every car of the tables, in one chunk and in chunks of 8 s that runs, latches and cooldowns cross: the batch finds what the stream's
+    marks and the shared step find, headings and evidence included."""
     df = T.features(spark, "/root/testdata/sf0.01")
-    p = SCALED
-    rows = [r.asDict() for r in df.select("race", "drv", "tick", "t", "speed", "rel_ratio", "lap_ratio", "lat_off", "in_pit", "msector", "suspended",
-                                          "field_slow", "field_ratio", "live_share", "brake", "dspeed_1s", "dspeed_min_2s", "track_status",
-                                          "heading_err").collect()]
-    got = DE.car_fold(DE.car_events(df, p, chunk=chunk), p, chunk=chunk)
-    got = sorted((r["race"], r["drv"], r["tick"], r["kind"], r["msector"], r["severity"]) for r in got.collect())
-    want = rules_one_by_one(rows, p)
-    assert len(want) > 200 and got == want
+    rng = F.xxhash64("race", "drv", "tick") % 97
+    df = df.withColumn("heading_err", F.when(rng == 5, F.lit(60.0)).otherwise(F.lit(3.0)))
+    got = DE.car_fold(DE.car_events(df, SCALED, chunk=chunk), SCALED, chunk=chunk)
+    cols = ("race", "drv", "tick", "kind", "msector", "severity", "evidence")
+    got = sorted(tuple(r[c] for c in cols) for r in got.collect())
+    given = [c for c in CARRIED if c in df.columns]
+    rows = df.select("race", "drv", "tick", *given, *[c.alias(n) for n, c in DE.conditions(df.columns, SCALED).items()]).orderBy("race", "drv", "tick").collect()
+    want, cars = [], {}
+    for r in rows:
+        key = (r["race"], r["drv"])
+        marks, state = cars.setdefault(key, ({}, {}))
+        state, made = DE.car_step(SCALED)(state, [mark(marks, {**dict.fromkeys(CARRIED), **r.asDict()}, SCALED)])
+        cars[key] = (marks, state)
+        want += [(*key, *(m[c] for c in cols[2:])) for m in made]
+    assert len(want) > 200 and got == sorted(want) and any("heading" in w[-1] for w in want)
 
 
 def test_removing_the_future_changes_nothing_before_it(spark, sf):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trackguard.operators import escalation as ES, exposure as EX, geometry as GE, incidents as IN, live as LI, onset as ON
+from trackguard.operators import escalation as ES, exposure as EX, geometry as GE, incidents as IN, live as LI, onset as ON, scoring as SC
 
 L = 1000.0
 
@@ -177,3 +177,29 @@ def test_call_log_order_and_confirmation(spark):
         got = [(c["t"], c["call"], c["scope"], c["cars"], c["lead_s"]) for c in LI.call_log(r, off, dets, 10, size).orderBy("t").collect()]
         assert got == [(10.0, "raise", "5", "7", None), (14.0, "raise", "TRACK", "7", None), (20.0, "confirm", "5", None, 10.0),
                        (40.0, "confirm", "TRACK", None, 26.0), (90.0, "clear", "TRACK", None, None)]
+
+
+def test_positions_without_a_line_come_back_empty(spark):
+    """Races without reference points, unknown positions and endless ones are not searched and not lost."""
+    ref = spark.createDataFrame([("R", i, 5.0 * i, 5.0 * i, 0.0) for i in range(40)], "race string, i int, dist double, x double, y double")
+    inf, nan = float("inf"), float("nan")
+    pts = [("R", 1, 52.0, 1.0), ("Q", 2, 52.0, 1.0), ("R", 3, None, 1.0), ("R", 4, nan, 1.0), ("R", 5, inf, 1.0), ("R", 6, 1e12, 2.0), (None, 7, 1.0, 1.0)]
+    df = spark.createDataFrame(pts, "race string, k int, x double, y double")
+    got = {r["k"]: (r["dist"], r["lat_off"]) for r in GE.project(df, ref, ["race"], F.lit(400.0)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7] and abs(got[1][0] - 52.0) < 1e-6 and abs(got[1][1] - 1.0) < 1e-6 and got[6][0] is not None
+    assert all(got[k] == (None, None) for k in (2, 3, 4, 5, 7))
+
+
+def test_settings_that_detect_nothing_are_scored(spark):
+    """A candidate without detections in a race, or anywhere, misses that race's incidents."""
+    rows = [(r, "1", k, k / 4, 200.0, False, 3) for r in "AB" for k in range(80)]
+    df = spark.createDataFrame(rows, "race string, drv string, tick int, t double, speed double, suspended boolean, msector int").withColumn("in_pit", F.lit(False))
+    inc = spark.createDataFrame([(r, 1, 10.0, 12.0, "YELLOW", [3], False) for r in "AB"], "race string, incident int, t double, t_last double, top_flag string, sectors array<int>, track_wide boolean")
+    dets = spark.createDataFrame([(0, "A", "d1", 9.0, ["1"], 3, "SPIN", 0.5), (0, "B", "d2", 9.0, ["1"], 3, "SPIN", 0.5), (1, "A", "d3", 9.0, ["1"], 3, "SPIN", 0.5)],
+                                 "cand int, race string, id string, t double, drivers array<string>, msector int, type string, severity double")
+    systems = spark.createDataFrame([(0,), (1,), (2,)], "cand int")
+    s = SC.incident_scores(df, inc, dets, 20, ["cand", "race"], systems=systems)
+    assert {(r["cand"], r["race"]): r["matched"] for r in s.collect()} == {(c, r): (c, r) in ((0, "A"), (0, "B"), (1, "A")) for c in range(3) for r in "AB"}
+    found = SC.false_alarms(SC.alerts(dets, ["cand", "race"]), inc, 20, ["cand", "race"])
+    got = SC.race_summary(s, found, SC.race_hours(df), ["cand", "race"], systems).collect()
+    assert len(got) == 6 and all(r["hours"] > 0 for r in got) and SC.choose(SC.race_summary(s, found, SC.race_hours(df), ["cand", "race"], systems), 99.0, []).first()["cand"] == 0

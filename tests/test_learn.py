@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trackguard.functions.stats import average_precision
+from trackguard.functions.stats import average_precision, exact_quantiles_of
 from trackguard.operators import anomaly as AN, risk as RI
 
 
@@ -30,7 +30,7 @@ def test_rows_an_unattributed_incident_may_be_about_are_dropped(spark):
 
 
 def test_odds_correction_is_monotone(spark):
-    p = [r["c"] for r in spark.range(1, 100).select(RI.correct(F.col("id") / 100.0).alias("c")).orderBy("id").collect()]
+    p = [r["c"] for r in spark.range(1, 100).select(RI.correct(F.col("id") / 100.0, 0.03).alias("c")).orderBy("id").collect()]
     assert p == sorted(p) and abs(p[49] - 0.03 / 1.03) < 1e-12
 
 
@@ -57,13 +57,16 @@ def test_outliers_score_higher(spark):
     assert forest.feature.shape[0] == 40
 
 
-def test_sample_is_bounded_per_race_and_repeatable(spark):
+def test_trees_draw_from_all_rows(spark):
     df = spark.range(4000).select(F.concat(F.lit("R"), (F.col("id") % 2).cast("string")).alias("race"), F.lit("1").alias("drv"), F.col("id").cast("int").alias("tick"),
                                   F.lit("1").alias("track_status"), F.lit(False).alias("in_pit"), F.lit(False).alias("suspended"), F.lit(0.0).alias("field_slow"),
                                   F.lit(200.0).alias("speed"), *[F.lit(1.0).alias(c) for c in AN.FEATURES])
-    a, b = (AN.normal_sample(df, 300) for _ in range(2))
-    assert {r["race"]: r["count"] for r in a.groupBy("race").count().collect()} == {"R0": 300, "R1": 300}
-    assert a.exceptAll(b).isEmpty()
+    rows = AN.normal_rows(df)
+    assert rows.count() == 4000
+    for trees, per_tree in ((3, 200), (40, 500), (2, 9000)):        # one draw a row, a draw for each tree, and fewer rows than asked
+        a, b = (AN.tree_rows(rows, 4000, trees, per_tree, 1) for _ in range(2))
+        assert [r["count"] for r in a.groupBy("tree").count().collect()] == [min(per_tree, 4000)] * trees
+        assert a.exceptAll(b).isEmpty() and a.select("race").distinct().count() == 2
 
 
 def test_forecast_finds_the_signal(spark):
@@ -83,3 +86,36 @@ def test_forecast_finds_the_signal(spark):
     low = [by[r["tick"]] for r in rows.filter("speed > 80").collect()]
     assert min(r["risk_30s"] for r in high) > max(r["risk_30s"] for r in low)
     assert all(r["top_features"][:1] == ["speed"] for r in high)
+
+
+def test_prediction_keeps_the_rows_and_the_base_rate(spark):
+    """Whether or not negatives were left out in training, the mean prediction is near the share of positives."""
+    rows = spark.range(6000).select(
+        F.lit("R").alias("race"), F.lit("1").alias("drv"), F.col("id").cast("int").alias("tick"), (F.rand(1) * 300).alias("speed"),
+        F.when(F.rand(3) < 0.5, F.rand(2)).alias("lap_ratio"), F.lit("1").alias("track_status"), F.rand(5).alias("_u"))
+    rows = rows.withColumn("y30", ((F.col("speed") < 60) & (F.col("_u") < 0.7)).cast("int"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    base = rows.agg(F.avg("y30")).first()[0]
+    for keep in (F.lit(True), (F.col("y30") == 1) | (F.col("tick") % 10 == 0)):
+        given = rows.withColumn("train_keep", keep)
+        model = RI.fit(given, 30, iterations=60, min_rows=20)
+        out = RI.predict(given, model, "p")
+        assert abs(out.agg(F.avg("p")).first()[0] - base) < 0.25 * base
+        assert out.drop("p").exceptAll(given).isEmpty() and out.count() == 6000
+
+
+def test_columns_without_values_have_no_quantiles(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    assert exact_quantiles_of(df, ["a", "b"], [0.5]) == {"a": [2.0], "b": [None]}
+    assert exact_quantiles_of(df.limit(0), ["a"], [0.1, 0.9]) == {"a": [None, None]}
+
+
+def test_average_precision_of_crowded_scores(spark):
+    """Most scores lie close to zero, one far out: the result is that of the plain sum."""
+    rows = [(int(k % 7 == 0), 1e-9 * k) for k in range(3000)] + [(1, 1e6), (0, 0.5)]
+    got = average_precision(spark.createDataFrame(rows, "y int, s double"), "y", "s").first()
+    seen = hits = total = 0
+    for y, _ in sorted(rows, key=lambda r: -r[1]):
+        seen, hits = seen + 1, hits + y
+        total += y * hits / seen
+    assert abs(got["pr_auc"] - total / sum(y for y, _ in rows)) < 1e-9

@@ -14,8 +14,8 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_streamed_detections_equal_the_batch(spark):
-    got = sorted((r["race"], r["drv"], r["tick"], r["kind"], r["msector"], r["severity"]) for r in catalog.QUERIES["e15_streaming_detection"](spark, SF).collect())
-    want = sorted((r["race"], r["drivers"][0], r["tick"], r["type"], r["msector"], r["severity"]) for r in T.detections(spark, SF).filter("type <> 'MULTI'").collect())
+    got = sorted((r["race"], r["drv"], r["tick"], r["kind"], r["msector"], r["severity"], r["evidence"]) for r in catalog.QUERIES["e15_streaming_detection"](spark, SF).collect())
+    want = sorted((r["race"], r["drivers"][0], r["tick"], r["type"], r["msector"], r["severity"], r["evidence"]) for r in T.detections(spark, SF).filter("type <> 'MULTI'").collect())
     assert len(want) > 100 and got == want
 
 

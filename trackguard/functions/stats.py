@@ -7,17 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from trackguard.functions.timeline import running
+from trackguard.session import stored
 
 SLOTS = 4096
+SLICES = 256
 SMALL = 100_000
 
 
 def exact_quantiles_of(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float]]:
     """Quantiles of every column, with linear interpolation between order statistics. Each round counts
     the values per slot of the range an order statistic lies in, for all of them in one pass, and goes
-    on inside the slot that holds it; ranges of at most SMALL values are settled by sorting."""
+    on inside the slot that holds it; ranges of at most SMALL values are settled by sorting. A column without
+    values has no quantiles: None."""
     df = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     first = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    empty, cols = [c for c in cols if not first[f"n_{c}"]], [c for c in cols if first[f"n_{c}"]]
     rank = {(c, q): (first[f"n_{c}"] - 1) * q for c in cols for q in qs}
     want = {}                                   # (column, k) -> [k inside the range, low, high]
     for (c, _), r in rank.items():
@@ -47,7 +51,7 @@ def exact_quantiles_of(df: DataFrame, cols: Sequence[str], qs: Sequence[float])
         inside = [F.sort_array(F.collect_list(F.when(F.col(c).between(lo, hi), F.col(c)))) for (c, _), (_, lo, hi, _) in last.items()]
         row = df.agg(*[F.get(a, F.lit(w[0])).alias(f"v{i}") for i, (a, w) in enumerate(zip(inside, last.values()))]).first()
         values |= {t: row[f"v{i}"] for i, t in enumerate(last)}
-    out = {}
+    out: dict[str, list[float | None]] = {c: [None] * len(qs) for c in empty}
     for c in cols:
         out[c] = []
         for q in qs:
@@ -63,15 +67,17 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float]
 
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the precision-recall steps, ties in score taken together: (by, pr_auc, base_rate, n).
-    Rows are counted per score first; the running counts go bucket by bucket down the score range."""
+    Rows are counted per score first; the running counts go slice by slice down the score range, whose slices
+    hold about equally many different scores."""
     by = list(by)
     keys = by or ["_all"]
     df = df.filter(F.col(score).isNotNull()).withColumn("_all", F.lit(0))
     each = df.groupBy(*keys, (-F.col(score).cast("double")).alias("_s")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos"))
-    lo, hi = each.agg(F.min("_s"), F.max("_s")).first()
-    width = ((hi - lo) / 1024) if lo is not None and hi > lo else 1.0
-    run = running(each, keys, F.floor(F.col("_s") / width), ["_s"], sums={"_cn": F.col("_n"), "_cp": F.col("_pos")})
+    each = stored(each)
+    bounds = each.agg(F.percentile_approx("_s", [k / SLICES for k in range(1, SLICES)], 10 * SLICES)).first()[0] or []
+    slices = F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]), lambda b: b < F.col("_s"))) if bounds else F.lit(0)
+    run = running(each, keys, slices, ["_s"], sums={"_cn": F.col("_n"), "_cp": F.col("_pos")})
     whole = each.groupBy(*keys).agg(F.sum("_pos").alias("_p"), F.sum("_n").alias("_all_n"))
     out = run.join(whole, keys).groupBy(*keys).agg(
         F.sum(F.try_divide("_pos", "_p") * F.col("_cp") / F.col("_cn")).alias("pr_auc"),

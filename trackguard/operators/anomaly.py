@@ -20,7 +20,7 @@ from trackguard.session import stored
 # fixed values: the score's input columns
 FEATURES = ["rel_ratio", "rel_ratio_min_2s", "lap_ratio", "lap_ratio_min_2s", "dspeed_1s", "dspeed_min_2s",
             "lat_abs_max_2s", "lat_off_std_2s", "throttle_std_2s", "brake_throttle_2s", "heading_err"]
-TREES, ROWS_PER_TREE, SAMPLE_PER_RACE = 200, 512, 40_000
+TREES, ROWS_PER_TREE = 200, 512
 QUANTILES = (0.999, 0.9995, 0.9999, 0.99995, 0.99999)
 THRESHOLD_Q = 0.99995
 
@@ -40,19 +40,30 @@ def is_normal(df: DataFrame, crawl: float = 0.1) -> Column:
     return ok & F.col("x").isNotNull() if "x" in df.columns else ok
 
 
-def normal_sample(df: DataFrame, per_race: int = SAMPLE_PER_RACE, crawl: float = 0.1) -> DataFrame:
-    """At most `per_race` normal rows of each race, by the order of a hash. A share a little above the
-    need is cut by the hash value first, so the ranking sees a bounded number of rows per race."""
-    rows = with_inputs(df).filter(is_normal(df, crawl)).withColumn("_h", F.pmod(F.xxhash64("race", "drv", "tick"), F.lit(1 << 40)))
-    n = rows.groupBy("race").agg(F.count(F.lit(1)).alias("_n"))
-    share = (per_race + 10 * math.sqrt(per_race)) / F.col("_n")
-    rows = rows.join(n, "race").filter(F.col("_h") < share * float(1 << 40))
-    rank = F.row_number().over(W.partitionBy("race").orderBy("_h", "drv", "tick"))
-    return rows.withColumn("_r", rank).filter(F.col("_r") <= per_race).select("race", "drv", "tick", *FEATURES)
+def normal_rows(df: DataFrame, crawl: float = 0.1) -> DataFrame:
+    """All normal rows: medians and alert thresholds are taken over them, and the trees draw from them."""
+    return with_inputs(df).filter(is_normal(df, crawl)).select("race", "drv", "tick", *FEATURES)
+
+
+def tree_rows(rows: DataFrame, n: int, trees: int, per_tree: int, seed: int) -> DataFrame:
+    """(tree, _r, ...): `per_tree` of the n rows for each tree (all, if there are fewer). A row draws by hash, a
+    share a little above the need, and a tree keeps the first of its rows in hash order, so what is ranked does
+    not grow with the data. With many rows one draw gives a row its tree, or none; with few, a row may be in
+    several trees and draws for each."""
+    share, big = min(1.0, (per_tree + 10 * math.sqrt(per_tree)) / max(n, 1)), float(1 << 40)
+    if share * trees <= 1:
+        one = F.pmod(F.xxhash64("race", "drv", "tick", F.lit(seed)), F.lit(1 << 40))
+        rows = rows.withColumn("tree", F.floor(one / (share * big)).cast("int")).filter(F.col("tree") < trees)
+    else:
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("race", "drv", "tick", t, F.lit(seed)), F.lit(1 << 40)) < share * big)
+        rows = rows.withColumn("tree", F.explode(drawn))
+    order = W.partitionBy("tree").orderBy(F.xxhash64("race", "drv", "tick", "tree", F.lit(seed)), "race", "drv", "tick")
+    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_tree)
 
 
 def medians(df: DataFrame) -> dict[str, float]:
-    return {c: v[0] for c, v in exact_quantiles_of(df, FEATURES, [0.5]).items()}
+    """Of every input; an input without any value counts as 0."""
+    return {c: 0.0 if v[0] is None else v[0] for c, v in exact_quantiles_of(df, FEATURES, [0.5]).items()}
 
 
 def path_norm(n: float) -> float:
@@ -111,20 +122,16 @@ def forest_score(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, path: np.n
     return 2.0 ** (-total / len(feature) / path_norm(rows))
 
 
-def train(sample: DataFrame, trees: int = TREES, per_tree: int = ROWS_PER_TREE, seed: int = 0,
+def train(normal: DataFrame, trees: int = TREES, per_tree: int = ROWS_PER_TREE, seed: int = 0,
           quantiles: tuple[float, ...] = QUANTILES) -> Forest:
-    """Grows the forest on a sample of normal rows. Every row draws the trees it belongs to by hash; a
-    tree keeps the first `per_tree` of its rows in hash order."""
-    sample = stored(sample)
-    n = sample.count()
-    fill = medians(sample)
+    """Grows the forest. `per_tree` rows a tree is the published algorithm; everything else sees all rows."""
+    normal = stored(normal)
+    n = normal.count()
+    if not n:
+        raise ValueError("no normal rows to learn from")
+    fill = medians(normal)
     limit = max(1, math.ceil(math.log2(max(2, min(per_tree, n)))))
-    share = min(1.0, (per_tree + 10 * math.sqrt(per_tree)) / max(n, 1))
-    big = 1 << 40
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("race", "drv", "tick", t, F.lit(seed)), F.lit(big)) < share * big)
-    rows = sample.fillna(fill).withColumn("tree", F.explode(drawn))
-    order = W.partitionBy("tree").orderBy(F.xxhash64("race", "drv", "tick", "tree", F.lit(seed)), "race", "drv", "tick")
-    rows = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_tree).select("tree", "_r", *FEATURES)
+    rows = tree_rows(normal.fillna(fill), n, trees, per_tree, seed).select("tree", "_r", *FEATURES)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -139,7 +146,7 @@ def train(sample: DataFrame, trees: int = TREES, per_tree: int = ROWS_PER_TREE,
     at = (nodes["tree"].to_numpy(), nodes["place"].to_numpy())
     feature[at], cut[at], path[at] = nodes["feature"], nodes["cut"], nodes["path"]
     forest = Forest(feature, cut, path, int(nodes["n"].max()), fill, {})
-    scored = stored(attach_scores(sample, forest).select("anomaly_score"))
+    scored = stored(attach_scores(normal, forest).select("anomaly_score"))
     forest.quantiles = dict(zip(quantiles, exact_quantiles(scored, "anomaly_score", quantiles)))
     return forest
 
@@ -162,10 +169,10 @@ def attach_scores(df: DataFrame, forest: Forest) -> DataFrame:
 
 def leave_one_race_out(df: DataFrame, races: list[str], crawl: float = 0.1, **settings) -> DataFrame:
     """Every race scored by a forest grown on the other races; adds the threshold of that forest."""
-    sample = stored(normal_sample(df, crawl=crawl))
+    normal = stored(normal_rows(df, crawl=crawl))
     parts = []
     for race in races:
-        forest = train(sample.filter(F.col("race") != race), **settings)
+        forest = train(normal.filter(F.col("race") != race), **settings)
         q = max(forest.quantiles)
         parts.append(attach_scores(df.filter(F.col("race") == race), forest).withColumn("threshold", F.lit(forest.quantiles[q])))
     out = parts[0]

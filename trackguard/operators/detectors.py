@@ -14,6 +14,8 @@ How a row counts for a car's rules (rows after the chequered flag are left out):
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.functions.ring import near_sector
@@ -37,6 +39,23 @@ def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def conditions(have: Collection[str], p: DetectorParams, s: Swept | None = None, anomaly_threshold: float | None = None) -> dict[str, Column]:
+    """What a row says by itself, before any look back. Batch and stream start from these same columns."""
+    s = s or Swept(p)
+    ratio, lap, speed, drop = F.col("rel_ratio"), F.col("lap_ratio"), F.col("speed"), -F.col("dspeed_1s")
+    heading = F.col("heading_err") if "heading_err" in have else F.lit(None).cast("double")
+    live = speed.isNotNull() & (F.col("x").isNotNull() if "x" in have else F.lit(True))
+    slower = F.lit(True) if p.anomaly_slow_ratio is None else _true(F.least(ratio, F.coalesce(lap, F.lit(9.0))) < p.anomaly_slow_ratio)
+    return {
+        "on_track": live & ~F.col("in_pit") & ~F.col("suspended"), "pit": live & F.col("in_pit") & ~F.col("suspended"),
+        "hard": _true(drop >= p.impact_hard_kmh), "fell": _true(drop >= s.value("impact_drop_kmh")), "weak": _true(ratio < p.impact_end_ratio),
+        "slow": _true((ratio < s.value("stop_ratio")) & (lap.isNull() | (lap < p.stop_lap_ratio))), "creeping": _true(speed < p.stop_max_kmh),
+        "fast": _true(ratio > p.recover_ratio), "turned": _true((heading > p.spin_heading_deg) & (speed > p.spin_min_kmh) & (drop >= p.spin_loss_kmh)),
+        "off": _true(F.abs("lat_off") > p.spin_lat_m), "low": _true((lap < s.value("slowdown_lap_ratio")) & (ratio < s.value("slowdown_rel_ratio"))),
+        "sank": _true(-F.col("dspeed_min_2s") >= p.slowdown_loss_kmh), "green": _true(F.col("track_status").isin("1", "2")),
+        "odd": F.lit(False) if anomaly_threshold is None else slower & _true(F.col("anomaly_score") >= anomaly_threshold)}
+
+
 def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str, ...] = (), keys: list[str] = CAR,
                anomaly_threshold: float | None = None, chunk: int = CHUNK_TICKS) -> DataFrame:
     """Dense car rows reduced to the rows on which a rule may fire, a latch may open or an impact may be settled."""
@@ -46,21 +65,17 @@ def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str,
     gate_rows = race_gates(df, p, chunk).select("race", "tick", "grid", "live_share")
     rows = df.select(*keys, "tick", *have, *[f"p_{n}" for n in swept])
     rows = rows.join(F.broadcast(gate_rows) if is_small(gate_rows) else gate_rows, ["race", "tick"])
-    ratio, lap, speed = F.col("rel_ratio"), F.col("lap_ratio"), F.col("speed")
+    speed = F.col("speed")
     heading = F.col("heading_err") if "heading_err" in have else F.lit(None).cast("double")
-    live = speed.isNotNull() & (F.col("x").isNotNull() if "x" in have else F.lit(True))
-    on_track = live & ~F.col("in_pit") & ~F.col("suspended")
-    drop = -F.col("dspeed_1s")
+    c = conditions(have, p, s, anomaly_threshold)
 
     # what looks back a bounded time, in one pass
     second = int(p.impact_brake_window_s * TICKS_PER_S)
-    rows = rows.withColumns({"active": on_track & ~F.col("grid"), "pit": live & F.col("in_pit") & ~F.col("suspended"),
-                             "frozen": on_track & F.col("grid")})
+    rows = rows.withColumns({"active": c["on_track"] & ~F.col("grid"), "pit": c["pit"], "frozen": c["on_track"] & F.col("grid")})
     rows = with_history(rows, second + NEAR_TRIGGER, chunk)
     w = in_chunk(keys)
     rows = rows.withColumn("braked", F.max(F.when(F.col("active") & F.col("brake"), 1)).over(w.rangeBetween(-second, 0)).isNotNull())
-    hard = _true(drop >= p.impact_hard_kmh)
-    soft = _true((drop >= s.value("impact_drop_kmh")) & (~F.col("braked") | (ratio < p.impact_end_ratio)))
+    hard, soft = c["hard"], c["fell"] & (~F.col("braked") | c["weak"])
     rows = rows.withColumns({"trigger": F.col("active") & (hard | soft), "hard": hard})
     away = F.col("grid") | F.col("suspended") | (F.col("live_share") < p.field_live_min)
     rows = rows.withColumns({
@@ -73,24 +88,17 @@ def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str,
     rows = own_rows(rows, chunk, keep_chunk=True)
 
     # runs over the whole time line
-    slow = _true((ratio < s.value("stop_ratio")) & (lap.isNull() | (lap < p.stop_lap_ratio)))
-    turned = _true((heading > p.spin_heading_deg) & (speed > p.spin_min_kmh) & (drop >= p.spin_loss_kmh))
-    off = _true(F.abs("lat_off") > p.spin_lat_m)
-    low = _true((lap < s.value("slowdown_lap_ratio")) & (ratio < s.value("slowdown_rel_ratio")))
-    lost = _true(-F.col("dspeed_min_2s") >= p.slowdown_loss_kmh)
+    slow, turned, off, low = c["slow"], c["turned"], c["off"], c["low"]
     never = F.lit(None).cast("boolean")
     active, pit = F.col("active"), F.col("pit")
     starts = {
         "slow_since": F.when(F.col("frozen"), never).otherwise(active & slow),
         "spin_since": F.when(F.col("frozen"), never).otherwise(active & (turned | off)),
-        "fade_since": F.when(active & low, F.when(lost, F.lit(True))).when(active | pit, F.lit(False)),
-        "fast_since": F.when(active, _true(ratio > p.recover_ratio))}
-    racing = active & F.col("track_status").isin("1", "2")
+        "fade_since": F.when(active & low, F.when(c["sank"], F.lit(True))).when(active | pit, F.lit(False)),
+        "fast_since": F.when(active, c["fast"])}
+    racing = active & c["green"]
     if anomaly_threshold is not None:
-        slower = F.lit(True) if p.anomaly_slow_ratio is None else _true(
-            F.least(ratio, F.coalesce(lap, F.lit(9.0))) < p.anomaly_slow_ratio)
-        strange = slower & _true(F.col("anomaly_score") >= anomaly_threshold)
-        starts["odd_since"] = F.when(racing, strange).when(pit, F.lit(False))
+        starts["odd_since"] = F.when(racing, c["odd"]).when(pit, F.lit(False))
     here = F.struct(F.col("tick"), speed.alias("speed"), F.col("in_pit"), F.col("msector"))
     rows = running(rows, keys, F.col("_chunk"), ["tick"], starts=starts,
                    lasts={"seen": F.when(speed.isNotNull() & ~F.col("suspended"), here)}).drop("_chunk")
@@ -100,7 +108,7 @@ def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str,
     # a run that is long enough matters on its first such row: one tick old enough, or just resumed
     def first_of(a: Column, least) -> Column:
         return _true(a >= least) & (_true(a < least + 1.0 / TICKS_PER_S) | F.col("_resumed"))
-    long_slow = _true((age["slow_since"] >= p.stop_sustain_s) & (speed < p.stop_max_kmh))
+    long_slow = _true(age["slow_since"] >= p.stop_sustain_s) & c["creeping"]
     fire = {
         "c_stop": active & long_slow & (_true(age["slow_since"] < p.stop_sustain_s + 1.0 / TICKS_PER_S) | F.col("_resumed") | F.col("_fast_before")),
         "c_recover": active & first_of(age["fast_since"], F.lit(p.recover_s)),
@@ -123,78 +131,77 @@ def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str,
         F.col("seen.tick").alias("seen_tick"), F.col("seen.speed").alias("seen_speed"), F.col("seen.msector").cast("int").alias("seen_msector"))
 
 
-def car_fold(events: DataFrame, p: DetectorParams | None = None, keys: list[str] = CAR, anomaly_threshold: float | None = None,
-             chunk: int = CHUNK_TICKS) -> DataFrame:
-    """(keys, tick, kind, rank, msector, severity, evidence): latches, the impact's wait and cooldowns over the marked rows."""
-    p = p or DetectorParams()
+DETECTED = "tick int, kind string, rank int, msector int, severity double, evidence string"
+
+
+def car_step(p: DetectorParams, anomaly_threshold: float | None = None, edge: Callable[[int], float] = lambda t: t + 1):
+    """Latches, the impact's wait and cooldowns over marked rows: `step(state, rows) -> (state, detections)`. `edge` is the tick from which
+    the next call goes on; the state forgets what no longer matters there."""
     wait, gap, hit_span = p.impact_confirm_s * TICKS_PER_S, p.cooldown_s * TICKS_PER_S, 10 * TICKS_PER_S
 
     def below(v, limit) -> bool:
         return v is not None and v < limit
 
     def step(state: dict, rows: list[dict]) -> tuple[dict, list[dict]]:
-        stopped, lost, cand, emit = state.get("stopped", False), state.get("lost", False), state.get("cand"), state.get("emit", {})
+        stopped, lost, pending, last = state.get("stopped", False), state.get("lost", False), state.get("pending"), dict(state.get("last", {}))
         made, t = [], 0
 
-        def say(kind: str, sector: int, severity: float, evidence: str) -> None:
-            emit[kind] = t
-            made.append({"tick": t, "kind": kind, "rank": RANK[kind], "msector": sector, "severity": round(min(1.0, max(0.0, severity)), 2),
-                         "evidence": evidence})
-
-        def ready(kind: str) -> bool:
-            return t - emit.get(kind, -1e18) >= gap
+        def fire(kind: str, sector: int, severity: float, evidence: str, again: float = 0.0) -> None:
+            """Says it, unless the last one of its kind is less than `again` ago."""
+            if t - last.get(kind, -1e18) >= again:
+                last[kind] = t
+                made.append({"tick": int(t), "kind": kind, "rank": RANK[kind], "msector": int(sector), "severity": round(min(1.0, max(0.0, severity)), 2),
+                             "evidence": evidence})
 
         for r in rows:
-            t, speed, ratio, lap = r["tick"], r["speed"], r["rel_ratio"], r["lap_ratio"]
+            t = r["tick"]
             if r["suspended"]:
-                cand = None
+                pending = None
                 continue
-            if speed is not None:
-                lost = False
-            elif r["c_lost"] and not lost:
-                lost = True
-                say("DROPOUT", r["seen_msector"], 0.5, f"no data for {(t - r['seen_tick']) / TICKS_PER_S + 1:.1f} s, "
-                                                       f"last seen at {r['seen_speed']:.0f} km/h")
+            if r["speed"] is None and r["c_lost"] and not lost:
+                fire("DROPOUT", r["seen_msector"], 0.5, f"silent for {(t - r['seen_tick']) / TICKS_PER_S + 1:.1f} s after {r['seen_speed']:.0f} km/h")
+            lost = r["speed"] is None and (lost or r["c_lost"])
             if r["pit"]:
-                stopped, cand = False, None
+                stopped, pending = False, None
             if not r["active"]:
                 continue
-            lat = abs(r["lat_off"]) if r["lat_off"] is not None else None
-            on_line, crawling = lat is not None and lat < p.on_line_m, below(ratio, p.stop_ratio)
-            if stopped:
-                stopped = not r["c_recover"]
-            elif r["c_stop"]:
+            speed, ratio, lap = r["speed"], r["rel_ratio"], r["lap_ratio"]
+            side = None if r["lat_off"] is None else abs(r["lat_off"])
+            close, crawling = below(side, p.on_line_m), below(ratio, p.stop_ratio)
+            if not stopped and r["c_stop"]:
+                where = "near the line" if close else "place unknown" if side is None else f"{side:.0f} m away from the line"
+                fire("STOPPED", r["msector"], 0.45 + 0.25 * close + 0.15 * (speed < 5) + 0.15 * (t - last.get("IMPACT", -1e18) < hit_span),
+                     f"{speed:.0f} of {0.0 if r['ref_speed'] is None else r['ref_speed']:.0f} km/h, {where}")
                 stopped = True
-                recent = t - emit.get("IMPACT", -1e18) < hit_span
-                where = "on the racing line" if on_line else f"{lat if lat is not None else float('nan'):.0f} m off line"
-                say("STOPPED", r["msector"], 0.45 + 0.25 * on_line + 0.15 * (speed < 5) + 0.15 * recent,
-                    f"speed {speed:.0f} km/h vs ref {r['ref_speed']:.0f} km/h, {where}")
-            if cand is not None:
-                t0, fell, before, hard, braked = cand
-                if t - t0 >= wait:
-                    cand = None
-                    still = below(ratio, p.impact_hard_confirm_ratio if hard else 0.6) and (lap is None or lap < p.impact_lap_ratio)
-                    if still and ready("IMPACT"):
-                        why = "harder than braking" if hard else "with brakes on" if braked else "without braking"
-                        say("IMPACT", r["msector"], 0.5 + min(fell, 250) / 500 + 0.2 * crawling,
-                            f"lost {fell:.0f} km/h in 1 s ({before:.0f} to {speed:.0f} km/h), {why}")
-            elif r["trigger"]:
-                cand = [t, -r["dspeed_1s"], speed - r["dspeed_1s"], r["hard"], r["braked"]]
-            if r["c_spin"] and ready("SPIN"):
-                why = (f"travelling {r['heading_err']:.0f} deg off the track direction, lost {-r['dspeed_1s']:.0f} km/h in 1 s"
-                       if r["turned"] else f"{lat:.0f} m off the racing line")
-                say("SPIN", r["msector"], 0.4 + 0.2 * on_line + 0.2 * crawling + 0.1 * r["turned"], why)
-            if r["c_fade"] and not stopped and ready("SPIN"):
-                say("SPIN", r["msector"], 0.4 + 0.3 * (1 - lap), f"sudden slowdown: {speed:.0f} km/h, {lap:.0%} of its speed here last lap")
-            if r["c_odd"] and ready("ANOMALY"):
-                over = r["anomaly_score"] - anomaly_threshold
-                say("ANOMALY", r["msector"], 0.3 + min(0.5, over * 5), f"anomaly score {r['anomaly_score']:.2f} (threshold {anomaly_threshold:.2f})")
-        edge = (t // chunk + 1) * chunk
-        emit = {k: v for k, v in emit.items() if k != "STOPPED" and edge - v < max(gap, hit_span if k == "IMPACT" else 0) and k != "DROPOUT"}
-        out = {"stopped": stopped, "lost": lost, "cand": cand, "emit": emit}
-        return {k: v for k, v in out.items() if v}, made
-
-    return fold_in_time(events, keys, ["tick"], step, "tick int, kind string, rank int, msector int, severity double, evidence string", size=chunk)
+            elif stopped:
+                stopped = not r["c_recover"]
+            if pending is None:
+                if r["trigger"]:
+                    pending = [t, -r["dspeed_1s"], speed - r["dspeed_1s"], r["hard"], r["braked"]]
+            elif t - pending[0] >= wait:
+                _, fell, before, hard, braked = pending
+                pending = None
+                if below(ratio, p.impact_hard_confirm_ratio if hard else 0.6) and (lap is None or lap < p.impact_lap_ratio):
+                    how = "harder than brakes can" if hard else "brakes on" if braked else "no brakes"
+                    fire("IMPACT", r["msector"], 0.5 + min(fell, 250) / 500 + 0.2 * crawling, f"{before:.0f} to {speed:.0f} km/h, {fell:.0f} lost within 1 s, {how}", gap)
+            if r["c_spin"]:
+                how = f"heading {r['heading_err']:.0f} deg off, {-r['dspeed_1s']:.0f} km/h lost within 1 s" if r["turned"] else f"{side:.0f} m beside the line"
+                fire("SPIN", r["msector"], 0.4 + 0.2 * close + 0.2 * crawling + 0.1 * r["turned"], how, gap)
+            if r["c_fade"] and not stopped:
+                fire("SPIN", r["msector"], 0.4 + 0.3 * (1 - lap), f"{speed:.0f} km/h here, {lap:.0%} of the last lap", gap)
+            if r["c_odd"]:
+                fire("ANOMALY", r["msector"], 0.3 + min(0.5, (r["anomaly_score"] - anomaly_threshold) * 5), f"score {r['anomaly_score']:.2f} over {anomaly_threshold:.2f}", gap)
+        held = {"IMPACT": max(gap, hit_span), "SPIN": gap, "ANOMALY": gap}
+        kept = {"stopped": stopped, "lost": lost, "pending": pending, "last": {k: v for k, v in last.items() if edge(t) - v < held.get(k, 0)}}
+        return {k: v for k, v in kept.items() if v}, made
+    return step
+
+
+def car_fold(events: DataFrame, p: DetectorParams | None = None, keys: list[str] = CAR, anomaly_threshold: float | None = None,
+             chunk: int = CHUNK_TICKS) -> DataFrame:
+    """(keys, tick, kind, rank, msector, severity, evidence): `car_step` over the marked rows."""
+    step = car_step(p or DetectorParams(), anomaly_threshold, lambda t: (t // chunk + 1) * chunk)
+    return fold_in_time(events, keys, ["tick"], step, DETECTED, size=chunk)
 
 
 def multi_car(dets: DataFrame, p: DetectorParams | None = None, n_sectors: int = 1000, keys: list[str] = ["race"],
@@ -239,7 +246,7 @@ def multi_car(dets: DataFrame, p: DetectorParams | None = None, n_sectors: int =
     return found.select(
         *keys, "tick", F.lit("MULTI").alias("kind"), F.lit(9).alias("rank"), "drv", "msector", "drivers",
         F.round(F.least(F.lit(1.0), F.col("worst") + 0.15), 2).alias("severity"),
-        F.format_string("cars %s in sectors %d-%d within %s s", F.concat_ws(", ", "drivers"), "lo", "hi",
+        F.format_string("%s together, sectors %d to %d, %s s", F.concat_ws(" and ", "drivers"), "lo", "hi",
                         fixed(F.lit(float(p.multi_window_s)))).alias("evidence"))
 
 

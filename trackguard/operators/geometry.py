@@ -17,8 +17,8 @@ from trackguard.session import is_small, stored
 
 REF_STEP_M = 5.0
 SPEED_BIN_M = 10.0
-MAX_PROFILE_LAPS = 30
 QUICK_FACTOR = 1.07
+CELL_LEVELS = 5             # cell sizes tried before a position is compared with the whole line
 PIT_NEAR_M, PIT_MIN_LAT_M, PIT_ROAD_S, PIT_LANE_S = 4.0, 7.0, 8.0, 60.0
 PATH_K, PATH_EXTRA_M, PATH_SPREAD_M, PATH_RESET_TICKS = 8, 20.0, 50.0, 8
 
@@ -102,20 +102,31 @@ def nearest(points: DataFrame, ref: DataFrame, by: list[str], cell: float = 16.0
             growth: float = 8.0) -> DataFrame:
     """Adds `_near`: the k nearest reference points as structs (d, i, ...), nearest first. Exact: a
     position keeps its answer only when the nearest point (plus `slack`) lies inside the searched
-    block, otherwise it goes on to cells `growth` times larger."""
+    block, otherwise it goes on to cells `growth` times larger. Positions that are unknown, or whose track
+    has no reference points, come back with NULL and are not searched. What is still open after CELL_LEVELS
+    sizes lies far off the track and is compared with every point of its line (one lap, a bounded group)."""
     cols = [c for c in ref.columns if c not in (*by, "i")]
-    done, todo = None, points.filter("x is not null and y is not null")
-    lost = points.filter("x is null or y is null")
-    for level in range(12):
-        cells = _cells(ref, by, cell)
-        side = F.broadcast(cells) if is_small(ref) else cells
-        at = todo.withColumns({"_cx": chunk_of("x", cell), "_cy": chunk_of("y", cell)})
-        at = at.join(side, [*by, "_cx", "_cy"], "left")
+    mapped = ref.select(*by).distinct().withColumn("_mapped", F.lit(True))
+    known = F.coalesce(F.abs("x") + F.abs("y") < float("inf"), F.lit(False)) & F.col("_mapped").isNotNull()
+    points = points.join(F.broadcast(mapped) if is_small(ref) else mapped, by, "left").withColumn("_known", known).drop("_mapped")
+    done, todo = None, points.filter("_known").drop("_known")
+    lost = points.filter("not _known").drop("_known")
+    points = points.drop("_known")
+    for level in range(CELL_LEVELS + 1):
+        last = level == CELL_LEVELS
+        if last:
+            cells = stored(ref.groupBy(*by).agg(F.collect_list(F.struct(*[c for c in ref.columns if c not in by])).alias("_cands")))
+            cells = cells.withColumns({"_cx": F.lit(0), "_cy": F.lit(0)})
+            at = todo.withColumns({"_cx": F.lit(0), "_cy": F.lit(0)})
+        else:
+            cells = stored(_cells(ref, by, cell))
+            at = todo.withColumns({"_cx": chunk_of("x", cell), "_cy": chunk_of("y", cell)})
+        at = at.join(F.broadcast(cells) if is_small(cells) else cells, [*by, "_cx", "_cy"], "left")
         found = F.transform("_cands", lambda c: F.struct(
             _far(c["x"] - F.col("x"), c["y"] - F.col("y")).alias("d"), c["i"].alias("i"), *[c[n].alias(n) for n in cols]))
         best = F.when(F.col("_cands").isNotNull(), F.array(F.array_min(found))) if k == 1 else F.slice(F.array_sort(found), 1, k)
         at = at.withColumn("_near", best).drop("_cands", "_cx", "_cy")
-        exact = F.coalesce(F.get("_near", F.lit(0))["d"] + slack <= cell, F.lit(False))
+        exact = F.coalesce(F.get("_near", F.lit(0))["d"] + slack <= cell, F.lit(False)) | F.lit(last)
         at = stored(at.withColumn("_exact", exact))
         good = at.filter("_exact").drop("_exact")
         done = good if done is None else done.unionByName(good)
@@ -239,12 +250,6 @@ def reference_speed(df: DataFrame, profile: DataFrame, by: list[str], length: fl
     return df.withColumn("bin", at).join(side, [*by, "bin"], "left").drop("bin")
 
 
-def quickest_laps(laps: DataFrame, by: list[str], n: int = MAX_PROFILE_LAPS) -> DataFrame:
-    """The n quickest reference laps of each session."""
-    rank = F.row_number().over(W.partitionBy(*by).orderBy("lap_s", "drv", "lap"))
-    return reference_laps(laps, by).withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
-
-
 # ---- pit lane
 
 def pit_lane_points(pos: DataFrame, laps: DataFrame, ref: DataFrame, length: Column) -> DataFrame:
@@ -261,8 +266,8 @@ def pit_lane_points(pos: DataFrame, laps: DataFrame, ref: DataFrame, length: Col
 
 def near_pit(df: DataFrame, pit: DataFrame, by: list[str]) -> DataFrame:
     """Adds near_pit: closer than 4 m to a pit lane point and more than 7 m off the line."""
-    cells = _cells(pit, by, PIT_NEAR_M)
-    side = F.broadcast(cells) if is_small(pit) else cells
+    cells = stored(_cells(pit, by, PIT_NEAR_M))
+    side = F.broadcast(cells) if is_small(cells) else cells
     at = df.withColumns({"_cx": chunk_of("x", PIT_NEAR_M), "_cy": chunk_of("y", PIT_NEAR_M)})
     at = at.join(side, [*by, "_cx", "_cy"], "left")
     close = F.exists("_cands", lambda c: _far(c["x"] - F.col("x"), c["y"] - F.col("y")) < PIT_NEAR_M)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ NUMERIC = [
     "tyre_life", "laps_since_pit", "drv_lap", "is_lap1", "t_since_restart", "track_temp", "air_temp",
     "rainfall", "field_ratio", "anomaly_score",
 ]
+# fixed values: tyre codes
 COMPOUNDS = {"SOFT": 0, "MEDIUM": 1, "HARD": 2, "INTERMEDIATE": 3, "WET": 4}
 ACTIVE = [c for c in NUMERIC if c not in ("track_temp", "air_temp")] + ["compound_code", "status_code"]
 WITHOUT_ANOMALY = [c for c in ACTIVE if c != "anomaly_score"]
@@ -44,13 +46,23 @@ def is_racing(df: DataFrame) -> Column:
     return ok & F.col("x").isNotNull() if "x" in df.columns else ok
 
 
-def feature_matrix(df: DataFrame) -> DataFrame:
-    """Adds the model's inputs; columns the data lacks are NULL."""
+def model_inputs(df: DataFrame) -> dict[str, Column]:
+    """The model's inputs by name; what the data lacks is NULL."""
     have = set(df.columns)
     code = F.coalesce(*[F.when(F.col("compound") == k, F.lit(float(v))) for k, v in COMPOUNDS.items()], F.lit(-1.0)) if "compound" in have else F.lit(-1.0)
-    return df.withColumns({
-        **{c: (F.col(c) if c in have else F.lit(None)).cast("double") for c in NUMERIC},
-        "compound_code": code, "status_code": F.coalesce(F.expr("try_cast(track_status AS double)"), F.lit(1.0))})
+    return {**{c: (F.col(c) if c in have else F.lit(None)).cast("double") for c in NUMERIC},
+            "compound_code": code, "status_code": F.coalesce(F.expr("try_cast(track_status AS double)"), F.lit(1.0))}
+
+
+def feature_matrix(df: DataFrame) -> DataFrame:
+    """Adds the model's inputs."""
+    return df.withColumns(model_inputs(df))
+
+
+def filled(df: DataFrame, features: list[str]) -> DataFrame:
+    """Adds the inputs as columns `in_...` of their own, MISSING where unknown; the caller's columns stay as they are."""
+    given = model_inputs(df)
+    return df.withColumns({f"in_{c}": F.coalesce(given[c], F.lit(MISSING)) for c in features})
 
 
 # ---- labels
@@ -86,28 +98,40 @@ def train_keep(df: DataFrame, per_mille: int = NEG_PER_MILLE) -> DataFrame:
 
 # ---- the model
 
-def fit(train: DataFrame, horizon: int, features: list[str] = ACTIVE, iterations: int = 300, min_rows: int = 100, seed: int = 0) -> PipelineModel:
-    """Boosted trees on the kept rows: depth 5, step 0.05, 80% of rows and columns per tree."""
-    filled = feature_matrix(train).filter("train_keep").fillna(MISSING, features).withColumn("label", F.col(f"y{horizon}").cast("double"))
+@dataclass
+class RiskModel:
+    """The trees, and the share of the negatives they were trained on."""
+
+    trees: PipelineModel
+    neg_share: float
+
+
+def fit(train: DataFrame, horizon: int, features: list[str] = ACTIVE, iterations: int = 300, min_rows: int = 100, seed: int = 0) -> RiskModel:
+    """Boosted trees on the kept rows: depth 5, step 0.05, 80% of rows and columns per tree. The share of negatives
+    kept is measured here, so that the correction cannot disagree with the training."""
+    y = F.col(f"y{horizon}")
+    share = train.filter(y == 0).agg(F.avg(F.col("train_keep").cast("double"))).first()[0]
+    rows = filled(train.filter("train_keep"), features).withColumn("label", y.cast("double"))
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=iterations, stepSize=0.05, maxDepth=5, minInstancesPerNode=min_rows,
                         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, maxBins=32)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(filled)
+    trees = Pipeline(stages=[VectorAssembler(inputCols=[f"in_{c}" for c in features], outputCol="features"), gbt]).fit(rows)
+    return RiskModel(trees, 1.0 if share is None else share)
 
 
-def correct(p: Column, neg_share: float = NEG_PER_MILLE / 1000) -> Column:
+def correct(p: Column, neg_share: float) -> Column:
     """Undoes the downsampling of negatives: true odds are the model's odds times the share kept."""
     odds = p / F.greatest(1 - p, F.lit(1e-9)) * neg_share
     return odds / (1 + odds)
 
 
-def predict(df: DataFrame, model: PipelineModel, name: str, features: list[str] = ACTIVE) -> DataFrame:
+def predict(df: DataFrame, model: RiskModel, name: str, features: list[str] = ACTIVE) -> DataFrame:
     """Adds the corrected probability as `name`."""
     keep = df.columns
-    rows = model.transform(feature_matrix(df).fillna(MISSING, features))
-    return rows.select(*keep, correct(F.get(vector_to_array("probability"), F.lit(1))).alias(name))
+    rows = model.trees.transform(filled(df, features))
+    return rows.select(*keep, correct(F.get(vector_to_array("probability"), F.lit(1)), model.neg_share).alias(name))
 
 
-def forecast(df: DataFrame, model10: PipelineModel, model30: PipelineModel, features: list[str] = ACTIVE, top_k: int = 2) -> DataFrame:
+def forecast(df: DataFrame, model10: RiskModel, model30: RiskModel, features: list[str] = ACTIVE, top_k: int = 2) -> DataFrame:
     """One forecast per racing car and whole second: risk_10s, risk_30s and the features that raise the
     latter most. Rows between whole seconds are dropped before any model runs."""
     due = df.filter((F.col("tick") % 4 == 0) & is_racing(df))
@@ -116,10 +140,10 @@ def forecast(df: DataFrame, model10: PipelineModel, model30: PipelineModel, feat
     return rows.select(*CAR, "tick", "t", F.round("_p10", 4).alias("risk_10s"), F.round(F.greatest("_p30", "_p10"), 4).alias("risk_30s"), "top_features")
 
 
-def tree_arrays(model: PipelineModel) -> list[tuple[float, np.ndarray]]:
+def tree_arrays(model: RiskModel) -> list[tuple[float, np.ndarray]]:
     """Each boosted tree as rows (feature, cut, left, right, value), root first; value is the mean of the
     leaves below, weighted by their training rows. The model has a fixed number of small trees."""
-    trees, out = model.stages[-1], []
+    trees, out = model.trees.stages[-1], []
     for weight, tree in zip(trees.treeWeights, trees.trees):
         nodes: list[list[float]] = []
 
@@ -140,7 +164,7 @@ def tree_arrays(model: PipelineModel) -> list[tuple[float, np.ndarray]]:
     return out
 
 
-def top_features(df: DataFrame, model: PipelineModel, features: list[str] = ACTIVE, top_k: int = 2) -> DataFrame:
+def top_features(df: DataFrame, model: RiskModel, features: list[str] = ACTIVE, top_k: int = 2) -> DataFrame:
     """Adds top_features: the inputs that push a row's score up most along its paths through the trees."""
     trees = df.sparkSession.sparkContext.broadcast(tree_arrays(model))
     names = list(features)
@@ -165,15 +189,13 @@ def top_features(df: DataFrame, model: PipelineModel, features: list[str] = ACTI
             best = np.argsort(-push, axis=1, kind="stable")[:, :top_k]
             yield pd.Series([[names[j] for j in row if push[i, j] > 0] for i, row in enumerate(best)])
 
-    filled = feature_matrix(df).select([F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in names]).columns
-    inputs = feature_matrix(df)
-    packed = F.struct(*[F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in filled])
-    return inputs.withColumn("top_features", strongest(packed)).select(*df.columns, "top_features")
+    packed = F.struct(*[F.col(f"in_{c}") for c in names])
+    return filled(df, names).withColumn("top_features", strongest(packed)).select(*df.columns, "top_features")
 
 
-def importance(model: PipelineModel, df: DataFrame, features: list[str] = ACTIVE) -> DataFrame:
+def importance(model: RiskModel, df: DataFrame, features: list[str] = ACTIVE) -> DataFrame:
     """Normalised gain per input, highest first: one row per input."""
-    gain = model.stages[-1].featureImportances.toArray()
+    gain = model.trees.stages[-1].featureImportances.toArray()
     rows = sorted(zip(features, [float(g) for g in gain]), key=lambda r: (-r[1], r[0]))
     return df.sparkSession.createDataFrame([(i + 1, f, g) for i, (f, g) in enumerate(rows)], "rank int, feature string, gain double")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trackguard.functions.timeline import chunk_of, in_chunk, interval_join, own_rows, running, with_history
+from trackguard.functions.timeline import beside, chunk_of, in_chunk, interval_join, own_rows, running, with_history
 from trackguard.operators.incidents import MATCH_AFTER_S, MATCH_BEFORE_S, in_sectors, match_incidents
 
 ALERT_GAP_S, FA_AFTER_S, MOVING_KMH, MAX_HOLD_S = 60.0, 60.0, 60.0, 900.0
@@ -55,9 +55,11 @@ def held_stops(df: DataFrame, dets: DataFrame, by: list[str] = ["race"], max_hol
 
 
 def incident_scores(df: DataFrame, incidents: DataFrame, dets: DataFrame, n: int, by: list[str] = ["race"],
-                    max_hold: float = MAX_HOLD_S, before: float = MATCH_BEFORE_S, after: float = MATCH_AFTER_S) -> DataFrame:
+                    max_hold: float = MAX_HOLD_S, before: float = MATCH_BEFORE_S, after: float = MATCH_AFTER_S,
+                    systems: DataFrame | None = None) -> DataFrame:
     """One row per (by, incident): matched, held, lead_s and the first detection that hit it. With more
-    keys than the race (a system, a candidate) every combination present in `dets` is scored."""
+    keys than the race (a system, a candidate) every one of them is scored in every race, also where it
+    detected nothing: `systems` lists them; without it, those that detect anything anywhere."""
     hits = dets.select(*by, "id", "type", F.col("t").alias("t_hit"), F.col("msector").alias("hit_sector"))
     inc = incidents.select("race", "incident", "t", "t_last", "top_flag", "sectors", "track_wide")
     fits = match_incidents(inc, hits, n, before, after).groupBy(*by, "incident").agg(
@@ -67,7 +69,7 @@ def incident_scores(df: DataFrame, incidents: DataFrame, dets: DataFrame, n: int
     over = interval_join(at, held, ["race"], "t", "t0", "t1", 256.0, extra=in_sectors(F.col("stop_sector"), F.col("sectors"), n))
     over = over.select(*by, "incident").distinct().withColumn("_held", F.lit(True))
     extra = [k for k in by if k != "race"]
-    every = inc if not extra else inc.join(dets.select(*by).distinct(), "race")
+    every = inc if not extra else with_systems(inc, (dets if systems is None else systems).select(*extra))
     out = every.join(fits, [*by, "incident"], "left").join(over, [*by, "incident"], "left")
     was_held = F.col("hit").isNull() & F.coalesce("_held", F.lit(False))
     return out.select(*by, "incident", F.col("t").alias("t_official"), F.col("top_flag").alias("flag"),
@@ -76,6 +78,12 @@ def incident_scores(df: DataFrame, incidents: DataFrame, dets: DataFrame, n: int
                       F.col("hit.id").alias("our_id"))
 
 
+def with_systems(rows: DataFrame, systems: DataFrame) -> DataFrame:
+    """Every row once per system; the systems are a short list, which travels as one array."""
+    listed = systems.distinct().agg(F.array_sort(F.collect_list(F.struct(*systems.columns))).alias("_systems"))
+    return beside(rows, listed).withColumn("_system", F.explode("_systems")).select(*rows.columns, "_system.*")
+
+
 def race_hours(df: DataFrame) -> DataFrame:
     """(race, hours): time outside suspensions. A tick lasts until the next one."""
     ticks = df.groupBy("race", "tick").agg(F.first("t").alias("t"), F.first("suspended").alias("suspended"))
@@ -88,14 +96,19 @@ def ratio(a, b) -> Column:
     return F.try_divide(a if isinstance(a, Column) else F.col(a), (b if isinstance(b, Column) else F.col(b)).cast("double"))
 
 
-def race_summary(scores: DataFrame, marked: DataFrame, hours: DataFrame, by: list[str] = ["race"]) -> DataFrame:
-    """Per (by): incidents, matched, held, recall, median lead, alerts, false alarms per hour."""
+def race_summary(scores: DataFrame, marked: DataFrame, hours: DataFrame, by: list[str] = ["race"], systems: DataFrame | None = None) -> DataFrame:
+    """Per (by): incidents, matched, held, recall, median lead, alerts, false alarms per hour. Races with
+    neither incidents nor alerts are there with their hours."""
     s = scores.groupBy(*by).agg(
         F.count(F.lit(1)).alias("incidents"), F.count_if("matched").alias("matched"), F.count_if("held").alias("held"),
         F.percentile("lead_s", 0.5).alias("median_lead_s"), F.count_if(F.col("lead_s") > 0).alias("earlier"),
         F.count("lead_s").alias("leads"))
     a = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("alerts"), F.count_if("false_alarm").alias("false_alarms"))
-    out = s.join(a, by, "full").join(hours, "race", "left").fillna(0, ["incidents", "matched", "held", "earlier", "leads", "alerts",
+    extra = [k for k in by if k != "race"]
+    if extra:
+        named = (scores.select(*extra).unionByName(marked.select(*extra)) if systems is None else systems.select(*extra))
+        hours = with_systems(hours, named)
+    out = s.join(a, by, "full").join(hours, by, "full").fillna(0, ["incidents", "matched", "held", "earlier", "leads", "alerts",
                                                                      "false_alarms"])
     return out.withColumns({"recall": ratio("matched", "incidents"),
                             "recall_window": ratio(F.col("matched") - F.col("held"), "incidents"),

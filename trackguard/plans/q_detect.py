@@ -139,6 +139,6 @@ def _(spark, sf):
 def _(spark, sf):
     """Saved overrides of the settings, and the suite once per setting of the short list."""
     saved = SCALED.with_saved({"cooldown_s": 2.0, "not_a_setting": 1})
-    grid = candidate_grid()[::6]
+    grid = candidate_grid()
     dets = DE.detect(with_candidates(T.features(spark, sf).drop("heading_err"), grid), saved, AD.SECTORS, swept=SWEPT)
     return dets.groupBy("cand", "race", "type").agg(F.count(F.lit(1)).alias("detections"))

@@ -189,8 +189,9 @@ def _(spark, sf):
     dets = DE.naive(rows, **T.NAIVE_SET)
     by = ["cand", "race"]
     found = SC.false_alarms(SC.alerts(dets, by, 5.0), T.gap_incidents(spark, sf), N, by, 1.0, 0.5)
-    s = SC.incident_scores(T.features(spark, sf), T.gap_incidents(spark, sf), dets, N, by, 3.0, **SPAN)
-    return SC.race_summary(s, found, SC.race_hours(T.features(spark, sf)), by).select(*by, "incidents", "matched", "held", "alerts", "false_alarms")
+    systems = spark.createDataFrame([(i,) for i in range(len(BASELINE_KMH))], "cand int")
+    s = SC.incident_scores(T.features(spark, sf), T.gap_incidents(spark, sf), dets, N, by, 3.0, systems=systems, **SPAN)
+    return SC.race_summary(s, found, SC.race_hours(T.features(spark, sf)), by, systems).select(*by, "incidents", "matched", "held", "alerts", "false_alarms")
 
 
 # ---- onset and latency
@@ -517,7 +518,7 @@ def _(spark, sf):
 
 @query("h48_listed_detections", sql(NAIVE + ["official"], "") + f""", {_CARS} SELECT * FROM (
     SELECT m.race, m.crash, round(n.t - m.onset, 2) AS t_after, n.id, CAST(row_number() OVER (PARTITION BY m.race, m.crash ORDER BY round(n.t - m.onset, 2), n.id) AS INT) AS place_in_list
-    FROM m JOIN naive n ON n.race = m.race AND n.t BETWEEN m.onset - 10 AND m.onset + 180) q WHERE place_in_list <= 8""")
+    FROM m JOIN naive n ON n.race = m.race AND n.t BETWEEN m.onset - 10 AND m.onset + 180) q""")
 def _(spark, sf):
     spans = message_cars(spark, sf).select("race", "crash", "onset", (F.col("onset") - 10).alias("lo"), (F.col("onset") + 180).alias("hi"))
     rows = interval_join(T.naive(spark, sf).select("race", "id", "t"), spans, ["race"], "t", "lo", "hi", 256.0)

@@ -14,14 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from trackguard.operators.flags import ANCHOR_M, Board, FlagParams, play
+from trackguard.operators.detectors import DETECTED, car_step, conditions
+from trackguard.operators.flags import Control, FlagParams, control_rows
 from trackguard.operators.params import DetectorParams
-from trackguard.streaming.car_rules import car_tick, new_car
+from trackguard.streaming.marks import CARRIED, mark
 
 CAR = ["race", "drv"]
-ROW = ["race", "drv", "tick", "t", "speed", "rel_ratio", "lap_ratio", "lat_off", "in_pit", "msector", "suspended", "field_slow",
-       "field_ratio", "live_share", "brake", "dspeed_1s", "dspeed_min_2s", "track_status"]
-DETECTION = "race string, drv string, tick int, t double, kind string, msector int, severity double"
+DETECTION = f"race string, drv string, {DETECTED}"
 REC = "race string, tick int, t double, msector int, flag string, confidence double, reason string, message string"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,7 +38,7 @@ def records(frames: Iterator[pd.DataFrame], order: list[str]) -> list[dict]:
 
 
 class CarProcessor(StatefulProcessor):
-    """Detections of one car."""
+    """Detections of one car: rows are marked one by one and go through the batch's step."""
 
     def __init__(self, params: DetectorParams, threshold: float | None) -> None:
         self.params, self.threshold = params, threshold
@@ -48,82 +47,81 @@ class CarProcessor(StatefulProcessor):
         self.state = handle.getValueState("car", "json string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        car, made = json.loads(self.state.get()[0]) if self.state.exists() else new_car(), []
+        kept = json.loads(self.state.get()[0]) if self.state.exists() else {"tick": None, "marks": {}, "step": {}}
+        marked = []
         for r in records(rows, ["tick"]):
-            if car["tick"] is not None and r["tick"] <= car["tick"]:
-                continue
-            car["tick"] = int(r["tick"])
-            for kind, sector, severity in car_tick(car, r, self.params, self.threshold):
-                made.append((r["race"], r["drv"], int(r["tick"]), float(r["t"]), kind, int(sector), round(min(1.0, max(0.0, severity)), 2)))
-        self.state.update((json.dumps(car, default=float),))
-        yield pd.DataFrame(made, columns=["race", "drv", "tick", "t", "kind", "msector", "severity"])
+            if kept["tick"] is None or r["tick"] > kept["tick"]:
+                kept["tick"] = int(r["tick"])
+                marked.append(mark(kept["marks"], r, self.params))
+        kept["step"], made = car_step(self.params, self.threshold)(kept["step"], marked) if marked else (kept["step"], [])
+        self.state.update((json.dumps(kept, default=float),))
+        names = [c.split()[0] for c in DETECTED.split(", ")]
+        yield pd.DataFrame([(*key, *(m[n] for n in names)) for m in made], columns=[*CAR, *names])
 
     def close(self) -> None:
         pass
 
 
-def detect_stream(ticks: DataFrame, params: DetectorParams | None = None, threshold: float | None = None) -> DataFrame:
-    """Detections of every car as its ticks arrive. The state is one small record per car; a restart goes
-    on from the checkpoint, and a seek is a new query started some seconds earlier."""
+def detect_stream(ticks: DataFrame, params: DetectorParams | None = None, threshold: float | None = None, warm_until: int | None = None) -> DataFrame:
+    """Detections of every car as its ticks arrive. The state is one small record per car, and a restart goes on from the checkpoint. A
+    seek is a new query that starts earlier and says nothing before `warm_until` (a tick); its rows only warm the state up."""
     ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    cols = ROW + [c for c in ("heading_err", "anomaly_score", "after_chequered") if c in ticks.columns]
-    return ticks.select(*cols).groupBy(*CAR).transformWithStateInPandas(
-        CarProcessor(params or DetectorParams(), threshold), outputStructType=DETECTION, outputMode="append", timeMode="None")
+    p = params or DetectorParams()
+    if "after_chequered" in ticks.columns:
+        ticks = ticks.filter(~F.col("after_chequered"))
+    absent = F.lit(None).cast("double")
+    given = [F.col(c) if c in ticks.columns else absent.alias(c) for c in CARRIED]
+    rows = ticks.select(*CAR, "tick", *given, *[c.alias(n) for n, c in conditions(ticks.columns, p, None, threshold).items()])
+    out = rows.groupBy(*CAR).transformWithStateInPandas(CarProcessor(p, threshold), outputStructType=DETECTION, outputMode="append", timeMode="None")
+    return out if warm_until is None else out.filter(F.col("tick") >= warm_until)
 
 
 class FlagProcessor(StatefulProcessor):
-    """Flag recommendations of one race."""
+    """Flag recommendations of one race, from the rows of `flag_rows`."""
 
     def __init__(self, params: FlagParams) -> None:
         self.params = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("board", "json string")
+        self.state = handle.getValueState("control", "json string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        board = self.wake(kept)
-        now, status, made = kept.get("t"), kept.get("status", "1"), []
-        board.t, board.status = now or 0.0, status
+        control, epoch, made = self.wake(kept), kept.get("epoch"), []
+
+        def take() -> None:
+            made.extend((key[0], round(m["t"] * 4), m["t"], m["msector"], m["flag"], m["confidence"], m["reason"], m["message"]) for m in control.made if m["flag"])
+            control.made = []
         for r in records(rows, ["tick", "kind", "seq", "drv"]):
-            if r["kind"] <= 1 and now is not None and abs(r["t"] - now) > self.params.jump_s:
-                board = self.wake({})                       # a jump in time wipes the flags
-            if r["kind"] == 0:
-                r = {**r, "seen": r["t"], **self.anchor(board.cars.get(r["drv"]), r)}
-            play(board, [r])
-            if r["kind"] <= 1:
-                now = r["t"]
-            made += [(r["race"], int(r["tick"]), m["t"], m["msector"], m["flag"], m["confidence"], m["reason"], m["message"])
-                     for m in board.out if m["flag"]]
-            board.out = []
-        self.state.update((json.dumps({"board": board.dump(now or 0.0), "cars": board.cars, "t": now, "status": board.status}, default=float),))
+            if r["epoch"] != epoch:                     # a jump in time wipes the flags
+                control.run_to(control.last)
+                take()
+                control, epoch = self.wake({}), int(r["epoch"])
+            control.row(r)
+            take()
+        control.run_to(control.last)
+        take()
+        self.state.update((json.dumps({"state": control.state(control.now), "cars": control.cars, "epoch": epoch, **{n: getattr(control, n) for n in self.CLOCK}}, default=float),))
         yield pd.DataFrame(made, columns=["race", "tick", "t", "msector", "flag", "confidence", "reason", "message"])
 
-    def wake(self, kept: dict) -> Board:
-        board = Board(self.params, kept.get("board", {}))
-        board.cars = kept.get("cars", {})
-        return board
+    CLOCK = ("now", "tick", "last", "status", "lap", "laps")
 
-    def anchor(self, car: dict | None, r: dict) -> dict:
-        """Where the car last moved more than 3 m."""
-        if car is None or ((r["x"] - car["ax"]) ** 2 + (r["y"] - car["ay"]) ** 2) ** 0.5 > ANCHOR_M:
-            return {"ax": r["x"], "ay": r["y"], "moved": r["t"]}
-        return {"ax": car["ax"], "ay": car["ay"], "moved": car["moved"]}
+    def wake(self, kept: dict) -> Control:
+        control = Control(self.params, kept.get("state", {}), kept.get("cars"))
+        for n in self.CLOCK:
+            if n in kept:
+                setattr(control, n, kept[n])
+        return control
 
     def close(self) -> None:
         pass
 
 
-def flag_rows(df: DataFrame, dets: DataFrame) -> DataFrame:
-    """Live car rows, ticks and detections as the one ordered stream the flags are called from."""
-    cars = df.filter("speed is not null and x is not null").select(
-        "race", "tick", "t", F.lit(0).alias("kind"), F.lit(0).alias("seq"), "drv", "msector", "speed", "lat_off", "in_pit", "x", "y",
-        F.lit(None).cast("double").alias("risk"))
-    ticks = df.groupBy("race", "tick").agg(F.first("t").alias("t"), F.min("track_status").alias("status"), F.max("lap").alias("lap"))
-    ticks = ticks.withColumns({"kind": F.lit(1), "seq": F.lit(0)})
-    found = dets.select("race", "tick", "t", F.lit(2).alias("kind"), F.expr("cast(substring(id, -6) as int)").alias("seq"), "msector", "id",
-                        "type", "severity", "drivers")
-    return cars.unionByName(ticks, allowMissingColumns=True).unionByName(found, allowMissingColumns=True)
+def flag_rows(df: DataFrame, dets: DataFrame, params: FlagParams | None = None, risk: DataFrame | None = None) -> DataFrame:
+    """What flags are called from, as one ordered stream: changes of the named cars (with their risk), ticks, and requests. A race sends a
+    row per tick and a few per incident, not its field."""
+    rows = control_rows(df, dets, [params or FlagParams()], risk, run_ticks=1)
+    return rows.filter("kind >= 0").drop("variant")
 
 
 def flag_stream(rows: DataFrame, params: FlagParams | None = None) -> DataFrame:
