@@ -13,6 +13,7 @@ from trackguard.operators.scoring import ratio
 LATE_S, RED_WINDOW_S, FA_AFTER_S = 60.0, 1200.0, 60.0
 BUCKET_S = 1024.0
 NEUTRAL = ["4", "5", "6", "7"]
+# fixed values: categories of the escalation report that must match
 RED_UNCALLED = "red while race control kept its SC or VSC"
 NEUTRAL_CALL = "during an official neutralisation"
 OUTSIDE, YELLOWS, NOTHING = "escalated incident, outside the match window", "official yellows only", "no official flag"

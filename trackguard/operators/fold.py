@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from trackguard.functions.timeline import chunk_of
-from trackguard.session import stored
+from trackguard.session import is_small, stored
 
 Step = Callable[[dict, list[dict]], tuple[dict, list[dict]]]
 BATCH_ROWS = 8192
@@ -72,17 +72,27 @@ def fold_in_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ste
     def run(df: DataFrame) -> DataFrame:
         return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(walk, schema)
 
-    result = stored(run(rows))
+    def ends_of(made: DataFrame, number: int) -> DataFrame:
+        return made.filter("_row = -1").select(*group, "_entry", "_exit", F.lit(number).alias("_round"))
+
+    # a round writes only the chunks it repeats; the last round of a chunk is the one that counts
+    rounds = [stored(run(rows))]
+    ends = stored(ends_of(rounds[0], 0))
     previous = F.coalesce(F.lag("_exit").over(W.partitionBy(*keys).orderBy("_chunk")), F.lit(""))
     while True:
-        ends = result.filter("_row = -1").select(*group, "_entry", previous.alias("_want"))
-        wrong = ends.filter("_want <> _entry").select(*group, "_want")
+        wrong = stored(ends.withColumn("_want", previous).filter("_want <> _entry").select(*group, "_want"))
         if wrong.isEmpty():
             break
-        wrong = stored(wrong)
-        again = run(rows.join(wrong, group))
-        result = stored(result.join(wrong, group, "left_anti").unionByName(again))
-    return result.filter("_row >= 0").select(*keys, *[f.name for f in made_fields])
+        rounds.append(stored(run(rows.join(F.broadcast(wrong) if is_small(wrong) else wrong, group))))
+        ends = stored(ends.join(wrong, group, "left_anti").unionByName(ends_of(rounds[-1], len(rounds) - 1)))
+    result = rounds[0].filter("_row >= 0")
+    if len(rounds) > 1:
+        result = result.withColumn("_round", F.lit(0))
+        for number, made in enumerate(rounds[1:], 1):
+            result = result.unionByName(made.filter("_row >= 0").withColumn("_round", F.lit(number)))
+        last = ends.select(*group, "_round")
+        result = result.join(F.broadcast(last) if is_small(last) else last, [*group, "_round"], "left_semi")
+    return result.select(*keys, *[f.name for f in made_fields])
 
 
 def cooldown(events: DataFrame, keys: Sequence[str], gap: float, on: str = "tick",

@@ -123,6 +123,16 @@ def onset_cars(cand: DataFrame, picked: DataFrame, before: float = ALERT_BEFORE_
     return late.groupBy(*by).agg(F.array_sort(F.collect_set("onset_drv")).alias("cars"))
 
 
+# fixed values: texts of the latency report that must match
+NO_ONSET = {
+    "no_data": "no data at the official time",
+    "early": "lap 1 or 2: no clean reference laps yet",
+    "slow_before": "car already slow or stopped before the window (re-flag of an earlier stoppage)",
+    "not_racing": "field not racing (SC, VSC, restart or procession)",
+    "no_collapse": "no car collapsed below 50% (debris, weather, or a car that went off and kept going)",
+}
+
+
 def no_onset_reason(df: DataFrame, incidents: DataFrame, n: int) -> DataFrame:
     """Why an incident has no onset, from the ticks within 0.13 s of its first message."""
     spans = incidents.select("race", "incident", F.col("t").alias("t_inc"), "sectors").withColumns(
@@ -138,11 +148,8 @@ def no_onset_reason(df: DataFrame, incidents: DataFrame, n: int) -> DataFrame:
         F.percentile(F.when(on, F.col("own_ratio")), 0.5).alias("_med"))
     out = incidents.select("race", "incident").join(facts, ["race", "incident"], "left")
     idle = ~F.col("_st").isin("1", "2") | F.coalesce(F.col("_med") < FIELD_RACING, F.lit(False))
-    reason = (F.when(F.col("_st").isNull(), "no data at the official time")
-              .when(F.col("_lap") <= 2, "lap 1 or 2: no clean reference laps yet")
-              .when(F.col("_slow"), "car already slow or stopped before the window (re-flag of an earlier stoppage)")
-              .when(idle, "field not racing (SC, VSC, restart or procession)")
-              .otherwise("no car collapsed below 50% (debris, weather, or a car that went off and kept going)"))
+    reason = (F.when(F.col("_st").isNull(), NO_ONSET["no_data"]).when(F.col("_lap") <= 2, NO_ONSET["early"]).when(F.col("_slow"), NO_ONSET["slow_before"])
+              .when(idle, NO_ONSET["not_racing"]).otherwise(NO_ONSET["no_collapse"]))
     return out.select("race", "incident", reason.alias("reason"))
 
 
