@@ -11,12 +11,12 @@ import uuid
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
-from trackguard.session import shared_dir
+from trackguard.session import app_dir
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
     """An address below the shared folder; made here, so that tasks only add files."""
-    uri = f"{shared_dir(spark).rstrip('/')}/trackguard/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    uri = f"{app_dir(spark)}/{kind}-{uuid.uuid4().hex}"
     store, path = pafs.FileSystem.from_uri(uri)
     store.create_dir(path, recursive=True)
     return uri

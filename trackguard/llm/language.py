@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from trackguard.llm import folds, words as W
+from trackguard.llm.sides import side
+from trackguard.session import stored
 
 PER_LABEL, TAKEN = 1_000, 4
 LENGTH = 256
@@ -137,7 +139,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             keep = (turn * TAKEN) // np.maximum(per[row], TAKEN) != ((turn - 1) * TAKEN) // np.maximum(per[row], TAKEN)    # spread over the text
             yield pa.record_batch([batch.column("doc_id").cast(pa.string()).take(pa.array(row[keep])), batch.column("label").take(pa.array(row[keep])), pa.array([w.tobytes() for w in data[keep]], pa.binary())],
                                   names=["doc_id", "label", "window"])
-    sample = rows.drop("label").join(picked, "doc_id").dropDuplicates(["doc_id"])
+    sample = rows.drop("label").join(side(stored(picked)), "doc_id").dropDuplicates(["doc_id"])
     got = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id string, label string, window binary").orderBy("doc_id", "window").toArrow()
     if not got.num_rows:
         return None

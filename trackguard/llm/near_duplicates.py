@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackguard.llm import hyperminhash as H, words as W
 from trackguard.llm.components import components
-from trackguard.session import is_small, stored
+from trackguard.llm.sides import side
+from trackguard.session import stored
 
 SHINGLE, PERCENT, MARGIN = 5, 80, 0.2
 BLOCK = 2048            # classes of one block of a bucket
@@ -66,7 +67,7 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 def _within(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """rows whose key is in keys (one row per key): by broadcast if keys is small, else by a shuffle."""
-    return rows.join(F.broadcast(keys) if is_small(keys) else keys, on, "left_semi")
+    return rows.join(side(keys), on, "left_semi")
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
@@ -82,8 +83,8 @@ def _estimates(a: pa.Array, b: pa.Array, n_a: np.ndarray, n_b: np.ndarray) -> np
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose estimate is at least this."""
-    side = classes.select("node", "regs", "n_shingles")
-    wide = pairs.join(side.toDF("a", "regs_a", "n_a"), "a").join(side.toDF("b", "regs_b", "n_b"), "b")
+    own = classes.select("node", "regs", "n_shingles")
+    wide = pairs.join(own.toDF("a", "regs_a", "n_a"), "a").join(own.toDF("b", "regs_b", "n_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +244,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     ids = classes.select("node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
     named = stored(ids.join(least, "component").select("node", "component_id"))
-    out = seen.select("doc_id", "text_hash", "n_shingles", "node").join(F.broadcast(named) if is_small(named) else named, "node", "left")
+    out = seen.select("doc_id", "text_hash", "n_shingles", "node").join(side(named), "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -253,7 +254,7 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     found = stored(duplicates(docs, doc_id, text, **more))
     gone = stored(found.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct())
     same = (F.col(doc_id).cast("long") == F.col("_gone")) & (F.xxhash64(F.col(text)) == F.col("_gone_text"))
-    out = docs.join(F.broadcast(gone) if is_small(gone) else gone, same, "left_anti")
+    out = docs.join(side(gone), same, "left_anti")
     # only where an id is kept twice can whole rows repeat
     twice = not found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     return out.dropDuplicates([doc_id, text]) if twice else out

@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.llm import words as W
 from trackguard.llm.fm_index import FMIndex
-from trackguard.session import is_small, stored
+from trackguard.llm.sides import side
+from trackguard.session import stored
 
 WINDOW = 35
 ANCHOR = 8
@@ -199,10 +200,9 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
     if common.isEmpty():
         runs = repeated_in(distinct, window, shard_words)
     else:
-        side = F.broadcast(common) if is_small(common) else common
-        runs = repeated_in(distinct.join(side, "anchor", "left_anti"), window, shard_words).unionAll(repeated_hot(distinct.join(side, "anchor", "left_semi"), window))
+        runs = repeated_in(distinct.join(side(common), "anchor", "left_anti"), window, shard_words).unionAll(repeated_hot(distinct.join(side(common), "anchor", "left_semi"), window))
     runs = stored(runs)
-    hits = found.select("h1", "h2", "key", "start").join(F.broadcast(runs) if is_small(runs) else runs, ["h1", "h2"])
+    hits = found.select("h1", "h2", "key", "start").join(side(runs), ["h1", "h2"])
     spans = F.transform(F.col("runs"), lambda x, i: F.col("start") + x + F.when(i % 2 == 1, window - 1).otherwise(0))
     return hits.select("key", spans.alias("cut")).groupBy("key").agg(F.flatten(F.collect_set("cut")).alias("cut"))
 
@@ -211,7 +211,7 @@ def _marked(docs: DataFrame, text: str, **more) -> DataFrame:
     """docs with the column _cut (null where nothing repeats)."""
     keyed = docs.withColumn("_key", text_key(F.col(text)))
     cut = stored(repeated_words(keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")), **more).toDF("_key", "_cut"))
-    return keyed.join(F.broadcast(cut) if is_small(cut) else cut, "_key", "left").drop("_key")
+    return keyed.join(side(cut), "_key", "left").drop("_key")
 
 
 def _kept(texts: W.Texts, cut: list) -> Iterator[tuple[int, int, bytes]]:

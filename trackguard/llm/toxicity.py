@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trackguard.llm import folds, words as W
+from trackguard.llm.sides import side
+from trackguard.session import stored
 
 PER_LABEL = 6_000
 BITS = 22
@@ -136,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """A machine learnt from labelled documents outside the held-out fold; None without any."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label is not null")
     known = known.filter(~folds.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = F.broadcast(folds.sampled(known, "label", per_label))      # two labels: about 2 * per_label rows
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(picked, "doc_id").dropDuplicates(["doc_id"])
+    picked = stored(folds.sampled(known, "label", per_label))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(side(picked), "doc_id").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, "text"):

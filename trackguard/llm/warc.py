@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trackguard.llm import binfiles
-from trackguard.session import is_small, stored
+from trackguard.llm.sides import side
+from trackguard.session import stored
 
 SMALL = 100
 DATE = "1970-01-01T00:00:00Z"       # the tables have no capture time
@@ -87,7 +88,7 @@ def typed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     shared = (rows.filter((F.octet_length("html") >= SMALL) & F.col("page_id").isNotNull()).groupBy("digest")
               .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
     shared = stored(shared)
-    out = rows.join(F.broadcast(shared) if is_small(shared) else shared, "digest", "left")
+    out = rows.join(side(shared), "digest", "left")
     return out.withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).drop("first")
 
 
