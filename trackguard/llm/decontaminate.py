@@ -24,7 +24,7 @@ from trackguard.llm import words as W
 from trackguard.session import stored
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 #: What a pass hands on: hit runs as (first word, one past the last), and the items found.
 FOUND = "n_words long, hit array<long>, items array<string>"
 

@@ -30,7 +30,7 @@ from trackguard.llm.sides import side
 from trackguard.session import stored
 
 SHINGLE, PERCENT, MARGIN = 5, 80, 0.2
-BLOCK = 2048            # classes of one block of a bucket
+BLOCK = 1024            # classes of one block of a bucket
 
 
 def _key(values: np.ndarray) -> bytes:
