@@ -1,9 +1,11 @@
 """Labels, anomaly score, forecast and their measures."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from trackguard.functions.stats import average_precision, exact_quantiles_of
-from trackguard.operators import anomaly as AN, risk as RI
+from trackguard.operators import anomaly as AN, risk as RI, scoring as SC
+from trackguard.sources import readers as RE
 
 
 def rows_of_two_cars(spark):
@@ -119,3 +121,13 @@ def test_average_precision_of_crowded_scores(spark):
         seen, hits = seen + 1, hits + y
         total += y * hits / seen
     assert abs(got["pr_auc"] - total / sum(y for y, _ in rows)) < 1e-9
+
+
+def test_holdout_races_are_not_learnt(spark):
+    held = normal(spark).withColumn("race", F.lit(RE.HOLDOUT_IDS[0]))
+    with pytest.raises(RE.HoldoutError):
+        AN.train(held, trees=2, per_tree=16)
+    with pytest.raises(RE.HoldoutError):
+        RI.fit(held.withColumns({"y30": F.lit(0), "train_keep": F.lit(True)}), 30, iterations=1)
+    with pytest.raises(RE.HoldoutError):
+        SC.leave_one_out(held.select("race", F.lit("own").alias("system"), F.lit(0).alias("cand"), F.lit(1).alias("matched"), F.lit(0).alias("false_alarms"), F.lit(1.0).alias("hours")), [3.0])

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trackguard.functions.stats import exact_quantiles, exact_quantiles_of
 from trackguard.session import stored
+from trackguard.sources.readers import assert_no_holdout
 
 # fixed values: the score's input columns
 FEATURES = ["rel_ratio", "rel_ratio_min_2s", "lap_ratio", "lap_ratio_min_2s", "dspeed_1s", "dspeed_min_2s",
@@ -124,8 +125,9 @@ def forest_score(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, path: np.n
 
 def train(normal: DataFrame, trees: int = TREES, per_tree: int = ROWS_PER_TREE, seed: int = 0,
           quantiles: tuple[float, ...] = QUANTILES) -> Forest:
-    """Grows the forest. `per_tree` rows a tree is the published algorithm; everything else sees all rows."""
-    normal = stored(normal)
+    """Grows the forest. `per_tree` rows a tree is the published algorithm; everything else sees all rows.
+    Holdout races are refused."""
+    normal = assert_no_holdout(stored(normal))
     n = normal.count()
     if not n:
         raise ValueError("no normal rows to learn from")

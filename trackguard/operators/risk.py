@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.functions.stats import average_precision, exact_quantiles
 from trackguard.functions.timeline import beside, chunk_of, interval_join, running
+from trackguard.sources.readers import assert_no_holdout
 from trackguard.operators.incidents import MATCH_AFTER_S, MATCH_BEFORE_S, in_sectors, match_incidents
 
 CAR = ["race", "drv"]
@@ -108,7 +109,9 @@ class RiskModel:
 
 def fit(train: DataFrame, horizon: int, features: list[str] = ACTIVE, iterations: int = 300, min_rows: int = 100, seed: int = 0) -> RiskModel:
     """Boosted trees on the kept rows: depth 5, step 0.05, 80% of rows and columns per tree. The share of negatives
-    kept is measured here, so that the correction cannot disagree with the training."""
+    kept is measured here, so that the correction cannot disagree with the training. Holdout races are refused."""
+    if "race" in train.columns:
+        assert_no_holdout(train)
     y = F.col(f"y{horizon}")
     share = train.filter(y == 0).agg(F.avg(F.col("train_keep").cast("double"))).first()[0]
     rows = filled(train.filter("train_keep"), features).withColumn("label", y.cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.functions.timeline import beside, chunk_of, in_chunk, interval_join, own_rows, running, with_history
+from trackguard.sources.readers import assert_no_holdout
 from trackguard.operators.incidents import MATCH_AFTER_S, MATCH_BEFORE_S, in_sectors, match_incidents
 
 ALERT_GAP_S, FA_AFTER_S, MOVING_KMH, MAX_HOLD_S = 60.0, 60.0, 60.0, 900.0
@@ -145,7 +146,8 @@ def choose(per_race: DataFrame, budget: Column | float, by: list[str]) -> DataFr
 
 def leave_one_out(per_race: DataFrame, budgets: list[float], by: list[str] = ["system"]) -> DataFrame:
     """For every race the setting is chosen on the other races: each candidate's totals minus the race's
-    own row. (by, budget, race, cand, and the race's own scores under that candidate.)"""
+    own row. (by, budget, race, cand, and the race's own scores under that candidate.) Holdout races are refused."""
+    assert_no_holdout(per_race)
     sums = ("matched", "false_alarms", "hours")
     whole = per_race.groupBy(*by, "cand").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     rest = per_race.join(whole, [*by, "cand"]).withColumns({c: F.col(f"_{c}") - F.col(c) for c in sums})
