@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackguard.llm import chunks, words as W
 
-KEPT = 400_000
+KEPT = 250_000
 #: Below this code point (but for the dotted capital I) text is its own composed form and lower case needs no context.
 _LATIN = regex.compile(r"[\u0000-įı-ɏ]*")
 _NONE = np.iinfo(np.int64).max

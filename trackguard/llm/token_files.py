@@ -33,7 +33,7 @@ from trackguard.session import stored
 MAGIC = b"TGS8BID1"
 BLOCK = 1 << 16
 END_ID = 2
-KEPT = 400_000          # distinct chunks a task remembers
+KEPT = 250_000          # distinct chunks a task remembers
 INDEX = "part int, uri string, n_docs long, n_ids long, n_bytes long"
 
 

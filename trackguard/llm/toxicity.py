@@ -32,6 +32,7 @@ TERMS = 8_192
 LEAST = 15.0            # one in ten thousand by chance
 FACTORS, EPOCHS, STEP, DECAY, BATCH = 8, 40, 0.02, 2e-5, 256
 PREFIXES = (4, 5)
+STRIDE = 1 << 20        # (document, term) pairs looked at together while training
 
 
 def terms_of(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +90,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def chosen(label: np.ndarray, row: np.ndarray, term: np.ndarray, least: float = LEAST, most: int = TERMS) -> np.ndarray:
     """Terms that go with the label, by the G statistic of presence against label; sorted."""
     n, n1 = len(label), label.sum()
-    all_ = np.bincount(term, minlength=1 << BITS)
+    all_, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for at in range(0, len(term), STRIDE):
+        own, hot = term[at:at + STRIDE], label[row[at:at + STRIDE]] == 1
+        np.add.at(all_, own, 1)
+        np.add.at(toxic, own[hot], 1)
     near = np.flatnonzero(all_ >= 3)
-    a = np.bincount(term[label[row] == 1], minlength=1 << BITS)[near].astype(float)
-    t = all_[near].astype(float)
+    a, t = toxic[near].astype(float), all_[near].astype(float)
 
     def part(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
@@ -105,9 +109,11 @@ def chosen(label: np.ndarray, row: np.ndarray, term: np.ndarray, least: float =
 def train(label: np.ndarray, row: np.ndarray, term: np.ndarray, seed: int = 0) -> Machine:
     """label per document; distinct (row, term) pairs in order of rows."""
     terms = chosen(label, row, term)
-    index = np.full(1 << BITS, -1, np.int64)
+    index = np.full(1 << BITS, -1, np.int32)
     index[terms] = np.arange(len(terms))
-    row, term = row[index[term] >= 0], index[term[index[term] >= 0]]
+    kept = [np.flatnonzero(index[term[at:at + STRIDE]] >= 0) + at for at in range(0, len(term), STRIDE)]
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    row, term = row[kept].astype(np.int64), index[term[kept]].astype(np.int64)
     start = np.searchsorted(row, np.arange(len(label) + 1))
     rng = np.random.default_rng(seed)
     m = Machine(terms, 0.0, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)))
@@ -150,10 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     got = rows.mapInArrow(run, "doc_id string, label int, terms binary").orderBy("doc_id").toArrow()
     if not got.num_rows:
         return None
-    term = [np.frombuffer(t, "<i4") for t in got.column("terms").to_pylist()]
-    row = np.repeat(np.arange(len(term)), list(map(len, term)))
+    column = got.column("terms").combine_chunks()
+    texts = W.texts_of(column)                                  # the bytes of all documents' terms, without a copy
+    row = np.repeat(np.arange(len(column), dtype=np.int32), np.diff(texts.bounds) // 4)
     y = (got.column("label").to_numpy() == 1).astype(np.int64)
-    return train(y, row, np.concatenate(term).astype(np.int64))
+    return train(y, row, texts.data.view("<i4"))
 
 
 def _scored(docs: DataFrame, machine: Machine | None, text: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Bytes hashed at once; the arrays of powers have this length.
 STEP = 1 << 18
 #: Bytes of text that one round of an operator holds; a longer text is a round of its own.
-PIECE = 4 << 20
+PIECE = 2 << 20
 _SPLIT = {}
 
 
