@@ -203,3 +203,23 @@ def test_settings_that_detect_nothing_are_scored(spark):
     found = SC.false_alarms(SC.alerts(dets, ["cand", "race"]), inc, 20, ["cand", "race"])
     got = SC.race_summary(s, found, SC.race_hours(df), ["cand", "race"], systems).collect()
     assert len(got) == 6 and all(r["hours"] > 0 for r in got) and SC.choose(SC.race_summary(s, found, SC.race_hours(df), ["cand", "race"], systems), 99.0, []).first()["cand"] == 0
+
+
+def test_field_pace_knows_only_the_past(spark):
+    """The pace at a pass comes from green samples up to it: the last 40 of the bin, or of a neighbour if there are fewer than 3."""
+    rows = [("R", str(k % 7), 10.0 * k, 120.0, 100.0 + k, "1") for k in range(60)] + [("R", "9", 5.0, 170.0, 300.0, "1"), ("R", "8", 306.0, 120.0, 999.0, "4"),
+                                                                                     ("R", "7", 307.0, 120.0, 20.0, "1")]
+    df = spark.createDataFrame(rows, "race string, drv string, t double, dist double, speed double, track_status string")
+    asked = [("R", 1, "1", 15.0, 120.0), ("R", 1, "2", 305.0, 120.0), ("R", 2, "3", 591.0, 120.0), ("R", 3, "4", 305.0, 170.0), ("R", 4, "5", 305.0, 800.0)]
+    passes = spark.createDataFrame(asked, "race string, place int, car string, t_pass double, crash_dist double")
+    got = {(r["place"], r["car"]): r["field_kmh"] for r in LI.field_pace(passes, df).collect()}
+    assert got == {(1, "2"): 115.0 + 0.0, (2, "3"): 140.0, (3, "4"): 115.0}
+
+
+def test_the_exposure_clock_counts_racing_cars_once(spark):
+    rows = [("R", d, k, k * 0.25, float((k * 10) % 1000), v, "1", 1 + k * 10 // 1000) for d, v in (("1", 200.0), ("2", 90.0)) for k in range(400)]
+    df = spark.createDataFrame(rows, "race string, drv string, tick int, t double, dist double, speed double, track_status string, drv_lap int")
+    passes = spark.createDataFrame([("R", 7, c, t, v, 500.0) for c, t, v in (("1", 62.6, 170.0), ("1", 87.5, 199.0), ("2", 62.6, 60.0), ("3", 62.6, 119.0), ("4", 62.6, 165.0))],
+                                   "race string, place int, car string, t_pass double, speed_kmh double, crash_dist double")
+    got = {r["car"]: (r["t_pass"], r["reference"]) for r in LI.exposure_clock(passes, df, 1000.0).collect()}
+    assert got == {"1": (62.6, "own pace"), "4": (62.6, "field pace")}

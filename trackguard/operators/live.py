@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trackguard.functions.ring import near_sector, sector_matches
-from trackguard.functions.timeline import CHUNK_TICKS, asof_join, chunk_of, gap_islands, interval_join, running
+from trackguard.functions.timeline import CHUNK_TICKS, asof_join, chunk_of, gap_islands, interval_join, numbered, running
 from trackguard.operators.fold import fold_in_time
 
 CAR = ["race", "drv"]
@@ -15,6 +15,8 @@ INCIDENT_GAP_S, ESCALATION_LOOKBACK_S, MATCH_BEFORE_S, MATCH_AFTER_S = 60.0, 120
 MIN_LEAD_S, CONFIRM_WINDOW_S = 0.05, 120.0
 RANKS = {"CLEAR": 0, "YELLOW": 1, "DOUBLE_YELLOW": 2, "VSC": 1, "SC": 2, "RED": 3}
 BUCKET_S = 1024.0
+# fixed values: bin of the speed memory (m), samples the field's pace keeps and needs, and the speed below which a car is no reference
+BIN_M, FIELD_KEPT, FIELD_LEAST, FIELD_MIN_KMH = 50.0, 40, 3, 60.0
 
 
 def stop_ticks(df: DataFrame) -> DataFrame:
@@ -140,22 +142,45 @@ def last_green_lap(df: DataFrame, length: float, bin_m: float = 50.0) -> DataFra
     return ref.join(bins.withColumnRenamed("drv_lap", "ref_lap"), [*CAR, "ref_lap"]).select(*CAR, "drv_lap", "bin", "v")
 
 
-def exposure_clock(passes: DataFrame, last_green: DataFrame, field: DataFrame, bin_m: float = 50.0, share: float = 0.8,
-                   fallback: float = 120.0) -> DataFrame:
-    """Passes judged as racing speed: 80% of the car's own last green lap at that point, else of the
-    field's median green speed there (3 samples or more), else 120 km/h. Each car counts once per clock."""
-    at = passes.withColumn("bin", chunk_of("crash_dist", bin_m))
-
-    def near(ref: DataFrame, keys: list[str], name: str) -> DataFrame:
-        """The bin itself, else the one before, else the one after."""
-        spread = ref.withColumn("_d", F.explode(F.array(F.lit(0), F.lit(1), F.lit(-1)))).withColumn("bin", F.col("bin") + F.col("_d"))
-        rank = F.when(F.col("_d") == 0, 0).when(F.col("_d") == 1, 1).otherwise(2)
-        return spread.groupBy(*keys, "bin").agg(F.min_by("v", rank).alias(name))
-    own = near(last_green.withColumnRenamed("drv", "car"), ["race", "car", "drv_lap"], "_own")
-    at = at.join(own, ["race", "car", "drv_lap", "bin"], "left").join(near(field, ["race"], "_field"), ["race", "bin"], "left")
-    ref = F.coalesce(F.when(F.col("_own") > 0, F.col("_own")), F.when(F.col("_field") > 0, F.col("_field")))
+def clock_places(marks: DataFrame, df: DataFrame) -> DataFrame:
+    """The stretch of each crash in which its exposure clock runs: from our escalation to the official one, or to the end of
+    the race's data."""
+    ends = df.groupBy("race").agg(F.max("t").alias("_end"))
+    out = marks.filter("our_esc is not null and crash_dist is not null").join(ends, "race")
+    return out.select("race", F.col("crash").alias("place"), "crash_dist", "cars", F.col("our_esc").alias("t0"),
+                      F.greatest(F.coalesce("off_esc", "_end"), "our_esc").alias("t1"))
+
+
+def field_pace(passes: DataFrame, df: DataFrame, bin_m: float = BIN_M, kept: int = FIELD_KEPT, least: int = FIELD_LEAST) -> DataFrame:
+    """(race, place, car, t_pass, field_kmh): the median of the last `kept` green samples of the whole field at the pass's
+    50 m, at or before the pass; with fewer than `least`, of the 50 m before, else behind. Nothing later counts."""
+    fast = df.filter((F.col("track_status") == "1") & (F.col("speed") >= FIELD_MIN_KMH) & F.col("dist").isNotNull())
+    fast = fast.select("race", chunk_of("dist", bin_m).alias("bin"), "t", "drv", "speed")
+    fast = numbered(fast, ["race", "bin"], chunk_of("t", BUCKET_S), ["t", "drv"], "k")
+    asked = passes.select("race", "place", "car", "t_pass", "crash_dist").withColumn("off", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))))
+    asked = asked.withColumn("bin", chunk_of("crash_dist", bin_m) + F.col("off"))
+    asked = asof_join(asked, fast, ["race", "bin"], "t_pass", "t", ["k"], BUCKET_S).filter("k is not null")
+    spans = asked.select("race", "bin", "place", "car", "t_pass", "off", F.greatest(F.col("k") - kept + 1, F.lit(1)).alias("lo"), F.col("k").alias("hi"))
+    seen = interval_join(fast.select("race", "bin", "k", "speed"), spans, ["race", "bin"], "k", "lo", "hi", float(kept))
+    each = seen.groupBy("race", "place", "car", "t_pass", "off").agg(F.sort_array(F.collect_list("speed")).alias("_v")).filter(F.size("_v") >= least)
+    middle = F.element_at("_v", F.floor(F.size("_v") / 2).cast("int") + 1)
+    rank = F.when(F.col("off") == 0, 0).when(F.col("off") == -1, 1).otherwise(2)
+    return each.groupBy("race", "place", "car", "t_pass").agg(F.min_by(middle, rank).alias("field_kmh"))
+
+
+def exposure_clock(passes: DataFrame, df: DataFrame, length: float, bin_m: float = BIN_M, share: float = 0.8, fallback: float = 120.0) -> DataFrame:
+    """Passes (race, place, car, t_pass, speed_kmh, crash_dist) at racing speed: 80% of the car's own last green lap at that
+    point, else of the field's pace there so far, else 120 km/h. Each car counts once per clock."""
+    laps = df.filter("drv_lap is not null").select("race", F.col("drv").alias("car"), "t", "drv_lap")
+    at = asof_join(passes.drop("drv_lap"), laps, ["race", "car"], "t_pass", "t", ["drv_lap"], BUCKET_S).withColumn("bin", chunk_of("crash_dist", bin_m))
+    own = last_green_lap(df, length, bin_m).withColumnRenamed("drv", "car")
+    own = own.withColumn("_d", F.explode(F.array(F.lit(0), F.lit(1), F.lit(-1)))).withColumn("bin", F.col("bin") + F.col("_d"))
+    rank = F.when(F.col("_d") == 0, 0).when(F.col("_d") == 1, 1).otherwise(2)          # the bin itself, the one before, the one after
+    own = own.groupBy("race", "car", "drv_lap", "bin").agg(F.min_by("v", rank).alias("_own"))
+    at = at.join(own, ["race", "car", "drv_lap", "bin"], "left").join(field_pace(passes, df, bin_m), ["race", "place", "car", "t_pass"], "left")
+    ref = F.coalesce(F.when(F.col("_own") > 0, F.col("_own")), "field_kmh")
     racing = F.when(ref.isNotNull(), F.col("speed_kmh") >= share * ref).otherwise(F.col("speed_kmh") >= fallback)
-    label = F.when(F.col("_own") > 0, "own pace").when(F.col("_field") > 0, "field pace").otherwise("no reference")
+    label = F.when(F.col("_own") > 0, "own pace").when(F.col("field_kmh") > 0, "field pace").otherwise("no reference")
     hits = at.withColumns({"reference": label, "_racing": racing}).filter("_racing")
     return hits.groupBy("race", "place", "car").agg(F.min(F.struct("t_pass", "speed_kmh", "reference")).alias("_p")).select(
         "race", "place", "car", "_p.*")

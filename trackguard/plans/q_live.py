@@ -168,13 +168,10 @@ def _(spark, sf):
 
 @query("v8_exposure_clock")
 def _(spark, sf):
-    own, places = T.own(spark, sf), EX.pass_places(T.marks(spark, sf))
-    hits = EX.crossings(own, places, AD.LENGTH).join(places.select("race", "place", "crash_dist"), ["race", "place"])
-    lap = own.select("race", F.col("drv").alias("car"), "t", "drv_lap")
-    hits = hits.withColumn("t", F.floor(F.col("t_pass") * 4) / 4).join(lap, ["race", "car", "t"]).drop("t")
-    green = own.filter("track_status = '1' and speed >= 20 and dist is not null")
-    field = green.groupBy("race", F.floor(F.col("dist") / 50).cast("bigint").alias("bin")).agg(F.percentile("speed", 0.5).alias("v"), F.count(F.lit(1)).alias("n")).filter("n >= 3").drop("n")
-    return LI.exposure_clock(hits, LI.last_green_lap(own, AD.LENGTH), field)
+    own = T.own(spark, sf)
+    places = LI.clock_places(T.marks(spark, sf), own)
+    passes = EX.crossings(own, places, AD.LENGTH).join(places.select("race", "place", "crash_dist"), ["race", "place"])
+    return LI.exposure_clock(passes, own, AD.LENGTH)
 
 
 @query("v8_last_green_lap", sql(["grid"], """
