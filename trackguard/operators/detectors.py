@@ -159,7 +159,7 @@ def car_step(p: DetectorParams, anomaly_threshold: float | None = None, edge: Ca
                 pending = None
                 continue
             if r["speed"] is None and r["c_lost"] and not lost:
-                fire("DROPOUT", r["seen_msector"], 0.5, f"silent for {(t - r['seen_tick']) / TICKS_PER_S + 1:.1f} s after {r['seen_speed']:.0f} km/h")
+                fire("DROPOUT", r["seen_msector"], 0.5, f"no data for {(t - r['seen_tick']) / TICKS_PER_S + 1:.1f} s, last seen at {r['seen_speed']:.0f} km/h")
             lost = r["speed"] is None and (lost or r["c_lost"])
             if r["pit"]:
                 stopped, pending = False, None
