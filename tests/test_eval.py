@@ -223,3 +223,12 @@ def test_the_exposure_clock_counts_racing_cars_once(spark):
                                    "race string, place int, car string, t_pass double, speed_kmh double, crash_dist double")
     got = {r["car"]: (r["t_pass"], r["reference"]) for r in LI.exposure_clock(passes, df, 1000.0).collect()}
     assert got == {"1": (62.6, "own pace"), "4": (62.6, "field pace")}
+
+
+def test_the_clock_runs_from_our_call_to_the_official_one(spark):
+    calls = spark.createDataFrame([("R", "a", 20.0, "SC"), ("R", "b", 30.0, "VSC"), ("R", "c", 40.0, "YELLOW"), ("R", "d", 90.0, "RED")], "race string, id string, t double, flag string")
+    named = spark.createDataFrame([("R", "a", ["1", "2", "9"]), ("R", "b", ["1"]), ("R", "c", ["1"]), ("R", "d", ["2"])], "race string, id string, rec_cars array<string>")
+    said = spark.createDataFrame([("R", 25.0, "VSC"), ("R", 33.0, "SC"), ("R", 10.0, "RED")], "race string, t double, flag string")
+    df = spark.createDataFrame([("R", d, float(t), 10.0 * t + (500.0 if d == "2" else 0.0)) for d in "12" for t in range(0, 101, 5)], "race string, drv string, t double, dist double")
+    got = {r["place"]: (r["crash_dist"], r["t0"], r["t1"]) for r in LI.clock_places(calls, named, said, df).collect()}
+    assert got == {"a": (700.0, 20.0, 33.0), "b": (300.0, 30.0, 33.0), "d": (1400.0, 90.0, 100.0)}

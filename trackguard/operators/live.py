@@ -142,13 +142,24 @@ def last_green_lap(df: DataFrame, length: float, bin_m: float = 50.0) -> DataFra
     return ref.join(bins.withColumnRenamed("drv_lap", "ref_lap"), [*CAR, "ref_lap"]).select(*CAR, "drv_lap", "bin", "v")
 
 
-def clock_places(marks: DataFrame, df: DataFrame) -> DataFrame:
-    """The stretch of each crash in which its exposure clock runs: from our escalation to the official one, or to the end of
-    the race's data."""
+def clock_places(calls: DataFrame, named: DataFrame, official: DataFrame, df: DataFrame) -> DataFrame:
+    """Where and when the exposure clock of each of our track-wide calls runs: (race, place, crash_dist, cars, t0, t1). It starts with
+    the call (race, id, t, flag), at the last place known then of a car it names (`named`: race, id, rec_cars; the last one with a place
+    counts), and ends with the first official track-wide message of at least its level, or with the race's data."""
+    rank = F.coalesce(*[F.when(F.col("flag") == f, F.lit(RANKS[f])) for f in ("VSC", "SC", "RED")])
     ends = df.groupBy("race").agg(F.max("t").alias("_end"))
-    out = marks.filter("our_esc is not null and crash_dist is not null").join(ends, "race")
-    return out.select("race", F.col("crash").alias("place"), "crash_dist", "cars", F.col("our_esc").alias("t0"),
-                      F.greatest(F.coalesce("off_esc", "_end"), "our_esc").alias("t1"))
+    ours = calls.filter(F.col("flag").isin("VSC", "SC", "RED")).select("race", "id", "t", rank.alias("_rank"))
+    ours = ours.join(named, ["race", "id"]).join(ends, "race").withColumnsRenamed({"rec_cars": "cars", "t": "t0"})
+    places = df.filter("dist is not null").select("race", F.col("drv").alias("car"), "t", "dist")
+    at = ours.select("race", "id", "t0", F.posexplode("cars").alias("_n", "car"))
+    at = asof_join(at, places, ["race", "car"], "t0", "t", ["dist"], BUCKET_S).filter("dist is not null")
+    at = at.groupBy("race", "id").agg(F.max_by("dist", "_n").alias("crash_dist"))
+    theirs = official.filter(F.col("flag").isin("VSC", "SC", "RED")).select("race", "t", rank.alias("_their_rank"))
+    spans = ours.select("race", "id", "_rank", F.col("t0").alias("lo"), F.greatest("t0", "_end").alias("hi"))
+    over = interval_join(theirs, spans, ["race"], "t", "lo", "hi", BUCKET_S, extra=F.col("_their_rank") >= F.col("_rank"))
+    over = over.groupBy("race", "id").agg(F.min("t").alias("_over"))
+    out = ours.join(at, ["race", "id"]).join(over, ["race", "id"], "left")
+    return out.select("race", F.col("id").alias("place"), "crash_dist", "cars", "t0", F.coalesce("_over", F.greatest("t0", "_end")).alias("t1"))
 
 
 def field_pace(passes: DataFrame, df: DataFrame, bin_m: float = BIN_M, kept: int = FIELD_KEPT, least: int = FIELD_LEAST) -> DataFrame:

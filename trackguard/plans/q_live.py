@@ -169,7 +169,8 @@ def _(spark, sf):
 @query("v8_exposure_clock")
 def _(spark, sf):
     own = T.own(spark, sf)
-    places = LI.clock_places(T.marks(spark, sf), own)
+    recs = T.recs(spark, sf)
+    places = LI.clock_places(recs, EX.rec_cars(recs, T.detections(spark, sf)), T.official(spark, sf), own)
     passes = EX.crossings(own, places, AD.LENGTH).join(places.select("race", "place", "crash_dist"), ["race", "place"])
     return LI.exposure_clock(passes, own, AD.LENGTH)
 
