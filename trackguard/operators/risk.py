@@ -36,8 +36,16 @@ NUMERIC = [
 ]
 # fixed values: tyre codes
 COMPOUNDS = {"SOFT": 0, "MEDIUM": 1, "HARD": 2, "INTERMEDIATE": 3, "WET": 4}
-ACTIVE = [c for c in NUMERIC if c not in ("track_temp", "air_temp")] + ["compound_code", "status_code"]
-WITHOUT_ANOMALY = [c for c in ACTIVE if c != "anomaly_score"]
+OUTSIDE, CODED = {"track_temp", "air_temp"}, ["compound_code", "status_code"]
+
+
+def input_names(anomaly: bool = True) -> list[str]:
+    """The model's inputs in a fixed order: the numbers but for the air and track temperature, then the codes."""
+    left_out = OUTSIDE if anomaly else OUTSIDE | {"anomaly_score"}
+    return [*(c for c in NUMERIC if c not in left_out), *CODED]
+
+
+ACTIVE, WITHOUT_ANOMALY = input_names(), input_names(anomaly=False)
 MISSING = -1e6            # a value below all others: a split can set missing inputs apart
 
 
