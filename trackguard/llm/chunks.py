@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable
-from types import ModuleType
-
 import numpy as np
 import pyarrow as pa
 
@@ -76,11 +72,3 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     end = np.cumsum(lengths)
     return total[end] - total[end - lengths]
 
-
-def kept_in_process(key: tuple, make: Callable):
-    """What make() gives, made once per worker process: tasks that a process runs one after the other share it. The functions of a task
-    arrive with modules of their own, so the store is a module of the interpreter."""
-    store = sys.modules.setdefault("_kept_by_trackguard_tasks", ModuleType("_kept_by_trackguard_tasks")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackguard.llm import chunks, words as W
 
-KEPT = 250_000
+KEPT = 150_000
 #: Below this code point (but for the dotted capital I) text is its own composed form and lower case needs no context.
 _LATIN = regex.compile(r"[\u0000-įı-ɏ]*")
 _NONE = np.iinfo(np.int64).max
@@ -147,7 +147,7 @@ class Counter:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: UTF-8 bytes, tokens, and whether they exceed the limit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = chunks.kept_in_process(("token counts", tokenizer), lambda: Counter(tokenizer))
+        counter = W.kept_in_process(("token counts", tokenizer), lambda: Counter(tokenizer))
         for batch in W.pieces(batches, "text"):
             texts = W.texts_of(batch.column("text"))
             n = counter.count(texts)

@@ -33,7 +33,7 @@ from trackguard.session import stored
 MAGIC = b"TGS8BID1"
 BLOCK = 1 << 16
 END_ID = 2
-KEPT = 250_000          # distinct chunks a task remembers
+KEPT = 150_000          # distinct chunks a task remembers
 INDEX = "part int, uri string, n_docs long, n_ids long, n_bytes long"
 
 
@@ -127,7 +127,7 @@ def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, file = chunks.kept_in_process(("token ids", tokenizer), lambda: Encoder(tokenizer)), None
+        encoder, file = W.kept_in_process(("token ids", tokenizer), lambda: Encoder(tokenizer)), None
         for batch in W.pieces(batches, "text"):
             file = file or File(binfiles.new_file(folder, ".s8b"))
             ids, count = encoder.encode(W.texts_of(batch.column("text")))

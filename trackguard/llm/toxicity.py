@@ -26,7 +26,7 @@ from trackguard.llm import folds, words as W
 from trackguard.llm.sides import side
 from trackguard.session import stored
 
-PER_LABEL = 6_000
+PER_LABEL = 4_000
 BITS = 22
 TERMS = 8_192
 LEAST = 15.0            # one in ten thousand by chance

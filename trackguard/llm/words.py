@@ -5,8 +5,11 @@ operator asks for verified hits; word and shingle identity elsewhere rests on 64
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import gc
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,15 @@ import pyarrow as pa
 STEP = 1 << 18
 #: Bytes of text that one round of an operator holds; a longer text is a round of its own.
 PIECE = 2 << 20
-_SPLIT = {}
+
+
+def kept_in_process(key: tuple, make: Callable):
+    """What make() gives, made once per worker process: tasks that a process runs one after the other share it. The functions of a task
+    arrive with modules of their own, so the store is a module of the interpreter."""
+    store = sys.modules.setdefault("_kept_by_trackguard_tasks", ModuleType("_kept_by_trackguard_tasks")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
 
 
 def _odd(seed: int) -> int:
@@ -34,10 +45,11 @@ _LETTER = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) *
 
 def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64, kept and lengthened on demand."""
-    have = _SPLIT.get(base)
+    known = kept_in_process(("powers",), dict)
+    have = known.get(base)
     if have is None or len(have[0]) < n:
         size = max(n, STEP + 1, 2 * len(have[0]) if have else 0)
-        have = _SPLIT[base] = (_powers(base, size), _powers(pow(base, -1, 1 << 64), size))
+        have = known[base] = (_powers(base, size), _powers(pow(base, -1, 1 << 64), size))
     return have
 
 
@@ -92,7 +104,9 @@ def texts_of(column: pa.Array) -> Texts:
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """Batches cut into runs of rows whose texts hold at most limit bytes, or one row."""
+    """Batches cut into runs of rows whose texts hold at most limit bytes, or one row. A task begins here, so what earlier tasks of the
+    process left behind (functions and their modules refer to each other) goes first."""
+    gc.collect()
     for batch in batches:
         if not batch.num_rows:
             continue
