@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from trackguard.functions.timeline import interval_join
 from trackguard.operators import detectors as DE, escalation as ES, exposure as EX, flags as FL, incidents as IN, onset as ON, scoring as SC
-from trackguard.operators.params import BASELINE_KMH, with_candidates
+from trackguard.operators.params import BASELINE_KMH, SWEPT, candidate_grid, with_candidates
 from trackguard.plans import tables as T
 from trackguard.plans.registry import query, with_tables
 from trackguard.plans.sqlparts import INC, NAIVE, ONSETS, OWN, PARTS, SCORES, TICKS
+from trackguard.session import stored
 from trackguard.sources import adapter as AD
-from trackguard.sources.readers import check_races
+from trackguard.sources.readers import assert_no_holdout, check_races
 from trackguard.sources.sinks import metrics
 
 N = AD.SECTORS
@@ -182,16 +183,44 @@ def _(spark, sf):
     return SC.leave_one_out(sweep(spark, sf), [19.0, 20.0, 25.0]).select("budget", "race", "cand", "matched", "false_alarms")
 
 
+BUDGETS = (600.0, 900.0, 1500.0)   # 2, 3 and 5 false alarms per hour, for races of 20 seconds instead of 100 minutes
+
+
+@T.kept("setting_scores")
+def setting_scores(spark, sf):
+    """Every setting of the detectors and of the baseline on every race."""
+    f = assert_no_holdout(T.features(spark, sf))
+    grids = {"detectors": candidate_grid(), "baseline": [{"kmh": k} for k in BASELINE_KMH]}
+    found = {"detectors": SC.rule_alerts(DE.detect(with_candidates(f, grids["detectors"]), T.SCALED, N, swept=SWEPT)),
+             "baseline": DE.naive(with_candidates(f, grids["baseline"]), **T.NAIVE_SET)}
+    rows = [d.withColumn("system", F.lit(s)).select("system", "cand", "race", "id", "t", "drivers", "msector", "type") for s, d in found.items()]
+    dets = stored(rows[0].unionByName(rows[1]))
+    by = ["system", "cand", "race"]
+    marked = SC.false_alarms(SC.alerts(dets, by, 5.0), T.gap_incidents(spark, sf), N, by, 1.0, 0.5)
+    systems = spark.createDataFrame([(s, i) for s, g in grids.items() for i in range(len(g))], "system string, cand int")
+    s = SC.incident_scores(f, T.gap_incidents(spark, sf), dets, N, by, 3.0, systems=systems, **SPAN)
+    return SC.race_summary(s, marked, SC.race_hours(f), by, systems)
+
+
 @query("h12_baseline_grid")
 def _(spark, sf):
-    """Every baseline setting on every race: detections, matches and false alarms."""
-    rows = with_candidates(T.features(spark, sf), [{"kmh": k} for k in BASELINE_KMH])
-    dets = DE.naive(rows, **T.NAIVE_SET)
-    by = ["cand", "race"]
-    found = SC.false_alarms(SC.alerts(dets, by, 5.0), T.gap_incidents(spark, sf), N, by, 1.0, 0.5)
-    systems = spark.createDataFrame([(i,) for i in range(len(BASELINE_KMH))], "cand int")
-    s = SC.incident_scores(T.features(spark, sf), T.gap_incidents(spark, sf), dets, N, by, 3.0, systems=systems, **SPAN)
-    return SC.race_summary(s, found, SC.race_hours(T.features(spark, sf)), by, systems).select(*by, "incidents", "matched", "held", "alerts", "false_alarms")
+    """The 36 detector settings and the 4 of the baseline on every race: matches, leads and false alarms."""
+    return setting_scores(spark, sf).select("system", "cand", "race", "incidents", "matched", "held", "leads", "earlier", "median_lead_s", "alerts",
+                                            "false_alarms", "hours", "recall", "recall_window", "fa_per_hour")
+
+
+@query("h13_tuned_setting")
+def _(spark, sf):
+    """The setting of each system chosen from the scores of h12, per budget."""
+    rows = setting_scores(spark, sf).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in BUDGETS])))
+    return SC.choose(rows, F.col("budget"), ["system", "budget"])
+
+
+@query("h14_tuned_leave_one_race_out")
+def _(spark, sf):
+    """Each race under the settings chosen from the scores of h12 on the other races."""
+    return SC.leave_one_out(setting_scores(spark, sf), list(BUDGETS)).select(
+        "system", "budget", "race", "cand", "incidents", "matched", "held", "leads", "median_lead_s", "false_alarms", "hours")
 
 
 # ---- onset and latency
