@@ -108,3 +108,12 @@ def test_query_equals_a_search_of_all_pairs(spark, sf):
     want, sets = groups(rows, 4)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op9_near_duplicates"](spark, sf).collect()}
     assert got == {i: (len(sets[k]), rows[want[k]][0], want[k] == k) for k, (i, _) in enumerate(rows)}
+
+
+def test_pairs_of_small_sets_do_not_need_their_estimate():
+    regs = np.zeros((3, H.BUCKETS), np.uint16)
+    regs[1, H.ROWS:], regs[2, H.ROWS:] = 1, 2           # one band in common and nothing else
+    for n, want in ((5, [(0, 1), (0, 2), (1, 2)]), (N.SMALL, [])):
+        unit = pa.table({"regs": [r.tobytes() for r in regs], "n_shingles": [n] * 3, "own": [0] * 3, "number": [0] * 3,
+                         "component": [b"a", b"b", b"c"], "i": [0] * 3, "j": [0] * 3})
+        assert sorted(N._pairs_of(unit, 0.5, 80)) == want

@@ -3,14 +3,16 @@ are linked through others.
 
 1. Every document gets its set's size, a 128-bit key of the set, and a HyperMinHash sketch. Documents with equal sets are one class;
    only classes go on.
-2. Bands of registers put classes into buckets. In each bucket every class is paired with the one of smallest id. Pairs whose corrected
-   estimate is not below the threshold by more than MARGIN are confirmed on the full sets; confirmed links give first components.
+2. Bands of registers put classes into buckets. In each bucket every class is paired with the one of smallest id. Pairs with a class of
+   fewer than SMALL shingles, and pairs whose corrected estimate is not below the threshold by more than MARGIN, are confirmed on the
+   full sets; confirmed links give first components.
 3. Buckets that still hold several components are searched completely: every pair of classes of different components, each pair in the
-   first bucket it shares, estimate first, full sets then. Large buckets are dealt in pairs of blocks, so no task holds more than two
+   first bucket it shares, estimate first (not for small classes), full sets then. Large buckets are dealt in pairs of blocks, so no task holds more than two
    blocks. Links only have to join components, so a unit reports at most one per pair of components it joins.
 
 No step writes a row per pair of a group: copies meet in their class, near copies at the bucket's first class. A pair at the threshold
-shares no band with a probability under 1e-7; the margin is five standard errors of the estimate.
+can still share no band: in a simulation with these registers 0 of 40,000 pairs of 5 and 4 shingles and 1 of 160,000 pairs of 50 and 40
+had none, too few for a rate. The margin is eight standard errors of the estimate of a large class.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; rows without id are reported unlinked with
 component null and kept; rows that repeat an id are documents of their own; empty tables give empty results; other columns are ignored."""
@@ -29,7 +31,8 @@ from trackguard.llm.components import components
 from trackguard.llm.sides import side
 from trackguard.session import stored
 
-SHINGLE, PERCENT, MARGIN = 5, 80, 0.2
+SHINGLE, PERCENT, MARGIN = 5, 80, 0.3
+SMALL = 512             # shingles below which registers repeat too often for an estimate; the full sets decide
 BLOCK = 2048            # classes of one block of a bucket
 
 
@@ -81,16 +84,22 @@ def _estimates(a: pa.Array, b: pa.Array, n_a: np.ndarray, n_b: np.ndarray) -> np
     return H.corrected(_registers(a), _registers(b), n_a, n_b)
 
 
-def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimate is at least this."""
+def _sizes_fit(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can reach the similarity."""
+    return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+
+
+def likely(pairs: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes fit, and whose estimate is at least this or one of which is small."""
     own = classes.select("node", "regs", "n_shingles")
     wide = pairs.join(own.toDF("a", "regs_a", "n_a"), "a").join(own.toDF("b", "regs_b", "n_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                est = _estimates(batch.column("regs_a"), batch.column("regs_b"), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-                yield batch.select(["a", "b"]).filter(pa.array(est >= least))
+                n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                good = (np.minimum(n_a, n_b) < SMALL) | (_estimates(batch.column("regs_a"), batch.column("regs_b"), n_a, n_b) >= least)
+                yield batch.select(["a", "b"]).filter(pa.array(good & _sizes_fit(n_a, n_b, percent)))
     return wide.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
 
 
@@ -159,9 +168,9 @@ def _each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs_of(unit: pa.Table, least: float) -> Iterator[tuple[int, int]]:
+def _pairs_of(unit: pa.Table, least: float, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of rows of different components that this unit has to look at, most similar first within a row: they lie in the unit's two
-    blocks, share no earlier band, and their estimate reaches `least`."""
+    blocks, share no earlier band, their sizes fit, and their estimate reaches `least` or one of them is small."""
     regs = np.frombuffer(b"".join(unit.column("regs").to_pylist()), np.uint16).reshape(-1, H.BUCKETS)
     n = unit.column("n_shingles").to_numpy()
     own, number = unit.column("own").to_numpy(), unit.column("number")[0].as_py()
@@ -169,7 +178,7 @@ def _pairs_of(unit: pa.Table, least: float) -> Iterator[tuple[int, int]]:
     component = (component.combine_chunks() if isinstance(component, pa.ChunkedArray) else component).indices.to_numpy()
     two = unit.column("i")[0].as_py() != unit.column("j")[0].as_py()
     for x in range(len(n) - 1):
-        near = (component[x + 1:] != component[x]) & (100 * np.minimum(n[x], n[x + 1:]) >= 100 * least * np.maximum(n[x], n[x + 1:]))
+        near = (component[x + 1:] != component[x]) & _sizes_fit(n[x], n[x + 1:], percent)
         if two:
             near &= own[x + 1:] != own[x]
         y = np.flatnonzero(near) + x + 1
@@ -181,14 +190,15 @@ def _pairs_of(unit: pa.Table, least: float) -> Iterator[tuple[int, int]]:
             chance = H.collision(np.full(len(y), float(n[x])), n[y].astype(float))
             est = (same.mean(1) - chance) / (1 - chance)
             order = np.argsort(-est, kind="stable")
-            yield from ((x, int(k)) for k in y[order][est[order] >= least])
+            good = (est >= least) | (np.minimum(n[x], n[y]) < SMALL)
+            yield from ((x, int(k)) for k in y[order][good[order]])
 
 
-def _suspects(units: DataFrame, least: float) -> DataFrame:
+def _suspects(units: DataFrame, least: float, percent: int) -> DataFrame:
     """Members that have any pair to confirm in their unit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _each_unit(batches):
-            rows = sorted({k for pair in _pairs_of(unit, least) for k in pair})
+            rows = sorted({k for pair in _pairs_of(unit, least, percent) for k in pair})
             if rows:
                 yield from unit.take(pa.array(rows)).combine_chunks().to_batches()
     return _gathered(units).mapInArrow(run, units.schema)
@@ -207,7 +217,7 @@ def _joining(suspects: DataFrame, sets: DataFrame, least: float, percent: int) -
                     parent[c] = c = parent[parent[c]]
                 return c
             out = []
-            for x, y in _pairs_of(unit, least):
+            for x, y in _pairs_of(unit, least, percent):
                 a, b = root(component[x]), root(component[y])
                 if a != b and linked(sets_[x], sets_[y], percent):
                     parent[a] = b
@@ -224,13 +234,13 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, margi
     centre = members.groupBy("band").agg(F.min(F.struct("id", "node")).alias("c"))
     star = members.join(centre, "band").select(F.col("c.node").alias("a"), F.col("node").alias("b")).filter("a != b").distinct()
     sets = stored(full_sets(docs, members.select("node", "id").distinct(), shingle))
-    first = stored(confirmed(likely(star, classes, least), sets, percent))
+    first = stored(confirmed(likely(star, classes, least, percent), sets, percent))
     found = components(first)
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = stored(placed)
     several = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("band")
     rest = _within(placed, stored(several), "band").join(classes.select("node", "regs", "n_shingles"), "node")
-    suspects = stored(_suspects(_units(rest, block), least))
+    suspects = stored(_suspects(_units(rest, block), least, percent))
     return first.unionAll(stored(_joining(suspects, sets, least, percent)))
 
 
