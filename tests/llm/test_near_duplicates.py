@@ -117,3 +117,13 @@ def test_pairs_of_small_sets_do_not_need_their_estimate():
         unit = pa.table({"regs": [r.tobytes() for r in regs], "n_shingles": [n] * 3, "own": [0] * 3, "number": [0] * 3,
                          "component": [b"a", b"b", b"c"], "i": [0] * 3, "j": [0] * 3})
         assert sorted(N._pairs_of(unit, 0.5, 80)) == want
+
+
+def test_repeated_rows_and_near_copies_under_one_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, long), (3, long + " end"), (7, long), (9, "five words stand right here"), (9, "five words stand right here"), (None, long), (None, long),
+            (4, None), (4, None), (6, "  "), (6, "  ")]
+    got = sorted(((r.doc_id, r.text) for r in N.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    group = [r for r in got if r[0] in (3, 7)]
+    assert len(group) == 1 and group[0] in rows[:2]
+    assert sorted([r for r in got if r not in group], key=str) == sorted(rows[4:], key=str)

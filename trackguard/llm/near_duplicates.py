@@ -15,7 +15,7 @@ can still share no band: in a simulation with these registers 0 of 40,000 pairs
 had none, too few for a rate. The margin is eight standard errors of the estimate of a large class.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; rows without id are reported unlinked with
-component null and kept; rows that repeat an id are documents of their own; empty tables give empty results; other columns are ignored."""
+component null and kept; rows that repeat an id are documents of their own, and one of smallest id and text hash stays of a group; empty tables give empty results; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -249,22 +249,28 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = stored(sketched(rows, shingle))
     classes = stored(seen.filter("doc_id is not null and node is not null").groupBy("node")
-                     .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
+                     .agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+                     .select("node", F.col("least.doc_id").alias("id"), "least", "n_shingles", "regs"))
     found = stored(components(links(rows, classes, shingle, percent, **more)))
-    ids = classes.select("node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = stored(ids.join(least, "component").select("node", "component_id"))
+    ids = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ids.groupBy("component").agg(F.min("least").alias("stays"))
+    named = stored(ids.join(least, "component").select("node", F.col("stays.doc_id").alias("component_id"), F.col("stays.text_hash").alias("stays_text")))
     out = seen.select("doc_id", "text_hash", "n_shingles", "node").join(side(named), "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.col("doc_id").isNull() | F.col("node").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("stays_text")))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """docs with one row of each group. Rows without id stay."""
+    """docs with one row of each group. Rows without id and rows without words stay, all of them."""
     found = stored(duplicates(docs, doc_id, text, **more))
-    gone = stored(found.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct())
-    same = (F.col(doc_id).cast("long") == F.col("_gone")) & (F.xxhash64(F.col(text)) == F.col("_gone_text"))
+
+    same = (F.col(doc_id).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_text"))
+    named = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "kept", "n_shingles")
+    gone = stored(named.filter("not kept").select("_id", "_text").distinct())
     out = docs.join(side(gone), same, "left_anti")
-    # only where an id is kept twice can whole rows repeat
-    twice = not found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    return out.dropDuplicates([doc_id, text]) if twice else out
+    # copies of a kept row with its id: one stays
+    again = stored(named.filter("kept and _id is not null and n_shingles > 0").groupBy("_id", "_text").agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_text"))
+    if again.isEmpty():
+        return out
+    return out.join(side(again), same, "left_anti").unionByName(out.join(side(again), same, "left_semi").dropDuplicates([doc_id, text]))
