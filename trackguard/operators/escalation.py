@@ -197,12 +197,13 @@ def flag_pairs(off: DataFrame) -> DataFrame:
 
 
 def our_summary(ours: DataFrame, hours: DataFrame, by: list[str] = []) -> DataFrame:
-    """Our escalations by category and flag, extras per hour, reds by cause."""
+    """Our escalations by category and flag, extras per hour (of the race, where `by` names it), reds by cause."""
     extra = F.col("category").isin(EXTRA)
     red = F.col("flag") == "RED"
     timed, late = F.col("reason").contains("crash site"), F.col("reason").contains("laps left")
     called = F.coalesce("race_control_red", F.lit(False))
-    total = hours.agg(F.sum("hours").alias("hours"))
+    own = [k for k in by if k == "race"]
+    total = hours.groupBy(*own).agg(F.sum("hours").alias("hours"))
     names = {"matched": "matched", NEUTRAL_CALL: "during_neutral", YELLOWS: "yellows_only", OUTSIDE: "outside_window",
              NOTHING: "no_official_flag", RED_UNCALLED: "red_uncalled"}
     aggs = [F.count(F.lit(1)).alias("ours"), *[F.count_if(F.col("category") == c).alias(n) for c, n in names.items()],
@@ -211,7 +212,8 @@ def our_summary(ours: DataFrame, hours: DataFrame, by: list[str] = []) -> DataFr
             F.count_if(red & ~timed & ~late).alias("reds_multi_car"), F.count_if(red & called).alias("reds_called"),
             F.count_if(red & ~called).alias("reds_uncalled")]
     out = ours.groupBy(*by).agg(*aggs) if by else ours.agg(*aggs)
-    return beside(out, total).withColumn("extra_per_hour", ratio("extra", "hours"))
+    out = out.join(total, own) if own else beside(out, total)
+    return out.withColumn("extra_per_hour", ratio("extra", "hours"))
 
 
 def stopped_offset(df: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ def latency_events(df: DataFrame, msgs: DataFrame, incidents: DataFrame, ons: Da
                       F.round(rc - ours, 2).alias("lead_s"), F.coalesce("_pit", F.lit(False)).alias("onset_car_pitted_20s"))
 
 
-def latency_summary(events: DataFrame, by: str) -> DataFrame:
+def latency_summary(events: DataFrame, by: str | list[str]) -> DataFrame:
     """Counts, quartiles and the share we were earlier, per value of `by`."""
     def q(c: str, name: str) -> list[Column]:
         arr = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

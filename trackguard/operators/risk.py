@@ -251,10 +251,10 @@ def score_table(pred: DataFrame, scores: dict[str, Column], y: str) -> DataFrame
     return pooled.select("model", "pr_auc", "base_rate").join(pre, "model", "left").join(mean, "model", "left")
 
 
-def racing_hours(pred: DataFrame) -> DataFrame:
+def racing_hours(pred: DataFrame, by: list[str] = []) -> DataFrame:
     """Racing time of the whole field: rows / 4 / 3600 / the mean number of cars per race."""
     per = pred.groupBy("race").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("drv").alias("_c"))
-    return per.agg((F.sum("_n") / 4.0 / 3600.0 / F.avg("_c")).alias("hours"))
+    return per.groupBy(*by).agg((F.sum("_n") / 4.0 / 3600.0 / F.avg("_c")).alias("hours"))
 
 
 def thresholds(pred: DataFrame, col: str, rates: tuple[float, ...] = ALERT_NEG_RATES) -> list[float]:
@@ -262,19 +262,24 @@ def thresholds(pred: DataFrame, col: str, rates: tuple[float, ...] = ALERT_NEG_R
     return exact_quantiles(pred.filter("y30 = 0"), col, [1 - r for r in rates])
 
 
-def early_warning(pred: DataFrame, limits: list[float], col: str = "p30") -> DataFrame:
+def early_warning(pred: DataFrame, limits: list[float] | None, col: str = "p30", by: list[str] = []) -> DataFrame:
     """Per limit: car incidents, the share flagged 3 s or more before, the median seconds before, and
-    false high-risk episodes per racing hour."""
-    pred = with_incident_end(pred).withColumn("threshold", F.explode(F.array(*[F.lit(float(v)) for v in limits])))
+    false high-risk episodes per racing hour. Without limits the rows bring their own as `threshold`; `by` is
+    nothing or the race."""
+    pred = with_incident_end(pred)
+    if limits is not None:
+        pred = pred.withColumn("threshold", F.explode(F.array(*[F.lit(float(v)) for v in limits])))
+    keys = [*by, "threshold"]
     over = F.col(col) >= F.col("threshold")
     cars = pred.filter("y30 = 1").groupBy("threshold", *CAR).agg(
         F.min(F.when(over & (F.col("t") <= F.col("t_end") - EARLY_S), F.col("t"))).alias("_t"), F.first("t_end").alias("t_end"))
-    seen = cars.groupBy("threshold").agg(
+    seen = cars.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("car_incidents"), F.avg(F.col("_t").isNotNull().cast("double")).alias("flagged_3s_before"),
         F.percentile(F.col("t_end") - F.col("_t"), 0.5).alias("median_s_before"))
-    eps = episodes(pred.filter(over & (F.col("y30") == 0)), ["threshold", *CAR]).groupBy("threshold").agg(F.sum("new").alias("false_episodes"))
-    hours = racing_hours(pred.drop("threshold").select(*CAR, "tick").distinct())
-    out = beside(seen.join(eps, "threshold", "left").fillna(0, ["false_episodes"]), hours)
+    eps = episodes(pred.filter(over & (F.col("y30") == 0)), ["threshold", *CAR]).groupBy(*keys).agg(F.sum("new").alias("false_episodes"))
+    hours = racing_hours(pred.drop("threshold").select(*CAR, "tick").distinct(), by)
+    out = seen.join(eps, keys, "left").fillna(0, ["false_episodes"])
+    out = out.join(hours, by) if by else beside(out, hours)
     return out.withColumn("false_episodes_per_hour", F.try_divide("false_episodes", "hours"))
 
 

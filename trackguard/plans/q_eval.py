@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from trackguard.functions.timeline import interval_join
-from trackguard.operators import detectors as DE, escalation as ES, exposure as EX, flags as FL, incidents as IN, onset as ON, scoring as SC
+from trackguard.operators import detectors as DE, escalation as ES, exposure as EX, flags as FL, incidents as IN, onset as ON, report as RP, risk as RI, scoring as SC
 from trackguard.operators.params import BASELINE_KMH, SWEPT, candidate_grid, with_candidates
 from trackguard.plans import tables as T
 from trackguard.plans.registry import query, with_tables
@@ -15,7 +15,6 @@ from trackguard.plans.sqlparts import INC, NAIVE, ONSETS, OWN, PARTS, SCORES, TI
 from trackguard.session import stored
 from trackguard.sources import adapter as AD
 from trackguard.sources.readers import assert_no_holdout, check_races
-from trackguard.sources.sinks import metrics
 
 N = AD.SECTORS
 SPAN = {"before": 1.0, "after": 0.25}
@@ -557,15 +556,26 @@ def _(spark, sf):
 
 @query("h50_race_report")
 def _(spark, sf):
-    """Detection and escalation of one race (the first by name), as a holdout report has them."""
-    race = "R0"
-    f = T.features(spark, sf).filter(F.col("race") == race)
-    inc = T.incidents(spark, sf).filter(F.col("race") == race)
-    dets = SC.rule_alerts(T.detections(spark, sf).filter(F.col("race") == race))
-    s = SC.incident_scores(f, inc, dets, N, max_hold=3.0)
-    one = SC.race_summary(s, SC.false_alarms(SC.alerts(dets), inc, N), SC.race_hours(f))
-    esc = ES.official_summary(official_rows(spark, sf).filter(F.col("race") == race))
-    return metrics({"detection": one, "escalation": esc})
+    """The holdout report of every race: detection, latency, risk and escalation. Scores and the high-risk line come from the other races."""
+    from trackguard.plans import q_learn as L
+    f, inc = T.features(spark, sf), T.incidents(spark, sf)
+    races = f.select("race").distinct()
+    over = L.scored(spark, sf).withColumn("anomaly_score", F.col("anomaly_score") - F.col("threshold"))
+    dets = stored(DE.detect(over, T.SCALED, N, anomaly_threshold=0.0))
+    systems = {"rule_alerts": SC.rule_alerts(dets), "anomaly_advisories": SC.advisories(dets), "naive_speed_threshold": T.naive(spark, sf)}
+    events = ON.latency_events(T.own(spark, sf), T.incident_messages(spark, sf), inc, T.onsets(spark, sf), SC.rule_alerts(dets), N, 5.0, 2.0)
+    seen = ON.pick_onset(ON.candidates(inc, T.onsets(spark, sf), N, 5.0, 2.0)).select("race", "incident")
+    unseen = ON.no_onset_reason(T.own(spark, sf), inc, N).join(seen, ["race", "incident"], "left_anti")
+    pred = L.predicted(spark, sf)
+    lines = [(r["race"], RI.thresholds(pred.filter(F.col("race") != r["race"]), "p30", RI.ALERT_NEG_RATES[:1])[0]) for r in races.collect()]
+    pred = pred.join(spark.createDataFrame(lines, "race string, threshold double"), "race")
+    scores = {h: {"model": F.col(f"p{h}"), "anomaly_score": F.coalesce("anomaly_score", F.lit(0.0)), "speed_threshold": -F.col("speed")} for h in (10, 30)}
+    ours = ES.our_side(f, T.incident_messages(spark, sf), inc, T.official(spark, sf), T.escalations(spark, sf), N)
+    return RP.race_report({
+        "detection": RP.detection(f, inc, systems, N, max_hold=3.0),
+        "latency": RP.latency(events, unseen, races),
+        "risk": RP.risk(pred, scores, races),
+        "escalation": RP.escalation(official_rows(spark, sf), ours, ES.clears_under_neutral(f, T.recs(spark, sf)), SC.race_hours(f), races)})
 
 
 @query("h51_check_races", sql(["grid", "official"], """

@@ -72,12 +72,12 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
 
 
-def metrics(parts: dict[str, DataFrame]) -> DataFrame:
-    """Result tables of one row each, as (section, metric, value)."""
+def metrics(parts: dict[str, DataFrame], by: list[str] = []) -> DataFrame:
+    """Result tables of one row each (per `by`), as (by, section, metric, value)."""
     out = None
     for section, df in parts.items():
-        nums = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+        nums = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in by]
         items = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in nums])
-        rows = df.select(F.explode(items).alias("_m")).select("_m.*")
+        rows = df.select(*by, F.explode(items).alias("_m")).select(*by, "_m.*")
         out = rows if out is None else out.unionByName(rows)
     return out
