@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -72,3 +74,40 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     end = np.cumsum(lengths)
     return total[end] - total[end - lengths]
 
+
+
+class Remembered:
+    """The ids of chunks, made once and remembered in two generations of at most `kept` chunks: when the young one is full it becomes
+    the old one, and what is met again moves to the young one. So the frequent chunks stay and memory is bounded."""
+
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kept: int):
+        """make gives the ids of chunks, one after the other, and how many each has."""
+        self.make, self.kept = make, kept
+        self.young, self.old = self._empty(), self._empty()
+
+    @staticmethod
+    def _empty() -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        return {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _add(self, new: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        known, have, lengths = self.young
+        known.update(zip(new, range(len(lengths), len(lengths) + len(new))))
+        self.young = known, np.concatenate([have, ids.astype(np.uint32)]), np.concatenate([lengths, length])
+
+    def ids(self, found: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks found[code], one after the other, and how many each has."""
+        if len(self.young[0]) + len(found) > self.kept:
+            self.old, self.young = self.young, self._empty()
+        missing = [c for c in found if c not in self.young[0]]
+        again = [c for c in missing if c in self.old[0]]
+        if again:
+            at, (_, ids, length) = np.fromiter(map(self.old[0].__getitem__, again), np.int64, len(again)), self.old
+            start = np.cumsum(length) - length
+            self._add(again, ids[spread(start[at], length[at])], length[at])
+            missing = [c for c in missing if c not in self.old[0]]
+        if missing:
+            self._add(missing, *self.make(missing))
+        known, ids, length = self.young
+        start = np.cumsum(length) - length
+        entry = np.fromiter(map(known.__getitem__, found), np.int64, len(found))[code] if found else code
+        return ids[spread(start[entry], length[entry])], length[entry]
