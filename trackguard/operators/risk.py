@@ -7,15 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.functions.stats import average_precision, exact_quantiles
 from trackguard.functions.timeline import beside, chunk_of, interval_join, running
+from trackguard.operators import boosting
+from trackguard.operators.boosting import Growth, Trees
 from trackguard.sources.readers import assert_no_holdout
+from trackguard.session import stored
 from trackguard.operators.incidents import MATCH_AFTER_S, MATCH_BEFORE_S, in_sectors, match_incidents
 
 CAR = ["race", "drv"]
@@ -46,7 +45,8 @@ def input_names(anomaly: bool = True) -> list[str]:
 
 
 ACTIVE, WITHOUT_ANOMALY = input_names(), input_names(anomaly=False)
-MISSING = -1e6            # a value below all others: a split can set missing inputs apart
+KEY = [*CAR, "tick"]
+PART_ROWS = 50_000       # rows of a race that one task scores
 
 
 def is_racing(df: DataFrame) -> Column:
@@ -68,10 +68,10 @@ def feature_matrix(df: DataFrame) -> DataFrame:
     return df.withColumns(model_inputs(df))
 
 
-def filled(df: DataFrame, features: list[str]) -> DataFrame:
-    """Adds the inputs as columns `in_...` of their own, MISSING where unknown; the caller's columns stay as they are."""
+def with_inputs(df: DataFrame, features: list[str]) -> DataFrame:
+    """Adds the inputs as columns `in_...` of their own, NULL where unknown; the caller's columns stay as they are."""
     given = model_inputs(df)
-    return df.withColumns({f"in_{c}": F.coalesce(given[c], F.lit(MISSING)) for c in features})
+    return df.withColumns({f"in_{c}": given[c] for c in features})
 
 
 # ---- labels
@@ -111,22 +111,29 @@ def train_keep(df: DataFrame, per_mille: int = NEG_PER_MILLE) -> DataFrame:
 class RiskModel:
     """The trees, and the share of the negatives they were trained on."""
 
-    trees: PipelineModel
+    trees: Trees
     neg_share: float
 
 
+def _kept_share(rows: DataFrame, y: str) -> Column:
+    """The share of the negatives that are kept for training; 1 without negatives."""
+    return F.coalesce(F.avg(F.when(F.col(y) == 0, F.col("train_keep").cast("double"))), F.lit(1.0))
+
+
+def _key(df: DataFrame) -> list[str]:
+    return [c for c in KEY if c in df.columns]
+
+
 def fit(train: DataFrame, horizon: int, features: list[str] = ACTIVE, iterations: int = 300, min_rows: int = 100, seed: int = 0) -> RiskModel:
-    """Boosted trees on the kept rows: depth 5, step 0.05, 80% of rows and columns per tree. The share of negatives
-    kept is measured here, so that the correction cannot disagree with the training. Holdout races are refused."""
+    """Boosted trees on the kept rows (`boosting.MOST_ROWS` of them at most). The share of negatives kept is measured here, so that the
+    correction cannot disagree with the training. Holdout races are refused."""
     if "race" in train.columns:
         assert_no_holdout(train)
-    y = F.col(f"y{horizon}")
-    share = train.filter(y == 0).agg(F.avg(F.col("train_keep").cast("double"))).first()[0]
-    rows = filled(train.filter("train_keep"), features).withColumn("label", y.cast("double"))
-    gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=iterations, stepSize=0.05, maxDepth=5, minInstancesPerNode=min_rows,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, maxBins=32)
-    trees = Pipeline(stages=[VectorAssembler(inputCols=[f"in_{c}" for c in features], outputCol="features"), gbt]).fit(rows)
-    return RiskModel(trees, 1.0 if share is None else share)
+    y = f"y{horizon}"
+    share, n = train.agg(_kept_share(train, y), F.count(F.when(F.col("train_keep"), 1))).first()
+    rows = boosting.sampled(with_inputs(train.filter("train_keep"), features), n, _key(train), seed).withColumn("_model", F.lit(0))
+    found = boosting.fit_each(rows, ["_model"], y, [f"in_{c}" for c in features], _key(train), Growth(iterations, min_rows=min_rows, seed=seed)).first()
+    return RiskModel(Trees.unpacked(found["trees"]) if found else Trees(0.0, np.zeros(0, boosting.NODE), np.zeros(1, np.int64)), share)
 
 
 def correct(p: Column, neg_share: float) -> Column:
@@ -137,9 +144,15 @@ def correct(p: Column, neg_share: float) -> Column:
 
 def predict(df: DataFrame, model: RiskModel, name: str, features: list[str] = ACTIVE) -> DataFrame:
     """Adds the corrected probability as `name`."""
-    keep = df.columns
-    rows = model.trees.transform(filled(df, features))
-    return rows.select(*keep, correct(F.get(vector_to_array("probability"), F.lit(1)), model.neg_share).alias(name))
+    sent = df.sparkSession.sparkContext.broadcast(model.trees.packed())
+
+    @F.pandas_udf("double")
+    def likely(cols: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        trees = Trees.unpacked(sent.value)
+        for pdf in cols:
+            yield pd.Series(boosting.probability(boosting.margin(pdf.to_numpy(float), trees)))
+    packed = F.struct(*[F.col(f"in_{c}") for c in features])
+    return with_inputs(df, features).withColumn(name, correct(likely(packed), model.neg_share)).select(*[c for c in df.columns if c != name], name)
 
 
 def forecast(df: DataFrame, model10: RiskModel, model30: RiskModel, features: list[str] = ACTIVE, top_k: int = 2) -> DataFrame:
@@ -151,81 +164,77 @@ def forecast(df: DataFrame, model10: RiskModel, model30: RiskModel, features: li
     return rows.select(*CAR, "tick", "t", F.round("_p10", 4).alias("risk_10s"), F.round(F.greatest("_p30", "_p10"), 4).alias("risk_30s"), "top_features")
 
 
-def tree_arrays(model: RiskModel) -> list[tuple[float, np.ndarray]]:
-    """Each boosted tree as rows (feature, cut, left, right, value), root first; value is the mean of the
-    leaves below, weighted by their training rows. The model has a fixed number of small trees."""
-    trees, out = model.trees.stages[-1], []
-    for weight, tree in zip(trees.treeWeights, trees.trees):
-        nodes: list[list[float]] = []
-
-        def add(node) -> tuple[int, float, float]:
-            at = len(nodes)
-            nodes.append([-1, 0.0, -1, -1, node.prediction()])
-            n = float(node.impurityStats().count())
-            if node.numDescendants() > 0:
-                left, vl, nl = add(node.leftChild())
-                right, vr, nr = add(node.rightChild())
-                value = (vl * nl + vr * nr) / max(nl + nr, 1e-9)
-                nodes[at] = [node.split().featureIndex(), node.split().threshold(), left, right, value]
-                return at, value, n
-            return at, node.prediction(), n
-
-        add(tree._call_java("rootNode"))
-        out.append((float(weight), np.array(nodes)))
-    return out
-
-
 def top_features(df: DataFrame, model: RiskModel, features: list[str] = ACTIVE, top_k: int = 2) -> DataFrame:
-    """Adds top_features: the inputs that push a row's score up most along its paths through the trees."""
-    trees = df.sparkSession.sparkContext.broadcast(tree_arrays(model))
+    """Adds top_features: the inputs with the largest positive contributions (Shapley values) to a row's score."""
+    sent = df.sparkSession.sparkContext.broadcast(model.trees.packed())
     names = list(features)
 
     @F.pandas_udf("array<string>")
     def strongest(cols: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        trees = Trees.unpacked(sent.value)
         for pdf in cols:
-            x = pdf.to_numpy(float)
-            push = np.zeros((len(x), len(names)))
-            who = np.arange(len(x))
-            for weight, t in trees.value:
-                at = np.zeros(len(x), dtype=int)
-                while True:
-                    f = t[at, 0].astype(int)
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    down = np.where(x[who, np.maximum(f, 0)] <= t[at, 1], t[at, 2], t[at, 3]).astype(int)
-                    rows = who[inner]
-                    np.add.at(push, (rows, f[inner]), weight * (t[down[inner], 4] - t[at[inner], 4]))
-                    at = np.where(inner, down, at)
+            push = boosting.contributions(pdf.to_numpy(float), trees)
             best = np.argsort(-push, axis=1, kind="stable")[:, :top_k]
             yield pd.Series([[names[j] for j in row if push[i, j] > 0] for i, row in enumerate(best)])
 
     packed = F.struct(*[F.col(f"in_{c}") for c in names])
-    return filled(df, names).withColumn("top_features", strongest(packed)).select(*df.columns, "top_features")
+    return with_inputs(df, names).withColumn("top_features", strongest(packed)).select(*df.columns, "top_features")
 
 
 def importance(model: RiskModel, df: DataFrame, features: list[str] = ACTIVE) -> DataFrame:
     """Normalised gain per input, highest first: one row per input."""
-    gain = model.trees.stages[-1].featureImportances.toArray()
-    rows = sorted(zip(features, [float(g) for g in gain]), key=lambda r: (-r[1], r[0]))
+    gain = boosting.gains(model.trees, len(features))
+    rows = sorted(zip(features, (gain / max(gain.sum(), 1e-12)).tolist()), key=lambda r: (-r[1], r[0]))
     return df.sparkSession.createDataFrame([(i + 1, f, g) for i, (f, g) in enumerate(rows)], "rank int, feature string, gain double")
 
 
-def cross_validate(rows: DataFrame, races: list[str], horizons: tuple[int, ...] = HORIZONS, iterations: int = 300, min_rows: int = 100,
-                   variants: dict[str, list[str]] | None = None) -> DataFrame:
-    """Labelled rows with predictions p{h}, each race scored by models fitted on the other races."""
+def fold_models(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, iterations: int = 300, min_rows: int = 100, variants: dict[str, list[str]] | None = None) -> DataFrame:
+    """(fold, h, variant, trees, neg_share): for every race, horizon and variant a model of the other races, all fitted in one job. rows is a
+    stored table of labelled rows. Only the names of the races come to the driver."""
+    assert_no_holdout(rows)
+    variants = variants or {"": ACTIVE, "_noanom": WITHOUT_ANOMALY}
+    columns = list(dict.fromkeys(f for feats in variants.values() for f in feats))
+    races = [r["race"] for r in rows.select("race").distinct().orderBy("race").collect()]
+    folds = F.filter(F.array(*[F.lit(r) for r in races]), lambda r: r != F.col("race"))
+    kept = rows.filter("train_keep")
+    kept = boosting.sampled(with_inputs(kept, columns), kept.count(), KEY)
+    kinds = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(v).alias("variant")) for h in horizons for v in variants])
+    label = F.coalesce(*[F.when(F.col("h") == h, F.col(f"y{h}")) for h in horizons])
+    # an input that a variant does not use is missing in all its rows, so no tree can ask for it
+    used = {f"in_{c}": F.when(F.col("variant").isin(*[v for v, feats in variants.items() if c in feats]), F.col(f"in_{c}")) for c in columns}
+    each = kept.withColumn("fold", F.explode(folds)).withColumn("_k", F.explode(kinds)).select(*KEY, "fold", "_k.*", *[f"in_{c}" for c in columns], *[f"y{h}" for h in horizons])
+    each = each.withColumns(used).withColumn("label", label.cast("double"))
+    models = boosting.fit_each(each, ["fold", "h", "variant"], "label", [f"in_{c}" for c in columns], KEY, Growth(iterations, min_rows=min_rows))
+    parts = [F.struct(F.lit(h).alias("h"), F.sum((F.col(f"y{h}") == 0).cast("long")).alias("n"), F.sum(((F.col(f"y{h}") == 0) & F.col("train_keep")).cast("long")).alias("k")) for h in horizons]
+    shares = rows.groupBy("race").agg(F.array(*parts).alias("_s")).withColumn("fold", F.explode(folds)).select("fold", F.explode("_s").alias("s"))
+    shares = shares.groupBy("fold", "s.h").agg(F.coalesce(F.try_divide(F.sum("s.k"), F.sum("s.n")), F.lit(1.0)).alias("neg_share"))
+    return models.join(shares, ["fold", "h"])
+
+
+def cross_validate(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, iterations: int = 300, min_rows: int = 100, variants: dict[str, list[str]] | None = None) -> DataFrame:
+    """Labelled rows with predictions p{h}, each race scored by models fitted on the other races. rows is a stored table. A race's models
+    meet its rows in parts of PART_ROWS."""
     variants = variants or {"": ACTIVE, "_noanom": WITHOUT_ANOMALY}
-    parts = []
-    for race in races:
-        test, rest = rows.filter(F.col("race") == race), rows.filter(F.col("race") != race)
-        for h in horizons:
-            for suffix, feats in variants.items():
-                test = predict(test, fit(rest, h, feats, iterations, min_rows), f"p{h}{suffix}", feats)
-        parts.append(test)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    columns = list(dict.fromkeys(f for feats in variants.values() for f in feats))
+    models = stored(fold_models(rows, horizons, iterations, min_rows, variants))
+    parts = rows.groupBy("race").agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
+    held = models.join(parts.withColumnRenamed("race", "fold"), "fold").withColumn("_part", F.explode(F.expr("sequence(0L, _parts - 1)")))
+    held = held.select(F.col("fold").alias("race"), "_part", "h", "variant", "trees", "neg_share")
+    asked = with_inputs(rows, columns).join(parts, "race").withColumn("_part", F.expr("pmod(xxhash64(drv, tick), _parts)")).select(*KEY, "_part", *[f"in_{c}" for c in columns])
+    names = [f"p{h}{v}" for h in horizons for v in variants]
+
+    def score(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        x, out = pdf[[f"in_{c}" for c in columns]].to_numpy(float), pdf[KEY].copy()
+        for name in names:
+            out[name] = np.nan
+        for m in own.itertuples():
+            p = boosting.probability(boosting.margin(x, Trees.unpacked(m.trees)))
+            odds = p / np.maximum(1 - p, 1e-9) * m.neg_share
+            out[f"p{m.h}{m.variant}"] = odds / (1 + odds)
+        return out
+    schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in KEY] + [f"{n} double" for n in names])
+    scores = asked.groupBy("race", "_part").cogroup(held.groupBy("race", "_part")).applyInPandas(score, schema)
+    return rows.join(scores, KEY)
 
 
 # ---- how good it is

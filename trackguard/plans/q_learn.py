@@ -14,7 +14,7 @@ from trackguard.session import stored
 from trackguard.sources import adapter as AD
 
 N = AD.SECTORS
-ITERATIONS = 5        # boosting rounds; the default of 300 takes hours for the 24 fits of the cross-validation here
+MIN_ROWS = 10         # of a leaf: the test tables have few positive rows
 
 
 def sql(names: list[str], body: str) -> str:
@@ -156,11 +156,9 @@ def _(spark, sf):
 
 @T.kept("predicted")
 def predicted(spark, sf):
-    """Cross-validated predictions of a small model, with and without the anomaly score."""
+    """Cross-validated predictions, with and without the anomaly score."""
     rows = labelled(spark, sf).join(scored(spark, sf).select("race", "drv", "tick", "anomaly_score"), ["race", "drv", "tick"])
-    rows = stored(rows.withColumn("train_keep", F.lit(True)))
-    races = [r["race"] for r in rows.select("race").distinct().orderBy("race").collect()]
-    return RI.cross_validate(rows, races, RI.HORIZONS, ITERATIONS, 10)
+    return RI.cross_validate(stored(rows), RI.HORIZONS, min_rows=MIN_ROWS)
 
 
 @query("m14_m15_m19_cross_validation")
@@ -175,15 +173,12 @@ def _(spark, sf):
 
 
 def one_model(spark, sf, h=30):
-    rows = stored(labelled(spark, sf).withColumn("train_keep", F.lit(True)))
-    return rows, RI.fit(rows, h, iterations=ITERATIONS, min_rows=10)
+    return RI.fit(labelled(spark, sf), h, min_rows=MIN_ROWS)
 
 
 @query("m17_m18_forecast")
 def _(spark, sf):
-    rows, m30 = one_model(spark, sf)
-    m10 = RI.fit(rows, 10, iterations=ITERATIONS, min_rows=10)
-    return RI.forecast(T.features(spark, sf), m10, m30).withColumn("top_features", F.array_join("top_features", ","))
+    return RI.forecast(T.features(spark, sf), one_model(spark, sf, 10), one_model(spark, sf, 30)).withColumn("top_features", F.array_join("top_features", ","))
 
 
 @query("m17_due_rows", sql(TICKS, "") + f", {_RACING} SELECT race, drv, tick FROM racing WHERE tick % 4 = 0")
@@ -194,8 +189,7 @@ def _(spark, sf):
 
 @query("m27_importance")
 def _(spark, sf):
-    rows, model = one_model(spark, sf)
-    return RI.importance(model, rows)
+    return RI.importance(one_model(spark, sf), labelled(spark, sf))
 
 
 # ---- how good it is
