@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from trackguard.llm import prefix_trie as T
+from trackguard.llm import prefix_trie as T, sides
 from trackguard.llm.queries import QUERIES
 from trackguard.session import stored
 
@@ -73,8 +73,8 @@ def test_random_tries(spark, block, seed):
 
 
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(T, "LEAST_HOT", 3)
-    monkeypatch.setattr(T, "HOT_KEYS", 4)
+    monkeypatch.setattr(sides, "LEAST_HOT", 3)
+    monkeypatch.setattr(sides, "HOT_KEYS", 4)
     monkeypatch.setattr(T, "PACK", 5)
     paths = shuffled_paths(random.Random(9), 200, 9) | {c: [("u", "same"), ("a", "all")] for c in range(10_000, 10_150)}
     assert result(plain(spark, paths)) == trie_of(paths)

@@ -1,8 +1,8 @@
 """A compressed FM-index over segments of 64-bit symbols, in numpy.
 
 The index holds the Burrows-Wheeler transform of all segments as a wavelet matrix (bit vectors of the symbols' dense numbers, with
-counts every 64 bits), and one byte per row: the length, up to `cap`, that the row's suffix shares with the one before. Every segment ends
-in a separator of its own, and no match crosses it. The suffix array exists only while the index is built."""
+counts every 64 bits), and per row the interval of rows that agree with it in `cap` symbols and the occurrences of the rows before it. Every
+segment ends in a separator of its own, and no match crosses it. The suffix array exists only while the index is built."""
 
 from __future__ import annotations
 
@@ -60,39 +60,50 @@ class Wavelet:
 
 
 class FMIndex:
-    def __init__(self, values: np.ndarray, bounds: np.ndarray, cap: int):
-        """Segment k is values[bounds[k]:bounds[k + 1]]; no segment is empty."""
+    def __init__(self, values: np.ndarray, bounds: np.ndarray, cap: int, weight: np.ndarray | None = None):
+        """Segment k is values[bounds[k]:bounds[k + 1]], which occurs weight[k] times (once by default); no segment is empty."""
         length = np.diff(bounds)
         self.length, self.cap = length, cap
-        self.alphabet, dense = np.unique(values, return_inverse=True)
-        self.count_segments = k = len(length)
+        self.alphabet, self.dense = np.unique(values, return_inverse=True)
+        k = len(length)
         size = len(values) + k
         place = np.arange(len(values)) + np.repeat(np.arange(k), length)      # room for a separator behind each segment
         text = np.zeros(size, np.int64)
-        text[place] = dense + 1
+        text[place] = self.dense + 1
         end = bounds[1:] + np.arange(k)
         rank = text + (k - 1)
         rank[end] = np.arange(k)                                              # separators differ, and are the smallest
-        suffix, self.shared = _sorted_suffixes(rank, cap)
+        suffix, shared = _sorted_suffixes(rank, cap)
         symbols = len(self.alphabet) + 1
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])   # rows whose suffix begins with less
         self.wavelet = Wavelet(text[suffix - 1], symbols)                     # text[-1] is the last separator
-
-    def statistics(self) -> np.ndarray:
-        """For every symbol of every segment, in order: the length (up to cap) of the longest match, anywhere else in the index, of what
-        begins there. All segments are searched backward at once, one symbol a step. The interval of a pattern always holds the row of
-        the segment's own suffix, so that row is followed, and its longest match is with a neighbouring row."""
-        out = np.zeros(int(self.length.sum()), np.uint8)
+        # rows whose suffixes agree in cap symbols are neighbours: the first of them, and one past the last, of every row
+        new = np.flatnonzero(shared < cap)
+        group = np.cumsum(shared < cap) - 1
+        self.low, self.high = new[group].astype(np.int32), np.append(new[1:], size)[group].astype(np.int32)
+        times = np.repeat(np.ones(k, np.int64) if weight is None else weight, length + 1)
+        self.heavy = np.concatenate([[0], np.cumsum(times[suffix])])          # occurrences in the rows before
+
+    def occurrences(self) -> np.ndarray:
+        """For every symbol of every segment, in order: how often the cap symbols that begin there occur in all segments, each occurrence
+        counted as often as its segment occurs; 0 where the segment ends before. All segments are streamed through the index at once, from
+        their ends: a symbol in front narrows the interval of rows, and a match longer than cap drops its last symbol, which widens it to
+        all rows that agree in cap symbols."""
+        out = np.zeros(int(self.length.sum()), np.int64)
         end = np.cumsum(self.length)
         alive = np.argsort(-self.length, kind="stable")
-        row, lengths = alive.copy(), self.length[alive]
-        neighbour = np.append(self.shared, 0)
+        lengths = self.length[alive]
+        low, high = np.zeros(len(alive), np.int64), np.full(len(alive), self.smaller[-1])
         for step in range(1, int(self.length.max(initial=0)) + 1):
             keep = int(np.searchsorted(-lengths, -step, "right"))
-            alive, row, lengths = alive[:keep], row[:keep], lengths[:keep]
-            symbol, before = self.wavelet.access(row)
-            row = self.smaller[symbol] + before
-            out[end[alive] - step] = np.maximum(neighbour[row], neighbour[row + 1])
+            alive, low, high, lengths = alive[:keep], low[:keep], high[:keep], lengths[:keep]
+            at = end[alive] - step
+            symbol = self.dense[at] + 1
+            low, high = self.smaller[symbol] + self.wavelet.rank(symbol, low), self.smaller[symbol] + self.wavelet.rank(symbol, high)
+            if step > self.cap:
+                low, high = self.low[low].astype(np.int64), self.high[low].astype(np.int64)
+            if step >= self.cap:
+                out[at] = self.heavy[high] - self.heavy[low]
         return out
 
     def count(self, patterns: np.ndarray) -> np.ndarray:

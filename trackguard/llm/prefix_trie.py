@@ -11,7 +11,7 @@ length come from running aggregates and a conversation of any length can be cut
    conversation and from who owns a childless node: every member adds to a node what it shares beyond it. So no node walks its subtree.
 4. The ids that end at a node are packed in order by ranges, in parallel; one stream per node hashes the packs.
 
-A join on a prefix goes through `matched`: keys with very many rows are joined by broadcast, the others by shuffle.
+A join on a prefix goes through `sides.matched`: keys with very many rows are joined by broadcast, the others by shuffle.
 
 Defined results: rows without conv_id belong to no conversation; null role or text counts as empty; turns come in ascending order, null
 first, and equal ones by their hash; repeated rows are turns of their own; an empty table gives no node; other columns are ignored."""
@@ -26,25 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trackguard.llm.sides import matched
 from trackguard.session import stored
 
 BLOCK = 4               # turns of a block
 CHUNK = 512             # blocks of a conversation that one window holds
 PACK = 4096             # ids of a pack
-LEAST_HOT, HOT_KEYS = 200, 1000
 KEY = ["depth", "y1", "y2"]
 _ALL = Window.unboundedPreceding
 
 
-def matched(big: DataFrame, one: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """big joined with one, a table of one row per key whose column weight counts the key's rows in big. Keys with more than a
-    thousandth of big (and LEAST_HOT) are at most HOT_KEYS many; they are broadcast. big is a stored table."""
-    hot = F.col(weight) > max(LEAST_HOT, big.count() // HOT_KEYS)
-    few = F.broadcast(one.filter(hot).drop(weight))
-    rest = big.join(few.select(*keys), keys, "left_anti").join(one.filter(~hot).drop(weight), keys)
-    return big.join(few, keys).unionByName(rest)
-
-
 def numbered(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, pos, h1, h2, length): the turns of each conversation from 0 on, as hashes, with their text's code points. Ranges of rows are
     numbered side by side, so a conversation may be longer than what a task holds."""

@@ -3,12 +3,13 @@
 1. Every window has an anchor: the smallest hash among its runs of ANCHOR words. Windows whose anchor lies at the same place form a
    segment (their words together). Equal windows have equal anchors at equal offsets, so a window can only be repeated in a segment whose
    anchor occurs in another segment too. Anchors are counted; those that occur again become a bit map of bounded size.
-2. Segments whose anchor hits the bit map are kept (a false hit costs work, never a result). Equal segments are one from here on, with
-   the number of their occurrences; where each occurs stays behind in a thin table.
-3. Segments are dealt to shards by their anchor. Each shard builds an FM-index and streams its segments through it; matching statistics
-   of at least `window` are repeated windows, and so are all windows of a segment that occurs twice. Anchors with more than HOT words of
-   different segments are too large for a shard: their windows are dealt by their own hash and counted.
-4. Runs of repeated windows go back to the documents (by the hash of the text, which copies share), whose words are then cut.
+2. Segments whose anchor hits the bit map are kept (a false hit costs work, never a result) with the bytes of their words. Equal segments
+   are one from here on, with the number of their occurrences; where each occurs stays behind in a thin table.
+3. Segments are dealt to shards by their anchor. Each shard builds an FM-index of its different segments and streams them through it: the
+   interval of a window counts the window's occurrences, each segment as often as it occurs, and more than one is a repeated window.
+   Anchors with more than HOT words of different segments are too large for a shard: their windows are dealt by their own hash and counted.
+4. Runs of repeated windows go back to the documents (by the hash of the text, which copies share), whose words are then cut. Only texts
+   whose hash may be among the cut ones are shuffled for that; the text of many copies is cut in place.
 
 Words, segments and windows are the same if their 64 or 128-bit hashes are.
 
@@ -25,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trackguard.llm import words as W
+from trackguard.llm import sides, words as W
 from trackguard.llm.fm_index import FMIndex
-from trackguard.llm.sides import side
+from trackguard.llm.sides import matched, side
 from trackguard.session import stored
 
 WINDOW = 35
@@ -36,7 +37,8 @@ SHARD_WORDS = 400_000       # words of the segments that one shard indexes, abou
 HOT = 200_000               # words of one anchor's segments
 BITS_PER_ANCHOR, MOST_BITS = 16, 1 << 27
 _FIRST, _SECOND = 0x5851F42D4C957F2D, 0x14057B7EF767814F     # odd bases of the two hashes of a segment
-SEGMENT = "anchor long, h1 long, h2 long, key binary, start long, n long, words binary"
+SLOTS = 1 << 20             # broadcast at most, to tell texts that are cut from others
+SEGMENT = "anchor long, h1 long, h2 long, key binary, start long, n long, size long, words binary"
 
 
 def text_key(text: Column) -> Column:
@@ -116,7 +118,8 @@ def _candidates(docs: DataFrame, bits: BitMap, window: int) -> DataFrame:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             _, first, copies = np.unique(keys, return_index=True, return_counts=True)
             batch = batch.take(pa.array(first))
-            words = W.words_of(W.texts_of(batch.column("text")))
+            texts = W.texts_of(batch.column("text"))
+            words = W.words_of(texts)
             start, end, anchor = segments(words, window)
             good = sent.value.has(anchor)
             start, end, anchor = start[good], end[good], anchor[good]
@@ -124,10 +127,11 @@ def _candidates(docs: DataFrame, bits: BitMap, window: int) -> DataFrame:
             lead = np.zeros(len(start), bool)
             lead[np.unique(h1 ^ W.mixed(h2), return_index=True)[1]] = True
             row = words.row[start]
+            data, first, last = texts.data, words.start[start].tolist(), words.end[end - 1].tolist()
             yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column("key").take(pa.array(row)),
-                                   pa.array(start - words.first[row]), pa.array(copies[row].astype(np.int64)),
-                                   pa.array([words.hash[a:b].tobytes() if k else None for a, b, k in zip(start.tolist(), end.tolist(), lead.tolist())], pa.binary())],
-                                  names=["anchor", "h1", "h2", "key", "start", "n", "words"])
+                                   pa.array(start - words.first[row]), pa.array(copies[row].astype(np.int64)), pa.array(end - start),
+                                   pa.array([data[a:b].tobytes() if k else None for a, b, k in zip(first, last, lead.tolist())], pa.binary())],
+                                  names=["anchor", "h1", "h2", "key", "start", "n", "size", "words"])
     return docs.select("key", "text").mapInArrow(run, SEGMENT)
 
 
@@ -151,22 +155,19 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def repeated_in(distinct: DataFrame, window: int, shard_words: int) -> DataFrame:
     """(h1, h2, runs) of segments with repeated windows: runs is [first window, one past the last, ...]. distinct has one row per
     different segment, with its words and occurrences n."""
-    total = distinct.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
+    total = distinct.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            raw = shard.column("words").to_pylist()
-            length = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
-            bounds = np.concatenate([[0], np.cumsum(length)])
-            match = FMIndex(np.frombuffer(b"".join(raw), np.uint64), bounds, window).statistics()
-            owner = np.repeat(np.arange(len(raw)), length)
-            several = shard.column("n").to_numpy() > 1
-            fits = np.arange(len(match)) + window <= bounds[owner + 1]
-            a, b = W.runs(fits & ((match >= window) | several[owner]), owner)
+            shard = shard.combine_chunks()
+            words = W.words_of(W.texts_of(pa.concat_arrays(shard.column("words").chunks)))
+            bounds = np.append(words.first, len(words))
+            again = FMIndex(words.hash, bounds, window, shard.column("n").to_numpy()).occurrences() > 1
+            a, b = W.runs(again, words.row)
             if len(a):
-                row = owner[a]
-                offsets = np.concatenate([[0], 2 * np.cumsum(np.bincount(row, minlength=len(raw)))])
+                row = words.row[a]
+                offsets = np.concatenate([[0], 2 * np.cumsum(np.bincount(row, minlength=shard.num_rows))])
                 pairs = np.stack([a - bounds[row], b - bounds[row]], 1).ravel()
                 out = pa.table({"h1": shard.column("h1"), "h2": shard.column("h2"), "runs": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pairs))})
                 yield from out.filter(pa.array(np.diff(offsets) > 0)).combine_chunks().to_batches()
@@ -177,41 +178,50 @@ def repeated_in(distinct: DataFrame, window: int, shard_words: int) -> DataFrame
 def repeated_hot(distinct: DataFrame, window: int) -> DataFrame:
     """The same for segments of anchors that are too common: each window goes its own way, by its hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h1, h2, n, raw in zip(*[batch.column(c).to_pylist() for c in ("h1", "h2", "n", "words")]):
-                value = np.frombuffer(raw, np.uint64)
-                at = np.arange(len(value) - window + 1)
-                w1, w2 = (W.mixed(W.run_hashes(value, at, at + window, base)).view(np.int64) for base in (_FIRST, _SECOND))
-                yield pa.record_batch([pa.array(np.full(len(at), x, np.int64)) for x in (h1, h2, n)] + [pa.array(at), pa.array(w1), pa.array(w2)], names=["h1", "h2", "n", "at", "w1", "w2"])
+        for batch in W.pieces(batches, "words"):
+            words = W.words_of(W.texts_of(batch.column("words")))
+            count = max(0, len(words) - window + 1)
+            at = np.flatnonzero(words.row[:count] == words.row[len(words) - count:])
+            row = words.row[at]
+            w1, w2 = (pa.array(W.mixed(W.run_hashes(words.hash, at, at + window, base)).view(np.int64)) for base in (_FIRST, _SECOND))
+            yield pa.record_batch([*[batch.column(c).take(pa.array(row)) for c in ("h1", "h2", "n")], pa.array(at - words.first[row]), w1, w2], names=["h1", "h2", "n", "at", "w1", "w2"])
     each = stored(distinct.select("h1", "h2", "n", "words").mapInArrow(run, "h1 long, h2 long, n long, at long, w1 long, w2 long"))
-    again = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
-    found = each.join(again, ["w1", "w2"]).groupBy("h1", "h2").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    again = each.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter("n > 1").select("w1", "w2", "rows")
+    found = matched(each, again, ["w1", "w2"], "rows").groupBy("h1", "h2").agg(F.array_sort(F.collect_set("at")).alias("at"))
     return found.select("h1", "h2", F.flatten(F.transform("at", lambda a: F.array(a, a + 1))).alias("runs"))
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
-    """From (key, text): (key, cut) for texts with repeated windows; cut lists [first word, one past the last, ...] of runs that may
-    overlap."""
+    """From (key, text): (key, cut, copies) for texts with repeated windows; cut lists [first word, one past the last, ...] of runs that
+    may overlap."""
     counts = stored(_anchor_counts(docs, window).filter("n > 1").select("anchor"))
     found = stored(_candidates(docs, BitMap(counts.count()).fill(counts), window))
-    distinct = found.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.first("anchor").alias("anchor"), F.first("words", ignorenulls=True).alias("words"))
+    distinct = found.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.first("anchor").alias("anchor"), F.first("size").alias("size"), F.first("words", ignorenulls=True).alias("words"))
     distinct = stored(distinct)
-    common = stored(distinct.groupBy("anchor").agg(F.sum(F.octet_length("words")).alias("size")).filter(F.col("size") > 8 * hot).select("anchor"))
+    common = stored(distinct.groupBy("anchor").agg(F.sum("size").alias("size")).filter(F.col("size") > hot).select("anchor"))
     if common.isEmpty():
         runs = repeated_in(distinct, window, shard_words)
     else:
         runs = repeated_in(distinct.join(side(common), "anchor", "left_anti"), window, shard_words).unionAll(repeated_hot(distinct.join(side(common), "anchor", "left_semi"), window))
-    runs = stored(runs)
-    hits = found.select("h1", "h2", "key", "start").join(side(runs), ["h1", "h2"])
+    runs = stored(runs).join(distinct.select("h1", "h2", "rows"), ["h1", "h2"])
+    hits = matched(found.select("h1", "h2", "key", "start", "n"), runs, ["h1", "h2"], "rows")
     spans = F.transform(F.col("runs"), lambda x, i: F.col("start") + x + F.when(i % 2 == 1, window - 1).otherwise(0))
-    return hits.select("key", spans.alias("cut")).groupBy("key").agg(F.flatten(F.collect_set("cut")).alias("cut"))
+    # every copy of a text has the same segments
+    copies = F.expr("sum(n) div size(collect_set(start))")
+    return hits.select("key", "start", "n", spans.alias("cut")).groupBy("key").agg(F.flatten(F.collect_set("cut")).alias("cut"), copies.alias("copies"))
 
 
 def _marked(docs: DataFrame, text: str, **more) -> DataFrame:
     """docs with the column _cut (null where nothing repeats)."""
     keyed = docs.withColumn("_key", text_key(F.col(text)))
-    cut = stored(repeated_words(keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")), **more).toDF("_key", "_cut"))
-    return keyed.join(side(cut), "_key", "left").drop("_key")
+    slot = F.pmod(F.xxhash64("_key"), F.lit(SLOTS))
+    cut = stored(repeated_words(keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")), **more).toDF("_key", "_cut", "_copies"))
+    is_hot = sides.hot("_copies", cut.agg(F.coalesce(F.sum("_copies"), F.lit(0))).first()[0])
+    slots = cut.select(slot.alias("_slot")).distinct().withColumn("_maybe", F.lit(True))
+    seen = keyed.withColumn("_slot", slot).join(F.broadcast(slots), "_slot", "left").join(F.broadcast(cut.filter(is_hot).drop("_copies")), "_key", "left")
+    open_ = F.col("_maybe").isNotNull() & F.col("_cut").isNull()
+    rest = seen.filter(open_).drop("_cut").join(cut.filter(~is_hot).drop("_copies"), "_key", "left")
+    return seen.filter(~open_).select(*docs.columns, "_cut").unionByName(rest.select(*docs.columns, "_cut"))
 
 
 def _kept(texts: W.Texts, cut: list) -> Iterator[tuple[int, int, bytes]]:
