@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackguard.operators import boosting as B, risk as RI
+from trackguard.operators import boosting as B, folds as FO, risk as RI
 from trackguard.session import stored
 
 
@@ -118,7 +118,7 @@ def labelled(spark):
 
 
 def test_all_folds_in_one_job_equal_models_fitted_alone(spark, monkeypatch):
-    monkeypatch.setattr(RI, "PART_ROWS", 150)
+    monkeypatch.setattr(FO, "PART_ROWS", 150)
     rows = labelled(spark)
     got = {(r.race, r.tick): r for r in RI.cross_validate(rows, (10, 30), iterations=6, min_rows=10).collect()}
     assert len(got) == 1200

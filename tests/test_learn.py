@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trackguard.functions.stats import average_precision, exact_quantiles_of
+from trackguard.functions.stats import average_precision, exact_quantile_per, exact_quantiles_of
 from trackguard.operators import anomaly as AN, risk as RI, scoring as SC
 from trackguard.sources import readers as RE
 
@@ -131,3 +131,33 @@ def test_holdout_races_are_not_learnt(spark):
         RI.fit(held.withColumns({"y30": F.lit(0), "train_keep": F.lit(True)}), 30, iterations=1)
     with pytest.raises(RE.HoldoutError):
         SC.leave_one_out(held.select("race", F.lit("own").alias("system"), F.lit(0).alias("cand"), F.lit(1).alias("matched"), F.lit(0).alias("false_alarms"), F.lit(1.0).alias("hours")), [3.0])
+
+
+def two_level_scores(spark):
+    return spark.range(6000).select((F.col("id") % 3).cast("string").alias("k"), F.when(F.col("id") % 3 == 2, F.lit(0.5)).otherwise(F.rand(4) * F.pow(F.lit(10.0), -(F.col("id") % 3 * 6))).alias("v"))
+
+
+def test_quantiles_of_every_key(spark):
+    import numpy as np
+    df = spark.createDataFrame(two_level_scores(spark).collect(), "k string, v double")
+    for q in (0.0, 0.37, 0.9999, 1.0):
+        got = exact_quantile_per(df, "k", "v", q)
+        for k in "012":
+            assert abs(got[k] - np.quantile([r.v for r in df.filter(F.col("k") == k).collect()], q)) < 1e-15
+    assert exact_quantile_per(df.limit(0), "k", "v", 0.5) == {}
+
+
+def test_every_race_is_scored_by_the_forest_of_the_others(spark, monkeypatch):
+    from trackguard.operators import folds
+    from trackguard.session import stored
+    monkeypatch.setattr(folds, "PART_ROWS", 700)
+    rows = normal(spark).withColumn("race", F.concat(F.lit("R"), (F.col("tick") % 3).cast("string"))).withColumns(
+        {"track_status": F.lit("1"), "in_pit": F.lit(False), "suspended": F.lit(False), "field_slow": F.lit(0.0), "speed": F.lit(200.0)})
+    rows = rows.withColumns({c: F.when(F.col("race") == "R2", F.lit(9.0)).otherwise(F.col(c)) for c in AN.FEATURES})             # one race is strange to the others
+    rows = stored(rows.withColumn(AN.FEATURES[1], F.when(F.col("tick") == 7, F.lit(None).cast("double")).otherwise(F.col(AN.FEATURES[1]))))
+    got = AN.leave_one_race_out(rows, trees=30, per_tree=128, q=0.99)
+    mean = {r.race: r.m for r in got.groupBy("race").agg(F.avg("anomaly_score").alias("m")).collect()}
+    assert mean["R2"] > max(mean["R0"], mean["R1"]) + 0.02 and got.count() == 3000 and got.filter("anomaly_score is null").isEmpty()
+    limit = {r.race: r.threshold for r in got.select("race", "threshold").distinct().collect()}
+    assert len(limit) == 3 and limit["R2"] < got.filter("race = 'R2'").agg(F.expr("median(anomaly_score)")).first()[0]
+    assert got.drop("anomaly_score", "threshold").select(*rows.columns).exceptAll(AN.with_inputs(rows).select(*rows.columns)).isEmpty()

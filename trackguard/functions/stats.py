@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trackguard.functions.timeline import running
 from trackguard.session import stored
@@ -65,6 +65,33 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> list[float]
     return exact_quantiles_of(df, [col], qs)[col]
 
 
+def exact_quantile_per(df: DataFrame, key: str, col: str, q: float) -> dict[object, float]:
+    """One quantile for every key, as exact_quantiles has it. The keys are few (they come to the driver); a key's rows may be many: every
+    round counts them per slot of the range that holds the order statistic, for all keys in one pass."""
+    df = df.select(F.col(key).alias("_k"), F.col(col).cast("double").alias("_v")).filter("_v is not null")
+    want, share = {}, {}
+    for r in df.groupBy("_k").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect():
+        rank = (r["n"] - 1) * q
+        share[r["_k"]] = rank - int(rank)
+        for i, k in enumerate((int(rank), min(int(rank) + 1, r["n"] - 1))):
+            want[r["_k"], i] = [k, r["lo"], r["hi"], r["n"]]
+    schema = f"_k {df.schema['_k'].dataType.simpleString()}, _i int, _lo double, _hi double"
+    while True:
+        open_ = {t: w for t, w in want.items() if w[1] < w[2]}
+        if not open_:
+            break
+        bounds = F.broadcast(df.sparkSession.createDataFrame([(k, i, w[1], w[2]) for (k, i), w in open_.items()], schema))
+        # slots of a range so narrow that it has no middle are its two ends
+        slot = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SLOTS), F.lit(SLOTS - 1))
+        found = df.join(bounds, "_k").filter("_v between _lo and _hi").groupBy("_k", "_i", slot.alias("_s")).agg(F.count("*").alias("n"), F.min("_v").alias("a"), F.max("_v").alias("z"))
+        before = F.sum("n").over(W.partitionBy("_k", "_i").orderBy("_s").rowsBetween(W.unboundedPreceding, -1))
+        found = found.withColumn("before", F.coalesce(before, F.lit(0)))
+        target = F.broadcast(df.sparkSession.createDataFrame([(k, i, w[0]) for (k, i), w in open_.items()], f"{schema.split(', _lo')[0]}, _r long"))
+        for r in found.join(target, ["_k", "_i"]).filter("_r >= before and _r < before + n").collect():
+            want[r["_k"], r["_i"]] = [r["_r"] - r["before"], r["a"], r["z"], r["n"]]
+    return {k: want[k, 0][1] + (want[k, 1][1] - want[k, 0][1]) * part for k, part in share.items()}
+
+
 def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the precision-recall steps, ties in score taken together: (by, pr_auc, base_rate, n).
     Rows are counted per score first; the running counts go slice by slice down the score range, whose slices

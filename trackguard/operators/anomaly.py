@@ -14,13 +14,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from trackguard.functions.stats import exact_quantiles, exact_quantiles_of
+from trackguard.functions.stats import exact_quantile_per, exact_quantiles, exact_quantiles_of
+from trackguard.operators.folds import other_races, races_of, scored_by_fold
 from trackguard.session import stored
 from trackguard.sources.readers import assert_no_holdout
 
 # fixed values: the score's input columns
 FEATURES = ["rel_ratio", "rel_ratio_min_2s", "lap_ratio", "lap_ratio_min_2s", "dspeed_1s", "dspeed_min_2s",
             "lat_abs_max_2s", "lat_off_std_2s", "throttle_std_2s", "brake_throttle_2s", "heading_err"]
+KEY = ["race", "drv", "tick"]
 TREES, ROWS_PER_TREE = 200, 512
 QUANTILES = (0.999, 0.9995, 0.9999, 0.99995, 0.99999)
 THRESHOLD_Q = 0.99995
@@ -169,15 +171,48 @@ def attach_scores(df: DataFrame, forest: Forest) -> DataFrame:
     return df.withColumn("anomaly_score", strange(F.struct(*filled)))
 
 
-def leave_one_race_out(df: DataFrame, races: list[str], crawl: float = 0.1, **settings) -> DataFrame:
-    """Every race scored by a forest grown on the other races; adds the threshold of that forest."""
-    normal = stored(normal_rows(df, crawl=crawl))
-    parts = []
-    for race in races:
-        forest = train(normal.filter(F.col("race") != race), **settings)
-        q = max(forest.quantiles)
-        parts.append(attach_scores(df.filter(F.col("race") == race), forest).withColumn("threshold", F.lit(forest.quantiles[q])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def leave_one_race_out(df: DataFrame, crawl: float = 0.1, trees: int = TREES, per_tree: int = ROWS_PER_TREE, seed: int = 0, q: float = max(QUANTILES)) -> DataFrame:
+    """Every race scored by a forest grown on the other races; adds anomaly_score and the threshold of that forest (its quantile q over the
+    other races' normal rows). The trees of all forests grow side by side, keyed by (fold, tree). Holdout races are refused."""
+    normal = assert_no_holdout(stored(normal_rows(df, crawl=crawl)))
+    folds = other_races(races_of(df))
+    each = normal.withColumn("fold", F.explode(folds))
+    sizes = each.groupBy("fold").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"fill_{c}") for c in FEATURES])
+    sizes = stored(sizes)                               # one row per race
+    least = sizes.agg(F.min("n")).first()[0]
+    if not least:
+        raise ValueError("no normal rows to learn from")
+    limit = max(1, math.ceil(math.log2(max(2, min(per_tree, least)))))
+    share = F.least(F.lit(1.0), F.lit(per_tree + 10 * math.sqrt(per_tree)) / F.col("n"))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("race", "drv", "tick", "fold", t, F.lit(seed)), F.lit(1 << 40)) < share * float(1 << 40))
+    rows = each.join(F.broadcast(sizes.select("fold", "n")), "fold").withColumn("tree", F.explode(drawn))
+    order = W.partitionBy("fold", "tree").orderBy(F.xxhash64("race", "drv", "tick", "fold", "tree", F.lit(seed)), "race", "drv", "tick")
+    rows = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_tree).select("fold", "tree", "_r", *FEATURES)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        x = pdf.sort_values("_r")[FEATURES].to_numpy(float)
+        nodes = grow_tree(x, seed * 1_000_003 + tree, limit)
+        return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "tree": [tree], "n": [len(x)], "nodes": [np.array(nodes, float).tobytes()]})
+    grown = rows.groupBy("fold", "tree").applyInPandas(grow, "fold string, tree int, n int, nodes binary")
+    forests = stored(grown.groupBy("fold").agg(F.collect_list(F.struct("tree", "n", "nodes")).alias("trees")).join(sizes.drop("n"), "fold"))    # trees x nodes a fold
+
+    def score(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[["fold", *KEY]].copy()
+        out["anomaly_score"] = np.nan
+        for m in own.itertuples():
+            shape = (trees, 2 ** (limit + 1) - 1)
+            feature, cut, path = np.full(shape, -1, np.int16), np.zeros(shape), np.zeros(shape)
+            for t in m.trees:
+                place, f, c, p = np.frombuffer(t["nodes"]).reshape(-1, 4).T
+                feature[t["tree"], place.astype(int)], cut[t["tree"], place.astype(int)], path[t["tree"], place.astype(int)] = f, c, p
+            x = pdf[FEATURES].fillna({c: getattr(m, f"fill_{c}") for c in FEATURES}).to_numpy(float)
+            out["anomaly_score"] = forest_score(x, feature, cut, path, max(t["n"] for t in m.trees))
+        return out
+    schema = "fold string, race string, drv string, tick int, anomaly_score double"
+    wanted = [*KEY, *[F.col(c).cast("double").alias(c) for c in FEATURES]]
+    own = scored_by_fold(with_inputs(df).select(F.col("race").alias("fold"), *wanted), forests, KEY, score, schema).drop("fold")
+    learnt = stored(scored_by_fold(each.select("fold", *wanted), forests, KEY, score, schema).select("fold", "anomaly_score"))
+    limits = list(exact_quantile_per(learnt, "fold", "anomaly_score", q).items())
+    limits = df.sparkSession.createDataFrame(limits, "race string, threshold double")
+    return with_inputs(df).drop("anomaly_score").join(own, KEY, "left").join(F.broadcast(limits), "race", "left")

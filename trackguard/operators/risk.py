@@ -13,6 +13,7 @@ from trackguard.functions.stats import average_precision, exact_quantiles
 from trackguard.functions.timeline import beside, chunk_of, interval_join, running
 from trackguard.operators import boosting
 from trackguard.operators.boosting import Growth, Trees
+from trackguard.operators.folds import other_races, races_of, scored_by_fold
 from trackguard.sources.readers import assert_no_holdout
 from trackguard.session import stored
 from trackguard.operators.incidents import MATCH_AFTER_S, MATCH_BEFORE_S, in_sectors, match_incidents
@@ -46,7 +47,6 @@ def input_names(anomaly: bool = True) -> list[str]:
 
 ACTIVE, WITHOUT_ANOMALY = input_names(), input_names(anomaly=False)
 KEY = [*CAR, "tick"]
-PART_ROWS = 50_000       # rows of a race that one task scores
 
 
 def is_racing(df: DataFrame) -> Column:
@@ -190,12 +190,11 @@ def importance(model: RiskModel, df: DataFrame, features: list[str] = ACTIVE) ->
 
 def fold_models(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, iterations: int = 300, min_rows: int = 100, variants: dict[str, list[str]] | None = None) -> DataFrame:
     """(fold, h, variant, trees, neg_share): for every race, horizon and variant a model of the other races, all fitted in one job. rows is a
-    stored table of labelled rows. Only the names of the races come to the driver."""
+    stored table of labelled rows."""
     assert_no_holdout(rows)
     variants = variants or {"": ACTIVE, "_noanom": WITHOUT_ANOMALY}
     columns = list(dict.fromkeys(f for feats in variants.values() for f in feats))
-    races = [r["race"] for r in rows.select("race").distinct().orderBy("race").collect()]
-    folds = F.filter(F.array(*[F.lit(r) for r in races]), lambda r: r != F.col("race"))
+    folds = other_races(races_of(rows))
     kept = rows.filter("train_keep")
     kept = boosting.sampled(with_inputs(kept, columns), kept.count(), KEY)
     kinds = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(v).alias("variant")) for h in horizons for v in variants])
@@ -212,15 +211,11 @@ def fold_models(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, iteration
 
 
 def cross_validate(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, iterations: int = 300, min_rows: int = 100, variants: dict[str, list[str]] | None = None) -> DataFrame:
-    """Labelled rows with predictions p{h}, each race scored by models fitted on the other races. rows is a stored table. A race's models
-    meet its rows in parts of PART_ROWS."""
+    """Labelled rows with predictions p{h}, each race scored by models fitted on the other races. rows is a stored table. """
     variants = variants or {"": ACTIVE, "_noanom": WITHOUT_ANOMALY}
     columns = list(dict.fromkeys(f for feats in variants.values() for f in feats))
     models = stored(fold_models(rows, horizons, iterations, min_rows, variants))
-    parts = rows.groupBy("race").agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
-    held = models.join(parts.withColumnRenamed("race", "fold"), "fold").withColumn("_part", F.explode(F.expr("sequence(0L, _parts - 1)")))
-    held = held.select(F.col("fold").alias("race"), "_part", "h", "variant", "trees", "neg_share")
-    asked = with_inputs(rows, columns).join(parts, "race").withColumn("_part", F.expr("pmod(xxhash64(drv, tick), _parts)")).select(*KEY, "_part", *[f"in_{c}" for c in columns])
+    asked = with_inputs(rows, columns).select(*KEY, F.col("race").alias("fold"), *[f"in_{c}" for c in columns])
     names = [f"p{h}{v}" for h in horizons for v in variants]
 
     def score(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -233,8 +228,7 @@ def cross_validate(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, iterat
             out[f"p{m.h}{m.variant}"] = odds / (1 + odds)
         return out
     schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in KEY] + [f"{n} double" for n in names])
-    scores = asked.groupBy("race", "_part").cogroup(held.groupBy("race", "_part")).applyInPandas(score, schema)
-    return rows.join(scores, KEY)
+    return rows.join(scored_by_fold(asked, models, KEY, score, schema), KEY)
 
 
 # ---- how good it is
