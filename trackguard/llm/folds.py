@@ -18,3 +18,8 @@ def sampled(ids: DataFrame, label: str, per_label: int) -> DataFrame:
     counts = ids.groupBy(label).agg(F.count("*").alias("_n"))
     coin = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(71)), F.lit(1 << 30)).cast("double") / (1 << 30)
     return ids.join(counts, label).filter(coin * F.col("_n") < per_label).drop("_n")
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, label) with one row per id: of several texts the one with the smallest hash, so that reruns agree."""
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text"), F.min("label").alias("label"))

@@ -29,6 +29,7 @@ LENGTH = 256
 WIDTHS, FILTERS = (2, 3, 4), 12
 EPOCHS, BATCH, STEP = 4, 64, 0.01
 NONE = "und"
+WINDOWS_AT_ONCE = 4096
 _LETTERS = W.byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _ASCII_LETTERS = W.byte_class((0x41, 0x5A), (0x61, 0x7A))
 _LETTER = regex.compile(r"\p{L}")
@@ -40,10 +41,13 @@ def windows(texts: W.Texts, length: int = LENGTH) -> tuple[np.ndarray, np.ndarra
     per = -(-size // length)
     row = np.repeat(np.arange(len(texts)), per)
     begin = texts.bounds[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * length
-    at = begin[:, None] + np.arange(length)
-    inside = at < texts.bounds[row + 1][:, None]
-    data = W.LOWER[texts.data] if len(texts.data) else np.zeros(1, np.uint8)
-    return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8), row
+    out = np.zeros((len(row), length), np.uint8)
+    for k in range(0, len(row), WINDOWS_AT_ONCE):               # the places of all windows would take many times the text
+        part = slice(k, k + WINDOWS_AT_ONCE)
+        at = begin[part, None] + np.arange(length)
+        inside = at < texts.bounds[row[part] + 1][:, None]
+        out[part] = np.where(inside, W.LOWER[texts.data[np.minimum(at, len(texts.data) - 1)]], 0)
+    return out, row
 
 
 @dataclass
@@ -139,7 +143,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             keep = (turn * TAKEN) // np.maximum(per[row], TAKEN) != ((turn - 1) * TAKEN) // np.maximum(per[row], TAKEN)    # spread over the text
             yield pa.record_batch([batch.column("doc_id").cast(pa.string()).take(pa.array(row[keep])), batch.column("label").take(pa.array(row[keep])), pa.array([w.tobytes() for w in data[keep]], pa.binary())],
                                   names=["doc_id", "label", "window"])
-    sample = rows.drop("label").join(side(stored(picked)), "doc_id").dropDuplicates(["doc_id"])
+    sample = folds.one_text_each(rows.drop("label").join(side(stored(picked)), "doc_id"))
     got = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id string, label string, window binary").orderBy("doc_id", "window").toArrow()
     if not got.num_rows:
         return None

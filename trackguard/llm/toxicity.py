@@ -10,7 +10,7 @@ over the terms that are present, so a pair (an insult and the mention of a group
 the score is a probability under even odds.
 
 Defined results: null and empty texts have no terms and get the score of w0; a document that labels name twice is toxic if any row
-says so; null labels are no labels; without any labelled row every score is 0; rows are scored one by one, empty tables give empty
+says so; of several texts under one id the one with the smallest hash is learnt; null labels are no labels; without any labelled row every score is 0; rows are scored one by one, empty tables give empty
 results, and other columns of the input are ignored."""
 
 from __future__ import annotations
@@ -20,19 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trackguard.llm import folds, words as W
 from trackguard.llm.sides import side
 from trackguard.session import stored
 
-PER_LABEL = 4_000
+PER_LABEL = 6_000
 BITS = 22
 TERMS = 8_192
 LEAST = 15.0            # one in ten thousand by chance
 FACTORS, EPOCHS, STEP, DECAY, BATCH = 8, 40, 0.02, 2e-5, 256
 PREFIXES = (4, 5)
-STRIDE = 1 << 20        # (document, term) pairs looked at together while training
 
 
 def terms_of(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -87,33 +86,33 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def chosen(label: np.ndarray, row: np.ndarray, term: np.ndarray, least: float = LEAST, most: int = TERMS) -> np.ndarray:
-    """Terms that go with the label, by the G statistic of presence against label; sorted."""
-    n, n1 = len(label), label.sum()
-    all_, toxic = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for at in range(0, len(term), STRIDE):
-        own, hot = term[at:at + STRIDE], label[row[at:at + STRIDE]] == 1
-        np.add.at(all_, own, 1)
-        np.add.at(toxic, own[hot], 1)
-    near = np.flatnonzero(all_ >= 3)
-    a, t = toxic[near].astype(float), all_[near].astype(float)
-
-    def part(seen, expected):
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    g = 2 * (part(a, t * n1 / n) + part(t - a, t * (n - n1) / n) + part(n1 - a, (n - t) * n1 / n) + part(n - n1 - t + a, (n - t) * (n - n1) / n))
-    good = np.flatnonzero(g > least)
-    good = good[np.argsort(-g[good], kind="stable")[:most]]
-    return np.sort(near[good])
-
-
-def train(label: np.ndarray, row: np.ndarray, term: np.ndarray, seed: int = 0) -> Machine:
-    """label per document; distinct (row, term) pairs in order of rows."""
-    terms = chosen(label, row, term)
-    index = np.full(1 << BITS, -1, np.int32)
-    index[terms] = np.arange(len(terms))
-    kept = [np.flatnonzero(index[term[at:at + STRIDE]] >= 0) + at for at in range(0, len(term), STRIDE)]
-    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-    row, term = row[kept].astype(np.int64), index[term[kept]].astype(np.int64)
+def surprise(all_: Column, toxic: Column, n: int, n1: int) -> Column:
+    """The G statistic of a term's presence against the label: in toxic of n1 labelled documents, in all_ of n."""
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0)
+    cells = ((toxic, all_ * n1 / n), (all_ - toxic, all_ * (n - n1) / n), (n1 - toxic, (n - all_) * n1 / n), (n - n1 - all_ + toxic, (n - all_) * (n - n1) / n))
+    return 2 * sum((part(seen.cast("double"), expected) for seen, expected in cells), F.lit(0.0))
+
+
+def chosen(sample: DataFrame, least: float = LEAST, most: int = TERMS) -> np.ndarray:
+    """Terms of (text, label) rows that go with the label; sorted. Terms are counted per task, and summed and ranked by Spark: at most
+    `most` of them come to the driver."""
+    n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.pieces(batches, "text"):
+            row, term = present(W.texts_of(batch.column("text")))
+            hot = batch.column("label").to_numpy()[row] == 1
+            number, place, count = np.unique(term, return_inverse=True, return_counts=True)
+            yield pa.record_batch([pa.array(number), pa.array(count), pa.array(np.bincount(place[hot], minlength=len(number)))], names=["term", "n", "toxic"])
+    counts = sample.mapInArrow(run, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    found = counts.filter("n >= 3").withColumn("g", surprise(F.col("n"), F.col("toxic"), n, n1)).filter(F.col("g") > least)
+    return np.sort(np.array([r["term"] for r in found.orderBy(F.desc("g"), "term").limit(most).select("term").collect()], np.int64))
+
+
+def train(label: np.ndarray, row: np.ndarray, term: np.ndarray, terms: np.ndarray, seed: int = 0) -> Machine:
+    """label per document; distinct (row, term) pairs in order of rows, term being a place in terms."""
+    row, term = row.astype(np.int64), term.astype(np.int64)
     start = np.searchsorted(row, np.arange(len(label) + 1))
     rng = np.random.default_rng(seed)
     m = Machine(terms, 0.0, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)))
@@ -145,22 +144,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label is not null")
     known = known.filter(~folds.held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = stored(folds.sampled(known, "label", per_label))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(side(picked), "doc_id").dropDuplicates(["doc_id"])
+    sample = stored(folds.one_text_each(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(side(picked), "doc_id")))
+    terms = chosen(sample)
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, "text"):
-            row, term = present(W.texts_of(batch.column("text")))
+            row, term = present(W.texts_of(batch.column("text")), sent.value)
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.record_batch([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array([term[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
                                   names=["doc_id", "label", "terms"])
-    got = rows.mapInArrow(run, "doc_id string, label int, terms binary").orderBy("doc_id").toArrow()
+    got = sample.mapInArrow(run, "doc_id string, label int, terms binary").orderBy("doc_id").toArrow()
     if not got.num_rows:
         return None
     column = got.column("terms").combine_chunks()
     texts = W.texts_of(column)                                  # the bytes of all documents' terms, without a copy
     row = np.repeat(np.arange(len(column), dtype=np.int32), np.diff(texts.bounds) // 4)
     y = (got.column("label").to_numpy() == 1).astype(np.int64)
-    return train(y, row, texts.data.view("<i4"))
+    return train(y, row, texts.data.view("<i4"), terms)
 
 
 def _scored(docs: DataFrame, machine: Machine | None, text: str, name: str) -> DataFrame:
