@@ -1,5 +1,6 @@
 """Simple-8b round trips, chunked encoding against the library, and files against a plain encoder."""
 
+import random
 import zlib
 
 import numpy as np
@@ -71,3 +72,12 @@ def test_other_files_are_refused(tmp_path):
 def test_query_equals_plain_encoding(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, QUERIES["op4_token_files"](spark, sf).collect()), key=lambda r: r[1]) == plain(rows)
+
+
+def test_words_go_to_the_library_together():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice([" ", "\n", "\n\n", "-", "'s ", ""]) + rng.choice(["river", "Über", "naïve", "ªº", "x", "ſʰ", "日本", "été", "don't", "İstanbul"]) for _ in range(400)) for _ in range(30)]
+    own, library = K.Encoder(PATH, kept=50), Tokenizer.from_file(PATH)
+    for t in (texts, texts[::-1]):
+        ids, count = own.encode(W.texts_of(pa.array(t, pa.string())))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [e.ids for e in library.encode_batch(t, add_special_tokens=False)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from trackguard.llm.words import DARK, Texts, byte_class
+from trackguard.llm.words import BASE, DARK, Texts, byte_class, mixed, run_hashes, texts_of
 
 _PLAIN = byte_class((0x21, 0x7E))
 _HIGH = byte_class((0x80, 0xFF))
@@ -39,11 +39,11 @@ def word_starts(texts: Texts) -> np.ndarray:
     return np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]])) if len(inside) else np.zeros(0, np.int64)
 
 
-def distinct(texts: Texts, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct_column(texts: Texts, cuts: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
     """The distinct chunks between cuts and text bounds; for every chunk in order, its number among them; and how many chunks
     each text has."""
     if not len(texts.data):
-        return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     edge = np.zeros(len(texts.data) + 1, bool)
     edge[cuts] = True
     edge[texts.bounds] = True
@@ -51,7 +51,13 @@ def distinct(texts: Texts, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray, n
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(texts.data))])
     coded = column.dictionary_encode()
     per_text = np.diff(np.searchsorted(bounds, texts.bounds))
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), per_text
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), per_text
+
+
+def distinct(texts: Texts, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The same, with the chunks as bytes."""
+    found, code, per_text = distinct_column(texts, cuts)
+    return found.to_pylist(), code, per_text
 
 
 def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -77,37 +83,59 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Remembered:
-    """The ids of chunks, made once and remembered in two generations of at most `kept` chunks: when the young one is full it becomes
-    the old one, and what is met again moves to the young one. So the frequent chunks stay and memory is bounded."""
+    """The ids of at most `kept` chunks, made once. Chunks are found by a 64-bit hash in sorted arrays, some 50 bytes a chunk in all, and
+    compared byte by byte. When the bound is reached, chunks that were not met again since the last time go (all, if too few did)."""
 
     def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kept: int):
         """make gives the ids of chunks, one after the other, and how many each has."""
         self.make, self.kept = make, kept
-        self.young, self.old = self._empty(), self._empty()
-
-    @staticmethod
-    def _empty() -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-        return {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _add(self, new: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
-        known, have, lengths = self.young
-        known.update(zip(new, range(len(lengths), len(lengths) + len(new))))
-        self.young = known, np.concatenate([have, ids.astype(np.uint32)]), np.concatenate([lengths, length])
-
-    def ids(self, found: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.hash, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)       # sorted hashes, and whose they are
+        self.raw, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64)          # bytes of all entries; bytes of each
+        self.made, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)       # ids of all entries; ids of each
+        self.met = np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        keep = self.met if self.met.sum() <= self.kept // 2 else np.zeros(len(self.met), bool)
+        kept, number = np.flatnonzero(keep), np.cumsum(keep) - 1
+        self.raw = self.raw[spread((np.cumsum(self.size) - self.size)[kept], self.size[kept])]
+        self.made = self.made[spread((np.cumsum(self.count) - self.count)[kept], self.count[kept])]
+        self.size, self.count, self.met = self.size[kept], self.count[kept], np.zeros(len(kept), bool)
+        stays = keep[self.entry]
+        self.hash, self.entry = self.hash[stays], number[self.entry[stays]]
+
+    def _known(self, texts: Texts, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each chunk, -1 where there is none."""
+        if not len(self.hash):
+            return np.full(len(texts), -1)
+        place = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        entry, size = self.entry[place], np.diff(texts.bounds)
+        hit = np.flatnonzero((self.hash[place] == hashes) & (self.size[entry] == size))
+        theirs = self.raw[spread((np.cumsum(self.size) - self.size)[entry[hit]], size[hit])]
+        wrong = sums(theirs != texts.data[spread(texts.bounds[:-1][hit], size[hit])], size[hit])
+        out = np.full(len(texts), -1)
+        out[hit[wrong == 0]] = entry[hit[wrong == 0]]
+        return out
+
+    def ids(self, found: pa.LargeBinaryArray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the chunks found[code], one after the other, and how many each has."""
-        if len(self.young[0]) + len(found) > self.kept:
-            self.old, self.young = self.young, self._empty()
-        missing = [c for c in found if c not in self.young[0]]
-        again = [c for c in missing if c in self.old[0]]
-        if again:
-            at, (_, ids, length) = np.fromiter(map(self.old[0].__getitem__, again), np.int64, len(again)), self.old
-            start = np.cumsum(length) - length
-            self._add(again, ids[spread(start[at], length[at])], length[at])
-            missing = [c for c in missing if c not in self.old[0]]
-        if missing:
-            self._add(missing, *self.make(missing))
-        known, ids, length = self.young
-        start = np.cumsum(length) - length
-        entry = np.fromiter(map(known.__getitem__, found), np.int64, len(found))[code] if found else code
-        return ids[spread(start[entry], length[entry])], length[entry]
+        if len(self.size) + len(found) > self.kept:
+            self._forget()
+        texts = texts_of(found)
+        hashes = mixed(run_hashes(texts.data, texts.bounds[:-1], texts.bounds[1:], BASE))
+        entry = self._known(texts, hashes)
+        self.met[entry[entry >= 0]] = True
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            made, count = self.make(found.take(pa.array(new)).to_pylist())
+            entry[new] = len(self.size) + np.arange(len(new))
+            size = np.diff(texts.bounds)[new]
+            self.raw = np.concatenate([self.raw, texts.data[spread(texts.bounds[:-1][new], size)]])
+            self.size, self.count = np.concatenate([self.size, size]), np.concatenate([self.count, count])
+            self.made = np.concatenate([self.made, made.astype(np.uint32)])
+            self.met = np.concatenate([self.met, np.zeros(len(new), bool)])
+            order = new[np.argsort(hashes[new], kind="stable")]
+            place = np.searchsorted(self.hash, hashes[order])
+            self.hash, self.entry = np.insert(self.hash, place, hashes[order]), np.insert(self.entry, place, entry[order])
+        start = np.cumsum(self.count) - self.count
+        entry = entry[code]
+        return self.made[spread(start[entry], self.count[entry])], self.count[entry]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackguard.llm import chunks, words as W
 
-KEPT = 100_000                      # distinct chunks a generation of a worker process remembers
+KEPT = 300_000                      # distinct chunks that a worker process remembers
 SPACE, BLANK = "▁", 0x20       # the model's letter for a blank
 _NONE = np.iinfo(np.int32).max
 _PROBE = ("Ａ  b ", "▁Ａ▁▁b▁")
@@ -83,7 +83,7 @@ class Codec:
         data = np.insert(texts.data, texts.bounds[:-1][filled], BLANK)
         bounds = texts.bounds + np.concatenate([[0], np.cumsum(filled)])
         cuts = np.flatnonzero(~self.joined[data[:-1], data[1:]] & ((data[1:] & 0xC0) != 0x80)) + 1 if len(data) else np.zeros(0, np.int64)
-        found, code, per_text = chunks.distinct(W.Texts(data, bounds), cuts)
+        found, code, per_text = chunks.distinct_column(W.Texts(data, bounds), cuts)
         ids, length = self.remembered.ids(found, code)
         count = chunks.sums(length, per_text)
         end = np.cumsum(count)

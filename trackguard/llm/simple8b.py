@@ -17,6 +17,8 @@ _COUNT = np.array([1] + [PACKINGS[s][0] for s in range(1, 15)], np.int64)
 
 def bit_length(values: np.ndarray) -> np.ndarray:
     """Bits of each value, at least 1."""
+    if not len(values) or values.max() < np.uint64(1 << 53):            # exact as floating-point numbers
+        return np.maximum(1, np.frexp(values.astype(np.float64))[1]).astype(np.uint8)
     return np.maximum(1, np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), values, "right")).astype(np.uint8)
 
 
@@ -41,7 +43,9 @@ def encode(values: np.ndarray) -> np.ndarray:
     widest = _widest(bits, [count for count, _ in PACKINGS.values()])
     for s in sorted(PACKINGS, reverse=True):            # the densest that fits is written last
         count, width = PACKINGS[s]
-        selector[widest[count] <= width] = s
+        fits = widest[count] <= width
+        if fits.any():
+            selector[fits] = s
     step, at, i = _COUNT[selector].tolist(), [], 0
     while i < n:
         at.append(i)

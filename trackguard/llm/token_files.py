@@ -33,7 +33,7 @@ from trackguard.session import stored
 MAGIC = b"TGS8BID1"
 BLOCK = 1 << 16
 END_ID = 2
-KEPT = 150_000          # distinct chunks a task remembers
+KEPT = 500_000          # distinct chunks that a worker process remembers
 INDEX = "part int, uri string, n_docs long, n_ids long, n_bytes long"
 
 
@@ -44,40 +44,53 @@ class Encoder:
     def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # tasks are the parallelism
         from tokenizers import Tokenizer
-        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[bytes, int] = {}
-        self.ids, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()             # one letter a byte
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.feed = vocabulary[byte_letters()[0x0A]]
+        self.remembered = chunks.Remembered(self._made, kept)
 
     def encode(self, texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        found, code, per_text = chunks.distinct(texts, chunks.token_edges(texts))
-        if len(self.known) + len(found) > self.kept:
-            self.known.clear()
-            self.ids, self.length = self.ids[:0], self.length[:0]
-        new = [c for c in found if c not in self.known]
-        if new:
-            made = self._encoded(new)
-            self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
-            self.length = np.concatenate([self.length, np.fromiter(map(len, made), np.int64, len(made))])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in made for i in ids), np.uint32)])
-        start = np.cumsum(self.length) - self.length
-        entry = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))[code] if found else code
-        return self.ids[chunks.spread(start[entry], self.length[entry])], chunks.sums(self.length[entry], per_text)
-
-
-    def _encoded(self, new: list[bytes]) -> list[list[int]]:
-        """Ids of each chunk. A blank and a word of Latin letters is one pre-token, which goes to the library's model directly; the rest
-        takes the library's whole way."""
-        out: list[list[int] | None] = []
-        for c in new:
-            text = c.decode()
-            word = text.removeprefix(" ")
-            out.append([t.id for t in self.tokenizer.model.tokenize(c.decode("latin-1").translate(self.letters))] if word.isalpha() and max(word) < "\u0250" else None)
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i].decode() for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
+        found, code, per_text = chunks.distinct_column(texts, chunks.token_edges(texts))
+        ids, length = self.remembered.ids(found, code)
+        return ids, chunks.sums(length, per_text)
+
+    def _made(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each chunk, by the library. Words of Latin letters go to it as one long text, in which a blank or a line feed parts them:
+        no token crosses those, so the bytes of the tokens tell where a word ends. Other chunks are texts of their own."""
+        texts = [c.decode() for c in new]
+        kind = np.fromiter((self._kind(c, t) for c, t in zip(new, texts)), np.int8, len(new))
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        where, ids, length = [], [], []
+        for k, joint in ((1, ""), (2, "\n")):
+            mine = np.flatnonzero(kind == k)
+            if len(mine):
+                e = self.tokenizer.encode_batch_fast([joint.join([texts[i] for i in mine.tolist()])], add_special_tokens=False)[0]
+                got = np.array(e.ids, np.uint32)
+                end = np.cumsum(self.size[got])
+                word = np.searchsorted(np.cumsum(size[mine] + len(joint)), end - 1, "right")
+                inside = got != self.feed if joint else np.ones(len(got), bool)
+                where.append(mine)
+                ids.append(got[inside])
+                length.append(np.bincount(word[inside], minlength=len(mine)))
+        mine = np.flatnonzero(kind == 0)
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in mine.tolist()], add_special_tokens=False)]
+        where.append(mine)
+        ids.append(np.fromiter((i for own in rest for i in own), np.uint32))
+        length.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        where, ids, length = np.concatenate(where), np.concatenate(ids), np.concatenate(length).astype(np.int64)
+        order = np.argsort(where)
+        start = np.cumsum(length) - length
+        return ids[chunks.spread(start[order], length[order])], length[order]
+
+    @staticmethod
+    def _kind(chunk: bytes, text: str) -> int:
+        """1: a blank and a word of Latin letters; 2: such a word alone; 0: anything else."""
+        blank = chunk[:1] == b" "
+        word = text[1:] if blank else text
+        return (1 if blank else 2) if word.isalpha() and (chunk.isascii() or max(word) < "\u0250") else 0
 
 
 class File:
