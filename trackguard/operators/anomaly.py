@@ -194,7 +194,7 @@ def leave_one_race_out(df: DataFrame, crawl: float = 0.1, trees: int = TREES, pe
         x = pdf.sort_values("_r")[FEATURES].to_numpy(float)
         nodes = grow_tree(x, seed * 1_000_003 + tree, limit)
         return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "tree": [tree], "n": [len(x)], "nodes": [np.array(nodes, float).tobytes()]})
-    grown = rows.groupBy("fold", "tree").applyInPandas(grow, "fold string, tree int, n int, nodes binary")
+    grown = rows.repartition(min(trees, 200), "fold", "tree").groupBy("fold", "tree").applyInPandas(grow, "fold string, tree int, n int, nodes binary")
     forests = stored(grown.groupBy("fold").agg(F.collect_list(F.struct("tree", "n", "nodes")).alias("trees")).join(sizes.drop("n"), "fold"))    # trees x nodes a fold
 
     def score(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:

@@ -194,7 +194,8 @@ def fold_models(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, iteration
     assert_no_holdout(rows)
     variants = variants or {"": ACTIVE, "_noanom": WITHOUT_ANOMALY}
     columns = list(dict.fromkeys(f for feats in variants.values() for f in feats))
-    folds = other_races(races_of(rows))
+    races = races_of(rows)
+    folds = other_races(races)
     kept = rows.filter("train_keep")
     kept = boosting.sampled(with_inputs(kept, columns), kept.count(), KEY)
     kinds = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(v).alias("variant")) for h in horizons for v in variants])
@@ -203,7 +204,7 @@ def fold_models(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, iteration
     used = {f"in_{c}": F.when(F.col("variant").isin(*[v for v, feats in variants.items() if c in feats]), F.col(f"in_{c}")) for c in columns}
     each = kept.withColumn("fold", F.explode(folds)).withColumn("_k", F.explode(kinds)).select(*KEY, "fold", "_k.*", *[f"in_{c}" for c in columns], *[f"y{h}" for h in horizons])
     each = each.withColumns(used).withColumn("label", label.cast("double"))
-    models = boosting.fit_each(each, ["fold", "h", "variant"], "label", [f"in_{c}" for c in columns], KEY, Growth(iterations, min_rows=min_rows))
+    models = boosting.fit_each(each, ["fold", "h", "variant"], "label", [f"in_{c}" for c in columns], KEY, Growth(iterations, min_rows=min_rows), len(races) * len(horizons) * len(variants))
     parts = [F.struct(F.lit(h).alias("h"), F.sum((F.col(f"y{h}") == 0).cast("long")).alias("n"), F.sum(((F.col(f"y{h}") == 0) & F.col("train_keep")).cast("long")).alias("k")) for h in horizons]
     shares = rows.groupBy("race").agg(F.array(*parts).alias("_s")).withColumn("fold", F.explode(folds)).select("fold", F.explode("_s").alias("s"))
     shares = shares.groupBy("fold", "s.h").agg(F.coalesce(F.try_divide(F.sum("s.k"), F.sum("s.n")), F.lit(1.0)).alias("neg_share"))
