@@ -6,8 +6,10 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from trackguard.functions.stats import exact_quantile_per
 from trackguard.functions.timeline import interval_join
 from trackguard.operators import detectors as DE, escalation as ES, exposure as EX, flags as FL, incidents as IN, onset as ON, report as RP, risk as RI, scoring as SC
+from trackguard.operators.folds import other_races, races_of
 from trackguard.operators.params import BASELINE_KMH, SWEPT, candidate_grid, with_candidates
 from trackguard.plans import tables as T
 from trackguard.plans.registry import query, with_tables
@@ -567,7 +569,8 @@ def _(spark, sf):
     seen = ON.pick_onset(ON.candidates(inc, T.onsets(spark, sf), N, 5.0, 2.0)).select("race", "incident")
     unseen = ON.no_onset_reason(T.own(spark, sf), inc, N).join(seen, ["race", "incident"], "left_anti")
     pred = L.predicted(spark, sf)
-    lines = [(r["race"], RI.thresholds(pred.filter(F.col("race") != r["race"]), "p30", RI.ALERT_NEG_RATES[:1])[0]) for r in races.collect()]
+    others = pred.filter("y30 = 0").withColumn("fold", F.explode(other_races(races_of(pred))))
+    lines = list(exact_quantile_per(others, "fold", "p30", 1 - RI.ALERT_NEG_RATES[0]).items())
     pred = pred.join(spark.createDataFrame(lines, "race string, threshold double"), "race")
     scores = {h: {"model": F.col(f"p{h}"), "anomaly_score": F.coalesce("anomaly_score", F.lit(0.0)), "speed_threshold": -F.col("speed")} for h in (10, 30)}
     ours = ES.our_side(f, T.incident_messages(spark, sf), inc, T.official(spark, sf), T.escalations(spark, sf), N)
