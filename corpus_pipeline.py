@@ -9,28 +9,41 @@ from trackguard.llm import decontaminate, mixing, near_duplicates, token_files,
 from trackguard.session import stored
 
 
+#: Rows that a Python worker gets at once: whole texts, so the default of 10,000 would hold tens of MB in several copies.
+ROWS_AT_ONCE = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labelled ones, does not reject."""
+    small_batches(spark)
     return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     return near_duplicates.first_of_each(docs)
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
+    small_batches(spark)
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources at their target weights; a document comes as often as the mix takes it."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in files, and per document what they hold, read back."""
+    small_batches(spark)
     return token_files.digests(token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 

@@ -105,8 +105,9 @@ def texts_of(column: pa.Array) -> Texts:
 
 def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows whose texts hold at most limit bytes, or one row. A task begins here, so what earlier tasks of the
-    process left behind (functions and their modules refer to each other) goes first."""
+    process left behind (functions and their modules refer to each other, and Arrow keeps freed memory) goes first."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         if not batch.num_rows:
             continue
