@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trackguard.functions.ring import near_sector, sector_matches
 from trackguard.functions.timeline import CHUNK_TICKS, asof_join, chunk_of, gap_islands, interval_join, numbered, running
-from trackguard.operators.fold import fold_in_time
+from trackguard.session import stored
 
 CAR = ["race", "drv"]
 MOVE_KMH, OUT_AFTER_S, STOPPAGE_MIN_S = 20.0, 60.0, 60.0
@@ -14,6 +14,7 @@ STILL_M, STOPPED_AFTER_S = 3.0, 3.0
 INCIDENT_GAP_S, ESCALATION_LOOKBACK_S, MATCH_BEFORE_S, MATCH_AFTER_S = 60.0, 120.0, 60.0, 10.0
 MIN_LEAD_S, CONFIRM_WINDOW_S = 0.05, 120.0
 RANKS = {"CLEAR": 0, "YELLOW": 1, "DOUBLE_YELLOW": 2, "VSC": 1, "SC": 2, "RED": 3}
+TRACK, WIDE = "TRACK", ("VSC", "SC", "RED")
 BUCKET_S = 1024.0
 # fixed values: bin of the speed memory (m), samples the field's pace keeps and needs, and the speed below which a car is no reference
 BIN_M, FIELD_KEPT, FIELD_LEAST, FIELD_MIN_KMH = 50.0, 40, 3, 60.0
@@ -215,90 +216,90 @@ def lead_labels(ours: DataFrame, official: DataFrame, n: int) -> DataFrame:
 
 def call_log(recs: DataFrame, official: DataFrame, dets: DataFrame, n: int, size: float = 4096.0) -> DataFrame:
     """The calls read out in a race, in order: raises of a scope with the cars and type behind them,
-    clears, and race control's confirmations with our lead. A raise only counts above the scope's level."""
+    clears, and race control's confirmations with our lead. A raise only counts above the scope's level. Unknown flags, and sector flags without a sector, are left out.
+
+    Scopes fall into runs between their clears (`scope_runs`), runs give the raises, the causes and the episodes, and messages meet the
+    episodes by time (`confirmations`)."""
     src = recs.select("race", "id", F.explode_outer("source_detections").alias("det"))
     facts = src.join(dets.select("race", F.col("id").alias("det"), "drivers", "type"), ["race", "det"], "left").groupBy("race", "id").agg(
         F.array_distinct(F.flatten(F.collect_list("drivers"))).alias("_cars"),
         F.max_by("type", F.struct((F.col("type") != "ANOMALY").alias("p"), F.col("det"))).alias("dtype"))
     in_order = F.array_sort(F.transform("_cars", lambda c: F.struct(F.coalesce(F.try_to_number(c, F.lit("999999")), F.lit(10**6)).cast("int").alias("n"), c.alias("c"))))
     facts = facts.select("race", "id", F.transform(in_order, lambda x: x["c"]).alias("cars"), "dtype")
-    # an official message due at a tick comes before the tick's own recommendations
-    ours = recs.join(facts, ["race", "id"], "left").select(
-        "race", "t", F.lit(1).alias("side"), F.col("id").alias("seq"), "flag", "msector", "message", "reason", "cars", "dtype")
-    theirs = official.select("race", "t", F.lit(0).alias("side"), F.col("event_id").cast("string").alias("seq"), "flag", "msector")
-    rows = ours.unionByName(theirs, allowMissingColumns=True)
-    half = n // 2
-
-    def fits(car: int, flagged: int) -> bool:
-        return -1 <= (car - flagged + half) % n - half <= 2
-
-    def step(state: dict, given: list[dict]) -> tuple[dict, list[dict]]:
-        level, raises = state.get("level", {}), state.get("raises", {})      # scope -> rank, scope -> [open, [t, rank]...]
-        seen, cause, done = state.get("seen", {}), state.get("cause", {}), state.get("done", [])
-        made, now = [], 0.0
-
-        def say(kind, flag, scope, cars=None, dtype=None, lead=None):
-            made.append({"t": now, "call": kind, "flag": flag, "scope": scope, "cars": cars, "dtype": dtype, "lead_s": lead})
-
-        def note(scope, rank):
-            ep = raises.get(scope)
-            if ep is None or not ep["open"]:
-                ep = raises[scope] = {"open": True, "at": []}
-            ep["at"].append([now, rank])
-
-        for r in given:
-            now, flag = r["t"], r["flag"]
-            sector = None if r["msector"] is None or r["msector"] != r["msector"] else int(r["msector"])
-            rank = RANKS[flag]
-            if r["side"] == 1:
-                wide = flag in ("VSC", "SC", "RED")
-                if flag == "CLEAR":
-                    scope = "TRACK" if r["message"] == "TRACK CLEAR" else str(sector)
-                    if level.get(scope, 0):
-                        level.pop(scope)
-                        raises[scope]["open"] = False
-                        cause.pop(scope, None)
-                        say("clear", flag, scope)
-                    continue
-                if r["cars"] is not None and len(r["cars"]):
-                    cause[str(sector)] = [list(r["cars"]), r["dtype"]]
-                scope = "TRACK" if wide else str(sector)
-                if rank <= level.get(scope, 0):
-                    continue
-                note(scope, rank)
-                level[scope] = rank
-                if "advisory" in r["reason"]:
-                    continue
-                if wide:
-                    note(str(sector), rank)
-                cars, dtype = cause.get(str(sector), [[], None])
-                say("raise", flag, scope, ",".join(cars), dtype)
-                continue
-            scope = "TRACK" if sector is None else str(sector)
-            mine = ["TRACK"] if sector is None else [s for s in raises if s != "TRACK" and fits(int(s), sector)]
-            firsts = [(raises[s]["at"][0][0], s) for s in mine if s in raises
-                      and (raises[s]["open"] or raises[s]["at"][0][0] >= now - CONFIRM_WINDOW_S)]
-            ours_t = min(firsts)[0] if firsts else None
-            over = ["TRACK"] if sector is None else ["TRACK"] + [s for s in seen if s != "TRACK" and fits(sector, int(s))]
-            before = ours_t is not None and any(ours_t - CONFIRM_WINDOW_S <= t < ours_t and k > 0 for s in over for t, k in seen.get(s, []))
-            seen.setdefault(scope, []).append([now, rank])
-            if rank == 0 or ours_t is None or before:
-                continue
-            if scope == "TRACK" and max((k for t, k in raises["TRACK"]["at"] if ours_t <= t <= now), default=0) < rank:
-                continue
-            once = ["TRACK" if scope == "TRACK" else "sector", ours_t]
-            if now - ours_t < MIN_LEAD_S or once in done:
-                continue
-            done.append(once)
-            say("confirm", flag, scope, lead=round(now - ours_t, 2))
-        edge = (now // size + 1) * size
-        raises = {s: e for s, e in raises.items() if e["open"] or edge - e["at"][0][0] <= CONFIRM_WINDOW_S}
-        oldest = min([e["at"][0][0] for e in raises.values()] + [edge])
-        seen = {s: [x for x in v if x[0] >= oldest - CONFIRM_WINDOW_S] for s, v in seen.items()}
-        seen = {s: v for s, v in seen.items() if v}
-        done = [d for d in done if d[1] >= oldest]
-        out = {"level": level, "raises": raises, "seen": seen, "cause": {k: v for k, v in cause.items() if k in raises}, "done": done}
-        return {k: v for k, v in out.items() if v}, made
-
-    return fold_in_time(rows, ["race"], ["t", "side", "seq"], step,
-                        "t double, call string, flag string, scope string, cars string, dtype string, lead_s double", on="t", size=size)
+    rank = F.coalesce(*[F.when(F.col("flag") == f, r) for f, r in RANKS.items()])
+    own = recs.withColumn("rank", rank).filter("rank is not null").join(facts, ["race", "id"], "left")
+    own = own.withColumn("scope", F.when(F.when(F.col("rank") == 0, F.col("message") == "TRACK CLEAR").otherwise(F.col("flag").isin(*WIDE)), TRACK)
+                         .otherwise(F.col("msector").cast("int").cast("string")))
+    runs = stored(scope_runs(own.filter("scope is not null"), size))
+    levels = runs.select("race", "scope", F.explode(F.array_distinct(F.array_compact(F.array("up1", "up2", "up3")))).alias("up")).select("race", "scope", "up.*")
+    ends = runs.filter("over is not null").select("race", "scope", "over.*")
+    cause = causes(own, ends, size)
+    raised = levels.filter("not quiet").join(cause, ["race", "id"], "left").select(
+        "race", "t", F.lit("raise").alias("call"), "flag", "scope", F.concat_ws(",", "why.cars").alias("cars"), F.col("why.dtype").alias("dtype"))
+    cleared = ends.select("race", "t", F.lit("clear").alias("call"), F.lit("CLEAR").alias("flag"), "scope")
+    off = official.withColumns({"rank": rank, "sector": F.col("msector").cast("int")}).filter("rank > 0").select("race", "t", "event_id", "flag", "rank", "sector")
+    agreed = confirmations(episodes(levels, ends, size), stored(off), n).select(
+        "race", "t", F.lit("confirm").alias("call"), "flag", F.coalesce(F.col("sector").cast("string"), F.lit(TRACK)).alias("scope"), "lead_s")
+    out = raised.unionByName(cleared, allowMissingColumns=True).unionByName(agreed, allowMissingColumns=True)
+    return out.select("race", "t", "call", "flag", "scope", "cars", "dtype", "lead_s")
+
+
+def scope_runs(own: DataFrame, size: float) -> DataFrame:
+    """The rows of a scope between two of its clears, as one row: who first reached level 1, 2 and 3 (`up1` to `up3`, the same row where it
+    jumped), and the clear that ended it (`over`). Those rows are all that a level can be raised by. Runs without a raise are left out."""
+    row = F.struct("t", "id", "rank", "flag", F.col("msector").cast("int").alias("sector"), F.contains("reason", F.lit("advisory")).alias("quiet"))
+    clears = (F.col("rank") == 0).cast("bigint")
+    own = running(own.withColumn("reason", F.coalesce("reason", F.lit(""))), ["race", "scope"], chunk_of("t", size), ["t", "id"], sums={"_cut": clears})
+    ups = [F.min(F.when(F.col("rank") >= r, row)).alias(f"up{r}") for r in (1, 2, 3)]
+    runs = own.groupBy("race", "scope", (F.col("_cut") - clears).alias("cut")).agg(*ups, F.min(F.when(F.col("rank") == 0, F.struct("t", "id"))).alias("over"))
+    return runs.filter("up1 is not null").drop("cut")
+
+
+def causes(own: DataFrame, ends: DataFrame, size: float) -> DataFrame:
+    """(race, id, why): the cars and type that a recommendation's sector was last flagged for, forgotten when its flag is cleared."""
+    given = F.when(F.size("cars") > 0, F.struct("cars", "dtype"))
+    rows = own.filter("rank > 0").select("race", F.col("msector").cast("int").cast("string").alias("scope"), "t", "id", given.alias("_why"))
+    nothing = F.lit(None).cast(rows.schema["_why"].dataType)
+    blank = F.struct(F.array().cast("array<string>").alias("cars"), F.lit(None).cast("string").alias("dtype"))
+    rows = rows.withColumn("_why", F.coalesce("_why", nothing)).unionByName(ends.filter(F.col("scope") != TRACK).select("race", "scope", "t", "id", blank.alias("_why")))
+    return running(rows, ["race", "scope"], chunk_of("t", size), ["t", "id"], lasts={"why": F.col("_why")}).select("race", "id", "why")
+
+
+def episodes(levels: DataFrame, ends: DataFrame, size: float) -> DataFrame:
+    """(race, scope, start, until, reach1..3): from a scope's first raise to its clear, and the times it reached each level. A raise for the
+    whole track that was announced counts for its sector as well. `until` is the last time at which a message can refer to the episode:
+    its clear or the confirm window, whichever is later, but not beyond the next episode's start; NULL while it is open."""
+    notes = levels.select("race", "scope", "t", "id", "rank")
+    shared = levels.filter((F.col("scope") == TRACK) & ~F.col("quiet") & F.col("sector").isNotNull())
+    notes = notes.unionByName(shared.select("race", F.col("sector").cast("string").alias("scope"), "t", "id", "rank"))
+    rows = notes.withColumn("_end", F.lit(0)).unionByName(ends.select("race", "scope", "t", "id").withColumn("_end", F.lit(1)), allowMissingColumns=True)
+    rows = running(rows, ["race", "scope"], chunk_of("t", size), ["t", "id"], sums={"_n": F.col("_end").cast("bigint")})
+    rows = rows.groupBy("race", "scope", (F.col("_n") - F.col("_end")).alias("episode")).agg(
+        F.min(F.when(F.col("_end") == 0, F.col("t"))).alias("start"), F.max(F.when(F.col("_end") == 1, F.col("t"))).alias("_closed"),
+        *[F.min(F.when(F.col("rank") >= r, F.col("t"))).alias(f"reach{r}") for r in (1, 2, 3)]).filter("start is not null")
+    rows = running(rows, ["race", "scope"], chunk_of("start", size), ["start", "episode"], nexts={"_next": F.col("start")})
+    last = F.least(F.greatest("_closed", F.col("start") + CONFIRM_WINDOW_S), "_next")
+    return rows.withColumn("until", F.when(F.col("_closed").isNotNull(), last)).drop("_closed", "_next", "episode")
+
+
+def confirmations(eps: DataFrame, off: DataFrame, n: int) -> DataFrame:
+    """Race control's messages (rank above 0) that follow a call of ours: the first one per own first call, with the lead, if race control had
+    not spoken of the place shortly before that call. An episode is listed in the time buckets in which it can be referred to; per scope
+    these do not overlap. Messages come before our calls of the same time."""
+    end = off.groupBy("race").agg(F.max("t").alias("_last"))
+    spans = eps.join(end, "race").withColumn("until", F.coalesce("until", "_last")).filter("start < until").drop("_last")
+    spans = spans.withColumn("_own", F.when(F.col("scope") != TRACK, F.col("scope").cast("int"))).drop("scope")
+    same = F.when(F.col("sector").isNull(), F.col("_own").isNull()).otherwise(F.col("_own").isNotNull() & sector_matches(F.col("_own"), F.col("sector"), F.lit(n)))
+    near = interval_join(off, spans, ["race"], "t", "start", "until", 256.0, extra=same & (F.col("t") > F.col("start")))
+    reach = F.coalesce(*[F.when(F.col("rank") == r, F.col(f"reach{r}")) for r in (1, 2, 3)])
+    asked = near.groupBy("race", "t", "event_id", "flag", "rank", "sector").agg(F.min("start").alias("start"), F.min(reach).alias("_reach"))
+    # the level itself counts for the whole track only
+    asked = asked.filter((F.col("sector").isNotNull() | (F.col("_reach") < F.col("t"))) & (F.col("t") - F.col("start") >= MIN_LEAD_S)).drop("_reach")
+    asked = stored(asked)
+    earlier = off.select("race", F.col("t").alias("_t"), F.col("sector").alias("_s"))
+    over = F.col("_s").isNull() | (F.col("sector").isNotNull() & sector_matches(F.col("sector"), F.col("_s"), F.lit(n)))
+    back = asked.withColumn("_lo", F.col("start") - CONFIRM_WINDOW_S)
+    spoken = interval_join(earlier, back, ["race"], "_t", "_lo", "start", 256.0, extra=F.coalesce(over, F.lit(False)), closed=False).select("race", "event_id", "start").distinct()
+    asked = asked.join(spoken, ["race", "event_id", "start"], "left_anti").withColumn("_wide", F.col("sector").isNull())
+    first = asked.groupBy("race", "_wide", "start").agg(F.min(F.struct("t", "event_id", "flag", "sector")).alias("m"))
+    return first.select("race", "m.*", F.round(F.col("m.t") - F.col("start"), 2).alias("lead_s"))
