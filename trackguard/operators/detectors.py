@@ -56,9 +56,9 @@ def conditions(have: Collection[str], p: DetectorParams, s: Swept | None = None,
         "odd": F.lit(False) if anomaly_threshold is None else slower & _true(F.col("anomaly_score") >= anomaly_threshold)}
 
 
-def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str, ...] = (), keys: list[str] = CAR,
-               anomaly_threshold: float | None = None, chunk: int = CHUNK_TICKS) -> DataFrame:
-    """Dense car rows reduced to the rows on which a rule may fire, a latch may open or an impact may be settled."""
+def car_timeline(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str, ...] = (), keys: list[str] = CAR,
+                 anomaly_threshold: float | None = None, chunk: int = CHUNK_TICKS) -> DataFrame:
+    """Dense car rows with what looks back: whether the car was braking, how long each run has lasted, when it was last seen."""
     p = p or DetectorParams()
     s = Swept(p, swept)
     have = [c for c in INPUT if c in df.columns]
@@ -66,7 +66,6 @@ def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str,
     rows = df.select(*keys, "tick", *have, *[f"p_{n}" for n in swept])
     rows = rows.join(F.broadcast(gate_rows) if is_small(gate_rows) else gate_rows, ["race", "tick"])
     speed = F.col("speed")
-    heading = F.col("heading_err") if "heading_err" in have else F.lit(None).cast("double")
     c = conditions(have, p, s, anomaly_threshold)
 
     # what looks back a bounded time, in one pass
@@ -100,9 +99,23 @@ def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str,
     if anomaly_threshold is not None:
         starts["odd_since"] = F.when(racing, c["odd"]).when(pit, F.lit(False))
     here = F.struct(F.col("tick"), speed.alias("speed"), F.col("in_pit"), F.col("msector"))
-    rows = running(rows, keys, F.col("_chunk"), ["tick"], starts=starts,
+    return running(rows, keys, F.col("_chunk"), ["tick"], starts=starts,
                    lasts={"seen": F.when(speed.isNotNull() & ~F.col("suspended"), here)}).drop("_chunk")
-    age = {n: (F.col("tick") - F.col(n)) / TICKS_PER_S for n in starts}
+
+
+def car_events(df: DataFrame, p: DetectorParams | None = None, swept: tuple[str, ...] = (), keys: list[str] = CAR,
+               anomaly_threshold: float | None = None, chunk: int = CHUNK_TICKS) -> DataFrame:
+    """Dense car rows reduced to the rows on which a rule may fire, a latch may open or an impact may be settled."""
+    p = p or DetectorParams()
+    s = Swept(p, swept)
+    have = [c for c in INPUT if c in df.columns]
+    rows = car_timeline(df, p, swept, keys, anomaly_threshold, chunk)
+    speed, active = F.col("speed"), F.col("active")
+    heading = F.col("heading_err") if "heading_err" in have else F.lit(None).cast("double")
+    c = conditions(have, p, s, anomaly_threshold)
+    turned, off, low, racing = c["turned"], c["off"], c["low"], active & c["green"]
+    away = F.col("grid") | F.col("suspended") | (F.col("live_share") < p.field_live_min)
+    age = {n: (F.col("tick") - F.col(n)) / TICKS_PER_S for n in ("slow_since", "spin_since", "fade_since", "fast_since")}
     gap = (F.col("tick") - F.col("seen.tick")) / TICKS_PER_S
 
     # a run that is long enough matters on its first such row: one tick old enough, or just resumed

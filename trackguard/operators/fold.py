@@ -27,7 +27,7 @@ BATCH_ROWS = 8192
 
 def fold_in_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out: str,
                  on: str = "tick", size: float = 4096) -> DataFrame:
-    """Runs `step(state, rows) -> (state, outputs)` over each key's rows in order.
+    """Runs `step(state, rows) -> (state, outputs)` over each key's rows in order; gives the outputs.
 
     rows   the events that matter for the rule, already reduced by joins and windows
     step   small pure function; state is a JSON-able dict, `{}` at the start. It sees one chunk.
@@ -36,6 +36,27 @@ def fold_in_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ste
     Rows are spread by (key, chunk) and sorted; a task walks through its chunks in Arrow batches and
     holds one chunk's rows at a time.
     """
+    group, names = [*keys, "_chunk"], [f.name for f in T.StructType.fromDDL(out).fields]
+    rounds, ends = _settle(rows, keys, order, step, out, on, size)
+    result = rounds[0].filter("_row >= 0")
+    if len(rounds) > 1:
+        result = result.withColumn("_round", F.lit(0))
+        for number, made in enumerate(rounds[1:], 1):
+            result = result.unionByName(made.filter("_row >= 0").withColumn("_round", F.lit(number)))
+        last = ends.select(*group, "_round")
+        result = result.join(F.broadcast(last) if is_small(last) else last, [*group, "_round"], "left_semi")
+    return result.select(*keys, *names)
+
+
+def fold_states(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out: str,
+                on: str = "tick", size: float = 4096) -> DataFrame:
+    """(keys, state): the state, as JSON, that each key's rows end in; empty where nothing is to be remembered."""
+    _, ends = _settle(rows, keys, order, step, out, on, size)
+    return ends.groupBy(*keys).agg(F.max_by("_exit", "_chunk").alias("state"))
+
+
+def _settle(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out: str, on: str, size: float) -> tuple[list[DataFrame], DataFrame]:
+    """What every round of `fold_in_time` wrote, and for each chunk the state it ends in and the round that counts."""
     group = [*keys, "_chunk"]
     rows = stored(rows.withColumn("_chunk", chunk_of(on, size)))
     made_fields = T.StructType.fromDDL(out).fields
@@ -85,14 +106,7 @@ def fold_in_time(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ste
             break
         rounds.append(stored(run(rows.join(F.broadcast(wrong) if is_small(wrong) else wrong, group))))
         ends = stored(ends.join(wrong, group, "left_anti").unionByName(ends_of(rounds[-1], len(rounds) - 1)))
-    result = rounds[0].filter("_row >= 0")
-    if len(rounds) > 1:
-        result = result.withColumn("_round", F.lit(0))
-        for number, made in enumerate(rounds[1:], 1):
-            result = result.unionByName(made.filter("_row >= 0").withColumn("_round", F.lit(number)))
-        last = ends.select(*group, "_round")
-        result = result.join(F.broadcast(last) if is_small(last) else last, [*group, "_round"], "left_semi")
-    return result.select(*keys, *[f.name for f in made_fields])
+    return rounds, ends
 
 
 def cooldown(events: DataFrame, keys: Sequence[str], gap: float, on: str = "tick",

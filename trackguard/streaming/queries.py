@@ -18,6 +18,7 @@ from trackguard.operators.detectors import DETECTED, car_step, conditions
 from trackguard.operators.flags import Control, FlagParams, control_rows
 from trackguard.operators.params import DetectorParams
 from trackguard.streaming.marks import CARRIED, mark
+from trackguard.streaming.seek import kept_marks
 
 CAR = ["race", "drv"]
 DETECTION = f"race string, drv string, {DETECTED}"
@@ -46,6 +47,9 @@ class CarProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("car", "json string")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.state.update((json.dumps(kept_marks(json.loads(initialState["state"].iloc[0]))),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kept = json.loads(self.state.get()[0]) if self.state.exists() else {"tick": None, "marks": {}, "step": {}}
         marked = []
@@ -62,9 +66,10 @@ class CarProcessor(StatefulProcessor):
         pass
 
 
-def detect_stream(ticks: DataFrame, params: DetectorParams | None = None, threshold: float | None = None, warm_until: int | None = None) -> DataFrame:
+def detect_stream(ticks: DataFrame, params: DetectorParams | None = None, threshold: float | None = None, at: int | None = None,
+                  states: DataFrame | None = None) -> DataFrame:
     """Detections of every car as its ticks arrive. The state is one small record per car, and a restart goes on from the checkpoint. A
-    seek is a new query that starts earlier and says nothing before `warm_until` (a tick); its rows only warm the state up."""
+    seek is a new query from the tick `at` on that begins with the `states` of `seek.car_state`."""
     ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     p = params or DetectorParams()
     if "after_chequered" in ticks.columns:
@@ -72,8 +77,10 @@ def detect_stream(ticks: DataFrame, params: DetectorParams | None = None, thresh
     absent = F.lit(None).cast("double")
     given = [F.col(c) if c in ticks.columns else absent.alias(c) for c in CARRIED]
     rows = ticks.select(*CAR, "tick", *given, *[c.alias(n) for n, c in conditions(ticks.columns, p, None, threshold).items()])
-    out = rows.groupBy(*CAR).transformWithStateInPandas(CarProcessor(p, threshold), outputStructType=DETECTION, outputMode="append", timeMode="None")
-    return out if warm_until is None else out.filter(F.col("tick") >= warm_until)
+    rows = rows if at is None else rows.filter(F.col("tick") >= at)
+    begin = None if states is None else states.groupBy(*CAR)
+    return rows.groupBy(*CAR).transformWithStateInPandas(CarProcessor(p, threshold), outputStructType=DETECTION, outputMode="append", timeMode="None",
+                                                         initialState=begin)
 
 
 class FlagProcessor(StatefulProcessor):
