@@ -120,31 +120,28 @@ def race_distance(df: DataFrame, length, chunk: int = CHUNK_TICKS) -> DataFrame:
     return running(df, CAR, F.col("_chunk"), ["tick"], sums={"race_dist": F.col("_step")}).drop("_step", "_chunk")
 
 
-def previous_lap(df: DataFrame, length: float, bucket_m: float = 50_000.0) -> DataFrame:
-    """Adds prev_lap_speed (the car's speed one lap of forward progress ago, interpolated between
+def previous_lap(df: DataFrame, length: float, bucket_m: float = 50_000.0, positions: DataFrame | None = None) -> DataFrame:
+    """Adds race_dist, prev_lap_speed (the car's speed one lap of forward progress ago, interpolated between
     the two samples around that point) and lap_ratio. Only samples already passed can be hit.
 
-    Every row appears twice along the car's race distance: as a sample where it is, and as a
-    question one lap behind; the question takes the samples before and after it."""
-    df = race_distance(df, length)
+    Only (race, drv, tick, dist, speed) go along the line, and what they find is joined back to the rows by car and tick (one row
+    each). `positions` names a cheaper source of those columns than `df` itself. Every position appears twice along the car's race
+    distance: as a sample where it is, and as a question one lap behind; the question takes the samples before and after it."""
+    thin = race_distance((df if positions is None else positions).select(*CAR, "tick", "dist", "speed"), length)
     known = F.col("speed").isNotNull() & F.col("dist").isNotNull()
     sample = F.when(known, F.struct(F.col("race_dist").alias("d"), F.col("speed").alias("v")))
-    row = F.struct(*[c for c in df.columns if c not in CAR])
-    none = F.lit(None)
-    both = F.array(
-        F.struct(F.col("race_dist").alias("pos"), F.lit(0).alias("side"), F.col("tick").alias("n"), sample.alias("s"),
-                 none.cast(df.select(row.alias("r")).schema["r"].dataType).alias("r")),
-        F.struct((F.col("race_dist") - length).alias("pos"), F.lit(1).alias("side"), F.col("tick").alias("n"),
-                 none.cast(df.select(sample.alias("s")).schema["s"].dataType).alias("s"), row.alias("r")))
-    line = df.select(*CAR, F.explode(both).alias("_e")).select(*CAR, "_e.*").filter("side = 1 or s is not null")
-    line = running(line, CAR, chunk_of("pos", bucket_m), ["pos", "side", "n"], lasts={"a": F.col("s")}, nexts={"z": F.col("s")})
+    where = F.array(F.struct(F.col("race_dist").alias("pos"), F.lit(0).alias("side")),
+                    F.struct((F.col("race_dist") - length).alias("pos"), F.lit(1).alias("side")))
+    line = thin.withColumn("_s", sample).withColumn("_e", F.explode(where)).select(*CAR, "tick", "race_dist", "_s", "_e.*").filter("side = 1 or _s is not null")
+    here = F.when(F.col("side") == 0, F.col("_s"))
+    line = running(line, CAR, chunk_of("pos", bucket_m), ["pos", "side", "tick"], lasts={"a": here}, nexts={"z": here})
     at = F.col("pos") - F.col("a.d")
     slope = (F.col("z.v") - F.col("a.v")) / (F.col("z.d") - F.col("a.d"))
     prev = F.when(F.col("z").isNotNull(), slope * at + F.col("a.v")).otherwise(F.col("a.v"))
-    line = line.filter("side = 1").select(*CAR, "r.*", F.when(F.col("a").isNotNull(), prev).alias("prev_lap_speed"))
+    found = line.filter("side = 1").select(*CAR, "tick", "race_dist", F.when(F.col("a").isNotNull(), prev).alias("prev_lap_speed"))
     ratio = F.least(F.col("speed") / F.greatest("prev_lap_speed", F.lit(20.0)), F.lit(1.1))
     both_known = F.col("speed").isNotNull() & F.col("prev_lap_speed").isNotNull()
-    return line.withColumn("lap_ratio", F.when(both_known, ratio))
+    return df.join(found, [*CAR, "tick"]).withColumn("lap_ratio", F.when(both_known, ratio))
 
 
 def lap_features(df: DataFrame, laps: DataFrame) -> DataFrame:

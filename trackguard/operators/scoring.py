@@ -127,6 +127,25 @@ def totals(per_race: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
         "fa_per_hour": ratio("false_alarms", "hours")})
 
 
+def score_levels(scores: DataFrame, marked: DataFrame, hours: DataFrame, by: list[str] = ["system"]) -> DataFrame:
+    """Race rows, totals of every system and the whole, from one aggregation over grouping sets of (by, race).
+
+    `level` is 0 for a race, 1 for a system, and has one more bit set for each further column of `by` that is summed over. Counts, hours and
+    the exact median of the leads belong to the level's own rows; a race without incidents or alerts is there with its hours. `hours` holds
+    one row per (by, race)."""
+    one = F.lit(1)
+    facts = scores.select(*by, "race", one.alias("_inc"), F.col("matched").cast("int").alias("_hit"), F.col("held").cast("int").alias("_held"), "lead_s")
+    facts = facts.unionByName(marked.select(*by, "race", one.alias("_alert"), F.col("false_alarm").cast("int").alias("_false")), allowMissingColumns=True)
+    facts = facts.unionByName(hours.select(*by, "race", "hours"), allowMissingColumns=True)
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = facts.rollup(*by, "race").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("hours").alias("races"), count("_inc").alias("incidents"), count("_hit").alias("matched"),
+        count("_held").alias("held"), count("_alert").alias("alerts"), count("_false").alias("false_alarms"), F.sum("hours").alias("hours"),
+        F.percentile("lead_s", 0.5).alias("median_lead_s"), F.count_if(F.col("lead_s") > 0).alias("earlier"), F.count("lead_s").alias("leads"))
+    return out.withColumns({"recall": ratio("matched", "incidents"), "recall_window": ratio(F.col("matched") - F.col("held"), "incidents"),
+                            "earlier_share": ratio("earlier", "leads"), "fa_per_hour": ratio("false_alarms", "hours")})
+
+
 def alerts_by_type(marked: DataFrame, by: list[str] = []) -> DataFrame:
     return marked.groupBy(*by, "type").agg(F.count(F.lit(1)).alias("alerts"), F.count_if("false_alarm").alias("false_alarms"))
 

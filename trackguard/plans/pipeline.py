@@ -40,7 +40,7 @@ def build_features(aligned: DataFrame, laps: DataFrame, weather: DataFrame | Non
     if ref is not None:
         df = FE.reference_point(df, ref, ["race"])
     df = stored(df.withColumn("is_lap1", FE.is_lap1()))
-    df = FE.previous_lap(field_rows(df, length), length)
+    df = FE.previous_lap(field_rows(df, length), length, positions=df)
     return FE.windows(df)
 
 

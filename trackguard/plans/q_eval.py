@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from trackguard.functions.stats import exact_quantile_per
 from trackguard.functions.timeline import interval_join
@@ -130,6 +130,32 @@ def _(spark, sf):
                       F.round("fa_per_hour", 4).alias("fa_per_hour"))
 
 
+def two_systems(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two systems: the baseline detector, and one that detects nothing."""
+    hours = SC.race_hours(T.features(spark, sf))
+    named = lambda df, name: df.withColumn("system", F.lit(name))
+    none = scores(spark, sf).withColumns({"matched": F.lit(False), "held": F.lit(False), "lead_s": F.lit(None).cast("double")})
+    return (named(scores(spark, sf), "baseline").unionByName(named(none, "none")), named(marked(spark, sf), "baseline"),
+            named(hours, "baseline").unionByName(named(hours, "none")))
+
+
+@query("h9_h10_levels", sql(SCORES, "") + """, facts AS (
+    SELECT 'baseline' AS system, race, 1 AS i, matched::INT AS m, held::INT AS h, lead_s, NULL::INT AS a, NULL::INT AS f, NULL::DOUBLE AS hours FROM scores
+    UNION ALL SELECT 'none', race, 1, 0, 0, NULL, NULL, NULL, NULL FROM scores
+    UNION ALL SELECT 'baseline', race, NULL, NULL, NULL, NULL, 1, false_alarm::INT, NULL FROM marked
+    UNION ALL SELECT s, race, NULL, NULL, NULL, NULL, NULL, NULL, hours FROM hours, (VALUES ('baseline'), ('none')) v(s))
+    SELECT CAST(GROUPING(system, race) AS INT) AS level, system, race, count(hours) AS races, coalesce(sum(i), 0)::BIGINT AS incidents, coalesce(sum(m), 0)::BIGINT AS matched,
+           coalesce(sum(h), 0)::BIGINT AS held, coalesce(sum(a), 0)::BIGINT AS alerts, coalesce(sum(f), 0)::BIGINT AS false_alarms, round(sum(hours), 8) AS hours,
+           round(median(lead_s), 4) AS median_lead_s, round(sum(m) / nullif(sum(i), 0), 6) AS recall, round((sum(m) - sum(h)) / nullif(sum(i), 0), 6) AS recall_window,
+           round(count(*) FILTER (lead_s > 0) / nullif(count(lead_s), 0), 6) AS earlier_share, round(coalesce(sum(f), 0) / sum(hours), 4) AS fa_per_hour
+    FROM facts GROUP BY ROLLUP (system, race)""")
+def _(spark, sf):
+    out = SC.score_levels(*two_systems(spark, sf))
+    return out.select("level", "system", "race", "races", "incidents", "matched", "held", "alerts", "false_alarms", F.round("hours", 8).alias("hours"),
+                      F.round("median_lead_s", 4).alias("median_lead_s"), *[F.round(c, 6).alias(c) for c in ("recall", "recall_window", "earlier_share")],
+                      F.round("fa_per_hour", 4).alias("fa_per_hour"))
+
+
 @query("h10_alerts_by_type", sql([n for n in SCORES if n not in ("held", "scores", "hours")], """
     SELECT 'STOPPED' AS type, race, count(*) AS alerts, count(*) FILTER (false_alarm) AS false_alarms FROM marked GROUP BY race"""))
 def _(spark, sf):

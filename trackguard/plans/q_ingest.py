@@ -415,7 +415,7 @@ def _(spark, sf):
 
 
 _PROFILE = """med AS (SELECT race, least(floor(dist / 10), 99)::INT AS bin, quantile_cont(speed, 0.5) AS v FROM grid
-    WHERE speed IS NOT NULL AND floor(dist / 10) % 4 > 0 GROUP BY ALL),
+    WHERE speed IS NOT NULL GROUP BY ALL),
 full_bins AS (SELECT r.race, b.bin::INT AS bin, m.v FROM (SELECT DISTINCT race FROM med) r CROSS JOIN (SELECT unnest(range(100)) AS bin) b
     LEFT JOIN med m ON m.race = r.race AND m.bin = b.bin),
 filled AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN bin END IGNORE NULLS) OVER (PARTITION BY race ORDER BY bin) AS ba,
@@ -426,8 +426,7 @@ prof AS (SELECT race, bin, coalesce(v, CASE WHEN bz > ba THEN va + (bin - ba) /
 
 
 def speed_profile(spark, sf):
-    g = AD.grid(spark, sf)
-    return GE.speed_profile(g.filter(F.floor(F.col("dist") / 10) % 4 > 0), ["race"], AD.LENGTH)
+    return GE.speed_profile(AD.grid(spark, sf), ["race"], AD.LENGTH)
 
 
 @query("r10_speed_profile", sql(["grid"], "") + f", {_PROFILE} SELECT race, bin, round(ref_speed + 1e-9, 6) AS ref_speed FROM prof")
