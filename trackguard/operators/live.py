@@ -30,38 +30,62 @@ def stop_ticks(df: DataFrame) -> DataFrame:
     return ticks.filter(F.col("_su") | slow).select("race", "tick", "t", on.alias("on_track"))
 
 
+def out_spans(df: DataFrame, out_after: float = OUT_AFTER_S, chunk: int = CHUNK_TICKS) -> DataFrame:
+    """(race, drv, why, since, msector, t0, t1, first): when each car counts as out, from t0 up to but without t1 (NULL: to the end).
+
+    One row per silence of at least `out_after`, per stretch in which a standing car has been passed by a moving field for that long, and
+    per car before its first data. A silence counts once the race itself has data `out_after` beyond its begin (`first`)."""
+    live = df.filter("speed is not null" + (" and x is not null" if "x" in df.columns else ""))
+    rows = live.select(*CAR, "tick", "t", "speed", "in_pit", "msector").withColumn("_chunk", chunk_of("tick", chunk))
+    rows = running(rows, CAR, F.col("_chunk"), ["tick"], starts={"_still": F.col("speed") < MOVE_KMH}, nexts={"_next": F.col("t")})
+    state = F.struct("_still", "in_pit", "msector")
+    new = ~state.eqNullSafe(F.lag(state).over(W.partitionBy(*CAR, "_chunk").orderBy("tick")))
+    silent = F.col("_next").isNull() | (F.col("_next") - F.col("t") >= out_after)
+    # a state holds until the next change; one more cut where a chunk begins does no harm
+    few = stored(rows.withColumns({"_new": new, "_silent": silent}).filter("_new or _silent").withColumn("since", F.col("_still") / F.lit(4.0)))
+    cars = df.groupBy(*CAR).agg(F.min("t").alias("_from"))
+    start = cars.groupBy("race").agg(F.min("_from").alias("first"))
+    unseen = cars.select(*CAR).join(few.groupBy(*CAR).agg(F.min("t").alias("t1")), CAR, "left").join(start, "race").select(
+        *CAR, F.lit("no data").alias("why"), F.lit(None).cast("double").alias("since"), F.lit(None).cast(few.schema["msector"].dataType).alias("msector"),
+        F.col("first").alias("t0"), "t1", (F.col("first") + out_after).alias("first"))
+    silences = few.filter("_silent").select(*CAR, F.lit("no data").alias("why"), F.col("t").alias("since"), "msector", F.col("t").alias("t0"),
+                                            F.col("_next").alias("t1"), (F.col("t") + out_after).alias("first"))
+    spans = running(few.filter("_new").drop("_next"), CAR, chunk_of("tick", chunk), ["tick"], nexts={"t1": F.col("t")}).filter("since is not null")
+    spans = spans.withColumn("_pit", F.coalesce("in_pit", F.lit(False)))
+    begun = passed_from(spans.select(*CAR, "since", "_pit").distinct(), df, out_after)
+    stands = spans.join(begun, [*CAR, "since", "_pit"]).select(
+        *CAR, F.when(F.col("_pit"), "in the pit lane").otherwise("stopped").alias("why"), "since", "msector",
+        F.greatest("t", "_out").alias("t0"), "t1", F.lit(None).cast("double").alias("first"))
+    return unseen.unionByName(silences).unionByName(stands).filter("t1 is null or t0 < t1")
+
+
+def passed_from(runs: DataFrame, df: DataFrame, out_after: float) -> DataFrame:
+    """Adds _out to runs of standing (race, drv, since, _pit): when the field has moved for `out_after` without a stop since then. For a car
+    in the pits every stop of the field counts as one, for others a stop on the track."""
+    stops = stop_ticks(df).select("race", "t", F.explode(F.when(F.col("on_track"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("_pit"))
+    key, at = ["race", "_pit"], lambda: chunk_of("t", BUCKET_S)
+    stops = running(stops, key, at(), ["t"], nexts={"_then": F.col("t")})
+    stops = stops.withColumns({"_stop": F.col("t"), "_free": F.when(F.col("_then").isNull() | (F.col("_then") - F.col("t") >= out_after), F.col("t"))})
+    both = runs.withColumnRenamed("since", "t").unionByName(stops.drop("_then"), allowMissingColumns=True).withColumn("_side", F.col("drv").isNull().cast("int"))
+    both = running(both, key, at(), ["t", "_side", "drv"], nexts={"_first": F.col("_stop"), "_later": F.col("_free")}).filter("_side = 0")
+    at_once = F.col("_first").isNull() | (F.col("_first") - F.col("t") >= out_after)
+    return both.select(*CAR, F.col("t").alias("since"), "_pit", (F.when(at_once, F.col("t")).otherwise(F.col("_later")) + out_after).alias("_out"))
+
+
 def cars_out(df: DataFrame, at: DataFrame, out_after: float = OUT_AFTER_S) -> DataFrame:
     """Cars out of the race at each asked time (race, t_at): no data for a while, or standing still
-    for a while of time in which the field moved."""
+    for a while of time in which the field moved. Times meet the spans in which a car is out, so the cost is that of spans and answers."""
     live = df.filter("speed is not null" + (" and x is not null" if "x" in df.columns else ""))
     asked = at.select("race", "t_at").distinct()
-    # what is known at t_at: every car's last live row, last drive, and the first row after that drive
-    rows = running(live.select(*CAR, "tick", "t", "speed", "in_pit", "msector"), CAR, chunk_of("tick", CHUNK_TICKS), ["tick"],
-                   starts={"_still": F.col("speed") < MOVE_KMH})
-    rows = rows.withColumn("still_since", F.col("_still") / F.lit(4.0))
-    cars = df.select(*CAR).distinct().join(asked, "race")
-    known = asof_join(cars.withColumn("_q", F.col("t_at")), rows.withColumn("seen", F.col("t")), CAR, "_q", "seen",
-                      ["seen", "still_since", "in_pit", "msector"], BUCKET_S).drop("_q")
-    start = df.groupBy("race").agg(F.min("t").alias("t_start"))
-    last = asof_join(asked.withColumn("_q", F.col("t_at")), live.groupBy("race", "tick").agg(F.first("t").alias("now")),
-                     ["race"], "_q", "now", ["now"], BUCKET_S).drop("_q")
-    known = known.join(last, ["race", "t_at"]).join(start, "race")
-    # the longest stretch without a field stop between still_since and t_at
-    stops = stop_ticks(df)
-    waits = known.filter(F.col("still_since").isNotNull()).select(*CAR, "t_at", "still_since", "in_pit")
-    inside = interval_join(stops, waits.withColumnRenamed("drv", "car"), ["race"], "t", "still_since", "t_at", 256.0,
-                           extra=F.col("in_pit") | F.col("on_track")).filter("t < t_at")
-    w = W.partitionBy("race", "car", "t_at").orderBy("t")
-    gaps = inside.withColumn("_g", F.col("t") - F.coalesce(F.lag("t").over(w), F.col("still_since")))
-    gaps = gaps.groupBy("race", F.col("car").alias("drv"), "t_at").agg(F.max("_g").alias("_g"), F.max("t").alias("_lt"))
-    known = known.join(gaps, [*CAR, "t_at"], "left")
-    moving = F.greatest(F.coalesce("_g", F.lit(0.0)), F.col("t_at") - F.coalesce("_lt", "still_since"))
-    now = F.coalesce("now", "t_at")
-    why = (F.when(F.col("seen").isNull() & (now - F.col("t_start") >= out_after), "no data")
-           .when(now - F.col("seen") >= out_after, "no data")
-           .when(F.col("still_since").isNotNull() & (moving >= out_after), F.when(F.col("in_pit"), "in the pit lane").otherwise("stopped")))
-    since = F.when(why == "no data", F.col("seen")).otherwise(F.col("still_since"))
-    return known.withColumns({"why": why, "since": since}).filter("why is not null").select("race", "t_at", "drv", "why", "since", "msector")
+    asked = asof_join(asked.withColumn("_q", F.col("t_at")), live.groupBy("race", "tick").agg(F.first("t").alias("now")),
+                      ["race"], "_q", "now", ["now"], BUCKET_S).withColumn("now", F.coalesce("now", "t_at"))
+    last = asked.groupBy("race").agg(F.max("t_at").alias("_last"))
+    spans = out_spans(df, out_after).join(last, "race").withColumn("t1", F.coalesce("t1", F.greatest("_last", "t0") + 1.0)).drop("_last")
+    hits = interval_join(asked.select("race", "t_at", "now"), spans, ["race"], "t_at", "t0", "t1", BUCKET_S, closed=False,
+                         extra=F.col("first").isNull() | (F.col("now") >= F.col("first")))
+    # missing data come before standing
+    found = hits.groupBy("race", "t_at", "drv").agg(F.min(F.struct(F.when(F.col("why") == "no data", 0).otherwise(1).alias("p"), "why", "since", "msector")).alias("s"))
+    return found.select("race", "t_at", "drv", "s.why", "s.since", "s.msector")
 
 
 def stoppages(df: DataFrame, t_at: float | None = None, min_s: float = STOPPAGE_MIN_S) -> DataFrame:
