@@ -9,6 +9,7 @@ from trackguard.functions.timeline import asof_join, beside, chunk_of, interval_
 from trackguard.operators import onset as ON
 from trackguard.operators.incidents import ESCALATIONS, MATCH_BEFORE_S, in_sectors, match_incidents, suspended_at
 from trackguard.operators.scoring import ratio
+from trackguard.session import stored
 
 LATE_S, RED_WINDOW_S, FA_AFTER_S = 60.0, 1200.0, 60.0
 BUCKET_S = 1024.0
@@ -85,27 +86,27 @@ def official_side(df: DataFrame, msgs: DataFrame, incidents: DataFrame, official
     if extra:
         off = off.join(recs.select(*by).distinct(), "race")
     okey = [*by, "incident"]
-    hits = esc.select(*by, "id", "flag", "reason", F.col("t").alias("t_hit"), F.col("msector").alias("hit_sector"))
+    off = stored(off)
+    # our escalations and the zone flags we showed, through one join
+    hits = esc.select(*by, "id", "flag", "reason", F.col("t").alias("t_hit"), F.col("msector").alias("hit_sector"), F.lit(True).alias("_call"))
+    hits = hits.unionByName(recs.filter(F.col("flag").isin("YELLOW", "DOUBLE_YELLOW")).select(
+        *by, "flag", F.col("t").alias("t_hit"), F.col("msector").alias("hit_sector"), F.lit(False).alias("_call")), allowMissingColumns=True)
     spans = off.withColumns({"lo": F.col("t_incident") - MATCH_BEFORE_S, "hi": F.greatest(F.col("t_official") + LATE_S, "t_end")})
     near = interval_join(hits, spans, by, "t_hit", "lo", "hi", 256.0, extra=in_sectors(F.col("hit_sector"), F.col("sectors"), n))
-    mine = near.filter(F.col("t_hit") <= F.col("t_official") + LATE_S)
-    best = mine.groupBy(*okey).agg(F.min(F.struct("t_hit", "id", "flag", "reason")).alias("_m"),
-                                   F.max_by("flag", level(F.col("flag"))).alias("our_top"))
-    reds = near.filter((F.col("flag") == "RED") & (F.col("t_hit") <= F.col("t_end"))).groupBy(*okey).agg(
-        F.min("t_hit").alias("our_red_t"))
-    shown = recs.filter(F.col("flag").isin("YELLOW", "DOUBLE_YELLOW")).select(
-        *by, F.col("flag").alias("_sf"), F.col("t").alias("t_hit"), F.col("msector").alias("hit_sector"))
-    spans = off.withColumns({"lo": F.col("t_incident") - MATCH_BEFORE_S, "hi": F.col("t_official") + LATE_S})
-    shown = interval_join(shown, spans, by, "t_hit", "lo", "hi", 256.0, extra=in_sectors(F.col("hit_sector"), F.col("sectors"), n))
-    shown = shown.groupBy(*okey).agg(F.max_by("_sf", F.when(F.col("_sf") == "DOUBLE_YELLOW", 1).otherwise(0)).alias("_shown"))
+    due = F.col("t_hit") <= F.col("t_official") + LATE_S
+    call, red = F.col("_call") & due, F.col("_call") & (F.col("flag") == "RED") & (F.col("t_hit") <= F.col("t_end"))
+    ours = near.groupBy(*okey).agg(
+        F.min(F.when(call, F.struct("t_hit", "id", "flag", "reason"))).alias("_m"), F.max_by("flag", F.when(call, level(F.col("flag")))).alias("our_top"),
+        F.min(F.when(red, F.col("t_hit"))).alias("our_red_t"),
+        F.max_by("flag", F.when(~F.col("_call") & due, (F.col("flag") == "DOUBLE_YELLOW").cast("int"))).alias("_shown"))
     cand = ON.candidates(incidents, ons, n)
     car = ON.pick_onset(cand).select(*key, "t_onset", F.col("onset_drv").alias("onset_car"))
     types = interval_join(dets.select("race", F.explode("drivers").alias("drv"), "t", "type"),
                           car.withColumnRenamed("onset_car", "drv").withColumns({"lo": F.col("t_onset") - 10, "hi": F.col("t_onset") + 60}),
                           ["race", "drv"], "t", "lo", "hi", 64.0)
     types = types.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("type")), " ").alias("onset_car_alerts"))
-    out = (off.join(best, okey, "left").join(reds, okey, "left").join(shown, okey, "left").join(car, key, "left")
-           .join(types, key, "left").join(ON.no_onset_reason(df, incidents, n), key, "left"))
+    out = (off.join(ours, okey, "left").join(car, key, "left").join(types, key, "left")
+           .join(ON.no_onset_reason(df, incidents, n), key, "left"))
     out = track_flag_at(out, "t_official", changes, by)
     at_red = track_flag_at(out.select(*okey, "official_red_t").filter("official_red_t is not null"), "official_red_t", changes, by)
     out = out.drop("our_red_since").join(at_red.select(*okey, "our_red_since"), okey, "left")
