@@ -1,5 +1,6 @@
 """Labels, anomaly score, forecast and their measures."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,13 @@ def test_trees_draw_from_all_rows(spark):
         assert a.exceptAll(b).isEmpty() and a.select("race").distinct().count() == 2
 
 
+def test_trees_part_neighbouring_doubles():
+    x = np.array([[1.0], [np.nextafter(1.0, 2.0)]])
+    for seed in range(20):
+        nodes = AN.grow_tree(x, seed, 3)
+        assert sorted(n[0] for n in nodes) == [0, 1, 2] and nodes[0][2] == 1.0
+
+
 def test_forecast_finds_the_signal(spark):
     rows = spark.range(2000).select(
         F.lit("R").alias("race"), F.lit("1").alias("drv"), (F.col("id") * 4).cast("int").alias("tick"), F.col("id").cast("double").alias("t"),
