@@ -14,11 +14,12 @@ How a row counts for a car's rules (rows after the chequered flag are left out):
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections import Counter, deque
+from collections.abc import Callable, Collection, Iterable
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trackguard.functions.ring import near_sector
 from trackguard.functions.text import fixed
 from trackguard.functions.timeline import CHUNK_TICKS, chunk_of, in_chunk, own_rows, running, with_history
 from trackguard.operators.fold import fold_in_time
@@ -217,45 +218,112 @@ def car_fold(events: DataFrame, p: DetectorParams | None = None, keys: list[str]
     return fold_in_time(events, keys, ["tick"], step, DETECTED, size=chunk)
 
 
+class Crowd:
+    """Crashes of the last `span` ticks and the groups said within `hold` ticks, indexed by car and sector: a crash looks up whether a
+    group that is out covers it, so that it costs the same however many cars crash with it. Crashes come in order."""
+
+    def __init__(self, span: int, hold: int, n_sectors: int, recent: Iterable[dict] = (), said: Iterable[list] = ()) -> None:
+        self.span, self.hold, self.n = span, hold, n_sectors
+        self.recent, self.said, self.made = deque(), {}, 0
+        self.crashes, self.where = Counter(), {}       # crashes of a sector, and of a car by sector
+        self.groups, self.touched = {}, {}             # groups of a car, and those with a car that crashed in a sector
+        for e in recent:
+            self.enter(e)
+        for m in said:
+            self.say(m)
+
+    def beside(self, sector: int) -> set[int]:
+        return {(sector + d) % self.n for d in (-1, 0, 1)}
+
+    def _touch(self, sector: int, group: int, by: int) -> None:
+        at = self.touched.setdefault(sector, Counter())
+        at[group] += by
+        if not at[group]:
+            del at[group]
+
+    def enter(self, e: dict) -> None:
+        sector, at = e["msector"] % self.n, self.where.setdefault(e["drv"], Counter())
+        self.recent.append(e)
+        self.crashes[sector] += 1
+        at[sector] += 1
+        if at[sector] == 1:
+            for g in self.groups.get(e["drv"], ()):
+                self._touch(sector, g, 1)
+
+    def _leave(self) -> None:
+        e = self.recent.popleft()
+        sector, at = e["msector"] % self.n, self.where[e["drv"]]
+        self.crashes[sector] -= 1
+        at[sector] -= 1
+        if not at[sector]:
+            del at[sector]
+            for g in self.groups.get(e["drv"], ()):
+                self._touch(sector, g, -1)
+        if not at:
+            del self.where[e["drv"]]
+
+    def say(self, m: list) -> None:
+        """A group [tick, sector, cars] is out."""
+        self.made += 1
+        self.said[self.made] = m
+        for car in m[2]:
+            self.groups.setdefault(car, set()).add(self.made)
+            for sector in self.where.get(car, ()):
+                self._touch(sector, self.made, 1)
+
+    def _forget(self, g: int) -> None:
+        for car in self.said.pop(g)[2]:
+            for sector in self.where.get(car, ()):
+                self._touch(sector, g, -1)
+            self.groups[car].discard(g)
+            if not self.groups[car]:
+                del self.groups[car]
+
+    def new_group(self, tick: int, drv: str, msector: int) -> list[dict]:
+        """The earlier crashes of other cars that make a new group with this one; none, if there are none or a group covers one of the cars."""
+        while self.recent and self.recent[0]["tick"] < tick - self.span:
+            self._leave()
+        while self.said and tick - self.said[first := next(iter(self.said))][0] >= self.hold:
+            self._forget(first)
+        near, own = self.beside(msector), self.where.get(drv, {})
+        if sum(self.crashes[s] - own.get(s, 0) for s in near) == 0:
+            return []
+        out = chain(self.groups.get(drv, ()), *(self.touched.get(s, ()) for s in near))
+        if any(self.said[g][1] % self.n in near for g in out):
+            return []
+        return [e for e in self.recent if e["drv"] != drv and e["msector"] % self.n in near]
+
+
 def multi_car(dets: DataFrame, p: DetectorParams | None = None, n_sectors: int = 1000, keys: list[str] = ["race"],
               chunk: int = CHUNK_TICKS) -> DataFrame:
     """MULTI: two or more cars with crash detections within `multi_window_s` in the same or adjacent
-    sectors. The pairs of one detection come from a window over the last seconds of its race, in the
-    order detections arrive; only the rule "a MULTI nearby already covers one of the cars" is a fold,
-    over the groups found."""
+    sectors, unless a MULTI nearby already covers one of the cars. One fold over the crashes of a race in the order they
+    arrive; a chunk also gets the crashes of the last seconds before it, so that its state is the MULTIs alone."""
     p = p or DetectorParams()
     span, hold = int(p.multi_window_s * TICKS_PER_S), int(p.cooldown_s * TICKS_PER_S)
-    crash = dets.filter(F.col("kind").isin(*CRASH_TYPES)).select(*keys, "tick", "drv", "rank", "msector", "severity")
-    item = F.struct("tick", "rank", "drv", "msector", "severity")
-    hist = with_history(crash, span, chunk)
-    hist = own_rows(hist.withColumn("_recent", F.collect_list(item).over(in_chunk(keys).rangeBetween(-span, 0))), chunk)
-    earlier = F.filter("_recent", lambda r: (r["drv"] != F.col("drv")) & near_sector(r["msector"], F.col("msector"), F.lit(n_sectors))
-                       & (F.struct(r["tick"], r["drv"], r["rank"]) < F.struct("tick", "drv", "rank")))
-    groups = hist.withColumn("_o", earlier).filter(F.size("_o") > 0).select(
-        *keys, "tick", "drv", "rank", F.col("msector").cast("int").alias("msector"),
-        F.array_sort(F.array_distinct(F.concat(F.array("drv"), F.transform("_o", lambda r: r["drv"])))).alias("drivers"),
-        F.greatest(F.col("severity"), F.array_max(F.transform("_o", lambda r: r["severity"]))).alias("worst"),
-        F.least(F.col("msector"), F.array_min(F.transform("_o", lambda r: r["msector"]))).cast("int").alias("lo"),
-        F.greatest(F.col("msector"), F.array_max(F.transform("_o", lambda r: r["msector"]))).cast("int").alias("hi"))
+    crash = dets.filter(F.col("kind").isin(*CRASH_TYPES)).select(
+        *keys, "tick", "drv", "rank", F.col("msector").cast("int").alias("msector"), F.col("severity").cast("double").alias("severity"))
+    crash = with_history(crash, span, chunk).withColumn("_at", F.greatest(F.col("tick"), F.col("_chunk") * chunk)).drop("_chunk")
 
     def step(state: dict, rows: list[dict]) -> tuple[dict, list[dict]]:
-        live, made, end = list(state.get("live", [])), [], 0
-        half = n_sectors // 2
+        crowd, made, end = Crowd(span, hold, n_sectors, said=state.get("live", [])), [], 0
         for r in rows:
-            end = r["tick"]
-            live = [m for m in live if r["tick"] - m[0] < hold]
-            cars = list(r["drivers"])
-            covered = any(abs((m[1] - r["msector"] + half) % n_sectors - half) <= 1 and set(m[2]) & set(cars) for m in live)
-            if not covered:
-                live.append([int(r["tick"]), int(r["msector"]), cars])
-                made.append({k: r[k] for k in ("tick", "drv", "rank", "msector", "worst", "lo", "hi")} | {"drivers": cars})
+            end = r["_at"]
+            if r["tick"] == end:
+                near = crowd.new_group(r["tick"], r["drv"], r["msector"])
+                if near:
+                    cars, sectors = sorted({r["drv"], *(e["drv"] for e in near)}), [r["msector"], *(e["msector"] for e in near)]
+                    crowd.say([int(r["tick"]), int(r["msector"]), cars])
+                    made.append({k: r[k] for k in ("tick", "drv", "rank", "msector")} | {
+                        "worst": max([r["severity"], *(e["severity"] for e in near)]), "lo": min(sectors), "hi": max(sectors), "drivers": cars})
+            crowd.enter(r)
         edge = (end // chunk + 1) * chunk
-        live = [m for m in live if edge - m[0] < hold]
+        live = [m for m in crowd.said.values() if edge - m[0] < hold]
         return ({"live": live} if live else {}), made
 
-    found = fold_in_time(groups, keys, ["tick", "drv", "rank"], step,
+    found = fold_in_time(crash, keys, ["_at", "tick", "drv", "rank"], step,
                          "tick int, drv string, rank int, msector int, worst double, lo int, hi int, drivers array<string>",
-                         size=chunk)
+                         on="_at", size=chunk)
     return found.select(
         *keys, "tick", F.lit("MULTI").alias("kind"), F.lit(9).alias("rank"), "drv", "msector", "drivers",
         F.round(F.least(F.lit(1.0), F.col("worst") + 0.15), 2).alias("severity"),
