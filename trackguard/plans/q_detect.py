@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trackguard.operators import detectors as DE, scoring as SC
 from trackguard.operators.fold import cooldown
 from trackguard.operators.gates import race_gates
-from trackguard.operators.params import SWEPT, DetectorParams, candidate_grid, with_candidates
+from trackguard.operators.params import DetectorParams, candidate_grid
 from trackguard.plans import tables as T
 from trackguard.plans.registry import query, with_tables
 from trackguard.plans.sqlparts import NAIVE, PARTS, RULES, TICKS
@@ -139,6 +139,5 @@ def _(spark, sf):
 def _(spark, sf):
     """Saved overrides of the settings, and the suite once per setting of the short list."""
     saved = SCALED.with_saved({"cooldown_s": 2.0, "not_a_setting": 1})
-    grid = candidate_grid()
-    dets = DE.detect(with_candidates(T.features(spark, sf).drop("heading_err"), grid), saved, AD.SECTORS, swept=SWEPT)
+    dets = DE.detect(T.features(spark, sf).drop("heading_err"), saved, AD.SECTORS, settings=candidate_grid())
     return dets.groupBy("cand", "race", "type").agg(F.count(F.lit(1)).alias("detections"))
