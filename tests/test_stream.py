@@ -38,3 +38,16 @@ def test_incident_sessions(spark):
     got = spark.read.parquet(f"{root}/out").orderBy("ts_first").select("events", "flags", F.unix_timestamp("ts_first").alias("a")).collect()
     base = int(at(0).replace(tzinfo=dt.timezone.utc).timestamp())
     assert [(r["events"], r["flags"], r["a"] - base) for r in got] == [(2, "SC YELLOW", 0), (1, "RED", 130)]
+
+
+def test_records_do_not_convert_whole_frames(monkeypatch):
+    """A key has few rows: whole-frame operations cost the same for one row as for many, so none is used."""
+    import pandas as pd
+    from trackguard.streaming.queries import records
+    first = pd.DataFrame({"tick": [5, 3], "drv": ["b", None], "speed": [float("nan"), 2.0], "at": pd.to_datetime(["2026-01-01", None]), "ok": [True, None], "ids": [["x"], []]})
+    second = pd.DataFrame({"tick": [3], "drv": ["a"], "speed": [1.5], "at": pd.to_datetime([None]), "ok": [False], "ids": [None]})
+    for name in ("astype", "where", "notna", "sort_values", "to_dict"):
+        monkeypatch.setattr(pd.DataFrame, name, None)
+    got = records(iter([first, second]), ["tick", "drv"])
+    assert [(r["tick"], r["drv"], r["speed"], r["ok"]) for r in got] == [(3, "a", 1.5, False), (3, None, 2.0, None), (5, "b", None, True)]
+    assert got[0]["at"] is None and got[2]["at"] == pd.Timestamp("2026-01-01") and got[2]["ids"] == ["x"] and type(got[0]["tick"]) is int
