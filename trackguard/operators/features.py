@@ -211,7 +211,8 @@ def flag_alignment(df: DataFrame, official: DataFrame, n_sectors: int) -> DataFr
              .select("race", F.col("event_id").alias("call"), F.col("t").alias("t_call"), F.col("msector").alias("flagged")))
     state = asof_join(calls, ticks, ["race"], "t_call", "t", ["_st", "_su", "_fs"], BUCKET_S, max_stale=1.0)
     normal = state.filter(F.col("_st").isNotNull() & ~F.col("_st").isin(NEUTRAL_STATUS) & ~F.col("_su") & (F.col("_fs") < 0.5))
-    slow = df.filter((F.col("speed_ratio") < 0.6) & ~F.col("in_pit") & (F.col("msector") > 0)).select("race", "t", "msector")
+    # one row per race, time and sector, however many cars were slow there
+    slow = df.filter((F.col("speed_ratio") < 0.6) & ~F.col("in_pit") & (F.col("msector") > 0)).select("race", "t", "msector").distinct()
     near = interval_join(slow, normal.withColumns({"lo": F.col("t_call") - 20, "hi": F.col("t_call") + 2}), ["race"], "t",
                          "lo", "hi", 64.0, extra=sector_matches("msector", "flagged", n_sectors))
     hit = near.select("race", "call").distinct().withColumn("_hit", F.lit(1))
