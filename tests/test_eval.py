@@ -232,3 +232,19 @@ def test_the_clock_runs_from_our_call_to_the_official_one(spark):
     df = spark.createDataFrame([("R", d, float(t), 10.0 * t + (500.0 if d == "2" else 0.0)) for d in "12" for t in range(0, 101, 5)], "race string, drv string, t double, dist double")
     got = {r["place"]: (r["crash_dist"], r["t0"], r["t1"]) for r in LI.clock_places(calls, named, said, df).collect()}
     assert got == {"a": (700.0, 20.0, 33.0), "b": (300.0, 30.0, 33.0), "d": (1400.0, 90.0, 100.0)}
+
+
+@pytest.mark.parametrize("name", ["h8_race_hours", "h9_race_summary", "h9_h10_levels"])
+def test_scores_do_not_wait_for_the_features(spark, sf, name, monkeypatch):
+    """They ask for the state of the field only, which is the same in the full table."""
+    from trackguard.plans import catalog, tables as T
+    monkeypatch.setattr(T, "_KEPT", {})
+    assert catalog.QUERIES[name](spark, sf).count()
+    assert "features" not in {made for _, _, made in T._KEPT}
+
+
+def test_the_state_of_the_field_is_that_of_the_features(spark, sf):
+    from trackguard.plans import tables as T
+    own, full = T.paces(spark, sf), T.features(spark, sf)
+    full = full.select(*own.columns)
+    assert own.exceptAll(full).isEmpty() and full.exceptAll(own).isEmpty()

@@ -59,7 +59,7 @@ def _(spark, sf):
     JOIN (SELECT race, arg_min(suspended, t) AS s FROM ticks GROUP BY race) f ON f.race = o.race"""))
 def _(spark, sf):
     off = T.official(spark, sf).withColumn("t", F.col("t") - 0.1)
-    return IN.suspended_at(off, T.features(spark, sf)).select("event_id", "suspended")
+    return IN.suspended_at(off, T.paces(spark, sf)).select("event_id", "suspended")
 
 
 @query("h4_alert_collapse", sql(NAIVE + ["nalerts"], "SELECT race, id, t, drv, msector FROM nalerts"))
@@ -72,7 +72,7 @@ def marked(spark, sf):
 
 
 def scores(spark, sf):
-    return SC.incident_scores(T.features(spark, sf), T.gap_incidents(spark, sf), T.naive(spark, sf), N, max_hold=3.0, **SPAN)
+    return SC.incident_scores(T.paces(spark, sf), T.gap_incidents(spark, sf), T.naive(spark, sf), N, max_hold=3.0, **SPAN)
 
 
 @query("h5_false_alarms", sql([n for n in SCORES if n not in ("held", "scores", "hours")], "SELECT race, id, false_alarm FROM marked"))
@@ -82,7 +82,7 @@ def _(spark, sf):
 
 @query("h6_held_stops", sql(NAIVE + ["held"], "SELECT race, id, msector, t0, t1 FROM held"))
 def _(spark, sf):
-    return SC.held_stops(T.features(spark, sf), T.naive(spark, sf), max_hold=3.0)
+    return SC.held_stops(T.paces(spark, sf), T.naive(spark, sf), max_hold=3.0)
 
 
 @query("h7_incident_scores", sql([n for n in SCORES if n not in ("nalerts", "marked", "hours")],
@@ -93,7 +93,7 @@ def _(spark, sf):
 
 @query("h8_race_hours", sql(TICKS + ["hours"], "SELECT race, round(hours, 8) AS hours FROM hours"))
 def _(spark, sf):
-    return SC.race_hours(T.features(spark, sf)).withColumn("hours", F.round("hours", 8))
+    return SC.race_hours(T.paces(spark, sf)).withColumn("hours", F.round("hours", 8))
 
 
 _PER_RACE = """perrace AS (
@@ -106,7 +106,7 @@ _PER_RACE = """perrace AS (
 
 
 def race_rows(spark, sf):
-    return SC.race_summary(scores(spark, sf), marked(spark, sf), SC.race_hours(T.features(spark, sf)))
+    return SC.race_summary(scores(spark, sf), marked(spark, sf), SC.race_hours(T.paces(spark, sf)))
 
 
 @query("h9_race_summary", sql(SCORES, "") + f""", {_PER_RACE} SELECT race, incidents, matched, held, alerts, false_alarms, earlier,
@@ -132,7 +132,7 @@ def _(spark, sf):
 
 def two_systems(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Two systems: the baseline detector, and one that detects nothing."""
-    hours = SC.race_hours(T.features(spark, sf))
+    hours = SC.race_hours(T.paces(spark, sf))
     named = lambda df, name: df.withColumn("system", F.lit(name))
     none = scores(spark, sf).withColumns({"matched": F.lit(False), "held": F.lit(False), "lead_s": F.lit(None).cast("double")})
     return (named(scores(spark, sf), "baseline").unionByName(named(none, "none")), named(marked(spark, sf), "baseline"),

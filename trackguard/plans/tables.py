@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from trackguard.functions.timeline import chunk_of, gap_islands
-from trackguard.operators import detectors as DE, escalation as ES, exposure as EX, flags as FL, incidents as IN, onset as ON
+from trackguard.operators import detectors as DE, escalation as ES, exposure as EX, features as FE, flags as FL, incidents as IN, onset as ON
 from trackguard.operators.params import DetectorParams
 from trackguard.plans.pipeline import build_features, field_rows
 from trackguard.session import stored
@@ -60,6 +60,14 @@ def fields(spark, sf):
     return field_rows(grid(spark, sf).drop("x", "y"), AD.LENGTH)
 
 
+@kept("paces")
+def paces(spark, sf):
+    """Grid rows with the state of the field and nothing else: all that the baseline detector, its scores and labels ask of a row, without
+    laps, weather, gaps and windows."""
+    rows = FE.field_state(FE.per_row(grid(spark, sf)))
+    return rows.select("race", "drv", "tick", "t", "x", "msector", "speed", "in_pit", "track_status", "suspended", "field_slow")
+
+
 @kept("official")
 def official(spark, sf):
     return AD.official(grid(spark, sf))
@@ -72,13 +80,13 @@ def detections(spark, sf):
 
 @kept("naive")
 def naive(spark, sf):
-    return DE.naive(features(spark, sf), **NAIVE_SET)
+    return DE.naive(paces(spark, sf), **NAIVE_SET)
 
 
 @kept("messages")
 def incident_messages(spark, sf):
     """Official messages with their incident, by the official grouping."""
-    return IN.build_incidents(official(spark, sf), features(spark, sf), N, join_s=2.0)
+    return IN.build_incidents(official(spark, sf), paces(spark, sf), N, join_s=2.0)
 
 
 @kept("incidents")
