@@ -234,8 +234,8 @@ def test_the_clock_runs_from_our_call_to_the_official_one(spark):
     assert got == {"a": (700.0, 20.0, 33.0), "b": (300.0, 30.0, 33.0), "d": (1400.0, 90.0, 100.0)}
 
 
-@pytest.mark.parametrize("name", ["h8_race_hours", "h9_race_summary", "h9_h10_levels"])
-def test_scores_do_not_wait_for_the_features(spark, sf, name, monkeypatch):
+@pytest.mark.parametrize("name", ["h8_race_hours", "h9_race_summary", "h9_h10_levels", "m9_m10_labels", "m13_train_keep"])
+def test_scores_and_labels_do_not_wait_for_the_features(spark, sf, name, monkeypatch):
     """They ask for the state of the field only, which is the same in the full table."""
     from trackguard.plans import catalog, tables as T
     monkeypatch.setattr(T, "_KEPT", {})

@@ -107,14 +107,25 @@ labelled AS (SELECT r.race, r.drv, r.tick, r.t, r.speed, f.t_inc, coalesce(r.t >
 _LABEL_TABLES = NAIVE + INC
 
 
-@T.kept("labelled")
-def labelled(spark, sf):
+def with_labels(spark, sf, rows):
     """Labels from the baseline's detections; a horizon of 3 s plays the 30 s one."""
     first, alone = RI.incident_times(T.gap_incidents(spark, sf), T.naive(spark, sf), N, 1.0, 0.25)
-    rows = RI.label(T.features(spark, sf), first, alone, N, (1, 2, 3), ambiguous_s=0.5)
+    rows = RI.label(rows, first, alone, N, (1, 2, 3), ambiguous_s=0.5)
     return RI.train_keep(rows.withColumnsRenamed({"y3": "y30", "y2": "y20"}).withColumn("y10", F.col("y1")))
 
 
+@T.kept("labels")
+def labels(spark, sf):
+    """Labels, time and speed of the racing rows, without the inputs of a model."""
+    return with_labels(spark, sf, T.paces(spark, sf)).select("race", "drv", "tick", "t", "speed", "y1", "y10", "y20", "y30", "train_keep")
+
+
+@T.kept("labelled")
+def labelled(spark, sf):
+    """Racing rows with their labels and all features."""
+    return with_labels(spark, sf, T.features(spark, sf))
+
+
 @query("m8_incident_times", sql(_LABEL_TABLES, "") + f", {_LABELS} SELECT race, drv, t_inc FROM firstinc")
 def _(spark, sf):
     return RI.incident_times(T.gap_incidents(spark, sf), T.naive(spark, sf), N, 1.0, 0.25)[0]
@@ -127,12 +138,12 @@ def _(spark, sf):
 
 @query("m9_m10_labels", sql(_LABEL_TABLES, "") + f", {_LABELS} SELECT race, drv, tick, y1, y30 FROM labelled")
 def _(spark, sf):
-    return labelled(spark, sf).select("race", "drv", "tick", "y1", "y30")
+    return labels(spark, sf).select("race", "drv", "tick", "y1", "y30")
 
 
 @query("m11_racing_rows", sql(TICKS, "") + f", {_RACING} SELECT race, drv, tick FROM racing")
 def _(spark, sf):
-    df = T.features(spark, sf)
+    df = T.paces(spark, sf)
     return df.filter(RI.is_racing(df)).select("race", "drv", "tick")
 
 
@@ -148,7 +159,7 @@ def _(spark, sf):
 @query("m13_train_keep", sql(_LABEL_TABLES, "") + f""", {_LABELS} SELECT race, drv, tick,
     y30 = 1 OR CAST('0x' || substr(md5(race || '|' || drv || '|' || CAST(tick AS VARCHAR)), 1, 7) AS BIGINT) % 1000 < 30 AS train_keep FROM labelled""")
 def _(spark, sf):
-    return labelled(spark, sf).select("race", "drv", "tick", "train_keep")
+    return labels(spark, sf).select("race", "drv", "tick", "train_keep")
 
 
 # ---- model
@@ -182,7 +193,7 @@ def _(spark, sf):
 
 @query("m17_due_rows", sql(TICKS, "") + f", {_RACING} SELECT race, drv, tick FROM racing WHERE tick % 4 = 0")
 def _(spark, sf):
-    df = T.features(spark, sf)
+    df = T.paces(spark, sf)
     return df.filter(RI.is_racing(df) & (F.col("tick") % 4 == 0)).select("race", "drv", "tick")
 
 
@@ -218,7 +229,7 @@ pred AS (SELECT l.*, e.t_end, NOT coalesce(l.t >= e.t_end - 3 AND l.t < e.t_end,
 
 @query("m22_precursor_mask", sql(_LABEL_TABLES, "") + f", {_PREC} SELECT race, drv, tick, t_end, precursor FROM pred")
 def _(spark, sf):
-    return RI.with_incident_end(labelled(spark, sf)).select("race", "drv", "tick", "t_end", "precursor")
+    return RI.with_incident_end(labels(spark, sf)).select("race", "drv", "tick", "t_end", "precursor")
 
 
 _LIMITS = [40.0, 80.0, 120.0]
@@ -233,7 +244,7 @@ hrs AS (SELECT sum(n) / 4.0 / 3600 / avg(c) AS hours FROM (SELECT race, count(*)
 SELECT s.threshold, s.car_incidents, round(s.share, 6) AS flagged_3s_before, round(s.med, 6) AS median_s_before, coalesce(e.n, 0)::BIGINT AS false_episodes,
        round(coalesce(e.n, 0) / h.hours, 4) AS false_episodes_per_hour FROM seen s LEFT JOIN eps e USING (threshold), hrs h""")
 def _(spark, sf):
-    e = RI.early_warning(labelled(spark, sf), _LIMITS, "speed")
+    e = RI.early_warning(labels(spark, sf), _LIMITS, "speed")
     return e.select("threshold", "car_incidents", F.round("flagged_3s_before", 6).alias("flagged_3s_before"), F.round("median_s_before", 6).alias("median_s_before"),
                     "false_episodes", F.round("false_episodes_per_hour", 4).alias("false_episodes_per_hour"))
 
@@ -241,7 +252,7 @@ def _(spark, sf):
 @query("m25_thresholds", sql(_LABEL_TABLES, "") + f""", {_LABELS} SELECT unnest([0.005, 0.002, 0.001])::DOUBLE AS rate,
     round(unnest(quantile_cont(speed, [0.995, 0.998, 0.999])) + 1e-9, 6) AS threshold FROM labelled WHERE y30 = 0""")
 def _(spark, sf):
-    found = RI.thresholds(labelled(spark, sf), "speed")
+    found = RI.thresholds(labels(spark, sf), "speed")
     return spark.createDataFrame(list(zip([0.005, 0.002, 0.001], found)), "rate double, threshold double").withColumn("threshold", F.round(F.col("threshold") + 1e-9, 6))
 
 
@@ -253,7 +264,7 @@ def _apsql(where: str) -> str:
 @query("m28_baseline_scores", sql(_LABEL_TABLES, "") + f""", {_PREC} SELECT 'speed_threshold' AS model, round({_apsql('true')} + 1e-9, 6) AS pr_auc,
     round((SELECT avg(y30) FROM pred) + 1e-9, 6) AS base_rate, round({_apsql('precursor')} + 1e-9, 6) AS pr_auc_precursor""")
 def _(spark, sf):
-    t = RI.score_table(labelled(spark, sf), {"speed_threshold": -F.col("speed")}, "y30")
+    t = RI.score_table(labels(spark, sf), {"speed_threshold": -F.col("speed")}, "y30")
     return t.select("model", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("pr_auc", "base_rate", "pr_auc_precursor")])
 
 
