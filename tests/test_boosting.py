@@ -139,3 +139,22 @@ def test_a_model_draws_a_bounded_number_of_rows(spark):
     rows = labelled(spark)
     assert B.sampled(rows, 1200, RI.KEY, most=2000).count() == 1200
     assert 200 < B.sampled(rows, 1200, RI.KEY, most=300).count() < 400
+
+
+@pytest.mark.parametrize("size", [3, 14])
+def test_patterns_are_numbered_in_order(size):
+    pattern = np.random.default_rng(size).integers(0, 1 << size, 200)
+    shapes, which = B._numbered(pattern, size)
+    assert shapes.tolist() == sorted(set(pattern.tolist())) and (shapes[which] == pattern).all()
+
+
+def test_horizons_fitted_side_by_side_are_those_fitted_alone(spark):
+    x, y = data(4, n=400)
+    rows = [("R", "1", k, float(a), float(b), int(v), int(v and k % 2), True) for k, ((a, b, *_), v) in enumerate(zip(x, y))]
+    train = spark.createDataFrame(rows, "race string, drv string, tick int, speed double, throttle double, y30 int, y10 int, train_keep boolean")
+    train = train.withColumn("track_status", F.lit("1"))
+    both = RI.fit_horizons(train, (10, 30), ["speed", "throttle"], 4, 5)
+    for model, h in zip(both, (10, 30)):
+        alone = RI.fit(train, h, ["speed", "throttle"], 4, 5)
+        assert len(model.trees.nodes) and (model.trees.nodes == alone.trees.nodes).all() and model.neg_share == alone.neg_share
+    assert len(both[0].trees.nodes) != len(both[1].trees.nodes) or (both[0].trees.nodes != both[1].trees.nodes).any()
