@@ -169,3 +169,25 @@ def test_every_race_is_scored_by_the_forest_of_the_others(spark, monkeypatch):
     limit = {r.race: r.threshold for r in got.select("race", "threshold").distinct().collect()}
     assert len(limit) == 3 and limit["R2"] < got.filter("race = 'R2'").agg(F.expr("median(anomaly_score)")).first()[0]
     assert got.drop("anomaly_score", "threshold").select(*rows.columns).exceptAll(AN.with_inputs(rows).select(*rows.columns)).isEmpty()
+
+
+def many_rows(spark):
+    """More labelled rows than a model once learnt from, in two races."""
+    return spark.range(440_000).select(
+        F.concat(F.lit("R"), (F.col("id") % 2).cast("string")).alias("race"), F.lit("1").alias("drv"), F.col("id").cast("int").alias("tick"),
+        (F.col("id") * 7919 % 300).cast("double").alias("speed"), F.lit("1").alias("track_status"), F.lit(True).alias("train_keep"),
+        (F.col("id") * 7919 % 300 < 60).cast("int").alias("y30"))
+
+
+def test_models_learn_from_all_kept_rows(spark):
+    """The first node of a tree covers the share of the rows that a tree sees, 80% of all and not of a draw."""
+    model = RI.fit_horizons(many_rows(spark), (30,), ["speed"], 1, 100)[0]
+    assert abs(model.trees.nodes[0]["cover"] / 440_000 - 0.8) < 0.01
+
+
+def test_models_of_the_other_races_learn_from_all_kept_rows(spark):
+    from trackguard.operators.boosting import Trees
+    from trackguard.session import stored
+    models = RI.fold_models(stored(many_rows(spark)), (30,), 1, 100, {"": ["speed"]}).collect()
+    assert sorted(m.fold for m in models) == ["R0", "R1"]
+    assert all(abs(Trees.unpacked(m.trees).nodes[0]["cover"] / 220_000 - 0.8) < 0.01 for m in models)
