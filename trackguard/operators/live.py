@@ -118,12 +118,18 @@ def official_state_at(rows: DataFrame, t: str, official: DataFrame) -> DataFrame
     return out.withColumn("official_state", F.coalesce("official_state", F.lit("CLEAR")))
 
 
+def first_from(asked: DataFrame, events: DataFrame, by: list[str], lo: str, name: str) -> DataFrame:
+    """Adds `name`: the time of the first of the events (by, at) at or after `lo`, NULL without one. Looking ahead is an as-of join against
+    the clock, so rows and events do not meet in pairs."""
+    back = events.select(*by, (-F.col("at")).alias("_back"), F.col("at").alias(name))
+    return asof_join(asked.withColumn("_from", -F.col(lo)), back, by, "_from", "_back", [name], 256.0).drop("_from")
+
+
 def incident_start(official: DataFrame) -> DataFrame:
     """Adds start: for a track-wide flag the first sector flag of the 120 s before it, else its own time."""
-    wide = official.filter("msector is null").withColumns({"lo": F.col("t") - ESCALATION_LOOKBACK_S, "hi": F.col("t")})
-    sector = official.filter("msector is not null").select("race", F.col("t").alias("_st"))
-    first = interval_join(sector, wide.select("race", "event_id", "lo", "hi"), ["race"], "_st", "lo", "hi", 256.0, closed=False)
-    first = first.groupBy("race", "event_id").agg(F.min("_st").alias("_first"))
+    wide = official.filter("msector is null").select("race", "event_id", (F.col("t") - ESCALATION_LOOKBACK_S).alias("lo"), F.col("t").alias("hi"))
+    first = first_from(wide, official.filter("msector is not null").select("race", F.col("t").alias("at")), ["race"], "lo", "_st")
+    first = first.filter(F.col("_st") < F.col("hi")).groupBy("race", "event_id").agg(F.min("_st").alias("_first"))
     return official.join(first, ["race", "event_id"], "left").withColumn("start", F.coalesce("_first", "t")).drop("_first")
 
 
@@ -131,10 +137,11 @@ def our_match(official: DataFrame, recs: DataFrame, n: int, before: float = MATC
     """Adds t_ours: our first flag for each official one, track-wide with track-wide, sector with the same
     or an adjacent sector."""
     off = incident_start(official.filter("flag <> 'CLEAR'")).withColumns({"lo": F.col("start") - before, "hi": F.col("t") + after})
-    ours = recs.filter("flag <> 'CLEAR'").select("race", F.col("t").alias("_rt"), F.col("id").alias("_rid"), F.col("msector").alias("_rs"),
-                                                 F.col("flag").isin("VSC", "SC", "RED").alias("_wide"))
-    fit = F.when(F.col("msector").isNull(), F.col("_wide")).otherwise(~F.col("_wide") & near_sector(F.col("_rs"), F.col("msector"), F.lit(n)))
-    hits = interval_join(ours, off, ["race"], "_rt", "lo", "hi", 256.0, extra=fit)
+    at = lambda d: F.pmod(F.col("msector") + d, F.lit(n)).cast("int")
+    scopes = F.when(F.col("msector").isNull(), F.array(F.lit(-1))).otherwise(F.array_distinct(F.array(at(-1), at(0), at(1))))
+    asked = off.select("race", "event_id", "lo", "hi", F.explode(scopes).alias("scope"))
+    ours = recs.filter("flag <> 'CLEAR'").select("race", F.when(F.col("flag").isin(*WIDE), -1).otherwise(at(0)).alias("scope"), F.col("t").alias("at"))
+    hits = first_from(asked, ours.filter("scope is not null"), ["race", "scope"], "lo", "_rt").filter(F.col("_rt") <= F.col("hi"))
     hits = hits.groupBy("race", "event_id").agg(F.min("_rt").alias("t_ours"))
     return off.drop("lo", "hi").join(hits, ["race", "event_id"], "left")
 

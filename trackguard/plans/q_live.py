@@ -156,7 +156,7 @@ def _(spark, sf):
     SELECT race, count(*) AS official_flags, count(*) FILTER (t - t_ours > 0) AS earlier, median(CASE WHEN t - t_ours > 0 THEN t - t_ours END) AS median_lead_s
     FROM matched m WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.race = m.race AND m.t BETWEEN st.t0 AND st.t1 + 1) GROUP BY race""")
 def _(spark, sf):
-    return LI.lead_summary(matched(spark, sf), LI.stoppages(T.features(spark, sf), min_s=6.0))
+    return LI.lead_summary(matched(spark, sf), LI.stoppages(T.paces(spark, sf), min_s=6.0))
 
 
 @query("v7_flag_incidents", sql(["grid", "official", "gapmsgs"], """

@@ -62,10 +62,10 @@ def fields(spark, sf):
 
 @kept("paces")
 def paces(spark, sf):
-    """Grid rows with the state of the field and nothing else: all that the baseline detector, its scores and labels ask of a row, without
+    """Grid rows with the state of the field and nothing else: all that the baseline detector, its scores, labels and stoppages ask of a row, without
     laps, weather, gaps and windows."""
     rows = FE.field_state(FE.per_row(grid(spark, sf)))
-    return rows.select("race", "drv", "tick", "t", "x", "msector", "speed", "in_pit", "track_status", "suspended", "field_slow")
+    return rows.select("race", "drv", "tick", "t", "x", "msector", "speed", "in_pit", "track_status", "suspended", "field_slow", "field_in_pit")
 
 
 @kept("official")
